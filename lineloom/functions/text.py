@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: White space as ECMAScript sees it, as a character class body for Java patterns.
 WS = r"\t-\r    -     　﻿"
@@ -22,15 +23,15 @@ CONFUSIONS = (("rn", "m"), ("cl", "d"), ("cI", "d"), ("vv", "w"), ("li", "h"))
 GUTTER = "5|10|15|20|25|30|35|40|45|50|55|60|65"
 
 
-@F.pandas_udf("string")
-def _nfc(text: pd.Series) -> pd.Series:
+def _composed(text: pd.Series) -> pd.Series:
     return text.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
 
 
 def nfc(text: Column) -> Column:
     """Canonical composition; Spark has no function for it, so rows with other than ASCII go through Arrow and the rest
     as nulls, which cost nothing."""
-    return F.coalesce(_nfc(F.when(text.rlike(r"[^\x00-\x7f]"), text)), text)
+    udf = F.pandas_udf(_composed, StringType())
+    return F.coalesce(udf(F.when(text.rlike(r"[^\x00-\x7f]"), text)), text)
 
 
 def collapse(text: Column) -> Column:
