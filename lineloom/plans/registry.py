@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lineloom.plans import layout, matching, relational, rollup, rules, service, text
+from lineloom.plans.base import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-MODULES: list = []
+MODULES = (text, relational, rollup, rules, layout, matching, service)
+FLAGSHIP = matching.FLAGSHIP
 
 
 def queries() -> dict[str, Query]:
