@@ -151,9 +151,9 @@ def _search_tree(k: int):
     def found(queries: pa.Table, trees: pa.Table) -> pa.Table:
         rows = []
         held = [pickle.loads(p.as_py()) for p in trees.column("pages")] if queries.num_rows else []
-        names, values = queries.column("id").to_pylist(), queries.column("v").to_pylist()
+        names, values, keys = (queries.column(c).to_pylist() for c in ("id", "v", "key"))
         for tree in held:
-            for q, v in zip(names, values, strict=True):
+            for q, v, key in zip(names, values, keys, strict=True):
                 floats, whole = _whole([v])
                 if isinstance(tree, Scan):
                     hits = tree.search(whole[0] if floats is None else [int(c) for c in floats[0]], q, k)
@@ -162,9 +162,9 @@ def _search_tree(k: int):
                 else:
                     width = tree.vectors.shape[1]
                     hits = tree.search(np.resize(np.append(floats[0], np.zeros(width)), width), q, k)
-                rows += [(q, i, s) for s, i in hits]
-        cols = list(zip(*rows, strict=True)) or [(), (), ()]
-        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), cols, strict=True)})
+                rows += [(q, key, i, s) for s, i in hits]
+        cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "key", "vec_id", "score"), cols, strict=True)})
 
     return found
 
@@ -174,7 +174,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
 
     Rows with a null id, a null vector or a null, NaN or infinite component take no part. A query's own id is no
     candidate; all candidates come if there are fewer than k. Ties go to the smaller id; rows that repeat an id are
-    candidates of their own. Shorter vectors count as filled up with zeros. Scores beyond a long stop at its ends.
+    candidates of their own, and queries of their own if their vectors differ. Shorter vectors count as filled up with zeros. Scores beyond a long stop at its ends.
     Other columns are not carried. Trees and pairs are dealt by hash, so a common vector is spread like any other.
     """
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -188,12 +188,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     # Rows of one id are spread too: the vector is part of the deal.
     dealt = clean(vectors).withColumn("tree", F.pmod(F.xxhash64("id", "v"), F.lit(n_trees)))
     trees = scratch(dealt.groupBy("tree").applyInArrow(_build_tree, "tree long, pages binary"), "trees")
-    asked = clean(queries).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(n_blocks)))
+    # Repeated query rows are one query; rows of one id with unlike vectors are queries of their own.
+    asked = clean(queries).distinct().withColumn("key", F.xxhash64("v")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(n_blocks)))
     asked = asked.withColumn("tree", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_trees - 1).cast("long"))))
     served = trees.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long"))))
-    pairs = asked.groupBy("tree", "block").cogroup(served.groupBy("tree", "block")).applyInArrow(_search_tree(k), "query_id long, vec_id long, score long")
-    # Repeated query rows give the same hits; a query is its id.
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    pairs = asked.groupBy("tree", "block").cogroup(served.groupBy("tree", "block")).applyInArrow(_search_tree(k), "query_id long, key long, vec_id long, score long")
+    order = Window.partitionBy("query_id", "key").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -1,0 +1,339 @@
+"""The training-data operators against brute force, on small frames with nulls, ties, copies and clashing columns."""
+
+import random
+import re
+import zlib
+
+import duckdb
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from lineloom.llm import decontaminate, graph, html_text, language_id, license_scan, metric_search, packing, pii, registry, simhash, substring_dedup, url_filter
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa mu nu xi omicron pi rho sigma tau".split()
+
+
+def prose(r, n, vocabulary=WORDS):
+    return " ".join(r.choice(vocabulary) for _ in range(n))
+
+
+def docs(spark, texts):
+    return spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], DOCS)
+
+
+EDGE = [None, "", " \n\t", "a", "One. Two! Three?", "x" * 5000, "\ud7ff\U0001f600 é", "same text again", "same text again"]
+
+
+@pytest.mark.parametrize("name", sorted(registry.SQL))
+def test_queries_agree_with_sql(spark, name):
+    duck = duckdb.connect()
+    for t in ("documents", "pages", "embeddings", "benchmark"):
+        duck.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
+    got, want = registry.QUERIES[name](spark, SF).toPandas(), duck.execute(registry.SQL[name]).df()
+    columns = sorted(want.columns)
+    rows = lambda f: sorted(repr([None if v is None or v != v else v.item() if hasattr(v, "item") else v for v in r]) for r in f[columns].astype(object).values.tolist())
+    assert sorted(got.columns) == columns and rows(got) == rows(want)
+
+
+# URL rules
+def glob_fits(glob, text):
+    return re.fullmatch("".join(".*" if t == "**" else "[^/]*" if t == "*" else "[^/]" if t == "?" else re.escape(t) for t in url_filter.tokens(glob)), text, re.S) is not None
+
+
+def test_automaton_agrees_with_regular_expressions():
+    r = random.Random(1)
+    globs = ["".join(r.choice(["a", "b", "/", ".", "*", "**", "?"]) for _ in range(r.randint(0, 12))) for _ in range(40)]
+    texts = ["".join(r.choice("ab/.cé\n😀") for _ in range(r.randint(0, 25))) for _ in range(300)]
+    got = url_filter.Automaton(globs).accepted(texts)
+    assert got.tolist() == [[glob_fits(g, t) for g in globs] for t in texts]
+    assert url_filter.Automaton(globs).accepted([]).shape == (0, 40)
+
+
+def test_urls_null_odd_and_long(spark):
+    urls = [None, "", "no scheme", "http://", "http://A.Example.NET/en/1?x", "http://notexample.net/en/", "x://net", "http://org/fr/", "http://a.org/fr", "http://e.net/" + "z" * 100_000, "a://b://net/"]
+    df = spark.createDataFrame([(i, u, "mine") for i, u in enumerate(urls)], "page_id long, url string, Host string")
+    got = {r.page_id: (r.host[:20], r.rule, r.verdict) for r in url_filter.judge_urls(df, url_filter.PAGES_RULES).collect()}
+    assert got == {
+        0: ("", None, "allow"), 1: ("", None, "allow"), 2: ("", None, "allow"), 3: ("", None, "allow"), 4: ("a.example.net", "example.net/en/", "allow"), 5: ("notexample.net", "net/", "block"),
+        6: ("net", None, "allow"), 7: ("org", "org/fr/", "allow"), 8: ("a.org", None, "allow"), 9: ("e.net", "net/", "block"), 10: ("b:", None, "allow"),
+    }
+    assert url_filter.judge_urls(df.limit(0), url_filter.PAGES_RULES).count() == 0
+
+
+# PII
+def test_surrogates_are_distinct_coreferent_and_of_the_same_form(spark):
+    texts = [f"mail user{i}.x{i}@mail.example.com or call +1 (2{i:02d}) 555-01{i:02d}, ip 10.0.0.{i}, card 4111 1111 1111 1111" for i in range(60)]
+    texts += ["Mr. John Smith met Mrs Anna Smith; Mr Smith left. 4111-1111-1111-1111", None, "", "nothing here 12"]
+    got = {r.doc_id: r for r in pii.pseudonymise(docs(spark, texts)).collect()}
+    emails = [re.search(r"\S+@\S+", got[i].text)[0] for i in range(60)]
+    assert len(set(emails)) == 60 and not set(emails) & {re.search(r"\S+@\S+", t)[0] for t in texts[:60]}
+    assert all(len(got[i].text) == len(texts[i]) and got[i].n_entities == 4 for i in range(60))
+    card = re.search(r"card ([\d ]+)", got[0].text)[1]
+    digits = [int(c) for c in card if c.isdigit()]
+    assert (sum(digits[-1::-2]) + sum(d * 2 - 9 * (d > 4) for d in digits[-2::-2])) % 10 == 0 and card[4] == " "
+    assert card.replace(" ", "-") in got[60].text
+    named = re.match(r"Mr\. (\w+) (\w+) met Mrs (\w+) (\w+); Mr (\w+) left", got[60].text)
+    assert named[2] == named[4] == named[5] and named[1] in pii.GIVEN["latin", "m"] and named[3] in pii.GIVEN["latin", "f"]
+    assert (got[61].text, got[62].text, got[63].text) == (None, "", "nothing here 12")
+
+
+def test_clashing_draws_are_drawn_again(spark):
+    """Every one of 81 single-digit address endings of one form: far more entities than draws without clashes."""
+    texts = [f"{a}.{b}.{c}.1" for a in range(1, 10) for b in range(1, 10) for c in range(1, 8)]
+    got = [r.text for r in pii.pseudonymise(docs(spark, [f"ip {t} end" for t in texts])).collect()]
+    assert len(set(got)) == len(texts) and not {t.split()[1] for t in got} & set(texts)
+
+
+def test_pii_plan_has_no_python(spark):
+    plan = pii.pseudonymise(docs(spark, ["a@b.co"]))._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|ArrowEval", plan)
+
+
+# Licences
+def test_licences_own_and_inherited(spark):
+    rows = [("a/LICENSE", "Released under the MIT License."), ("a/b/x.py", "code"), ("a/b/COPYING", "This work is licensed under the GNU General Public License, version 3."), ("a/b/c/y.py", "text\nLicensed under CC BY-NC 4.0.\nmore"), ("z.py", "code"), (None, None), ("a/q/r/s.py", ""), ("a/b/c/d/e.py", None)]
+    got = {r.path: (r.license, r.via, r.license_dir) for r in license_scan.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == {
+        "a/LICENSE": ("MIT", "own", None), "a/b/x.py": ("GPL-3.0", "inherited", "a/b"), "a/b/COPYING": ("GPL-3.0", "own", None), "a/b/c/y.py": ("CC-BY-NC-4.0", "own", None),
+        "z.py": (None, None, None), None: (None, None, None), "a/q/r/s.py": ("MIT", "inherited", "a"), "a/b/c/d/e.py": ("GPL-3.0", "inherited", "a/b"),
+    }
+
+
+def test_prefix_tokens_lose_no_licence():
+    scanner, r = license_scan.Scanner(), random.Random(2)
+    vocabulary = [w for _, v in scanner.vectors for w in v] + ["other"] * 3
+    for _ in range(2000):
+        unit = prose(r, r.randint(1, 12), vocabulary)
+        best = max(sum(x * scanner._vector({w: unit.split().count(w) for w in unit.split()}).get(k, 0) for k, x in v.items()) for _, v in scanner.vectors)
+        assert (scanner.score(unit)[0] is not None) == (best >= scanner.least) or abs(best - scanner.least) < 1e-9
+
+
+# Language
+def test_languages_held_out(spark):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    got = language_id.op4_language_id(spark, SF).join(table.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
+    assert (got.lang == got.lang_pred).mean() >= 0.95 and got.score.between(0, 1).all()
+    assert set(got.doc_id) == {i for (i,) in table.select("doc_id").collect() if zlib.crc32(str(i).encode()) % 4 == 2}
+
+
+def test_languages_edges(spark):
+    profiles = language_id.learn(docs(spark, ["hello there"] * 3))
+    got = [(r.lang_pred, r.score) for r in language_id.identify(docs(spark, EDGE), profiles).orderBy("doc_id").collect()]
+    assert [g[0] for g in got[:4]] == ["und", "und", "und", "en"] and got[7] == got[8]
+    assert language_id.identify(docs(spark, ["abc"]), language_id.Profiles([])).first().lang_pred == "und"
+
+
+def test_grams_do_not_depend_on_the_step(monkeypatch):
+    r = random.Random(4)
+    text = "".join(r.choice("abÉ  ,.1\n") for _ in range(400))
+    whole = language_id.grams(text)
+    for step in (1, 2, 3, 7, 50):
+        monkeypatch.setattr(language_id, "_STEP", step)
+        inner = {k: n for k, n in zip(*map(np.ndarray.tolist, language_id.grams(text)), strict=True)}
+        letters = {k: n for k, n in zip(*map(np.ndarray.tolist, whole), strict=True) if k < 1 << 21}
+        assert all(inner.get(k) == n for k, n in letters.items())
+
+
+# HTML
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (None, ""), ("", ""), ("plain words only", "plain words only"),
+        ("<nav>menu</nav><article><h1>T</h1><p>A &amp; B<br>c</p><p>Ti.</p><aside>x</aside><div class='comments'>no</div></article><footer>f</footer>", "T\n\nA & B c\n\nTi."),
+        ("<article><p>one<p><b>two<script>var a='</p>'</script></article>after", "one\n\ntwo"),
+        ("<article><p>cut off <b>here", "cut off here"),
+        ("<div class=ad>buy<article><p>still text</p></article>", "still text"),
+        ("<body><div id=menu>a b c</div><p>" + "long text " * 20 + "</p><p>end</p></body>", ("long text " * 20).strip() + "\n\nend"),
+    ],
+)
+def test_pages(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_pages_frame(spark):
+    df = spark.createDataFrame([(1, "<article>a</article>", "old")], "page_id long, html string, text string")
+    assert [tuple(r) for r in html_text.extract(df).collect()] == [(1, "a", 1)]
+
+
+# Packing
+def test_first_fit_decreasing_and_whole_cover():
+    r = random.Random(6)
+    for _ in range(60):
+        lengths = [r.choice([0, 1, 5, 31, 32, 33, 64, 100]) for _ in range(r.randint(0, 30))]
+        sequences = packing.pack(lengths, 32)
+        got = sorted(p for s in sequences for p in s)
+        at = {}
+        for d, start, n in got:
+            assert start == at.get(d, 0) and n > 0
+            at[d] = start + n
+        assert at == {d: n for d, n in enumerate(lengths) if n}
+        fills = [sum(p[2] for p in s) for s in sequences]
+        assert all(f & (f - 1) == 0 and f <= 32 for f in fills)
+
+
+def test_tree_finds_the_first_bin_with_room():
+    r = random.Random(7)
+    for _ in range(50):
+        tree, room = packing.Bins(40, 32), [32] * 40
+        for _ in range(40):
+            n = r.randint(1, 32)
+            want = next(i for i, left in enumerate(room) if left >= n)
+            room[want] -= n
+            assert tree.first_fit(n) == want
+
+
+def test_packed_ids_round_trip(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    r = random.Random(8)
+    texts = [*EDGE, "<|endoftext|> a", "a  b   c\n\n d", *("".join(r.choice("aé 1\n'.s") for _ in range(r.randint(0, 60))) for _ in range(200)), prose(r, 4000)]
+    got = {}
+    for p in packing.pack_documents(docs(spark, texts), packing.public_bpe, group_docs=50).collect():
+        got.setdefault(p.doc_id, {})[p.start] = bytes(p.ids)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for i, t in enumerate(texts):
+        want = np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes()
+        assert b"".join(got[i][k] for k in sorted(got[i])) == want
+
+
+def test_nothing_to_pack(spark):
+    assert packing.packed_digest(docs(spark, ["a"]).limit(0)).count() == 0
+
+
+# Substring dedup
+def test_repeated_passages_leave_their_first_place(spark):
+    r = random.Random(9)
+    own = [". ".join(prose(r, 9, [w + str(i) for w in WORDS]).capitalize() for _ in range(6)) + "." for i in range(8)]
+    shared = ". ".join(prose(r, 9, [w + "s" for w in WORDS]).capitalize() for _ in range(6)) + "."
+    texts = [own[0], own[1] + " " + shared, own[2], shared + "\n" + own[3], own[4] + " " + shared + " " + own[5], own[6] + " " + own[6], *EDGE]
+    got = {x.doc_id: x for x in substring_dedup.remove_repeats(docs(spark, texts)).collect()}
+    assert [got[i].text for i in (0, 1, 2)] == texts[:3]
+    assert got[3].text == own[3] and got[4].text == own[4] + " " + own[5] and got[5].text == own[6]
+    assert [got[i].text for i in range(6, 6 + len(EDGE))] == EDGE
+
+
+def test_spans_by_definition():
+    r = random.Random(10)
+    text = " ".join(prose(r, r.randint(1, 30)) + r.choice([".", "!", "?\n", "\n"]) for _ in range(40))
+    words = [text[a:b].lower().split() for a, b in substring_dedup.sentences(text)]
+    assert [w for s in words for w in s] == text.lower().split() and max(map(len, words)) <= substring_dedup.SENTENCE_WORDS
+    want = []
+    for i in range(len(words)):
+        for j in range(i + substring_dedup.SPAN_SENTENCES, len(words) + 1):
+            if sum(map(len, words[i:j])) >= substring_dedup.SPAN_WORDS:
+                want.append((i, j - 1))
+                break
+    assert [s[2:] for s in substring_dedup.spans(text)] == want
+
+
+# Decontamination
+def test_contamination_by_brute_force(spark):
+    r = random.Random(11)
+    small = WORDS[:4]
+    items = [prose(r, n, small) for n in (1, 2, 4, 5, 6, 12, 13, 14, 20)] + [None, "", "..."]
+    texts = [prose(r, r.randint(0, 60), small) for _ in range(80)] + [f"{prose(r, 300)}. {items[8]} {prose(r, 40)}", "Alpha, BETA", *EDGE]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    for size in (100_000, 3):
+        rows = decontaminate.mark(docs(spark, texts).withColumn("n_words", F.lit("x")), bench, block_windows=size).withColumn("hits", decontaminate.n_hit()).collect()
+        for row in rows:
+            words, hit, named = split(texts[row.doc_id]), set(), set()
+            for k, item in enumerate(items):
+                w = split(item)
+                n = min(13, len(w))
+                for a in range(len(w) - n + 1 if w else 0):
+                    for i in range(len(words) - n + 1):
+                        if words[i : i + n] == w[a : a + n]:
+                            hit.update(range(i, i + n))
+                            named.add(k)
+            assert (row.n_words, row.hits, row.hit_items) == (len(words), len(hit), sorted(named))
+
+
+# SimHash
+def brute_fingerprint(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not w:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]).encode("utf-8", "surrogatepass"), 42) for i in range(max(1, len(w) - 2))]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_fingerprints(monkeypatch):
+    r = random.Random(12)
+    for text in [*EDGE, "A b", "a  B\x0bc d", *(prose(r, 50) for _ in range(20))]:
+        assert simhash.fingerprint(text) == brute_fingerprint(text)
+        monkeypatch.setattr(simhash, "STEP", 7)
+
+
+def test_ring_finds_every_link(spark):
+    r = random.Random(13)
+    fps = [r.getrandbits(64) for _ in range(60)]
+    for base in fps[:30]:
+        for _ in range(6):
+            x = base
+            for _ in range(r.randint(1, 3)):
+                x ^= 1 << r.randrange(64)
+            fps.append(x)
+    centre = r.getrandbits(64)
+    fps += [centre ^ (1 << i) ^ (1 << j) for i in range(24) for j in range(i + 1)]
+    fps = sorted(set(fps))
+    frame = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)),) for x in fps], "fp long")
+    roots = {x.node: x.root for x in graph.components(simhash.links(frame)).collect()}
+    label = {x: x for x in fps}
+    changed = True
+    while changed:
+        changed = False
+        for a in fps:
+            low = min(label[b] for b in fps if (a ^ b).bit_count() <= 2)
+            if low < label[a]:
+                label[a], changed = low, True
+    groups = lambda of: sorted(sorted(x for x in fps if of(x) == g) for g in {of(x) for x in fps})
+    signed = lambda x: int(np.uint64(x).astype(np.int64))
+    assert groups(lambda x: roots.get(signed(x), signed(x))) == groups(lambda x: label[x])
+
+
+def test_one_of_each_group_stays(spark):
+    df = spark.createDataFrame([(5, "one two three four", "x"), (3, "one two three four", "y"), (None, "one two three four", "z"), (7, "other words are here", "x"), (7, "other words are here", "x"), (None, None, "n"), (9, "", "e")], "doc_id long, text string, note string")
+    assert sorted((r.doc_id, r.note) for r in simhash.keep_one(df).collect()) == [(3, "y"), (7, "x"), (9, "e")]
+
+
+# Search
+def test_search_by_brute_force(spark):
+    r = np.random.default_rng(14)
+    rows = [(int(i), [float(x) for x in np.round(r.normal(size=6), 1)]) for i in range(400)]
+    rows += [(400, None), (401, [1.0, None]), (402, [float("nan")] * 6), (403, [float("inf")] * 6), (404, []), (405, [1.0] * 3), (50, rows[50][1]), (406, rows[0][1]), (407, rows[0][1]), (None, [1.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = metric_search.top_k(df, df.where("vec_id % 50 = 0"), tree_rows=90, query_rows=3).collect()
+    clean = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    want = []
+    for q, v in {i: v for i, v in clean if i % 50 == 0}.items():
+        best = sorted((-sum(a * b for a, b in zip(v, w)), i) for i, w in clean if i != q)[:5]  # noqa: B905
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_search_of_huge_components(spark):
+    df = spark.createDataFrame([(0, [1e30, 1.0]), (1, [1e30, 2.0]), (2, [-1e30, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in metric_search.top_k(df, df.where("vec_id = 0")).orderBy("rank").collect()] == [(1, 2**63 - 1), (2, -(2**63))]
+
+
+# Pipeline
+def test_pipeline_stages_and_run(spark):
+    import corpus_pipeline
+
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "near_duplicates", "decontamination", "personal_data", "packing"]
+    now = spark.read.parquet(f"{SF}/documents.parquet")
+    columns = now.columns
+    kept = [now.count()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, SF)
+        assert now.columns == columns, name
+        kept.append(now.count())
+    assert kept[0] == kept[1] > kept[2] > kept[3] == kept[4]
+    rows = corpus_pipeline.run(spark, SF)
+    assert rows.select("doc_id").distinct().count() == kept[4]
