@@ -50,17 +50,16 @@ def _passages(spark, sf_dir, text, test="true"):
 def _tier(name, text, test, answer=None):
     @plans.add(name, answer)
     def query(spark, sf_dir):
-        found = M.cite(_passages(spark, sf_dir, text, test), _doc_lines(spark, sf_dir))
+        found = M.cite(_passages(spark, sf_dir, text(), test), _doc_lines(spark, sf_dir))
         return found.select("doc_id", "citation", F.round("confidence", 6).alias("confidence"), "tier")
 
 
-_first = F.substring(F.regexp_replace("text", r"\s+", " "), 1, 300)
 _LONG = "length(text) >= 400 AND length(text) <= 4000"
-_tier("match_ws_stripped", F.regexp_replace(F.substring("text", 1, 200), r"\s", ""), _LONG)
-_tier("match_bookend", F.concat(F.substring("text", 1, 150), F.lit(" inserted words here "), F.substring("text", 151, 150)), _LONG)
-_tier("match_fuzzy", F.concat(F.substring("text", 1, 30), F.lit("q"), F.substring("text", 33, 30)), "length(text) BETWEEN 100 AND 600")
-_tier("match_gutter", F.substring(F.regexp_replace("text", r"\s+", " "), 1, 200), _LONG)
-_tier("match_and_cite", _first, _LONG)
+_tier("match_ws_stripped", lambda: F.regexp_replace(F.substring("text", 1, 200), r"\s", ""), _LONG)
+_tier("match_bookend", lambda: F.concat(F.substring("text", 1, 150), F.lit(" inserted words here "), F.substring("text", 151, 150)), _LONG)
+_tier("match_fuzzy", lambda: F.concat(F.substring("text", 1, 30), F.lit("q"), F.substring("text", 33, 30)), "length(text) BETWEEN 100 AND 600")
+_tier("match_gutter", lambda: F.substring(F.regexp_replace("text", r"\s+", " "), 1, 200), _LONG)
+_tier("match_and_cite", lambda: F.substring(F.regexp_replace("text", r"\s+", " "), 1, 300), _LONG)
 plans.QUERIES["cite_batch"] = plans.QUERIES["match_and_cite"]
 
 
