@@ -69,6 +69,10 @@ def tight_norm(text: Column) -> Column:
     return F.lower(F.regexp_replace(text, "[^a-zA-Z0-9]+", ""))
 
 
+def alpha_only(text: Column) -> Column:
+    return F.regexp_replace(text, "[^a-zA-Z0-9]+", "")
+
+
 def normalize_selection(text: Column) -> Column:
     out = F.regexp_replace(text, f"[{WS}]+", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(out, " *- *", "-"), " +([,;:])", "$1"))

@@ -162,6 +162,18 @@ def reason_hash(reason: Column) -> Column:
     return F.when(reason.isNotNull(), F.substring(F.sha2(F.substring(reason, 1, 200), 256), 1, 8))
 
 
+def triage_hash(rationale: Column, verifier_status: Column, classification: Column) -> Column:
+    """A hash of three fields as JSON, nulls written out: the rationale's first 30 characters, the verifier's status
+    and the class."""
+    row = F.struct(F.substring(F.coalesce(rationale, F.lit("")), 1, 30).alias("rationale_first_30_chars"), verifier_status.alias("verifier_status"), classification.alias("classification"))
+    return F.substring(F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256), 1, 12)
+
+
+def within(at: Column, now: Column, days: int) -> Column:
+    """Not older than `days`; a null time is older."""
+    return F.coalesce(at >= now - F.expr(f"INTERVAL {days} DAY"), F.lit(False))
+
+
 def case_to_patent(case: Column) -> Column:
     return F.nullif(F.regexp_extract(case, r"^([A-Z]{2}\d+[A-Z]?\d*)-", 1), F.lit(""))
 

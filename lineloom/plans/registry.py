@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from lineloom.plans import layout, matching, relational, rollup, rules, service, text
+from lineloom.plans import layout, matching, relational, rollup, rules, service, sources, text
 from lineloom.plans.base import Query
 
-MODULES = (text, relational, rollup, rules, layout, matching, service)
+MODULES = (text, relational, rollup, rules, layout, matching, service, sources)
 FLAGSHIP = matching.FLAGSHIP
 
 
