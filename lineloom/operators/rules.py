@@ -159,7 +159,7 @@ def case_fingerprint(case: Column, error_class: Column, reason_hash: Column) ->
 
 
 def reason_hash(reason: Column) -> Column:
-    return F.when(reason.isNotNull(), F.substring(F.sha2(F.substring(reason, 1, 200), 256), 1, 8))
+    return F.when(reason != "", F.substring(F.sha2(F.substring(reason, 1, 200), 256), 1, 12))
 
 
 def triage_hash(rationale: Column, verifier_status: Column, classification: Column) -> Column:

@@ -151,13 +151,13 @@ def source_issue(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", R.source_issue(body).alias("issue"))
 
 
-@plans.add("case_fingerprint", "SELECT event_id, substr(sha256(event_id || '|' || event_type || '|' || CASE WHEN event_id % 5 = 0 THEN '' ELSE substr(sha256(substr(props, 1, 200)), 1, 8) END), 1, 12) AS fp FROM events")
+@plans.add("case_fingerprint", "SELECT event_id, substr(sha256(event_id || '|' || event_type || '|' || CASE WHEN event_id % 5 = 0 THEN '' ELSE substr(sha256(substr(props, 1, 200)), 1, 12) END), 1, 12) AS fp FROM events")
 def case_fingerprint(spark, sf_dir):
     reason = R.reason_hash(F.when(F.col("event_id") % 5 != 0, F.col("props")))
     return table(spark, sf_dir, "events").select("event_id", R.case_fingerprint(F.col("event_id").cast("string"), F.col("event_type"), reason).alias("fp"))
 
 
-@plans.add("reason_hash", "SELECT event_id, substr(sha256(substr(props, 1, 200)), 1, 8) AS h FROM events")
+@plans.add("reason_hash", "SELECT event_id, substr(sha256(substr(props, 1, 200)), 1, 12) AS h FROM events")
 def reason_hash(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", R.reason_hash(F.col("props")).alias("h"))
 
