@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from lineloom.llm.common import scratch, table, text_key, without
 
 SPAN_SENTENCES = 2
-SPAN_WORDS = 24
+SPAN_WORDS = 20
 SENTENCE_WORDS = 16
 _END = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
 
