@@ -2,10 +2,11 @@
 
 Markup is stripped into lines, one for each block of text; the edge of a container adds an empty line, and text in
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments (told by element, role,
-class or id) counts as empty. Over windows of BLOCK lines the text lengths are summed. Text begins where the sums
-surge and ends where they dive to nothing; what stands between is kept whole. Lines inside <article> or <main> have a
-threshold of one character, so that short paragraphs of an article stay; without such an element the threshold follows
-the page's largest sum, and lines that are mostly links count as empty.
+class or id) counts as empty. Over windows of BLOCK lines, which end at an empty line, the text lengths are summed.
+Text begins where the sums first surge and ends where they last dive; what stands between is kept whole. Lines inside
+<article> or <main> have a threshold of one character, so that short paragraphs of an article stay; without such an
+element the threshold follows the page's largest sum, lines that are mostly links count as empty, and headings right
+before the surge belong to it.
 """
 
 from __future__ import annotations
@@ -36,6 +37,9 @@ _DROP_WORDS = _COMMENT_WORDS | frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup sidebar "
     "menu nav navbar navigation breadcrumb breadcrumbs footer header masthead topbar toolbar share sharing social related recommended widget widgets pagination pager login search skip-link".split()
 )
+_HEAD_WORDS = frozenset("header masthead banner".split())
+_STATES = frozenset("has with no is without".split())
+_HEADINGS = frozenset("h1 h2 h3".split())
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _RAW_END = {n: re.compile(rf"</{n}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for n in _RAW}
@@ -48,6 +52,7 @@ def _dropped(name: str, attributes: str, in_article: bool) -> bool:
         return True
     if not attributes or name in ("html", "body", "main"):
         return False
+    drop_words = _COMMENT_WORDS if name == "article" else _DROP_WORDS - _HEAD_WORDS if in_article else _DROP_WORDS
     for m in _ATTR.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
@@ -55,15 +60,17 @@ def _dropped(name: str, attributes: str, in_article: bool) -> bool:
         if key == "role" and value.strip() in _ROLES and not (in_article and value.strip() == "banner"):
             return True
         if key in ("class", "id"):
-            words = {w for x in value.split() for w in (x, *re.split(r"[-_]+", x))}
-            if words & (_COMMENT_WORDS if name == "article" else _DROP_WORDS):
+            # A wrapper "has-sidebar" or "no-ads" is no sidebar or advert.
+            parts = [re.split(r"[-_]+", x) for x in value.split()]
+            if any(x in drop_words for x in value.split()) or any(w in drop_words for p in parts if p[0] not in _STATES for w in p):
                 return True
     return False
 
 
-def lines(page: str) -> list[tuple[str, bool, float]]:
-    """(text, inside <article> or <main>, share of it in links) of every line; dropped text leaves an empty line."""
-    out: list[tuple[str, bool, float]] = []
+def lines(page: str) -> list[tuple[str, bool, float, bool]]:
+    """(text, inside <article> or <main>, share of it in links, heading) of every line; dropped text leaves an empty
+    line."""
+    out: list[tuple[str, bool, float, bool]] = []
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, bool]] = []  # (element, dropped, in article)
@@ -75,10 +82,10 @@ def lines(page: str) -> list[tuple[str, bool, float]]:
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            out.append((text, article, linked / len(text)))
+            out.append((text, article, linked / len(text), any(n in _HEADINGS for n, _, _ in stack)))
         linked = 0
         if empty:
-            out.append(("", False, 0.0))
+            out.append(("", False, 0.0, False))
 
     def leave(to: int) -> None:
         nonlocal dropped, article, links
@@ -129,7 +136,7 @@ def lines(page: str) -> list[tuple[str, bool, float]]:
                 break
         opens = name in ("article", "main") and not dropped
         # An article inside an unclosed advert or notice is an article all the same.
-        freed = name in ("article", "main") and dropped and not _dropped(name, attributes, False) and all(n in ("div", "span", "section") for n, d, _ in stack if d)
+        freed = name in ("article", "main") and dropped and not _dropped(name, attributes, False) and all(n in ("div", "span", "section", "form") for n, d, _ in stack if d)
         drop = not freed and (dropped or _dropped(name, attributes, article))
         stack.append((name, drop, (article or opens or freed) and not drop))
         dropped, article = stack[-1][1], stack[-1][2]
@@ -142,20 +149,24 @@ def lines(page: str) -> list[tuple[str, bool, float]]:
 def main_text(page: str | None) -> str:
     """The blocks between surge and dive points, joined by an empty line."""
     found = lines(page or "")
-    inside = any(a and t for t, a, _ in found)
-    size = [len(t) if (a if inside else links < 0.5) else 0 for t, a, links in found]
-    sums = [sum(size[i : i + BLOCK]) for i in range(len(size))]
+    inside = any(a and t for t, a, _, _ in found)
+    size = [len(t) if (a if inside else links < 0.5) else 0 for t, a, links, _ in found]
+    groups: list[list[int]] = [[]]
+    for i, n in enumerate(size):
+        if n:
+            groups[-1].append(i)
+        elif groups[-1]:
+            groups.append([])
+    groups = [g for g in groups if g]
+    sums = [max(sum(size[i] for i in g[k : k + BLOCK]) for k in range(len(g))) for g in groups]
     least = 1 if inside else min(SURGE, max(sums, default=0) // 2 + 1)
-    kept, i = [], 0
-    while i < len(size):
-        if not size[i] or sums[i] < least:
-            i += 1
-            continue
-        while i < len(size) and sums[i]:
-            if size[i]:
-                kept.append(found[i][0])
-            i += 1
-    return "\n\n".join(kept)
+    surging = [k for k, s in enumerate(sums) if s >= least]
+    if not surging:
+        return ""
+    first = surging[0]
+    while first and all(found[i][3] for i in groups[first - 1]):
+        first -= 1
+    return "\n\n".join(found[i][0] for g in groups[first : surging[-1] + 1] for i in g)
 
 
 def extract(df: DataFrame, html_col: str = "html") -> DataFrame:

@@ -147,6 +147,8 @@ def test_grams_do_not_depend_on_the_step(monkeypatch):
         ("<article><p>one<p><b>two<script>var a='</p>'</script></article>after", "one\n\ntwo"),
         ("<article><p>cut off <b>here", "cut off here"),
         ("<div class=ad>buy<article><p>still text</p></article>", "still text"),
+        ("<div>My Site</div><h1>T</h1><div class='content has-sidebar'><p>" + "long text " * 20 + "</p><div>Sub</div><p>" + "more text " * 20 + "</p></div><div>bye</div>", "T\n\n" + ("long text " * 20).strip() + "\n\nSub\n\n" + ("more text " * 20).strip()),
+        ("<form><article><div class='article-header'><h1>T</h1></div><p>x</p></article></form>", "T\n\nx"),
         ("<body><div id=menu>a b c</div><p>" + "long text " * 20 + "</p><p>end</p></body>", ("long text " * 20).strip() + "\n\nend"),
     ],
 )
