@@ -50,7 +50,7 @@ PATTERNS = {
 }
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these holds no entity; cheaper than the full pattern.
-_MAYBE = r"[0-9@]|[=:]\s*\S{6}|\b(?:" + "|".join(sorted({t for ts in TITLES.values() for t in ts})) + r")\b"
+_MAYBE = r"[0-9@]|AKIA|[=:]\s*\S{6}|\b(?:" + "|".join(sorted({t for ts in TITLES.values() for t in ts})) + r")\b"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
