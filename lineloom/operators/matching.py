@@ -30,12 +30,21 @@ BOOKEND, BOOKEND_LINES = 50, 60
 GUTTER_CONFIDENCE, OCR_PENALTY, CONTEXT_MORE = 0.85, 0.02, 50
 _SPACE = re.compile(rf"[{T.WS}]+")
 _DROP = {ord(c): None for c in T.INVISIBLE} | {ord(a): b for a, b in zip(T.TYPOGRAPHIC, T.ASCII_FORMS, strict=True)} | {ord(a): b for a, b in T.LIGATURES}
+_ODD = re.compile("[" + "".join(map(re.escape, map(chr, _DROP))) + "]")
+#: White space that is not a single space between words.
+_RUN = re.compile(rf"[{T.WS}]{{2}}|^ | $|(?! )[{T.WS}]")
 _HYPHEN_END = re.compile(rf"[-\u00ad\u2010\u2011\u2012][{T.WS}]*$")
 _GUTTER = re.compile(rf"(?<![^ ])(?:{T.GUTTER})(?![^ ])")
 
 
 def normalized(text: str) -> str:
-    return _SPACE.sub(" ", unicodedata.normalize("NFC", text).translate(_DROP)).strip(" ")
+    """The text composed, without invisible characters, typographic forms and runs of white space."""
+    if not text.isascii():
+        if not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        if _ODD.search(text):
+            text = text.translate(_DROP)
+    return _SPACE.sub(" ", text).strip(" ") if _RUN.search(text) else text
 
 
 def deconfused(text: str) -> str:

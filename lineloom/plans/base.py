@@ -26,5 +26,13 @@ class Plans:
         return keep
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, if its scan has fewer: a small file that cannot be split would
+    keep one core busy with text work. An input of more splits than cores is not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df

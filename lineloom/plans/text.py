@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lineloom.functions import citation as C
 from lineloom.functions import text as T
-from lineloom.plans.base import Plans, table
+from lineloom.plans.base import Plans, spread, table
 
 plans = Plans()
 
@@ -125,7 +125,7 @@ _SHORT = "CASE WHEN c1 = c2 AND l1 = l2 THEN c1 || ':' || l1 WHEN c1 = c2 THEN c
 
 
 def _spans(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", *_SPAN.split(", "))
+    return spread(table(spark, sf_dir, "lineitem")).selectExpr("l_orderkey", "l_linenumber", *_SPAN.split(", "))
 
 
 _COLS = ("c1", "l1", "c2", "l2")
