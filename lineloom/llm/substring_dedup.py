@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -25,67 +26,81 @@ from lineloom.llm.common import scratch, table, text_key, without
 SPAN_SENTENCES = 2
 SPAN_WORDS = 20
 SENTENCE_WORDS = 16
-_END = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
+_WORD = re.compile(r"\S+")
+
+
+def _shape(text: str) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """The words joined by single spaces as bytes, each word's start and end there, and the first word of every
+    sentence, followed by the number of words."""
+    lines = [line.split() for line in text.split("\n")]
+    joined = " ".join([w for line in lines for w in line]).encode("utf-8", "surrogatepass")
+    if not joined:
+        none = np.zeros(0, np.int64)
+        return joined, none, none, np.zeros(1, np.int64)
+    codes = np.frombuffer(joined, np.uint8)
+    gaps = np.flatnonzero(codes == 32)
+    starts, ends = np.concatenate(([0], gaps + 1)), np.append(gaps, len(codes))
+    final = codes[ends - 1]
+    stops = (final == 46) | (final == 33) | (final == 63)
+    stops[np.cumsum([len(line) for line in lines if line]) - 1] = True
+    first = np.concatenate(([0], np.flatnonzero(stops[:-1]) + 1))
+    sizes = np.diff(np.append(first, len(starts)))
+    if (sizes > SENTENCE_WORDS).any():
+        parts = -(-sizes // SENTENCE_WORDS)
+        within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        first = np.repeat(first, parts) + within * SENTENCE_WORDS
+    return joined, starts, ends, np.append(first, len(starts))
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
     """[start, end) of every sentence, without the white space around it."""
-    text = text or ""
-    found, at = [], 0
-    for m in [*_END.finditer(text), None]:
-        stop = m.start() if m else len(text)
-        part = text[at:stop]
-        if len(part) <= 2 * SENTENCE_WORDS:  # too short to hold more words than one sentence may
-            if s := part.strip():
-                begin = at + part.index(s[0])
-                found.append((begin, begin + len(s)))
-        else:
-            words = [(w.start(), w.end()) for w in re.finditer(r"\S+", part)]
-            found += [(at + words[k][0], at + words[min(k + SENTENCE_WORDS, len(words)) - 1][1]) for k in range(0, len(words), SENTENCE_WORDS)]
-        at = m.end() if m else stop
-    return found
-
-
-def spans(text: str | None) -> list[tuple[int, int, int, int]]:
-    """(hash, check, first sentence, last sentence) of the span from every sentence that has one."""
-    text = text or ""
-    split = [text[a:b].lower().split() for a, b in sentences(text)]
-    joined = [" ".join(s) for s in split]
-    out, j, words = [], 0, 0
-    for i in range(len(split)):
-        j = max(j, i)
-        while j < len(split) and (j - i < SPAN_SENTENCES or words < SPAN_WORDS):
-            words += len(split[j])
-            j += 1
-        if j - i < SPAN_SENTENCES or words < SPAN_WORDS:
-            break
-        h = xxhash.xxh3_128_intdigest("\n".join(joined[i:j]).encode("utf-8", "surrogatepass"))
-        out.append(((h & (2**64 - 1)) - 2**63, (h >> 64) & 0x7FFFFFFF, i, j - 1))
-        words -= len(split[i])
-    return out
-
-
-def _span_rows(docs: DataFrame, text_key_col: str = "key") -> DataFrame:
+    first = _shape(text or "")[3].tolist()
+    words = [m.span() for m in _WORD.finditer(text or "")]
+    return [(words[i][0], words[j - 1][1]) for i, j in zip(first, first[1:], strict=False)]
+
+
+def spans(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, check, first sentence and last sentence of the span from every sentence that has one."""
+    joined, starts, ends, first = _shape((text or "").lower())
+    n = len(first) - 1
+    stop = np.maximum(np.searchsorted(first, first[:-1] + SPAN_WORDS), np.arange(n) + SPAN_SENTENCES)
+    i = np.flatnonzero(stop <= n)
+    j = stop[i]
+    digest = xxhash.xxh3_128_digest
+    places = zip(starts[first[i]].tolist(), ends[first[j] - 1].tolist(), strict=True) if len(i) else ()
+    h = np.frombuffer(b"".join([digest(joined[a:b]) for a, b in places]), "<i8").reshape(-1, 2)
+    return h[:, 0], (h[:, 1] & 0x7FFFFFFF).astype(np.int32), i.astype(np.int32), (j - 1).astype(np.int32)
+
+
+def _span_rows(docs: DataFrame) -> DataFrame:
     """(id, key, h, c, first, last, again) for every span; again: the document had one of its kind before."""
+    names = ["id", "key", "h", "c", "first", "last", "again"]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols: tuple[list, ...] = ([], [], [], [], [], [], [])
-            for i, k, t in zip(batch.column("id").to_pylist(), batch.column("key").to_pylist(), batch.column("text"), strict=True):
-                seen = set()
-                for h, c, a, b in spans(t.as_py()):
-                    again = (h, c) in seen
-                    seen.add((h, c))
-                    for col, v in zip(cols, (i, k, h, c, a, b, again), strict=True):
-                        col.append(v)
-                if len(cols[0]) > 50_000:
-                    yield rows(cols)
-                    cols = ([], [], [], [], [], [], [])
-            yield rows(cols)
-
-    def rows(cols: tuple[list, ...]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["id", "key", "h", "c", "first", "last", "again"])
+            found: list[tuple[np.ndarray, ...]] = []
+            rows: list[int] = []
+            held = 0
+
+            def out(batch=batch) -> pa.RecordBatch:
+                h, c, a, b, again = (np.concatenate(col) for col in zip(*found, strict=True))
+                own = pa.array(np.repeat(rows, [len(f[0]) for f in found]))
+                return pa.RecordBatch.from_arrays([batch.column("id").take(own), batch.column("key").take(own), *map(pa.array, (h, c, a, b, again))], names=names)
+
+            for k, text in enumerate(batch.column("text")):
+                h, c, a, b = spans(text.as_py())
+                if not len(h):
+                    continue
+                again = np.ones(len(h), bool)
+                again[np.unique(h, return_index=True)[1]] = False
+                found.append((h, c, a, b, again))
+                rows.append(k)
+                held += len(h)
+                if held > 100_000:
+                    yield out()
+                    found, rows, held = [], [], 0
+            if found:
+                yield out()
 
     return docs.select("id", "key", "text").mapInArrow(made, "id long, key long, h long, c int, first int, last int, again boolean")
 
@@ -115,14 +130,15 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             texts, counts, removed = [], [], []
             for t, covered in zip(batch.column(text_col), batch.column("__spans").to_pylist(), strict=True):
                 text = t.as_py()
-                places = sentences(text)
                 out = sorted({k for s in covered or () for k in range(s["first"], s["last"] + 1)})
                 drop = set(out)
+                n = len(_shape(text or "")[3]) - 1
                 if out:
+                    places = sentences(text)
                     stops = [a for a, _ in places[1:]] + [len(text)]
                     text = (text[: places[0][0]] + "".join(text[a:stop] for k, ((a, _), stop) in enumerate(zip(places, stops, strict=True)) if k not in drop)).rstrip()
                 texts.append(text)
-                counts.append(len(places))
+                counts.append(n)
                 removed.append(out)
             rest = [c for c in batch.schema.names if c != "__spans"]
             arrays = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in rest]

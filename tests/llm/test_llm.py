@@ -239,7 +239,7 @@ def test_spans_by_definition():
             if sum(map(len, words[i:j])) >= substring_dedup.SPAN_WORDS:
                 want.append((i, j - 1))
                 break
-    assert [s[2:] for s in substring_dedup.spans(text)] == want
+    assert list(zip(*map(np.ndarray.tolist, substring_dedup.spans(text)[2:]), strict=True)) == want
 
 
 # Decontamination
