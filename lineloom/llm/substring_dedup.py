@@ -1,7 +1,8 @@
 """Substring deduplication over runs of consecutive sentences.
 
-A text is cut into sentences (at `.`, `!`, `?` before white space, and at line ends; a sentence of more than
-SENTENCE_WORDS words is cut further, so that a long one cannot hide a repeated passage). From every sentence starts one
+A text is cut into sentences (at `.`, `!`, `?` before white space, and at line ends; of every SENTENCE_WORDS consecutive
+words of a sentence, the least hashed pair of neighbours is cut apart, so that a passage is cut at the same words wherever
+it stands and a long sentence cannot hide it). No sentence keeps more than SENTENCE_WORDS words. From every sentence starts one
 span: the shortest run of at least SPAN_SENTENCES sentences with at least SPAN_WORDS words. Spans are hashed (96 bits,
 after lower-casing and turning white space into one space) and joined over all documents; a sentence covered by a span
 that is not the first of its kind is removed. First is the least doc_id, then the first place in it.
@@ -27,10 +28,36 @@ SPAN_SENTENCES = 2
 SPAN_WORDS = 20
 SENTENCE_WORDS = 16
 _WORD = re.compile(r"\S+")
+#: Factors of the bytes of a word, by place in it.
+_FACTORS = np.random.default_rng(7).integers(1, 1 << 63, 4096, np.uint64) | np.uint64(1)
+
+
+def _sliding(values: np.ndarray, size: int, least: np.ufunc) -> np.ndarray:
+    """least (or its opposite) of every `size` consecutive values."""
+    width = 1
+    while 2 * width <= size:
+        values = least(values[:-width], values[width:])
+        width *= 2
+    return least(values[: len(values) - (size - width)], values[size - width :]) if size > width else values
+
+
+def _cuts(joined: bytes, starts: np.ndarray, sentence: np.ndarray) -> np.ndarray:
+    """The words before which long sentences are cut; sentence: the number of the sentence of every word."""
+    codes = np.frombuffer(joined + b" ", np.uint8)
+    place = np.arange(len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes))))
+    words = np.add.reduceat(_FACTORS[place & 4095] * codes, starts)
+    pairs = words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]
+    pairs = (pairs ^ (pairs >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    pairs = (pairs >> np.uint64(1)) | np.uint64(1)
+    size = SENTENCE_WORDS - 1  # pairs in SENTENCE_WORDS words
+    low = _sliding(pairs, size, np.minimum)
+    low[sentence[size:] != sentence[:-size]] = 0  # not of one sentence
+    edge = np.zeros(size - 1, np.uint64)
+    return np.flatnonzero(_sliding(np.concatenate((edge, low, edge)), size, np.maximum) == pairs) + 1
 
 
 def _shape(text: str) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
-    """The words joined by single spaces as bytes, each word's start and end there, and the first word of every
+    """Of a lower-cased text: the words joined by single spaces as bytes, each word's start and end there, and the first word of every
     sentence, followed by the number of words."""
     lines = [line.split() for line in text.split("\n")]
     joined = " ".join([w for line in lines for w in line]).encode("utf-8", "surrogatepass")
@@ -45,16 +72,14 @@ def _shape(text: str) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
     stops[np.cumsum([len(line) for line in lines if line]) - 1] = True
     first = np.concatenate(([0], np.flatnonzero(stops[:-1]) + 1))
     sizes = np.diff(np.append(first, len(starts)))
-    if (sizes > SENTENCE_WORDS).any():
-        parts = -(-sizes // SENTENCE_WORDS)
-        within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        first = np.repeat(first, parts) + within * SENTENCE_WORDS
+    if (sizes >= SENTENCE_WORDS).any():
+        first = np.union1d(first, _cuts(joined, starts, np.repeat(np.arange(len(sizes)), sizes)))
     return joined, starts, ends, np.append(first, len(starts))
 
 
 def sentences(text: str | None) -> list[tuple[int, int]]:
     """[start, end) of every sentence, without the white space around it."""
-    first = _shape(text or "")[3].tolist()
+    first = _shape((text or "").lower())[3].tolist()
     words = [m.span() for m in _WORD.finditer(text or "")]
     return [(words[i][0], words[j - 1][1]) for i, j in zip(first, first[1:], strict=False)]
 
@@ -132,7 +157,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 text = t.as_py()
                 out = sorted({k for s in covered or () for k in range(s["first"], s["last"] + 1)})
                 drop = set(out)
-                n = len(_shape(text or "")[3]) - 1
+                n = len(_shape((text or "").lower())[3]) - 1
                 if out:
                     places = sentences(text)
                     stops = [a for a, _ in places[1:]] + [len(text)]

@@ -242,6 +242,21 @@ def test_spans_by_definition():
     assert list(zip(*map(np.ndarray.tolist, substring_dedup.spans(text)[2:]), strict=True)) == want
 
 
+def test_passages_in_mid_sentence_are_found_at_every_offset(spark):
+    r = random.Random(11)
+    words = [w + str(i) for w in WORDS for i in range(9)]
+    passage = prose(r, 51, words)
+    at = {i: i * 7 % 64 for i in range(64)}  # the words before the passage
+    texts = [" ".join(filter(None, (prose(r, at[i], [w + f"x{i}" for w in WORDS]), passage.title() if i % 2 else passage, prose(r, 90, [w + f"y{i}" for w in WORDS])))) for i in at]
+    hashes = [set(substring_dedup.spans(t)[0].tolist()) for t in texts]
+    assert all(hashes[0] & h for h in hashes)
+    for x in substring_dedup.remove_repeats(docs(spark, texts)).collect():
+        left = len(set(x.text.lower().split()) & set(passage.split()))
+        assert x.removed == [] if x.doc_id == 0 else left <= 31 and x.text.split()[: at[x.doc_id]] == texts[x.doc_id].split()[: at[x.doc_id]]
+        sizes = [len(texts[x.doc_id][a:b].split()) for a, b in substring_dedup.sentences(texts[x.doc_id])]
+        assert max(sizes) <= substring_dedup.SENTENCE_WORDS and sum(sizes) == len(texts[x.doc_id].split())
+
+
 # Decontamination
 def test_contamination_by_brute_force(spark):
     r = random.Random(11)
