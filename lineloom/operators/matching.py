@@ -78,9 +78,21 @@ class View:
         return low if len(low) == len(self.text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in self.text)
 
 
-def kept(text: str, test) -> View:
-    place = [i for i, c in enumerate(text) if test(c)]
-    return View("".join(text[i] for i in place), place)
+#: The code points of white space, and of letters and digits.
+_KINDS = {
+    "solid": np.array([i for i in range(1 << 16) if _SPACE.fullmatch(chr(i))], "<u4"),
+    "alnum": np.array([i for i in range(128) if chr(i).isalnum()], "<u4"),
+}
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+def kept(text: str, kind: str) -> View:
+    codes = _codes(text)
+    place = np.flatnonzero(np.isin(codes, _KINDS[kind]) == (kind == "alnum"))
+    return View(codes[place].tobytes().decode("utf-32-le", "surrogatepass"), place.tolist())
 
 
 @dataclass
@@ -94,8 +106,7 @@ class Page:
 
     def view(self, kind: str) -> View:
         if kind not in self._views:
-            tests = {"solid": lambda c: not _SPACE.fullmatch(c), "alnum": lambda c: c.isascii() and c.isalnum()}
-            self._views[kind] = kept(self.text, tests[kind])
+            self._views[kind] = kept(self.text, kind)
         return self._views[kind]
 
     def lines(self, start: int, stop: int) -> tuple[int, int] | None:
@@ -231,30 +242,27 @@ def _bookends(page: Page, needle: str) -> Found | None:
     return None
 
 
-def _ends(needle: str, text: str) -> np.ndarray:
-    """Row w, column s: the edit distance of the needle and text[s : s + w], for w up to the longest window."""
-    n = len(needle)
-    longest = n + int(n * FUZZY_SHARE)
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    chars = np.frombuffer(needle.encode("utf-32-le", "surrogatepass"), "<u4")
-    m = len(codes)
-    padded = np.concatenate((codes, np.zeros(longest, codes.dtype)))
-    # One dynamic programme for all starts at once: distance[i] of needle[:i] and the window read so far.
-    distance = np.repeat(np.arange(n + 1, dtype=np.int16)[:, None], m, axis=1)
-    out = np.empty((longest + 1, m), np.int16)
-    out[0] = n
-    for w in range(1, longest + 1):
-        column = padded[w - 1 : w - 1 + m]
-        above = distance[0].copy()
-        distance[0] = w
-        for i in range(1, n + 1):
-            kept_above = distance[i].copy()
-            np.minimum(distance[i], distance[i - 1], out=distance[i])
-            distance[i] += 1
-            np.minimum(distance[i], above + (column != chars[i - 1]), out=distance[i])
-            above = kept_above
-        out[w] = distance[n]
-    return out
+def _ends(needle: np.ndarray, padded: np.ndarray, begins: np.ndarray, longest: int) -> np.ndarray:
+    """Row w, column s: the edit distance of the needle and the w characters from begins[s], less w."""
+    windows = padded[begins[None, :] + np.arange(longest)[:, None]]
+    row = np.zeros((longest + 1, len(begins)), np.int16)
+    for c in needle:
+        last, row = row, row + 1
+        np.minimum(row[1:], last[:-1] - (windows == c).view(np.int8), out=row[1:])
+        np.minimum.accumulate(row, axis=0, out=row)
+    return row
+
+
+def _begins(needle: str, text: str, most: int, total: int) -> np.ndarray:
+    """The places below total where a window within `most` edits of the needle can start: one of most + 1 pieces of the needle
+    is untouched by so many edits, and stands at most as many places off."""
+    cuts = [len(needle) * i // (most + 1) for i in range(most + 2)]
+    near = np.zeros(total + 1, np.int32)
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        at = np.array(starts(text, needle[a:b]), np.int64) - a
+        np.add.at(near, np.clip(at - most, 0, total), 1)
+        np.add.at(near, np.clip(at + most + 1, 0, total), -1)
+    return np.flatnonzero(np.cumsum(near[:-1]))
 
 
 def fuzzy(needle: str, text: str) -> tuple[int, int, float] | None:
@@ -263,26 +271,34 @@ def fuzzy(needle: str, text: str) -> tuple[int, int, float] | None:
     if not 0 < n <= FUZZY_MOST or not text:
         return None
     spread = int(n * FUZZY_SHARE)
+    longest = n + spread
+    chars, codes = _codes(needle), _codes(text)
+    padded = np.concatenate((codes, np.zeros(longest, codes.dtype)))
+    largest = int((1 - FUZZY_LEAST) * longest + 1e-9)
     best: tuple[int, int, float] | None = None
-    # Stretches of starts bound the memory; distances of a start depend on its own window only.
-    per_size: dict[int, tuple[float, int]] = {}
-    step = 1 << 14
-    for base in range(0, len(text), step):
-        part = text[base : base + step + n + spread]
-        table = _ends(needle, part)
-        for w in range(max(1, n - spread), n + spread + 1):
-            last = min(step, len(part) - w + 1)
-            if last <= 0:
-                continue
-            row = table[w, :last]
-            at = int(np.argmin(row))
-            like = 1 - float(row[at]) / max(n, w)
-            if w not in per_size or like > per_size[w][0]:
-                per_size[w] = (like, base + at)
-    for w in sorted(per_size):
-        like, at = per_size[w]
-        if best is None or like > best[2]:
-            best = (at, at + w, like)
+    # Few edits are tried first; what is found counts if no window of more edits can be as like.
+    for most in sorted({min(3, largest), min(7, largest), largest}):
+        begins = _begins(needle, text, most, len(codes))
+        per_size: dict[int, tuple[float, int]] = {}
+        for base in range(0, len(begins), 1 << 12):
+            part = begins[base : base + (1 << 12)]
+            table = _ends(chars, padded, part, longest)
+            for w in range(max(1, n - spread), longest + 1):
+                last = int(np.searchsorted(part, len(codes) - w, "right"))
+                if last <= 0:
+                    continue
+                row = table[w, :last]
+                at = int(np.argmin(row))
+                like = 1 - float(row[at] + w) / max(n, w)
+                if w not in per_size or like > per_size[w][0]:
+                    per_size[w] = (like, int(part[at]))
+        best = None
+        for w in sorted(per_size):
+            like, at = per_size[w]
+            if best is None or like > best[2]:
+                best = (at, at + w, like)
+        if best and best[2] > 1 - (most + 1) / longest + 1e-9:
+            break
     return best if best and best[2] >= FUZZY_LEAST else None
 
 

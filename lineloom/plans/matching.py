@@ -54,12 +54,16 @@ def _tier(name, text, test, answer=None):
         return found.select("doc_id", "citation", F.round("confidence", 6).alias("confidence"), "tier")
 
 
-_LONG = "length(text) >= 400 AND length(text) <= 4000"
-_tier("match_ws_stripped", lambda: F.regexp_replace(F.substring("text", 1, 200), r"\s", ""), _LONG)
-_tier("match_bookend", lambda: F.concat(F.substring("text", 1, 150), F.lit(" inserted words here "), F.substring("text", 151, 150)), _LONG)
-_tier("match_fuzzy", lambda: F.concat(F.substring("text", 1, 30), F.lit("q"), F.substring("text", 33, 30)), "length(text) BETWEEN 100 AND 600")
-_tier("match_gutter", lambda: F.substring(F.regexp_replace("text", r"\s+", " "), 1, 200), _LONG)
-_tier("match_and_cite", lambda: F.substring(F.regexp_replace("text", r"\s+", " "), 1, 300), _LONG)
+def _least(n):
+    """The texts that are as long as the needle needs."""
+    return f"length(text) >= {n}"
+
+
+_tier("match_ws_stripped", lambda: F.regexp_replace(F.substring("text", 1, 200), r"\s", ""), _least(200))
+_tier("match_bookend", lambda: F.concat(F.substring("text", 1, 150), F.lit(" inserted words here "), F.substring("text", 151, 150)), _least(300))
+_tier("match_fuzzy", lambda: F.concat(F.substring("text", 1, 30), F.lit("q"), F.substring("text", 33, 30)), _least(62))
+_tier("match_gutter", lambda: F.substring(F.regexp_replace("text", r"\s+", " "), 1, 200), _least(200))
+_tier("match_and_cite", lambda: F.substring(F.regexp_replace("text", r"\s+", " "), 1, 300), _least(300))
 plans.QUERIES["cite_batch"] = plans.QUERIES["match_and_cite"]
 
 
@@ -95,7 +99,7 @@ def find_all(spark, sf_dir):
 @plans.add("best_by_context")
 def best_by_context(spark, sf_dir):
     text = F.regexp_replace("text", r"\s+", " ")
-    asked = table(spark, sf_dir, "documents").where(_LONG).select("doc_id", F.col("doc_id").alias("passage_id"), F.substring(text, 101, 6).alias("text"), F.substring(text, 41, 60).alias("before"), F.substring(text, 107, 60).alias("after"))
+    asked = table(spark, sf_dir, "documents").where(_least(166)).select("doc_id", F.col("doc_id").alias("passage_id"), F.substring(text, 101, 6).alias("text"), F.substring(text, 41, 60).alias("before"), F.substring(text, 107, 60).alias("after"))
     return M.cite(asked, _doc_lines(spark, sf_dir)).select("doc_id", "citation", "confidence")
 
 

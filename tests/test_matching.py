@@ -98,3 +98,30 @@ def test_find_exact_in_blocks(spark):
     asked = spark.createDataFrame([(1, "two three"), (2, "four"), (3, None), (4, "absent")], "passage_id long, text string")
     for block in (1, 10):
         assert sorted((r.passage_id, r.doc_id, r.citation) for r in M.find_exact(docs, asked, block=block).collect()) == [(1, 1, "1:1-3"), (2, 1, "1:3")]
+
+
+def test_queries_ask_documents_of_every_length(spark, tmp_path):
+    from lineloom.plans import matching as plans
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 9)))
+    texts = ["\n".join(" ".join(word() for _ in range(12)) for _ in range(n)) for n in (5, 6, 90, 300)]
+    texts[0] = texts[0][:320]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert len(texts[2]) > 4000 and len(texts[3]) > 1 << 14
+    for name in ("match_and_cite", "cite_batch", "match_ws_stripped", "match_bookend", "match_gutter", "match_fuzzy", "best_by_context"):
+        got = {x.doc_id: x.citation for x in plans.QUERIES[name](spark, str(tmp_path)).collect()}
+        assert sorted(got) == [0, 1, 2, 3], name
+        assert all(got.values()), name
+
+
+def test_fuzzy_seeds_leave_no_window_out():
+    r = random.Random(6)
+    text = "".join(r.choice("abcdefghij ") for _ in range(20_000))
+    for edits in (0, 2, 5, 9, 13):
+        at = r.randrange(len(text) - 70)
+        needle = list(text[at : at + 66])
+        for i in r.sample(range(66), edits):
+            needle[i] = "#"
+        found = M.fuzzy("".join(needle), text)
+        assert found and found[2] >= 1 - edits / 66 - 1e-9 and abs(found[0] - at) <= 13
