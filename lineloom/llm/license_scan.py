@@ -1,6 +1,7 @@
 """Licence detection: sparse TF-IDF cosine of headers and licence files to templates, then nearest-ancestor folders.
 
-Units of a file (its sentences, its lines, and a short file as a whole) are compared with the templates. A unit whose
+Units of a file (its sentences, its lines, runs of these of up to twice a template's words, so that a notice may be wrapped
+over lines, and a short file as a whole) are compared with the templates. Marks of comments hold no word. A unit whose
 cosine to a template reaches `least` must hold one of the template's prefix tokens (its words, common ones last and
 else the heaviest first, up to where the rest of its weight falls below `least`), so only such units are scored. A file without a licence of its own gets that
 of the licence file in the nearest folder above it, by joining the folder paths.
@@ -57,6 +58,8 @@ class Scanner:
         self.idf = {w: math.log((1 + len(texts)) / (1 + n)) + 1 for w, n in held.items()}
         self.least = least
         self.vectors, self.by_word, prefix = [], {}, set()
+        self.longest = [2 * sum(counts.values()) for _, counts in texts]
+        self.owners: dict[str, list[int]] = {}
         for i, (name, counts) in enumerate(texts):
             vector = self._vector(counts)
             self.vectors.append((name, vector))
@@ -65,6 +68,7 @@ class Scanner:
                 if left <= 0 or math.sqrt(left) < least:
                     break
                 prefix.add(w)
+                self.owners.setdefault(w, []).append(i)
                 left -= vector[w] ** 2
             for w, x in vector.items():
                 self.by_word.setdefault(w, []).append((i, x))
@@ -88,6 +92,47 @@ class Scanner:
         i = min(dots, key=lambda i: (-dots[i], i))
         return (self.vectors[i][0], dots[i]) if dots[i] >= self.least else (None, dots[i])
 
+    def runs(self, units: list[list[str]]) -> tuple[str | None, float]:
+        """The best licence of any run of two or more consecutive units with at most twice the template's words."""
+        best: tuple[str | None, float] = (None, 0.0)
+        hits: dict[int, list[int]] = {}
+        for k, unit in enumerate(units):
+            for i in {i for w in unit for i in self.owners.get(w, ())}:
+                hits.setdefault(i, []).append(k)
+        for i, places in sorted(hits.items()):
+            name, vector = self.vectors[i]
+            before = -1
+            for k in places:
+                low, room = k, self.longest[i] - len(units[k])
+                while low - 1 > before and len(units[low - 1]) <= room:
+                    low -= 1
+                    room -= len(units[low])
+                high, room = k, self.longest[i] - len(units[k])
+                while high + 1 < len(units) and len(units[high + 1]) <= room:
+                    high += 1
+                    room -= len(units[high])
+                before = k
+                near = {w for unit in units[low : high + 1] for w in unit}
+                # A run's cosine is at most the norm of the part of the template that it holds.
+                if room < 0 or sum(x * x for w, x in vector.items() if w in near) < self.least**2 - 1e-9:
+                    continue
+                for start in range(low, k + 1):
+                    counts: Counter[str] = Counter()
+                    dot = square = 0.0
+                    words = 0
+                    for stop in range(start, high + 1):
+                        words += len(units[stop])
+                        if words > self.longest[i]:
+                            break
+                        for w in units[stop]:
+                            x = self.idf.get(w, self.rarest)
+                            dot += x * vector.get(w, 0.0)
+                            square += (2 * counts[w] + 1) * x * x
+                            counts[w] += 1
+                        if stop > start and stop >= k and dot / math.sqrt(square) > max(best[1], self.least - 1e-12):
+                            best = (name, dot / math.sqrt(square))
+        return best
+
     def scan(self, text: str | None) -> tuple[str | None, float, bool]:
         """The best licence of any unit, its cosine, and whether the whole text is that notice."""
         text = text or ""
@@ -101,6 +146,9 @@ class Scanner:
             found = self.score(unit)
             if found[0] and found[1] > best[1]:
                 best = found
+        found = self.runs([words for u in _UNIT.split(low) if (words := _WORD.findall(u))])
+        if found[0] and found[1] > best[1] + 1e-9:
+            best = found
         whole = (None, 0.0)
         if len(low.split(None, WHOLE_WORDS + 1)) <= WHOLE_WORDS:
             whole = self.score(low)

@@ -121,6 +121,23 @@ def test_prefix_tokens_lose_no_licence():
         assert (scanner.score(unit)[0] is not None) == (best >= scanner.least) or abs(best - scanner.least) < 1e-9
 
 
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+def test_wrapped_headers_in_long_files(mark):
+    headers = {
+        "GPL-3.0": "This program is free software: you can redistribute it and/or modify|it under the terms of the GNU General Public License as published by|the Free Software Foundation, either version 3 of the License, or|(at your option) any later version.",
+        "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without|modification, are permitted provided that the following conditions are met:",
+        "MIT": "Copyright 2020 A. Permission is hereby granted, free of|charge, to any person obtaining a copy of this software and|associated documentation files (the Software), to deal",
+    }
+    r, scanner = random.Random(12), license_scan.Scanner()
+    body = "\n".join(prose(r, 9) + ";" for _ in range(200))
+    for name, header in headers.items():
+        for text in (header + "|" + body, body + "||" + header + "|" + body):
+            found = scanner.scan("\n".join(mark + x for x in text.replace("\n", "|").split("|")))
+            assert found[0] == name and not found[2]
+    scattered = headers["GPL-3.0"].replace("|", "|" + body.replace("\n", "|") + "|").split("|")
+    assert scanner.scan("\n".join(scattered))[0] is None
+
+
 # Language
 def test_languages_held_out(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet")
