@@ -39,8 +39,8 @@ TITLES = {"f": "Mrs Ms Miss Frau Madame Mme Señora Sra Госпожа".split(),
 #: Kinds in the order in which a place is tried; each pattern's whole match is the entity.
 PATTERNS = {
     "aws_key": r"\bAKIA[0-9A-Z]{16}\b",
-    "secret": r"\b(?i:token|secret|password|passwd|api_?key)\s*[=:]\s*(?:\"[^\"\s]{6,}\"|'[^'\s]{6,}'|[^\s\"',;]{5,}[A-Za-z0-9])",
-    "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9](?:[A-Za-z0-9\-]*\.)+[A-Za-z]{2,}",
+    "secret": r"\b\w*(?i:token|secret|password|passwd|api_?key)[\"']?\s*[=:]\s*(?:\"[^\"\s]{6,}\"|'[^'\s]{6,}'|[^\s\"',;]{5,}[A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9])(?<![A-Za-z0-9][._%+\-]{1,8})[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9](?:[A-Za-z0-9\-]*\.)+[A-Za-z]{2,}",
     "ip": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?![\w]|\.\d)",
     "ssn": r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])",
     "card": r"(?<![\w\-])\d(?:[ \-]?\d){12,18}(?![\w\-])",

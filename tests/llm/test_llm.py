@@ -90,6 +90,18 @@ def test_secrets_keep_what_stands_around_them(spark):
     assert re.fullmatch(r"AKIA[A-Z0-9]{16}\*\*\*", got[2]) and got[2] != texts[2]
 
 
+def test_secrets_after_prefixes_and_quotes_and_addresses_after_punctuation(spark):
+    forms = [
+        ("access_token=", "ab12cd34ef56", ""), ("client_secret: ", "Zx81kq92", ""), ("DB_PASSWORD=", "s3cr3tpw1", ""), ('{"password": "', "ab12cd34", '"}'), ("{'apiToken' : '", "q9w8e7r6", "'}"),
+        ("_", "ann@example.org", "_"), ("see ...", "bob.x@example.org", "."), ("--", "c-d@example.org", "--"), ("x", "y.z@example.org", ""),
+    ]
+    got = [r for r in pii.pseudonymise(docs(spark, [a + b + c for a, b, c in forms] + ["." * 30_000 + "a.b" * 10_000 + "w" * 30_000, "a token of thanks: nothing"])).orderBy("doc_id").collect()]
+    for (a, b, c), row in zip(forms, got, strict=False):
+        assert row.n_entities == 1 and b not in row.text and len(row.text) == len(a + b + c), row.text
+        assert a == "x" or row.text.startswith(a) and row.text.endswith(c), row.text
+    assert [r.n_entities for r in got[len(forms) :]] == [0, 0]
+
+
 def test_clashing_draws_are_drawn_again(spark):
     """Every one of 81 single-digit address endings of one form: far more entities than draws without clashes."""
     texts = [f"{a}.{b}.{c}.1" for a in range(1, 10) for b in range(1, 10) for c in range(1, 8)]
