@@ -2,11 +2,12 @@
 
 Markup is stripped into lines, one for each block of text; the edge of a container adds an empty line, and text in
 menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments (told by element, role,
-class or id) counts as empty. Over windows of BLOCK lines, which end at an empty line, the text lengths are summed.
-Text begins where the sums first surge and ends where they last dive; what stands between is kept whole. Lines inside
-<article> or <main> have a threshold of one character, so that short paragraphs of an article stay; without such an
-element the threshold follows the page's largest sum, lines that are mostly links count as empty, and headings right
-before the surge belong to it.
+class or id) counts as empty. Over windows of BLOCK lines the text lengths are summed; a window slides over the edges of
+lists, tables and figures and of the containers inside one that holds text itself, and ends where such a one is left. Text
+begins where the sums first surge and ends where they last dive; what stands between is kept whole. Where <article> or
+<main> hold most of a page's text, their lines have a threshold of one character, so that short paragraphs of an article
+stay; else the threshold follows the page's largest sum, the length of lines that are mostly links counts as none, and
+headings right before the surge belong to it.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ _RAW = ("script", "style", "title", "textarea", "noscript", "template", "iframe"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody tfoot thead tr ul".split())
 _CONTAINERS = _BLOCKS - frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr blockquote pre".split())
+#: Containers that stand within a text, or hold the whole page: their edges end no window.
+_INNER = frozenset("html body center ul ol dir dl dt dd li tr table tbody thead tfoot figure figcaption details summary hgroup hr".split())
 _SPACED = frozenset("br td th".split())
 _DROPPED = frozenset("head nav footer aside form button select menu dialog object canvas audio video search fieldset".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
@@ -40,6 +43,8 @@ _DROP_WORDS = _COMMENT_WORDS | frozenset(
 _HEAD_WORDS = frozenset("header masthead banner".split())
 _STATES = frozenset("has with no is without".split())
 _HEADINGS = frozenset("h1 h2 h3".split())
+#: Elements whose id in an article is an anchor, made of the words of a heading.
+_ANCHORED = frozenset("h1 h2 h3 h4 h5 h6 section".split())
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _RAW_END = {n: re.compile(rf"</{n}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for n in _RAW}
@@ -59,7 +64,10 @@ def _dropped(name: str, attributes: str, in_article: bool) -> bool:
             return True
         if key == "role" and value.strip() in _ROLES and not (in_article and value.strip() == "banner"):
             return True
-        if key in ("class", "id"):
+        if key == "id" and in_article and name in _ANCHORED:
+            if name == "section" and value.strip() in _COMMENT_WORDS:
+                return True
+        elif key in ("class", "id"):
             # A wrapper "has-sidebar" or "no-ads" is no sidebar or advert.
             parts = [re.split(r"[-_]+", x) for x in value.split()]
             if any(x in drop_words for x in value.split()) or any(w in drop_words for p in parts if p[0] not in _STATES for w in p):
@@ -67,13 +75,16 @@ def _dropped(name: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
-def lines(page: str) -> list[tuple[str, bool, float, bool]]:
-    """(text, inside <article> or <main>, share of it in links, heading) of every line; dropped text leaves an empty
-    line."""
-    out: list[tuple[str, bool, float, bool]] = []
+Line = tuple[str, bool, float, bool, tuple[int, ...]]
+
+
+def lines(page: str) -> list[Line]:
+    """(text, inside <article> or <main>, share of it in links, heading, containers around it) of every line; dropped text
+    leaves an empty line."""
+    out: list[Line] = []
     parts: list[str] = []
     linked = 0
-    stack: list[tuple[str, bool, bool]] = []  # (element, dropped, in article)
+    stack: list[tuple[str, bool, bool, int]] = []  # (element, dropped, in article, place in the page)
     dropped = article = False
     links = 0
 
@@ -82,14 +93,14 @@ def lines(page: str) -> list[tuple[str, bool, float, bool]]:
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            out.append((text, article, linked / len(text), any(n in _HEADINGS for n, _, _ in stack)))
+            out.append((text, article, linked / len(text), any(x[0] in _HEADINGS for x in stack), tuple(x[3] for x in stack if x[0] in _CONTAINERS and x[0] not in _INNER)))
         linked = 0
         if empty:
-            out.append(("", False, 0.0, False))
+            out.append(("", False, 0.0, False, ()))
 
     def leave(to: int) -> None:
         nonlocal dropped, article, links
-        for name, _, _ in stack[to:]:
+        for name, *_ in stack[to:]:
             links -= name == "a"
         del stack[to:]
         dropped, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
@@ -136,9 +147,9 @@ def lines(page: str) -> list[tuple[str, bool, float, bool]]:
                 break
         opens = name in ("article", "main") and not dropped
         # An article inside an unclosed advert or notice is an article all the same.
-        freed = name in ("article", "main") and dropped and not _dropped(name, attributes, False) and all(n in ("div", "span", "section", "form") for n, d, _ in stack if d)
+        freed = name in ("article", "main") and dropped and not _dropped(name, attributes, False) and all(n in ("div", "span", "section", "form") for n, d, *_ in stack if d)
         drop = not freed and (dropped or _dropped(name, attributes, article))
-        stack.append((name, drop, (article or opens or freed) and not drop))
+        stack.append((name, drop, (article or opens or freed) and not drop, at))
         dropped, article = stack[-1][1], stack[-1][2]
         links += name == "a"
     text(page[at:])
@@ -149,8 +160,10 @@ def lines(page: str) -> list[tuple[str, bool, float, bool]]:
 def main_text(page: str | None) -> str:
     """The blocks between surge and dive points, joined by an empty line."""
     found = lines(page or "")
-    inside = any(a and t for t, a, _, _ in found)
-    size = [len(t) if (a if inside else links < 0.5) else 0 for t, a, links, _ in found]
+    plain = [len(t) if links < 0.5 else 0 for t, _, links, *_ in found]
+    held = [len(x[0]) if x[1] else 0 for x in found]
+    inside = 2 * sum(held) > sum(max(x) for x in zip(plain, held, strict=True))
+    size = held if inside else plain
     groups: list[list[int]] = [[]]
     for i, n in enumerate(size):
         if n:
@@ -158,15 +171,30 @@ def main_text(page: str | None) -> str:
         elif groups[-1]:
             groups.append([])
     groups = [g for g in groups if g]
-    sums = [max(sum(size[i] for i in g[k : k + BLOCK]) for k in range(len(g))) for g in groups]
-    least = 1 if inside else min(SURGE, max(sums, default=0) // 2 + 1)
-    surging = [k for k, s in enumerate(sums) if s >= least]
+    # The largest sum of a window over each line.
+    texts = [i for i, x in enumerate(found) if x[0]]
+    joined = [b == a + 1 or _together(found[a][4], found[b][4]) for a, b in zip(texts, texts[1:], strict=False)]
+    sums = dict.fromkeys(texts, 0)
+    for k in range(len(texts)):
+        stop = k + 1
+        while stop < len(texts) and stop < k + BLOCK and joined[stop - 1]:
+            stop += 1
+        total = sum(size[i] for i in texts[k:stop])
+        for i in texts[k:stop]:
+            sums[i] = max(sums[i], total)
+    least = 1 if inside else min(SURGE, max(sums.values(), default=0) // 2 + 1)
+    surging = [k for k, g in enumerate(groups) if any(sums[i] >= least for i in g)]
     if not surging:
         return ""
     first = surging[0]
     while first and all(found[i][3] for i in groups[first - 1]):
         first -= 1
-    return "\n\n".join(found[i][0] for g in groups[first : surging[-1] + 1] for i in g)
+    return "\n\n".join(x[0] for x in found[groups[first][0] : groups[surging[-1]][-1] + 1] if x[0])
+
+
+def _together(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
+    """Whether the innermost container of one line is around the other."""
+    return a == b or bool(a) and a[-1] in b or bool(b) and b[-1] in a
 
 
 def extract(df: DataFrame, html_col: str = "html") -> DataFrame:

@@ -194,6 +194,24 @@ def test_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+LONG = "long text " * 30
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<div><p>{LONG}</p><ul><li>a</li></ul><p>See you soon.</p></div>", [LONG, "a", "See you soon."]),
+        (f"<body><p>{LONG}</p><table><tr><td>1</td></tr></table><p>End.</p></body>", [LONG, "1", "End."]),
+        (f"<div><p>{LONG}</p><p><a href=x>a linked reference</a></p><p>{LONG}</p></div>", [LONG, "a linked reference", LONG]),
+        (f"<div><p>{LONG}</p><div><p>boxed</p></div><p>End.</p></div><div>bye</div>", [LONG, "boxed", "End."]),
+        (f"<div><p>{LONG}</p><p>{LONG}</p></div><article>Teaser</article>", [LONG, LONG]),
+        (f"<article><h2 id='related-work'>Related</h2><section id='login-notice'><p>{LONG}</p></section><section id=comments>no</section></article>", ["Related", LONG]),
+    ],
+)
+def test_pages_are_whole_between_surge_and_dive(page, text):
+    assert html_text.main_text(page) == "\n\n".join(t.strip() for t in text)
+
+
 def test_pages_frame(spark):
     df = spark.createDataFrame([(1, "<article>a</article>", "old")], "page_id long, html string, text string")
     assert [tuple(r) for r in html_text.extract(df).collect()] == [(1, "a", 1)]
