@@ -7,7 +7,7 @@ character), so counting is sorting arrays.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 from functools import cache
 
 import numpy as np
@@ -23,6 +23,8 @@ PROFILE_GRAMS = 3000
 #: Labelled documents that profiles are learned from, at most (about; chosen by hash).
 TRAIN_DOCS = 20_000
 UNKNOWN = "und"
+#: Range of the hash that samples are chosen by.
+_HASHES = 1_000_000_000
 _STEP = 1 << 20
 _BITS = np.int64(21)
 
@@ -101,16 +103,29 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def quotas(counts: Mapping[str, int], most: int) -> dict[str, int]:
+    """Rows to take of every label, at most `most` in all but one of each at least: an equal share, of which rare labels need less and leave the rest
+    to the others."""
+    out: dict[str, int] = {}
+    left = most
+    for k, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, max(1, left // (len(counts) - k)))
+        left -= out[lang]
+    return out
+
+
 def learn(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", most: int = TRAIN_DOCS) -> Profiles:
     """Profiles from labelled rows; rows with a null label take no part.
 
-    Above `most` rows, a sample by hash of the id holds about that many, of every language in proportion. Counts are
-    added up on the executors and only the PROFILE_GRAMS first of each language reach the driver.
+    Above `most` rows, a sample by hash of the id holds about that many: all rows of a rare language, of the others equal
+    shares. Counts are added up on the executors and only the PROFILE_GRAMS first of each language reach the driver.
     """
     rows = labelled.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    n = rows.count()
-    if n > most:
-        rows = rows.where(F.pmod(F.xxhash64("id", F.lit(4)), F.lit(1_000_000)) < int(1_000_000 * most / n))
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    if sum(counts.values()) > most:
+        least = [(lang, -(-_HASHES * n // counts[lang])) for lang, n in quotas(counts, most).items()]
+        bounds = rows.sparkSession.createDataFrame(least, "lang string, __bound long")
+        rows = rows.join(F.broadcast(bounds), "lang").where(F.pmod(F.xxhash64("id", F.lit(4)), F.lit(_HASHES)) < F.col("__bound")).drop("__bound")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[np.ndarray, np.ndarray]] = {}

@@ -165,6 +165,16 @@ def test_languages_edges(spark):
     assert language_id.identify(docs(spark, ["abc"]), language_id.Profiles([])).first().lang_pred == "und"
 
 
+def test_rare_languages_are_learned_from_a_sample(spark):
+    texts = [("en", "the cat and the dog")] * 4000 + [("xx", "zzqq zqzq qzqz")] * 3
+    rows = spark.createDataFrame([(i, t, lang) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string")
+    profiles = language_id.learn(rows, most=60)
+    assert profiles.predict("qzqz zzqq")[0] == "xx" and profiles.predict("the dog")[0] == "en"
+    assert profiles.langs == ["en", "xx"]
+    assert language_id.quotas({"a": 3_000_000, "b": 50, "c": 15_000, "d": 90_000}, 20_000) == {"b": 50, "a": 6650, "c": 6650, "d": 6650}
+    assert language_id.quotas({"a": 5, "b": 7}, 20) == {"a": 5, "b": 7}
+
+
 def test_grams_do_not_depend_on_the_step(monkeypatch):
     r = random.Random(4)
     text = "".join(r.choice("abÉ  ,.1\n") for _ in range(400))
