@@ -2,13 +2,17 @@
 
 A text is cut into sentences (at `.`, `!`, `?` before white space, and at line ends; of every SENTENCE_WORDS consecutive
 words of a sentence, the least hashed pair of neighbours is cut apart, so that a passage is cut at the same words wherever
-it stands and a long sentence cannot hide it). No sentence keeps more than SENTENCE_WORDS words. From every sentence starts one
-span: the shortest run of at least SPAN_SENTENCES sentences with at least SPAN_WORDS words. Spans are hashed (96 bits,
-after lower-casing and turning white space into one space) and joined over all documents; a sentence covered by a span
-that is not the first of its kind is removed. First is the least doc_id, then the first place in it.
+it stands and a long sentence cannot hide it). No sentence keeps more than SENTENCE_WORDS words.
 
-In a document each kind of span is sent once, and kinds are reduced to their first document before the shuffle, so a
-passage that a third of all documents hold leaves one row a task.
+A run of SPAN_SENTENCES or more consecutive sentences with SPAN_WORDS words or more that stands elsewhere before is
+removed. Of all such runs, the shortest from every sentence and the shortest up to every sentence are hashed (96 bits,
+after lower-casing and turning white space into one space): any longer run is covered by those inside it. Hashes are
+joined over all documents; a sentence covered by a span that is not the first of its kind is removed. First is the least
+id, then the first place in it.
+
+Texts are hashed once, into a table of spans in the shared folder. In a document each kind of span is sent once, and
+kinds are reduced to their first document before the shuffle, so a passage that a third of all documents hold leaves one
+row a task; the join back has one row a kind on its other side, so a skewed kind can be split over tasks.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineloom.llm.common import scratch, table, text_key, without
+from lineloom.llm.common import appended, scratch, table, text_key, without
 
 SPAN_SENTENCES = 2
 SPAN_WORDS = 20
@@ -84,21 +88,48 @@ def sentences(text: str | None) -> list[tuple[int, int]]:
     return [(words[i][0], words[j - 1][1]) for i, j in zip(first, first[1:], strict=False)]
 
 
-def spans(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, check, first sentence and last sentence of the span from every sentence that has one."""
-    joined, starts, ends, first = _shape((text or "").lower())
+Spans = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def _starts(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """[i, j) of the shortest span from every sentence that has one."""
     n = len(first) - 1
     stop = np.maximum(np.searchsorted(first, first[:-1] + SPAN_WORDS), np.arange(n) + SPAN_SENTENCES)
     i = np.flatnonzero(stop <= n)
-    j = stop[i]
+    return i, stop[i]
+
+
+def _both(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """[i, j) of the shortest spans from and up to every sentence, each once, in order."""
+    n = len(first) - 1
+    begin = np.minimum(np.searchsorted(first, first[1:] - SPAN_WORDS, side="right") - 1, np.arange(1, n + 1) - SPAN_SENTENCES)
+    j = np.flatnonzero(begin >= 0)
+    i, stop = _starts(first)
+    return np.divmod(np.union1d(i * (n + 1) + stop, begin[j] * (n + 1) + j + 1), n + 1)
+
+
+def _hashed(joined: bytes, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, i: np.ndarray, j: np.ndarray) -> Spans:
     digest = xxhash.xxh3_128_digest
     places = zip(starts[first[i]].tolist(), ends[first[j] - 1].tolist(), strict=True) if len(i) else ()
     h = np.frombuffer(b"".join([digest(joined[a:b]) for a, b in places]), "<i8").reshape(-1, 2)
     return h[:, 0], (h[:, 1] & 0x7FFFFFFF).astype(np.int32), i.astype(np.int32), (j - 1).astype(np.int32)
 
 
+def spans(text: str | None) -> Spans:
+    """Hash, check, first sentence and last sentence of the span from every sentence that has one."""
+    shape = _shape((text or "").lower())
+    return _hashed(*shape, *_starts(shape[3]))
+
+
+def runs(text: str | None) -> tuple[int, Spans]:
+    """The number of sentences, and hash, check, first and last sentence of the spans from and up to every sentence."""
+    shape = _shape((text or "").lower())
+    return len(shape[3]) - 1, _hashed(*shape, *_both(shape[3]))
+
+
 def _span_rows(docs: DataFrame) -> DataFrame:
-    """(id, key, h, c, first, last, again) for every span; again: the document had one of its kind before."""
+    """(id, key, h, c, first, last, again) for every span (again: the document had one of its kind before), and a row
+    for each document with a null h and its number of sentences as last."""
     names = ["id", "key", "h", "c", "first", "last", "again"]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,68 +141,63 @@ def _span_rows(docs: DataFrame) -> DataFrame:
             def out(batch=batch) -> pa.RecordBatch:
                 h, c, a, b, again = (np.concatenate(col) for col in zip(*found, strict=True))
                 own = pa.array(np.repeat(rows, [len(f[0]) for f in found]))
-                return pa.RecordBatch.from_arrays([batch.column("id").take(own), batch.column("key").take(own), *map(pa.array, (h, c, a, b, again))], names=names)
+                return pa.RecordBatch.from_arrays([batch.column("id").take(own), batch.column("key").take(own), pa.array(h, mask=a < 0), *map(pa.array, (c, a, b, again))], names=names)
 
             for k, text in enumerate(batch.column("text")):
-                h, c, a, b = spans(text.as_py())
-                if not len(h):
-                    continue
-                again = np.ones(len(h), bool)
+                n, (h, c, a, b) = runs(text.as_py())
+                again = np.ones(len(h) + 1, bool)
                 again[np.unique(h, return_index=True)[1]] = False
-                found.append((h, c, a, b, again))
+                found.append((np.append(h, 0), np.append(c, np.int32(0)), np.append(a, np.int32(-1)), np.append(b, np.int32(n)), again))
                 rows.append(k)
-                held += len(h)
+                held += len(h) + 1
                 if held > 100_000:
                     yield out()
                     found, rows, held = [], [], 0
             if found:
                 yield out()
 
-    return docs.select("id", "key", "text").mapInArrow(made, "id long, key long, h long, c int, first int, last int, again boolean")
+    kind = docs.schema["id"].dataType.simpleString()
+    return docs.select("id", "key", "text").mapInArrow(made, f"id {kind}, key long, h long, c int, first int, last int, again boolean")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with n_sentences, removed (sentence numbers from 0, sorted) and the text without the removed sentences.
 
-    What stands between kept sentences is kept as it was; a text that loses nothing stays as it is, null stays null.
-    Rows that share an id are versions of one document: spans they share are kept in each, and rows wholly alike come
-    out alike. Rows with a null id come after all others and are never first unless none has an id. Input columns named
-    like the new ones are replaced, all others carried.
+    What stands between kept sentences is kept as it was; a text that loses nothing stays as it is, null stays null and
+    has no sentences. The id may be of any type that has an order. Rows that share an id are versions of one document:
+    spans they share are kept in each, and rows wholly alike come out alike. Rows with a null id come after all others
+    and are never first unless none has an id. An empty table gives an empty one. Input columns named like the new ones
+    are replaced, all others carried.
     """
     base = without(df, ["n_sentences", "removed"]).withColumn("__key", text_key(text_col))
-    docs = base.select(F.col(id_col).cast("long").alias("id"), F.col("__key").alias("key"), F.col(text_col).alias("text"))
-    found = _span_rows(docs)
-    # Rows alike in id and text count as one document.
-    first = found.where(~F.col("again")).groupBy("h", "c").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("h", "c", "first_id")
-    first = scratch(first, "repeated")
+    found = scratch(_span_rows(base.select(F.col(id_col).alias("id"), F.col("__key").alias("key"), F.col(text_col).alias("text"))), "spans")
+    kinds = found.where("h IS NOT NULL AND NOT again")
+    first = kinds.groupBy("h", "c").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("h", "c", "first_id")
     inside = found.where("again").select("id", "key", "first", "last")
-    across = found.where(~F.col("again")).join(first, ["h", "c"]).where(~F.col("id").eqNullSafe(F.col("first_id"))).select("id", "key", "first", "last")
-    gone = inside.unionAll(across).groupBy("id", "key").agg(F.collect_set(F.struct("first", "last")).alias("__spans"))
+    across = kinds.join(first, ["h", "c"]).where(~F.col("id").eqNullSafe(F.col("first_id"))).select("id", "key", "first", "last")
+    span = F.when(F.col("first") >= 0, F.struct("first", "last"))
+    gone = inside.unionAll(across).groupBy("id", "key").agg(F.collect_set(span).alias("__spans"), F.max(F.when(F.col("first") < 0, F.col("last"))).alias("__n"))
     gone = gone.withColumnsRenamed({"id": "__id", "key": "__gone_key"})
-    met = base.join(gone, base[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__gone_key")), "left").drop("__id", "__gone_key", "__key")
+    met = base.join(gone, base[id_col].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__gone_key"))).drop("__id", "__gone_key", "__key")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, counts, removed = [], [], []
+            texts, removed = [], []
             for t, covered in zip(batch.column(text_col), batch.column("__spans").to_pylist(), strict=True):
                 text = t.as_py()
-                out = sorted({k for s in covered or () for k in range(s["first"], s["last"] + 1)})
+                out = sorted({k for s in covered for k in range(s["first"], s["last"] + 1)})
                 drop = set(out)
-                n = len(_shape((text or "").lower())[3]) - 1
                 if out:
                     places = sentences(text)
                     stops = [a for a, _ in places[1:]] + [len(text)]
                     text = (text[: places[0][0]] + "".join(text[a:stop] for k, ((a, _), stop) in enumerate(zip(places, stops, strict=True)) if k not in drop)).rstrip()
                 texts.append(text)
-                counts.append(n)
                 removed.append(out)
-            rest = [c for c in batch.schema.names if c != "__spans"]
+            rest = [c for c in batch.schema.names if c not in ("__spans", "__n")]
             arrays = [pa.array(texts, pa.string()) if c == text_col else batch.column(c) for c in rest]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts, pa.int32()), pa.array(removed, pa.list_(pa.int32()))], names=[*rest, "n_sentences", "removed"])
-
-    from lineloom.llm.common import appended
+            yield pa.RecordBatch.from_arrays([*arrays, batch.column("__n"), pa.array(removed, pa.list_(pa.int32()))], names=[*rest, "n_sentences", "removed"])
 
-    return met.mapInArrow(cut, appended(met.drop("__spans"), "n_sentences int, removed array<int>"))
+    return met.mapInArrow(cut, appended(met.drop("__spans", "__n"), "n_sentences int, removed array<int>"))
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
