@@ -10,9 +10,10 @@ after lower-casing and turning white space into one space): any longer run is co
 joined over all documents; a sentence covered by a span that is not the first of its kind is removed. First is the least
 id, then the first place in it.
 
-Texts are hashed once, into a table of spans in the shared folder. In a document each kind of span is sent once, and
-kinds are reduced to their first document before the shuffle, so a passage that a third of all documents hold leaves one
-row a task; the join back has one row a kind on its other side, so a skewed kind can be split over tasks.
+Texts are hashed once and hashes are shuffled once. Before that, a task settles what it can for every SETTLED spans: of a
+kind's occurrences among them only the one with the least id can be the first of all, so it alone is sent; the others
+are removed anyway and leave as merged ranges of sentences. A passage that a third of all documents hold so leaves a row
+for every such chunk of rows, and what is left is streamed in order.
 """
 
 from __future__ import annotations
@@ -23,14 +24,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lineloom.llm.common import appended, scratch, table, text_key, without
+from lineloom.llm.common import appended, table, text_key, without
 
 SPAN_SENTENCES = 2
 SPAN_WORDS = 20
 SENTENCE_WORDS = 16
+#: Spans that a task settles among themselves before it sends them.
+SETTLED = 400_000
 _WORD = re.compile(r"\S+")
 #: Factors of the bytes of a word, by place in it.
 _FACTORS = np.random.default_rng(7).integers(1, 1 << 63, 4096, np.uint64) | np.uint64(1)
@@ -127,37 +130,79 @@ def runs(text: str | None) -> tuple[int, Spans]:
     return len(shape[3]) - 1, _hashed(*shape, *_both(shape[3]))
 
 
+def _settled(docs: list[tuple[int, Spans]], ranks: np.ndarray) -> tuple[np.ndarray, ...]:
+    """docs: (sentences, spans) of documents that differ in id or text; ranks: the order of their ids, equal for equal ids.
+
+    Returns document, h, c, first and last of the spans that may be the first of their kind, and document, first and last
+    sentence of the ranges that are removed whatever other documents hold.
+    """
+    h, c, first, last = (np.concatenate([d[1][k] for d in docs]) for k in range(4))
+    sizes = np.array([len(d[1][0]) for d in docs])
+    doc = np.repeat(np.arange(len(docs)), sizes)
+    order = np.argsort(h, kind="stable")  # then by document and place
+    h, c, first, last, doc = h[order], c[order], first[order], last[order], doc[order]
+    same = (h[1:] == h[:-1]) & (c[1:] == c[:-1])
+    sent = np.ones(len(h), bool)
+    if len(h):
+        heads = np.concatenate(([0], np.flatnonzero(~same) + 1))
+        kind = np.concatenate(([0], np.cumsum(~same)))
+        sent = ranks[doc] == np.minimum.reduceat(ranks[doc], heads)[kind]
+        sent[1:] &= ~(same & (doc[1:] == doc[:-1]))
+    # Slots of sentences, one more for each document.
+    slots = np.cumsum([0, *(d[0] + 1 for d in docs)])
+    edges = np.zeros(slots[-1] + 1, np.int64)
+    np.add.at(edges, slots[doc[~sent]] + first[~sent], 1)
+    np.add.at(edges, slots[doc[~sent]] + last[~sent] + 1, -1)
+    turns = np.diff(np.concatenate(([0], np.cumsum(edges) > 0)).astype(np.int8))
+    begin, stop = np.flatnonzero(turns == 1), np.flatnonzero(turns == -1)
+    owner = np.searchsorted(slots, begin, side="right") - 1
+    return doc[sent], h[sent], c[sent], first[sent], last[sent], owner, begin - slots[owner], stop - slots[owner] - 1
+
+
 def _span_rows(docs: DataFrame) -> DataFrame:
-    """(id, key, h, c, first, last, again) for every span (again: the document had one of its kind before), and a row
-    for each document with a null h and its number of sentences as last."""
-    names = ["id", "key", "h", "c", "first", "last", "again"]
+    """(id, key, h, c, first, last): spans that may be the first of their kind; and with c = -1 and a hash of the document
+    as h, the ranges of sentences to be removed in any case, and a row with first = -1 and the number of sentences as
+    last."""
+    names = ["id", "key", "h", "c", "first", "last"]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[tuple[np.ndarray, ...]] = []
+            ids, keys = batch.column("id").to_pylist(), batch.column("key").to_pylist()
+            found: list[tuple[int, Spans]] = []
             rows: list[int] = []
             held = 0
 
-            def out(batch=batch) -> pa.RecordBatch:
-                h, c, a, b, again = (np.concatenate(col) for col in zip(*found, strict=True))
-                own = pa.array(np.repeat(rows, [len(f[0]) for f in found]))
-                return pa.RecordBatch.from_arrays([batch.column("id").take(own), batch.column("key").take(own), pa.array(h, mask=a < 0), *map(pa.array, (c, a, b, again))], names=names)
-
+            def out(batch=batch, ids=ids) -> pa.RecordBatch:
+                place = {x: k for k, x in enumerate(sorted({ids[r] for r in rows} - {None}))}
+                ranks = np.array([place.get(ids[r], len(place)) for r in rows])
+                doc, h, c, first, last, owner, begin, stop = _settled(found, ranks)
+                own = np.array(rows)[np.concatenate((doc, owner, np.arange(len(rows))))]
+                rest = len(own) - len(doc)
+                took = batch.select(["id", "key", "own"]).take(pa.array(own))
+                columns = [
+                    np.concatenate((h, took.column("own").to_numpy()[len(doc) :])),
+                    np.concatenate((c, np.full(rest, -1, np.int32))),
+                    np.concatenate((first, begin.astype(np.int32), np.full(len(rows), -1, np.int32))),
+                    np.concatenate((last, stop.astype(np.int32), np.array([f[0] for f in found], np.int32))),
+                ]
+                return pa.RecordBatch.from_arrays([took.column("id"), took.column("key"), *map(pa.array, columns)], names=names)
+
+            seen = set()
             for k, text in enumerate(batch.column("text")):
-                n, (h, c, a, b) = runs(text.as_py())
-                again = np.ones(len(h) + 1, bool)
-                again[np.unique(h, return_index=True)[1]] = False
-                found.append((np.append(h, 0), np.append(c, np.int32(0)), np.append(a, np.int32(-1)), np.append(b, np.int32(n)), again))
+                if (ids[k], keys[k]) in seen:
+                    continue
+                seen.add((ids[k], keys[k]))
+                found.append(runs(text.as_py()))
                 rows.append(k)
-                held += len(h) + 1
-                if held > 100_000:
+                held += len(found[-1][1][0])
+                if held > SETTLED:
                     yield out()
                     found, rows, held = [], [], 0
             if found:
                 yield out()
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "key", "text").mapInArrow(made, f"id {kind}, key long, h long, c int, first int, last int, again boolean")
+    return docs.select("id", "key", F.xxhash64("id", "key").alias("own"), "text").mapInArrow(made, f"id {kind}, key long, h long, c int, first int, last int")
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -170,13 +215,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are replaced, all others carried.
     """
     base = without(df, ["n_sentences", "removed"]).withColumn("__key", text_key(text_col))
-    found = scratch(_span_rows(base.select(F.col(id_col).alias("id"), F.col("__key").alias("key"), F.col(text_col).alias("text"))), "spans")
-    kinds = found.where("h IS NOT NULL AND NOT again")
-    first = kinds.groupBy("h", "c").agg(F.min("id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select("h", "c", "first_id")
-    inside = found.where("again").select("id", "key", "first", "last")
-    across = kinds.join(first, ["h", "c"]).where(~F.col("id").eqNullSafe(F.col("first_id"))).select("id", "key", "first", "last")
+    found = _span_rows(base.select(F.col(id_col).alias("id"), F.col("__key").alias("key"), F.col(text_col).alias("text")))
+    of_first = F.first("id").over(Window.partitionBy("h", "c").orderBy(F.asc_nulls_last("id")))
+    over = found.withColumn("of_first", of_first).where((F.col("c") < 0) | ~F.col("id").eqNullSafe(F.col("of_first")))
     span = F.when(F.col("first") >= 0, F.struct("first", "last"))
-    gone = inside.unionAll(across).groupBy("id", "key").agg(F.collect_set(span).alias("__spans"), F.max(F.when(F.col("first") < 0, F.col("last"))).alias("__n"))
+    gone = over.groupBy("id", "key").agg(F.collect_set(span).alias("__spans"), F.max(F.when(F.col("first") < 0, F.col("last"))).alias("__n"))
     gone = gone.withColumnsRenamed({"id": "__id", "key": "__gone_key"})
     met = base.join(gone, base[id_col].eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__gone_key"))).drop("__id", "__gone_key", "__key")
 
