@@ -3,8 +3,6 @@
 import random
 import re
 
-import pytest
-
 from lineloom.llm import pii
 from tests.llm.test_llm import EDGE, docs
 
@@ -31,22 +29,21 @@ def test_persons_of_one_surname_are_distinct(spark):
     assert len({n[0] for n in names} | {n[2] for n in names}) == 2 * len(given)
 
 
-@pytest.mark.parametrize(
-    ("text", "form"),
-    [
-        ("Mr Παπαδόπουλος spoke", r"Mr \p{Greek}+ spoke"), ("Κυρία Ελένη Παπαδοπούλου", r"Κυρία \p{Greek}+ \p{Greek}+"), ("Господин Иван Петров", r"Господин \p{Cyrillic}+ \p{Cyrillic}+"),
-        ("Mr Smith-Jones left", r"Mr \p{Lu}\p{Ll}+-\p{Lu}\p{Ll}+ left"), ("MR JOHN SMITH!", r"MR \p{Lu}{2,} \p{Lu}{2,}!"), ("so mr john smith, then", r"so mr \p{Ll}+ \p{Ll}+, then"),
-        ("Dr. John Smith and Prof. Anna Meyer", r"Dr\. \p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+ and Prof\. \p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+"), ("by Anna Meyer.", r"by \p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+\."),
-        ("Herr Dr. O'Brien", r"Herr Dr\. \p{Lu}\p{Ll}+"), ("Frau Müller, Frau MÜLLER", r"Frau (\p{Lu}\p{Ll}+), Frau \p{Lu}{2,}"),
-    ],
-)
-def test_names_keep_form_and_script(spark, text, form):
+FORMS = [
+    ("Mr Παπαδόπουλος spoke", r"Mr \p{Greek}+ spoke"), ("Κυρία Ελένη Παπαδοπούλου", r"Κυρία \p{Greek}+ \p{Greek}+"), ("Господин Иван Петров", r"Господин \p{Cyrillic}+ \p{Cyrillic}+"),
+    ("Mr Smith-Jones left", r"Mr \p{Lu}\p{Ll}+-\p{Lu}\p{Ll}+ left"), ("MR JOHN SMITH!", r"MR \p{Lu}{2,} \p{Lu}{2,}!"), ("so mr john smith, then", r"so mr \p{Ll}+ \p{Ll}+, then"),
+    ("Dr. John Smith and Prof. Anna Meyer", r"Dr\. \p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+ and Prof\. \p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+"), ("by Anna Meyer.", r"by \p{Lu}\p{Ll}+ \p{Lu}\p{Ll}+\."),
+    ("Herr Dr. O'Brien", r"Herr Dr\. \p{Lu}\p{Ll}+"), ("Frau Müller, Frau MÜLLER", r"Frau (\p{Lu}\p{Ll}+), Frau \p{Lu}{2,}"),
+]
+
+
+def test_names_keep_form_and_script(spark):
     import regex
 
-    (new,) = replaced(spark, [text])
-    assert regex.fullmatch(form, new), new
-    words = [w for w in regex.findall(r"\p{L}+", text) if w not in regex.findall(r"\p{L}+", form)]
-    assert not any(regex.search(rf"\b{w}\b", new) for w in words if w[0].isupper() and w.lower() not in ("mr", "dr"))
+    for (text, form), new in zip(FORMS, replaced(spark, [t for t, _ in FORMS]), strict=True):
+        assert regex.fullmatch(form, new), new
+        words = [w for w in regex.findall(r"\p{L}+", text) if w not in regex.findall(r"\p{L}+", form)]
+        assert not any(regex.search(rf"\b{w}\b", new) for w in words if w[0].isupper() and w.lower() not in ("mr", "dr"))
 
 
 def test_mentions_of_a_person_agree_over_case_and_title(spark):
