@@ -54,7 +54,11 @@ _GIVEN_OF = {g: sorted({n.lower() for (_, sex), ns in GIVEN.items() if sex == g
 
 
 def _either(words: list[str], cases: tuple[Callable[[str], str], ...]) -> str:
-    return "|".join(sorted({f(w) for w in words for f in cases}, key=lambda w: (-len(w), w)))
+    """Any of the words, long ones first, grouped by their first letter."""
+    rests: dict[str, set[str]] = {}
+    for w in {f(w) for w in words for f in cases}:
+        rests.setdefault(w[0], set()).add(w[1:])
+    return "|".join(f"{c}(?:{'|'.join(sorted(r, key=lambda w: (-len(w), w)))})" for c, r in sorted(rests.items()))
 
 
 #: Letters of the scripts that there are surrogates for; a word with a capital, or in capitals; words with hyphens.
@@ -67,6 +71,9 @@ _SMALL_TITLE = rf"(?:mr|mrs|ms|dr|prof)\.?{_SPACE}"
 _FIRST = _either([n for ns in [*GIVEN.values(), *KNOWN.values()] for n in ns], (str, str.upper))
 _SMALL_FIRST = _either([n for ns in [*GIVEN.values(), *KNOWN.values()] for n in ns], (str.lower,))
 
+#: Where a name can start: tells most places at their first letter.
+_START = r"(?=[\p{Lu}mdp])(?<!\p{L})"
+
 #: Kinds in the order in which a place is tried; each pattern's whole match is the entity.
 PATTERNS = {
     "aws_key": r"\bAKIA[0-9A-Z]{16}\b",
@@ -77,13 +84,13 @@ PATTERNS = {
     "card": r"(?<![\w\-])\d(?:[ \-]?\d){12,18}(?![\w\-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\w)",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "name": rf"(?<!\p{{L}})(?:(?:{_TITLE}){{1,2}}(?:{_NAME}{_SPACE})?{_NAME}|(?:{_FIRST}){_SPACE}{_NAME}|{_SMALL_TITLE}(?:{_SMALL_FIRST}){_SPACE}{_LOW}+(?:-{_LOW}+)*)(?!\p{{L}})",
+    "name": rf"{_START}(?:(?:{_TITLE}){{1,2}}(?:{_NAME}{_SPACE})?{_NAME}|(?:{_FIRST}){_SPACE}{_NAME}|{_SMALL_TITLE}(?:{_SMALL_FIRST}){_SPACE}{_LOW}+(?:-{_LOW}+)*)(?!\p{{L}})",
 }
 #: A name's titles.
 _TITLED = rf"^((?:{_TITLE}|{_SMALL_TITLE}){{0,2}})"
 _ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without any of these holds no entity; cheaper than the full pattern.
-_MAYBE = r"[0-9@]|AKIA|[=:]\s*\S{6}|\b(?:" + _either([t for ts in TITLES.values() for t in ts], (str, str.upper)) + rf"|mr|mrs|ms|dr|prof)\b|(?:{_FIRST}){_SPACE}"
+_MAYBE = rf"[0-9@]|AKIA|[=:]\s*\S{{6}}|{_START}(?:{_TITLE}|{_SMALL_TITLE}|(?:{_FIRST}){_SPACE}{_UP})"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
