@@ -64,11 +64,12 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ranked(keys: np.ndarray, counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent n-grams with their ranks from 0; equal counts share the middle of their ranks."""
-    order = np.lexsort((keys, -counts))
+    """The `most` most frequent n-grams (ties to the lesser number) with their ranks from 0; of these, equal counts share
+    the middle of their ranks."""
+    order = np.lexsort((keys, -counts))[:most]
     keys, counts = keys[order], counts[order]
     _, first, n = np.unique(-counts, return_index=True, return_counts=True)
-    return keys[:most], np.repeat(first + (n - 1) / 2, n)[:most]
+    return keys, np.repeat(first + (n - 1) / 2, n)
 
 
 class Profiles:

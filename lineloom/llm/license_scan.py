@@ -1,7 +1,7 @@
 """Licence detection: sparse TF-IDF cosine of headers and licence files to templates, then nearest-ancestor folders.
 
 Units of a file (its sentences, its lines, runs of these of up to twice a template's words, so that a notice may be wrapped
-over lines, and a short file as a whole) are compared with the templates. Marks of comments hold no word. A unit whose
+over lines, and the file as a whole) are compared with the templates. Marks of comments hold no word. A unit whose
 cosine to a template reaches `least` must hold one of the template's prefix tokens (its words, common ones last and
 else the heaviest first, up to where the rest of its weight falls below `least`), so only such units are scored. A file without a licence of its own gets that
 of the licence file in the nearest folder above it, by joining the folder paths.
@@ -22,8 +22,10 @@ from lineloom.llm.common import appended, scratch, table, with_columns, without
 
 #: Least cosine of a match.
 LEAST = 0.75
-#: A file of at most so many words is also compared as a whole.
-WHOLE_WORDS = 400
+#: Rows of a table of folders that may be broadcast (some 100 bytes a row); more are joined by shuffle.
+BROADCAST_DIRS = 50_000
+#: Tasks that the files of one folder are spread over in that shuffle.
+SALTS = 32
 #: Notices by licence.
 TEMPLATES = {
     "MIT": ["Released under the MIT License.", "This project is licensed under the terms of the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
@@ -149,9 +151,7 @@ class Scanner:
         found = self.runs([words for u in _UNIT.split(low) if (words := _WORD.findall(u))])
         if found[0] and found[1] > best[1] + 1e-9:
             best = found
-        whole = (None, 0.0)
-        if len(low.split(None, WHOLE_WORDS + 1)) <= WHOLE_WORDS:
-            whole = self.score(low)
+        whole = self.score(low)
         if whole[0] and whole[1] > best[1]:
             best = whole
         return (*best, whole[0] is not None)
@@ -187,10 +187,18 @@ def scan_licenses(df: DataFrame, path_col: str = "path", text_col: str = "text",
     steps = F.split("__dir", "/")
     above = F.transform(F.sequence(F.lit(0), F.size(steps)), lambda k: F.when(k == 0, F.lit("")).otherwise(F.array_join(F.slice(steps, 1, k), "/")))
     folders = own.where(F.col("__own").isNull() & F.col("__dir").isNotNull()).select("__dir").distinct()
-    climbs = folders.select("__dir", F.explode(F.array_distinct(above)).alias("license_dir")).join(dirs, "license_dir")
+    dirs = scratch(dirs, "license-dirs")
+    few = dirs.count() <= BROADCAST_DIRS
+    climbs = folders.select("__dir", F.explode(F.array_distinct(above)).alias("license_dir")).join(F.broadcast(dirs) if few else dirs, "license_dir")
     nearest = Window.partitionBy("__dir").orderBy(F.desc(F.length("license_dir")))
     heirs = climbs.withColumn("r", F.row_number().over(nearest)).where("r = 1").select("__dir", "license_dir", "__inherited", "__inherited_score")
-    met = own.join(heirs, "__dir", "left")
+    heirs = scratch(heirs, "heirs")
+    if heirs.count() <= BROADCAST_DIRS:
+        met = own.join(F.broadcast(heirs), "__dir", "left")
+    else:
+        # A folder of many files is spread over tasks; its one row goes to each.
+        salted = own.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+        met = salted.join(heirs.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["__dir", "__salt"], "left")
     mine = F.col("__own").isNotNull()
     kept = [F.col(f"`{c}`") for c in base.columns if c != text_col]
     return met.select(

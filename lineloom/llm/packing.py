@@ -1,6 +1,6 @@
 """Packing documents into sequences: first-fit decreasing in randomised groups, with a tournament tree of bin room.
 
-Documents are dealt by a hash into groups of some GROUP_DOCS and each group is packed by itself, which needs one
+Documents are dealt by a hash into groups of some GROUP_DOCS or GROUP_BYTES and each group is packed by itself, which needs one
 shuffle and the memory of one group. In a group, a document longer than a sequence first fills whole sequences; what
 remains of each document goes, longest first, into the first bin with room for it. The tree holds the largest room
 below each node, so the first such bin is found in log time. Gaps that are left are filled by cutting pieces of the
@@ -20,11 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lineloom.llm.common import table, text_key
+from lineloom.llm.common import table
 
 CAPACITY = 2048
 END_ID = 1
 GROUP_DOCS = 4096
+#: Bytes of text of a group, about.
+GROUP_BYTES = 64 << 20
 
 
 class Ids:
@@ -141,10 +143,12 @@ def pack_documents(docs: DataFrame, encoder: Callable[[], Callable[[str], bytes]
 
     encoder() makes a worker's function from text to ids. A null or empty text is the end id alone. Rows with a null or
     repeated doc_id are documents of their own. sequence_id is group * 2**32 + number in the group. The number of
-    groups follows the number of documents, so a group stays bounded; rows that are wholly alike share a group.
+    groups follows the number of documents and their bytes, and a row's number is part of the deal, so a group stays bounded
+    (but for one huge text) even if all rows are alike. Ids are whole numbers; other columns are not carried.
     """
-    groups = max(1, round(docs.count() / group_docs))
-    rows = docs.select(F.pmod(F.xxhash64(F.col(id_col), text_key(text_col), F.lit(2048)), F.lit(groups)).alias("grp"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(text_col)).alias("bytes")).first()
+    groups = max(1, round(size["n"] / group_docs), -(-(size["bytes"] or 0) // GROUP_BYTES))
+    rows = docs.select(F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(2048)), F.lit(groups)).alias("grp"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     end = end_id.to_bytes(4, "little")
     state: dict[str, Callable[[str], bytes]] = {}
 
