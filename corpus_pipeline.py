@@ -14,10 +14,11 @@ from lineloom.llm.common import scratch, table
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language go: those with a null text or no letters. Profiles are learned from the documents
-    that are not held out, as in the query."""
+    """Documents without a language go: those with a null text or no letters. The others carry the predicted language as
+    lang. Profiles are learned from the labelled documents that are not held out, as in the query."""
     profiles = language_id.learn(docs.where(~language_id.held_out()))
-    return language_id.identify(docs, profiles).where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    known = language_id.identify(docs, profiles).where(F.col("lang_pred") != language_id.UNKNOWN)
+    return known.select(*[F.col("lang_pred").alias(c) if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
