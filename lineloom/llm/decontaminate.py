@@ -116,7 +116,7 @@ class Windows:
 
 
 def _blocks(items: DataFrame, item_col: str, text_col: str, size: int) -> Iterator[Windows]:
-    """Items are read in order of their text's hash, block by block; the driver holds one block at a time."""
+    """Items block by block, in no order; the driver holds one block at a time."""
     held: list[tuple[int, list[bytes]]] = []
     for item, text in items.select(item_col, text_col).where(F.col(text_col).isNotNull() & F.col(item_col).isNotNull()).toLocalIterator():
         w = words(text)
