@@ -205,14 +205,18 @@ def partition_outdated(df: DataFrame, watched: DataFrame, vulnerable: DataFrame,
 
 
 def promotion_plan(df: DataFrame, order: Sequence[str], cap: int = 5) -> DataFrame:
-    """df (classification, suppressed, known) with `plan`. Only promotions that happen count toward the cap."""
+    """df (classification, suppressed, known) with `plan`. Only promotions that happen count toward the cap.
+
+    The place of the last promotion below the cap is found first, by a top-`cap` job; all rows are compared with it.
+    """
     wants = ~F.col("suppressed") & (F.col("classification") == "real_bug")
-    success = wants & ~F.col("known")
-    before = F.coalesce(F.sum(success.cast("int")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = df.where(wants & ~F.col("known")).orderBy(*order).limit(cap).select(*order).collect()
+    kinds = dict(zip(order, (df.schema[c].dataType for c in order), strict=True))
+    full = F.struct(*order) > F.struct(*[F.lit(firsts[-1][c]).cast(kinds[c]).alias(c) for c in order]) if len(firsts) == cap else F.lit(False)
     plan = cascade(
         [
             (F.col("suppressed"), F.lit("suppressed")),
-            (wants & (before >= cap), F.lit("cap")),
+            (wants & full, F.lit("cap")),
             (wants & F.col("known"), F.lit("dedup")),
             (wants, F.lit("auto")),
             (F.col("classification") == "noise", F.lit("wontfix")),
