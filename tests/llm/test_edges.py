@@ -111,3 +111,14 @@ def test_inheritance_by_brute_force(spark, monkeypatch, most):
 def test_long_files_speak_as_a_whole():
     notice = license_scan.TEMPLATES["GPL-3.0"][1]
     assert license_scan.Scanner().scan("\n".join([notice] * 40))[0::2] == ("GPL-3.0", True)
+
+
+def test_first_stage_carries_the_predicted_language(spark):
+    import corpus_pipeline
+
+    texts = [("en", "the cat and the dog"), ("fr", "le chat et le chien")] * 12 + [(None, "the dog and the cat"), (None, "le chien et le chat"), ("en", None), ("en", "1 2 3")]
+    rows = spark.createDataFrame([(i, t, lang, "s", len(t or "")) for i, (lang, t) in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.identify_language(spark, rows, "")
+    assert got.columns == rows.columns
+    langs = {r.doc_id: r.lang for r in got.collect()}
+    assert sorted(langs) == list(range(26)) and langs[24] == "en" and langs[25] == "fr"
