@@ -24,17 +24,45 @@ def has_text_layer(items: DataFrame, pages: int = 5, least: int = 5) -> DataFram
     return first.groupBy("doc_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("doc_id")
 
 
-def page_features(items: DataFrame) -> DataFrame:
-    """Per page: two_column, and the printed left and right column numbers (null if unreadable)."""
+def _feature_sums() -> dict[str, Column]:
     mid = F.col("page_width") / 2
     number = (F.col("y") >= F.col("page_height") - HEADER) & F.trim("text").rlike(r"^\d{1,3}$")
     value = F.trim("text").try_cast("int")
-    leftmost = [F.min_by(F.when(number & side, value), F.when(number & side, F.struct("x", "seq"))) for side in (F.col("x") < mid, F.col("x") >= mid)]
-    pages = items.groupBy(*PAGE).agg(F.count_if(F.col("x") < mid).alias("left_n"), F.count_if(F.col("x") >= mid).alias("right_n"), leftmost[0].alias("l"), leftmost[1].alias("r"), F.max("page_width").alias("page_width"), F.max("page_height").alias("page_height"))
+    sides = {"l": F.col("x") < mid, "r": F.col("x") >= mid}
+    leftmost = {k: F.min_by(F.when(number & side, value), F.when(number & side, F.struct("x", "seq"))) for k, side in sides.items()}
+    return {"left_n": F.count_if(sides["l"]), "right_n": F.count_if(sides["r"]), **leftmost, "page_width": F.max("page_width"), "page_height": F.max("page_height")}
+
+
+def _features() -> dict[str, Column]:
     few, many = F.least("left_n", "right_n"), F.greatest("left_n", "right_n")
     left, right = F.coalesce("l", F.col("r") - 1), F.coalesce("r", F.col("l") + 1)
     valid = (right == left + 1) & (left >= 1) & (left % 2 == 1)
-    return pages.select(*PAGE, "page_width", "page_height", ((few + many >= 30) & (few > 0.3 * many)).alias("two_column"), F.when(valid, left).alias("left_col"), F.when(valid, right).alias("right_col"))
+    return {"two_column": (few + many >= 30) & (few > 0.3 * many), "left_col": F.when(valid, left), "right_col": F.when(valid, right)}
+
+
+def page_features(items: DataFrame) -> DataFrame:
+    """Per page: two_column, and the printed left and right column numbers (null if unreadable)."""
+    pages = items.groupBy(*PAGE).agg(*[c.alias(k) for k, c in _feature_sums().items()])
+    return pages.select(*PAGE, "page_width", "page_height", *[c.alias(k) for k, c in _features().items()])
+
+
+def empty_strips(points: Column, width: Column) -> Column:
+    """Gaps of five or more points between occupied ones (`points`, a set) within the middle half of the page, each with
+    its middle, its distance from the centre, its left point and whether it reaches the range's end."""
+    low, high = F.floor(width * 0.25), F.ceil(width * 0.75)
+    at = F.array_sort(F.concat(F.array(low - 1, high), F.filter(points, lambda b: (b >= low) & (b < high))))
+
+    def strip(b: Column, i: Column) -> Column:
+        after = F.get(at, i + 1)
+        middle = (b + 1 + after) / 2
+        return F.struct((after == high).alias("last"), F.abs(middle - width / 2).alias("off"), b.alias("b"), middle.alias("middle"), (after - b - 1 >= GAP).alias("wide"))
+
+    return F.filter(F.transform(at, strip), lambda s: s["wide"])
+
+
+def _boundary(points: Column, width: Column) -> Column:
+    nearest = F.array_min(F.transform(empty_strips(points, width), lambda s: F.struct(s["off"].alias("off"), s["b"].alias("b"), s["middle"].alias("middle"))))
+    return F.coalesce(nearest["middle"], width / 2)
 
 
 def column_boundary(items: DataFrame) -> DataFrame:
@@ -43,15 +71,8 @@ def column_boundary(items: DataFrame) -> DataFrame:
     Strips are gaps of five or more points between occupied points within the middle half, found by looking at the
     next occupied point, so a page costs its distinct x values and not its width.
     """
-    low, high = F.floor(F.col("page_width") * 0.25), F.ceil(F.col("page_width") * 0.75)
-    at = items.select(*PAGE, "page_width", F.floor("x").alias("b")).distinct()
-    inner = at.where((F.col("b") >= low) & (F.col("b") < high))
-    edges = items.groupBy(*PAGE).agg(F.max("page_width").alias("page_width")).select(*PAGE, "page_width", F.explode(F.array(low - 1, high)).alias("b"))
-    gaps = inner.unionByName(edges).withColumn("next", F.lead("b").over(Window.partitionBy(*PAGE).orderBy("b"))).where(F.col("next") - F.col("b") - 1 >= GAP)
-    middle = (F.col("b") + 1 + F.col("next")) / 2
-    best = gaps.groupBy(*PAGE).agg(F.min_by(middle, F.struct(F.abs(middle - F.col("page_width") / 2), "b")).alias("m"))
-    pages = items.groupBy(*PAGE).agg((F.max("page_width") / 2).alias("centre"))
-    return pages.join(best, PAGE, "left").select(*PAGE, F.coalesce("m", "centre").alias("boundary"))
+    pages = items.groupBy(*PAGE).agg(F.collect_set(F.floor("x")).alias("points"), F.max("page_width").alias("page_width"))
+    return pages.select(*PAGE, _boundary(F.col("points"), F.col("page_width")).alias("boundary"))
 
 
 def body(items: DataFrame) -> DataFrame:
@@ -85,33 +106,56 @@ def split_cross_boundary(items: DataFrame) -> DataFrame:
     return out.where(~F.col("moved") | (F.trim("text") != ""))
 
 
+def _mark() -> Column:
+    """A line number between the columns, else null."""
+    return F.when(is_gutter_number(F.col("boundary")), F.struct(F.trim("text").cast("int").alias("n"), F.col("seq").alias("seq"), F.col("y").alias("y")))
+
+
+def _with_grid(pages: DataFrame) -> DataFrame:
+    """pages (with marks) -> first_y and spacing instead, null without two usable markers. The first of a number counts."""
+    pages = pages.withColumn("marks", F.array_sort("marks"))
+    pages = pages.withColumn("m", F.filter("marks", lambda m, i: (i == 0) | (m["n"] != F.get("marks", i - 1)["n"])))
+    step = F.transform(F.slice("m", 2, F.greatest(F.size("m") - 1, F.lit(0))), lambda m, i: (F.get("m", i)["y"] - m["y"]) / (m["n"] - F.get("m", i)["n"]))
+    pages = pages.withColumn("s", F.array_sort(F.filter(step, lambda s: s > 0)))
+    pages = pages.withColumn("spacing", F.get("s", F.floor(F.size("s") / 2).cast("int")))
+    first = F.get("m", F.lit(0))
+    return pages.withColumn("first_y", F.when(F.col("spacing").isNotNull(), first["y"] + (first["n"] - 1) * F.col("spacing"))).drop("marks", "m", "s")
+
+
 def gutter_grid(items: DataFrame) -> DataFrame:
     """items (with boundary) -> per page first_y and spacing of the line grid; no row without two usable markers."""
-    marks = items.where(is_gutter_number(F.col("boundary"))).groupBy(*PAGE, F.trim("text").cast("int").alias("n")).agg(F.min_by("y", "seq").alias("y"))
-    pages = marks.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("n", "y"))).alias("m")).where(F.size("m") >= 2)
-    step = F.transform(F.sequence(F.lit(1), F.size("m") - 1), lambda i: (F.get("m", i - 1)["y"] - F.get("m", i)["y"]) / (F.get("m", i)["n"] - F.get("m", i - 1)["n"]))
-    ordered = F.array_sort(F.filter(step, lambda s: s > 0))
-    spaced = pages.withColumn("s", ordered).where(F.size("s") > 0).withColumn("spacing", F.get("s", F.floor(F.size("s") / 2).cast("int")))
-    return spaced.select(*PAGE, (F.get("m", F.lit(0))["y"] + (F.get("m", F.lit(0))["n"] - 1) * F.col("spacing")).alias("first_y"), "spacing")
+    marked = items.select(*PAGE, _mark().alias("mark")).where(F.col("mark").isNotNull())
+    return _with_grid(marked.groupBy(*PAGE).agg(F.collect_list("mark").alias("marks"))).where(F.col("spacing").isNotNull()).select(*PAGE, "first_y", "spacing")
 
 
-def cluster_lines(items: DataFrame) -> DataFrame:
-    """items (with side) -> line_idx, entries: from the top, an item more than three points from the line's first item
-    opens a new line. A fold over each page side's items in order; lines are sorted by x."""
-    fields = ["y", "seq", "x", "text", "width", "height"]
-    sides = items.groupBy(*PAGE, "side").agg(F.array_sort(F.collect_list(F.struct((-F.col("y")).alias("down"), *[f for f in fields if f != "y"], "y"))).alias("i"))
-    kind = "array<array<" + sides.schema["i"].dataType.elementType.simpleString() + ">>"
+def _fragment() -> Column:
+    """An item as it is sorted: from the top, then in order of emission."""
+    return F.struct((-F.col("y")).alias("down"), "seq", "x", "text", "width", "height", "y")
+
+
+def _lines(fragments: Column) -> Column:
+    """Sorted fragments -> the lines' entries, from the top. A fold finds where lines begin; each is a slice, by x."""
 
     def step(state: Column, item: Column) -> Column:
         near = state["anchor"].isNotNull() & (F.abs(item["y"] - state["anchor"]) <= LINE_TOLERANCE)
-        n = F.size(state["lines"])
-        longer = F.concat(F.slice(state["lines"], F.lit(1), n - 1), F.array(F.concat(F.element_at(state["lines"], -1), F.array(item))))
-        return F.struct(F.when(near, longer).otherwise(F.concat(state["lines"], F.array(F.array(item)))).alias("lines"), F.when(near, state["anchor"]).otherwise(item["y"]).alias("anchor"))
+        starts = F.when(near, state["starts"]).otherwise(F.concat(state["starts"], F.array(state["n"])))
+        return F.struct(starts.alias("starts"), F.when(near, state["anchor"]).otherwise(item["y"].cast("double")).alias("anchor"), (state["n"] + 1).alias("n"))
+
+    none = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(None).cast("double").alias("anchor"), F.lit(0).alias("n"))
+    starts = F.aggregate(fragments, none, step, lambda s: F.concat(s["starts"], F.array(s["n"])))
+    # A constant map holds the fold's result, so that it is not computed again for every line.
+    return F.flatten(F.transform(F.array(starts), lambda at: F.transform(F.slice(at, F.lit(1), F.size(at) - 1), lambda a, k: _by_x(F.slice(fragments, a + 1, F.get(at, k + 1) - a)))))
 
-    lines = F.aggregate("i", F.struct(F.array().cast(kind).alias("lines"), F.lit(None).cast("double").alias("anchor")), step, lambda s: s["lines"])
-    rows = sides.select(*PAGE, "side", F.posexplode(lines).alias("line_idx", "e"))
-    by_x = F.array_sort(F.transform("e", lambda i, k: F.struct(i["x"].alias("x"), k.alias("k"), i["text"].alias("text"), i["width"].alias("width"), i["height"].alias("height"), i["y"].alias("y"))))
-    return rows.select(*PAGE, "side", "line_idx", by_x.alias("entries"))
+
+def _by_x(line: Column) -> Column:
+    return F.array_sort(F.transform(line, lambda i, k: F.struct(i["x"].alias("x"), k.alias("k"), i["text"].alias("text"), i["width"].alias("width"), i["height"].alias("height"), i["y"].alias("y"))))
+
+
+def cluster_lines(items: DataFrame) -> DataFrame:
+    """items (with side) -> line_idx, entries: from the top, an item more than three points from the line's first item
+    opens a new line. A fold over each page side's items in order; lines are sorted by x."""
+    sides = items.groupBy(*PAGE, "side").agg(F.array_sort(F.collect_list(_fragment())).alias("i"))
+    return sides.select(*PAGE, "side", F.posexplode(_lines(F.col("i"))).alias("line_idx", "entries"))
 
 
 def line_entry(entries: Column) -> Column:
@@ -128,10 +172,14 @@ def line_entry(entries: Column) -> Column:
 
 def number_lines(lines: DataFrame, grid: DataFrame) -> DataFrame:
     """lines with line_number: by the page's grid, else by gaps against the upper median gap, else one by one."""
+    return _numbered(lines.join(grid, PAGE, "left"))
+
+
+def _numbered(lines: DataFrame) -> DataFrame:
     mean = F.aggregate("entries", F.lit(0.0), lambda a, i: a + i["y"], lambda a: a / F.size("entries"))
     side = Window.partitionBy(*PAGE, "side")
-    rows = lines.withColumn("mean_y", mean).join(grid, PAGE, "left").withColumn("gap", F.lag("mean_y").over(side.orderBy("line_idx")) - F.col("mean_y"))
-    gaps = F.array_sort(F.filter(F.collect_list("gap").over(side), lambda g: g > 0))
+    rows = lines.withColumn("mean_y", mean).withColumn("gap", F.lag("mean_y").over(side.orderBy("line_idx")) - F.col("mean_y"))
+    gaps = F.array_sort(F.collect_list(F.when(F.col("spacing").isNull() & (F.col("gap") > 0), F.col("gap"))).over(side))
     rows = rows.withColumn("typical", F.get(gaps, F.floor(F.size(gaps) / 2).cast("int")))
     stride = F.when(F.col("typical").isNull() | F.col("gap").isNull(), 1).otherwise(F.greatest(F.lit(1), F.floor(F.col("gap") / F.col("typical") + 0.5)))
     by_gap = F.sum(stride).over(side.orderBy("line_idx").rowsBetween(Window.unboundedPreceding, 0))
@@ -139,29 +187,54 @@ def number_lines(lines: DataFrame, grid: DataFrame) -> DataFrame:
     return rows.withColumn("line_number", F.when(F.col("spacing").isNotNull(), by_grid).otherwise(by_gap).cast("int")).drop("gap", "typical", "first_y", "spacing", "mean_y")
 
 
-def likely_spec_page(items: DataFrame) -> DataFrame:
-    """Per page whether its header and density are those of a text page."""
+def _spec_sums() -> dict[str, Column]:
     header = F.col("y") >= F.col("page_height") - HEADER
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(header, F.struct("seq", "text")))), lambda s: s["text"]), " ")
-    pages = items.groupBy(*PAGE).agg(joined.alias("h"), F.count_if((F.col("y") > FOOTER) & ~header).alias("n"))
+    return {"h": joined, "n": F.count_if((F.col("y") > FOOTER) & ~header)}
+
+
+def _spec() -> Column:
     front = F.col("h").contains("United States Patent") | F.col("h").rlike(r"(?i)Sheet\s+\d+\s+of\s+\d+|\bPage\s+\d+\b")
-    return pages.select(*PAGE, (~front & (F.col("n") >= 80)).alias("spec"))
+    return ~front & (F.col("n") >= 80)
+
+
+def likely_spec_page(items: DataFrame) -> DataFrame:
+    """Per page whether its header and density are those of a text page."""
+    pages = items.groupBy(*PAGE).agg(*[c.alias(k) for k, c in _spec_sums().items()])
+    return pages.select(*PAGE, _spec().alias("spec"))
+
+
+def page_facts(items: DataFrame) -> DataFrame:
+    """Features, boundary and text page in one aggregate by page."""
+    sums = {**_feature_sums(), **_spec_sums(), "points": F.collect_set(F.floor("x"))}
+    pages = items.groupBy(*PAGE).agg(*[c.alias(k) for k, c in sums.items()])
+    return pages.select(*PAGE, *[c.alias(k) for k, c in _features().items()], _boundary(F.col("points"), F.col("page_width")).alias("boundary"), _spec().alias("spec"))
 
 
 def accepted_pages(features: DataFrame, spec: DataFrame) -> DataFrame:
     """Pages with their column numbers: printed ones that continue exactly where the last accepted page ended (a fold
     over the document's pages), or, if a document has none, its text pages numbered in order."""
-    pages = features.where("two_column").join(spec, PAGE, "left")
-    docs = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "left_col", "right_col", "spec"))).alias("p"))
-    kind = "array<struct<page: " + features.schema["page"].dataType.simpleString() + ", left_col: int, right_col: int>>"
+    return _accepted(features.where("two_column").join(spec, PAGE, "left").select(*PAGE, "left_col", "right_col", "spec"))
+
+
+def _accepted(pages: DataFrame) -> DataFrame:
+    """Columns beside doc_id, page, left_col, right_col and spec are carried."""
+    extra = [c for c in pages.columns if c not in (*PAGE, "left_col", "right_col", "spec")]
+    docs = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", "left_col", "right_col", "spec", *extra))).alias("p"))
+    kinds = {c: pages.schema[c].dataType.simpleString() for c in ["page", *extra]} | {"left_col": "int", "right_col": "int"}
+
+    def got(p: Column, left: Column, right: Column) -> Column:
+        values = {c: p[c] for c in ["page", *extra]} | {"left_col": left.cast("int"), "right_col": right.cast("int")}
+        return F.struct(*[c.alias(k) for k, c in values.items()])
 
     def step(state: Column, p: Column) -> Column:
         fits = F.coalesce(p["left_col"] == state["next"], F.lit(False))
-        taken = F.concat(state["got"], F.array(F.struct(p["page"].alias("page"), p["left_col"].alias("left_col"), p["right_col"].alias("right_col"))))
+        taken = F.concat(state["got"], F.array(got(p, p["left_col"], p["right_col"])))
         return F.struct(F.when(fits, p["right_col"] + 1).otherwise(state["next"]).cast("int").alias("next"), F.when(fits, taken).otherwise(state["got"]).alias("got"))
 
-    printed = F.aggregate("p", F.struct(F.lit(1).alias("next"), F.array().cast(kind).alias("got")), step, lambda s: s["got"])
-    inferred = F.transform(F.filter("p", lambda x: F.coalesce(x["spec"], F.lit(False))), lambda x, i: F.struct(x["page"].alias("page"), (2 * i + 1).cast("int").alias("left_col"), (2 * i + 2).cast("int").alias("right_col")))
+    none = F.array().cast(f"array<struct<{', '.join(f'`{c}`: {k}' for c, k in kinds.items())}>>")
+    printed = F.aggregate("p", F.struct(F.lit(1).alias("next"), none.alias("got")), step, lambda s: s["got"])
+    inferred = F.transform(F.filter("p", lambda x: F.coalesce(x["spec"], F.lit(False))), lambda x, i: got(x, 2 * i + 1, 2 * i + 2))
     chosen = docs.withColumn("got", printed).withColumn("got", F.when(F.size("got") > 0, F.col("got")).otherwise(inferred))
     return chosen.select("doc_id", F.explode("got").alias("g")).select("doc_id", "g.*")
 
@@ -181,12 +254,20 @@ def mark_wrap_hyphens(entries: DataFrame) -> DataFrame:
 
 
 def build_position_map(items: DataFrame) -> DataFrame:
-    """doc_id, entry_idx, page, column, line_number, text, x, y, width, height, section, wrap_hyphen."""
-    pages = accepted_pages(page_features(items), likely_spec_page(items))
-    inside = body(items).join(column_boundary(items), PAGE).join(pages, PAGE)
-    pieces = split_cross_boundary(inside).where(~is_gutter_number(F.col("boundary")))
-    sided = pieces.withColumn("side", F.when(~F.col("moved") & (F.col("x") < F.col("boundary")), 0).otherwise(1))
-    lines = number_lines(cluster_lines(sided), gutter_grid(inside)).join(pages, PAGE)
+    """doc_id, entry_idx, page, column, line_number, text, x, y, width, height, section, wrap_hyphen.
+
+    Items are read once for the pages' facts, which are aggregated before they move, and once for the lines: they move by
+    page, where marks, sides and lines are steps over the page's arrays, and finished lines move by document.
+    """
+    facts = page_facts(items).where("two_column").drop("two_column")
+    inside = body(items).join(_accepted(facts), PAGE).withColumn("mark", _mark())
+    pieces = split_cross_boundary(inside)
+    left = ~F.col("moved") & (F.col("x") < F.col("boundary"))
+    numbered = F.coalesce(is_gutter_number(F.col("boundary")), F.lit(True))
+    sides = [F.array_sort(F.collect_list(F.when(~numbered & side, _fragment()))) for side in (F.coalesce(left, F.lit(False)), ~F.coalesce(left, F.lit(False)))]
+    pages = _with_grid(pieces.groupBy(*PAGE, "left_col", "right_col").agg(F.collect_list("mark").alias("marks"), F.array(*[F.struct(F.lit(k).alias("side"), s.alias("i")) for k, s in enumerate(sides)]).alias("sides")))
+    halves = pages.select(*PAGE, "left_col", "right_col", "first_y", "spacing", F.inline("sides"))
+    lines = _numbered(halves.select(*PAGE, "left_col", "right_col", "first_y", "spacing", "side", F.posexplode(_lines(F.col("i"))).alias("line_idx", "entries")))
     column = F.when(F.col("side") == 0, F.col("left_col")).otherwise(F.col("right_col"))
     rows = lines.select("doc_id", "page", "side", "line_idx", column.alias("column"), "line_number", line_entry(F.col("entries")).alias("e")).select("doc_id", "page", "side", "line_idx", "column", "line_number", "e.*")
     order = Window.partitionBy("doc_id").orderBy("page", "side", "line_idx")

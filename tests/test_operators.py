@@ -111,3 +111,17 @@ def test_flake_states(spark, outcomes, state):
     now = F.lit("2024-01-01").cast("timestamp")
     none = F.lit(None).cast("timestamp")
     assert df.select(R.flake_state(F.col("o"), none, F.lit(None).cast("array<timestamp>"), now).alias("s")).select("s.state").first()[0] == state
+
+
+def test_layout_by_hand(spark):
+    rows = [(f"w{i}{side}", x, 690 - 12 * i) for i in range(40) for side, x in (("a", 60.0), ("b", 340.0))]
+    rows += [("1", 150.0, 720.0), ("2", 430.0, 720.0), ("5", 300.0, 642.0), ("10", 300.0, 582.0), ("5", 301.0, 500.0)]
+    df = spark.createDataFrame(_items(rows), ITEMS)
+    assert tuple(L.column_boundary(df).select("boundary").first()) == (321.0,)  # points 302 to 339 are empty
+    assert [tuple(r) for r in L.gutter_grid(df.withColumn("boundary", F.lit(321.0))).select("first_y", "spacing").collect()] == [(690.0, 12.0)]
+    got = L.build_position_map(df).orderBy("entry_idx").collect()
+    assert [(r.column, r.line_number, r.text) for r in got] == [(c, i + 1, f"w{i}{side}") for c, side in ((1, "a"), (2, "b")) for i in range(40)]
+    assert L.build_position_map(df.where("x < 300")).count() == 0  # one column
+    bare = df.where("y < 702 AND (x < 300 OR x > 310)")  # no printed numbers, no marks: numbered by gaps
+    assert [(r.column, r.line_number) for r in L.build_position_map(bare).orderBy("entry_idx").collect()] == [(c, i + 1) for c in (1, 2) for i in range(40)]
+    assert L.build_position_map(df.limit(0)).count() == 0
