@@ -19,7 +19,7 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lineloom.functions import text as T
@@ -435,3 +435,14 @@ def find_exact(docs: DataFrame, passages: DataFrame, block: int = 50_000, per_co
             out = search(held) if out is None else out.unionAll(search(held))
             held = []
     return search(held) if out is None else out.unionAll(search(held)) if held else out
+
+
+def ensure_unique(text: Column, start: int, size: int = 12, step: int = 6, steps: int = 30) -> Column:
+    """The shortest size, grown in steps to the right, of the piece at start (from 1) that occurs once; null if none."""
+    sizes = F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda k: F.least(size + step * k, F.length(text) - (start - 1)))
+
+    def once(n: Column) -> Column:
+        piece = F.substr(text, F.lit(start), n)
+        return F.instr(F.substr(text, F.instr(text, piece) + 1), piece) == 0
+
+    return F.try_element_at(F.filter(sizes, once), F.lit(1))

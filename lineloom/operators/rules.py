@@ -12,6 +12,7 @@ DUP_THRESHOLD = 3
 CATEGORIES = ["inaccurate_citation", "no_match", "tool_not_working", "other"]
 TRIAGE_CLUSTER = 5
 RING = 10
+SEVERITIES = ["critical", "high", "medium", "low", "info"]
 FLAKE_DAYS, FLAKE_COUNT, SUPPRESS_DAYS = 14, 3, 30
 PROTECTED_PATHS = [r"^tests/test-cases\.js$", r"^tests/golden/baseline\.json$", r"^tests/e2e/test-cases-quarantine\.js$", r"^\.github/workflows/v40-[^/]*\.yml$", r"^tests/e2e/\.llm-spend-ledger\.json$", r"^\.github/CODEOWNERS$", r"^tests/e2e/\.rerun-ring-buffer\.json$", r"^tests/e2e/\.flake-suppression\.json$", r"^tests/e2e/lib/fix-prompt-builder\.js$", r"^tests/e2e/lib/llm-router\.js$"]
 
@@ -197,6 +198,43 @@ def parse_envelope(raw: Column, timed_out: Column) -> Column:
     return cascade([(timed_out, F.lit("timeout")), (raw.isNull() | (F.trim(raw) == ""), F.lit("empty")), (F.try_parse_json(raw).isNull(), F.lit("json_error")), (row["is_error"], F.lit("api_error"))], F.lit("ok"))
 
 
+def parse_single(raw: Column) -> Column:
+    """A struct of category and severity from an answer about one row; an answer that is no JSON is a harness error of
+    low severity, a severity not known is medium."""
+    row, good = F.from_json(raw, "severity string, category string"), F.try_parse_json(raw).isNotNull()
+    severity = cascade([(~good, F.lit("low")), (row["severity"].isin(*SEVERITIES), row["severity"])], F.lit("medium"))
+    return F.struct(F.when(good, row["category"]).otherwise("HARNESS_ERROR").alias("category"), severity.alias("severity"))
+
+
+def parse_cluster(df: DataFrame, answers: DataFrame, key: str, raw: str, out: str) -> DataFrame:
+    """df with the severity that an answer (a JSON array of key and severity) gives its row; rows that no answer names
+    are harness errors. The last of several severities in the order of their names counts."""
+    kind = df.schema[key].dataType.simpleString()
+    named = answers.select(F.explode(F.from_json(raw, f"array<struct<{key}: {kind}, severity: string>>")).alias("r")).groupBy(F.col(f"r.{key}").alias(key)).agg(F.max("r.severity").alias("__s"))
+    return df.join(named, key, "left").withColumn(out, F.coalesce("__s", F.lit("HARNESS_ERROR"))).drop("__s")
+
+
+def route(kind: Column, routes: dict[str, str], default: Column) -> Column:
+    """The route of a kind, or the default (also of a null kind)."""
+    return cascade([(kind == k, F.lit(v)) for k, v in routes.items()], default)
+
+
+def update_golden(case: Column, golden: Column, changed: str | int, value: Column) -> Column:
+    """The golden value with that of one case replaced; all others as they were."""
+    return F.when(case == F.lit(changed), value).otherwise(golden)
+
+
+def promote_move(stable_runs: Column, at: int = 3) -> Column:
+    """Where a case stands: golden from `at` stable runs on, else quarantine (also with none counted)."""
+    return F.when(stable_runs >= at, "golden").otherwise("quarantine")
+
+
+def access_status(preflight: Column, read: Column, origin: Column, token: Column, known: Column) -> Column:
+    """Who may call what: preflights always, cache reads from allowed origins, all else with a token; paths that are not
+    known are answered as such, without a token."""
+    return cascade([(preflight, F.lit(204)), (read & origin, F.lit(200)), (~read & token, F.lit(200)), (~known, F.lit(404))], F.lit(401))
+
+
 def partition_outdated(df: DataFrame, watched: DataFrame, vulnerable: DataFrame, name: str) -> DataFrame:
     """security before minor and major; packages off the watch list are skipped."""
     met = df.join(watched.select(name).distinct().withColumn("__w", F.lit(True)), name, "left").join(vulnerable.select(name).distinct().withColumn("__v", F.lit(True)), name, "left")

@@ -136,13 +136,10 @@ def locate_in_body(spark, sf_dir):
     return hits.select("doc_id", F.instr("t", F.col("hit.n")).cast("long").alias("place"), F.col("hit.attempt").alias("attempt"))
 
 
-@plans.add("ensure_unique")
+@plans.add("ensure_unique", f"SELECT doc_id, CAST(list_filter(list_transform(range(0, 31), lambda k: least(12 + 6 * k, length(t) - 20)), lambda n: NOT contains(substr(t, instr(t, substr(t, 21, n)) + 1), substr(t, 21, n)))[1] AS INT) AS size FROM (SELECT doc_id, {_TIGHT} AS t FROM documents) WHERE length(t) >= 60")
 def ensure_unique(spark, sf_dir):
-    """The shortest growth to the right, in steps of six, of a 12-character piece that occurs once."""
     rows = table(spark, sf_dir, "documents").select("doc_id", T.tight_norm(F.col("text")).alias("t")).where(F.length("t") >= 60)
-    sizes = F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.least(12 + 6 * k, F.length("t") - 20))
-    once = F.filter(sizes, lambda n: F.instr(F.substr("t", F.instr("t", F.substr("t", F.lit(21), n)) + 1), F.substr("t", F.lit(21), n)) == 0)
-    return rows.select("doc_id", F.try_element_at(once, F.lit(1)).alias("size"))
+    return rows.select("doc_id", M.ensure_unique(F.col("t"), 21).alias("size"))
 
 
 @plans.add("count_alpha_occurrences", f"SELECT doc_id, least(2, (length(t) - length(replace(t, 'thth', ''))) // 4) AS n FROM (SELECT doc_id, {_TIGHT} AS t FROM documents)")

@@ -106,14 +106,12 @@ def snk_upsert_case(spark, sf_dir):
 
 @plans.add("update_one_golden", "SELECT p_partkey, CASE WHEN p_partkey = 7 THEN '9:9' ELSE p_name END AS golden FROM part")
 def update_one_golden(spark, sf_dir):
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") == 7, "9:9").otherwise(F.col("p_name")).alias("golden"))
+    return table(spark, sf_dir, "part").select("p_partkey", R.update_golden(F.col("p_partkey"), F.col("p_name"), 7, F.lit("9:9")).alias("golden"))
 
 
 @plans.add("promote_move", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 3 THEN 'golden' ELSE 'quarantine' END AS place FROM customer")
 def promote_move(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % 4).alias("runs"))
-    moved, left = rows.where("runs >= 3").withColumn("place", F.lit("golden")), rows.where("runs < 3").withColumn("place", F.lit("quarantine"))
-    return moved.unionByName(left).drop("runs")
+    return table(spark, sf_dir, "customer").select("c_custkey", R.promote_move(F.col("c_custkey") % 4).alias("place"))
 
 
 _PATHS = "CASE event_id % 4 WHEN 0 THEN ['src/a.js', 'tests/golden/baseline.json'] WHEN 1 THEN ['.github/workflows/v40-x.yml', '.github/CODEOWNERS'] WHEN 2 THEN ['tests/golden/baseline.json.bak'] ELSE ['.github/workflows/e2e.yml'] END"
@@ -213,18 +211,14 @@ def parse_llm_envelope(spark, sf_dir):
 @plans.add("parse_llm_single", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'HARNESS_ERROR' ELSE 'UI_BROKEN' END AS category, CASE event_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS severity FROM events")
 def parse_llm_single(spark, sf_dir):
     raw = F.expr("""CASE event_id % 3 WHEN 0 THEN 'no json' WHEN 1 THEN '{"severity": "dire", "category": "UI_BROKEN"}' ELSE '{"severity": "high", "category": "UI_BROKEN"}' END""")
-    row = F.from_json(raw, "severity string, category string")
-    good = F.try_parse_json(raw).isNotNull()
-    severity = F.when(~good, "low").when(row["severity"].isin("critical", "high", "medium", "low", "info"), row["severity"]).otherwise("medium")
-    return table(spark, sf_dir, "events").select("event_id", F.when(good, row["category"]).otherwise("HARNESS_ERROR").alias("category"), severity.alias("severity"))
+    return table(spark, sf_dir, "events").select("event_id", R.parse_single(raw).alias("v")).select("event_id", "v.*")
 
 
 @plans.add("parse_llm_cluster", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'high' ELSE 'HARNESS_ERROR' END AS found FROM events WHERE event_id < 100")
 def parse_llm_cluster(spark, sf_dir):
     events = table(spark, sf_dir, "events").where("event_id < 100").select("event_id")
     answer = events.where("event_id % 2 = 0").agg(F.to_json(F.collect_list(F.struct("event_id", F.lit("high").alias("severity")))).alias("raw"))
-    rows = answer.select(F.explode(F.from_json("raw", "array<struct<event_id: long, severity: string>>")).alias("r")).select("r.*")
-    return events.join(rows, "event_id", "left").select("event_id", F.coalesce("severity", F.lit("HARNESS_ERROR")).alias("found"))
+    return R.parse_cluster(events, answer, "event_id", "raw", "found")
 
 
 @plans.add("classify_iteration", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'LLM_HALLUCINATED_SELECTION' WHEN event_id % 4 = 1 THEN 'HARNESS_ERROR' WHEN event_id % 4 = 2 THEN 'VERIFIER_DISAGREE' ELSE 'PASS' END AS classification FROM events")
@@ -236,14 +230,13 @@ def classify_iteration(spark, sf_dir):
 
 @plans.add("route_model", "SELECT event_id, CASE event_type WHEN 'error' THEN 'large' WHEN 'view' THEN 'small' ELSE 'medium' END AS route FROM events")
 def route_model(spark, sf_dir):
-    routes = F.create_map(F.lit("error"), F.lit("large"), F.lit("view"), F.lit("small"))
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.try_element_at(routes, F.col("event_type")), F.lit("medium")).alias("route"))
+    return table(spark, sf_dir, "events").select("event_id", R.route(F.col("event_type"), {"error": "large", "view": "small"}, F.lit("medium")).alias("route"))
 
 
 @plans.add("escalation_map", "SELECT event_id, CASE event_type WHEN 'error' THEN 'build' WHEN 'view' THEN 'skip' ELSE 'unsupported-class:' || event_type END AS action FROM events")
 def escalation_map(spark, sf_dir):
-    actions = F.create_map(F.lit("error"), F.lit("build"), F.lit("view"), F.lit("skip"))
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.try_element_at(actions, F.col("event_type")), F.concat(F.lit("unsupported-class:"), "event_type")).alias("action"))
+    unsupported = F.concat(F.lit("unsupported-class:"), "event_type")
+    return table(spark, sf_dir, "events").select("event_id", R.route(F.col("event_type"), {"error": "build", "view": "skip"}, unsupported).alias("action"))
 
 
 _STATE = "CASE event_id % 5 WHEN 0 THEN 'idle' WHEN 1 THEN 'fetching' WHEN 2 THEN 'parsing' WHEN 3 THEN 'no-text-layer' ELSE 'parsed' END"

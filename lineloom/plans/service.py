@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lineloom.functions import text as T
+from lineloom.functions.citation import parse_citation
 from lineloom.operators import html as H
 from lineloom.operators import intake as I
 from lineloom.operators import verify as V
@@ -71,15 +73,32 @@ def lines_in_range(spark, sf_dir):
     return V.lines_in_range(_cases(spark, sf_dir), _map(spark, sf_dir)).select("case_id", F.size("lines").alias("n"))
 
 
-@plans.add("verify_citation")
+# A case's text is words 9 to 16, its cited lines words a to b, those within ten lines around words x to y (lines from
+# `low` on), `base` the words before its column.
+_CASES = f"""SELECT doc_id AS case_id, w, t, CASE WHEN m = 1 THEN replace(t, ' ', '  ') ELSE t END AS asked, array_to_string(w[a:b], ' ') AS e, array_to_string(w[x:y], ' ') AS around, y, base, low, cited, (y - base) // 4 AS high
+FROM (SELECT doc_id, w, doc_id % 4 AS m, array_to_string(w[9:16], ' ') AS t, [9, 9, 25, 137][m + 1] AS a, [16, 20, 32, 144][m + 1] AS b, [1, 1, 1, 97][m + 1] AS x, [56, 60, 72, 160][m + 1] AS y, [0, 0, 0, 80][m + 1] AS base, [1, 1, 1, 5][m + 1] AS low, [3, 3, 7, 15][m + 1] AS cited FROM ({_W}))"""
+_OFFSET = "list_max(list_filter(range(low, high + 1), lambda n: contains(array_to_string(w[base + 4 * n - 3 : y], ' '), t))) - cited"
+_TIGHT = "lower(regexp_replace({x}, '[^a-zA-Z0-9]+', '', 'g'))"
+_IN = f"contains({_TIGHT.format(x='{x}')}, {_TIGHT.format(x='asked')})"
+_VERIFIED = f"""SELECT case_id, CASE tier WHEN 'D' THEN 'disagree' ELSE 'pass' END AS status, tier, CAST(CASE tier WHEN 'C' THEN coalesce(off, 0) WHEN 'D' THEN NULL ELSE 0 END AS INT) AS "offset"
+FROM (SELECT case_id, {_OFFSET} AS off, CASE WHEN contains(e, asked) THEN 'A' WHEN {_IN.format(x='e')} THEN 'B' WHEN {_IN.format(x='around')} THEN 'C' ELSE 'D' END AS tier FROM ({_CASES}))"""
+
+
+@plans.add("verify_citation", _VERIFIED)
 def verify_citation(spark, sf_dir):
     return V.verify_citations(_cases(spark, sf_dir), _map(spark, sf_dir))
 
 
-plans.QUERIES["signed_offset"] = verify_citation
+@plans.add("signed_offset", f'SELECT case_id, CAST({_OFFSET} AS INT) AS "offset" FROM ({_CASES})')
+def signed_offset(spark, sf_dir):
+    """Of every case, whatever its tier."""
+    cases = _cases(spark, sf_dir)
+    wide = V.lines_in_range(cases, _map(spark, sf_dir), V.TOLERANCE_LINES, V.TOLERANCE_LINES)
+    met = cases.join(wide, "case_id", "left").select("case_id", "text", "lines", parse_citation(F.col("citation")).alias("c"))
+    return met.select("case_id", V.signed_offset(F.col("lines"), T.collapse(F.col("text")), *[F.col(f"c.{x}") for x in ("start_col", "start_line", "end_col", "end_line")]).cast("int").alias("offset"))
 
 
-@plans.add("calibrate")
+@plans.add("calibrate", f"SELECT {', '.join(f'count(*) FILTER (tier = {chr(39)}{x}{chr(39)}) AS {chr(34)}{x}{chr(34)}' for x in 'ABCD')}, round(count(*) FILTER (tier <> 'D') / count(*), 9) AS rate, count(*) FILTER (tier <> 'D') / count(*) >= 0.95 AS passed FROM ({_VERIFIED})")
 def calibrate(spark, sf_dir):
     return V.calibrate(V.verify_citations(_cases(spark, sf_dir), _map(spark, sf_dir)))
 
@@ -143,7 +162,16 @@ _limit("rl_ip_5_per_60s", 5, 60 * 720)
 _limit("rl_webapp_30_per_60s", 30, 60 * 1440)
 
 
-@plans.add("rl_client_sliding_5_per_10m")
+def _sliding_sql(limit: int, window: int, key: str) -> str:
+    """A recursive walk over each key's rows with the times of its last allowed calls."""
+    fits = f"(len(r.log) < {limit} OR o.sec - r.log[1] >= {window})"
+    return f"""WITH RECURSIVE o AS (SELECT {key} AS k, event_id, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT k, event_id, n, true AS allowed, [sec] AS log FROM o WHERE n = 1 UNION ALL
+SELECT o.k, o.event_id, o.n, {fits}, CASE WHEN {fits} THEN list_append(CASE WHEN len(r.log) < {limit} THEN r.log ELSE r.log[2:] END, o.sec) ELSE r.log END FROM r JOIN o ON o.k = r.k AND o.n = r.n + 1)
+SELECT event_id, allowed FROM r"""
+
+
+@plans.add("rl_client_sliding_5_per_10m", _sliding_sql(5, 600 * 300, "user_id"))
 def rl_client_sliding_5_per_10m(spark, sf_dir):
     return I.fold(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], _seconds(), lambda: I.SlidingLog(5, 600 * 300), "allowed").select("event_id", "allowed")
 

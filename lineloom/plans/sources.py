@@ -85,25 +85,21 @@ def src_html(spark, sf_dir):
 
 @plans.add("src_remote_3step", "SELECT o_custkey, arg_min(o_orderkey, (CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END, o_orderkey)) AS picked FROM orders WHERE o_orderstatus = 'F' OR o_orderpriority LIKE '%URGENT%' GROUP BY 1")
 def src_remote_3step(spark, sf_dir):
-    """The pick rule alone: a document with the wanted code first, else the first whose description says so."""
-    code = F.col("o_orderstatus") == "F"
-    rows = table(spark, sf_dir, "orders").where(code | F.col("o_orderpriority").contains("URGENT"))
-    return rows.groupBy("o_custkey").agg(F.min_by("o_orderkey", F.struct(F.when(code, 0).otherwise(1), "o_orderkey")).alias("picked"))
+    """The pick rule over a listing; what it picks would be fetched."""
+    rows = table(spark, sf_dir, "orders")
+    return S.pick_listed(rows, "o_custkey", "o_orderkey", F.col("o_orderstatus") == "F", F.col("o_orderpriority").contains("URGENT")).withColumnRenamed("o_orderkey", "picked")
 
 
 @plans.add("src_pdf_disk_cache", "SELECT doc_id, length(text) >= 500 AND source <> 'src0' AS usable FROM documents")
 def src_pdf_disk_cache(spark, sf_dir):
-    """The acceptance rule of a cached file: long enough and of the right kind."""
-    return table(spark, sf_dir, "documents").select("doc_id", ((F.length("text") >= 500) & (F.col("source") != "src0")).alias("usable"))
+    return table(spark, sf_dir, "documents").select("doc_id", S.usable(F.length("text"), F.col("source") != "src0", 500).alias("usable"))
 
 
 @plans.add("auth_cors_routes", "SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 204 WHEN event_type = 'view' AND user_id % 3 = 1 THEN 200 WHEN event_type <> 'view' AND event_id % 2 = 0 THEN 200 WHEN event_type = 'signup' THEN 404 ELSE 401 END AS status FROM events")
 def auth_cors_routes(spark, sf_dir):
-    """Who may call what: preflight always, cache reads from allowed origins, all else with a token."""
     preflight, allowed, token = F.col("user_id") % 3 == 0, F.col("user_id") % 3 == 1, F.col("event_id") % 2 == 0
-    read = F.col("event_type") == "view"
-    rules = [(preflight, F.lit(204)), (read & allowed, F.lit(200)), (~read & token, F.lit(200)), (F.col("event_type") == "signup", F.lit(404))]
-    return table(spark, sf_dir, "events").select("event_id", R.cascade(rules, F.lit(401)).alias("status"))
+    status = R.access_status(preflight, F.col("event_type") == "view", allowed, token, F.col("event_type") != "signup")
+    return table(spark, sf_dir, "events").select("event_id", status.alias("status"))
 
 
 @plans.add("alpha_only", "SELECT doc_id, regexp_replace(text, '[^a-zA-Z0-9]+', '', 'g') AS out FROM documents")

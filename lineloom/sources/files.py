@@ -75,3 +75,15 @@ def markdown_rows(df: DataFrame) -> DataFrame:
     cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]), F.lit(" |"))
     head = df.sparkSession.range(1).select(F.explode(F.array(F.lit("| " + " | ".join(df.columns) + " |"), F.lit("|" + " --- |" * len(df.columns)))).alias("line"))
     return head.unionAll(df.select(cells.alias("line")))
+
+
+def pick_listed(listing: DataFrame, key: str, item: str, code: Column, named: Column) -> DataFrame:
+    """key, item: of each key's listed items the one to fetch, the first with the wanted code, else the first whose
+    description names it; keys without either are left out."""
+    rows = listing.select(key, item, F.coalesce(code, F.lit(False)).alias("__c"), named.alias("__n")).where("__c OR __n")
+    return rows.groupBy(key).agg(F.min_by(item, F.struct(~F.col("__c"), item)).alias(item))
+
+
+def usable(size: Column, right_kind: Column, least: int) -> Column:
+    """Whether a cached file may be used again: long enough and of the right kind."""
+    return (size >= least) & right_kind
