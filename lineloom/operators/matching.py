@@ -28,6 +28,8 @@ from lineloom.functions import text as T
 FUZZY_MOST, FUZZY_SHARE, FUZZY_LEAST = 100, 0.2, 0.80
 BOOKEND, BOOKEND_LINES = 50, 60
 GUTTER_CONFIDENCE, OCR_PENALTY, CONTEXT_MORE = 0.85, 0.02, 50
+#: Passages of a document in one task; it changes the plan, not the rows.
+SHARE = 5_000
 _SPACE = re.compile(rf"[{T.WS}]+")
 _DROP = {ord(c): None for c in T.INVISIBLE} | {ord(a): b for a, b in zip(T.TYPOGRAPHIC, T.ASCII_FORMS, strict=True)} | {ord(a): b for a, b in T.LIGATURES}
 _ODD = re.compile("[" + "".join(map(re.escape, map(chr, _DROP))) + "]")
@@ -353,13 +355,18 @@ def cite(passages: DataFrame, lines: DataFrame) -> DataFrame:
     """passages (doc_id, passage_id, text[, before, after]) against lines (doc_id, entry_idx, column, line_number, text,
     wrap_hyphen) -> passage_id, doc_id, citation, confidence, tier; null where nothing fits.
 
-    Both sides meet by document; the lines of one document are joined once for all its passages.
+    Both sides meet by document. A document's lines are joined once for each SHARE of its passages: one of which more
+    are asked is dealt over as many tasks as it needs, by the passage's hash, with its lines sent to each.
     """
     asked = passages
     for name in ("before", "after"):
         if name not in asked.columns:
             asked = asked.withColumn(name, F.lit(""))
 
+    shares = passages.groupBy("doc_id").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("__n"))
+    hot = shares.where("__n > 1")
+    place = F.pmod(F.xxhash64("passage_id", "text", "before", "after"), F.coalesce("__n", F.lit(1))).cast("int")
+
     def cited(asked: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
         lines = lines.sort_values("entry_idx")
         page = join_lines(lines["text"].tolist(), lines["column"].tolist(), lines["wrap_hyphen"].tolist())
@@ -376,8 +383,9 @@ def cite(passages: DataFrame, lines: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["passage_id", "doc_id", "citation", "confidence", "tier"]).astype({"confidence": "float64", "tier": "Int32"})
 
     kinds = [f.dataType.simpleString() for f in (passages.schema["passage_id"], passages.schema["doc_id"])]
-    keep = lines.select("doc_id", "entry_idx", "column", "line_number", "text", "wrap_hyphen").join(passages.select("doc_id").distinct(), "doc_id", "left_semi")
-    return asked.select("doc_id", "passage_id", "text", "before", "after").groupBy("doc_id").cogroup(keep.groupBy("doc_id")).applyInPandas(cited, f"passage_id {kinds[0]}, doc_id {kinds[1]}, citation string, confidence double, tier int")
+    keep = lines.select("doc_id", "entry_idx", "column", "line_number", "text", "wrap_hyphen").join(shares, "doc_id").withColumn("__p", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
+    dealt = asked.select("doc_id", "passage_id", "text", "before", "after").join(hot, "doc_id", "left").withColumn("__p", place).drop("__n")
+    return dealt.groupBy("doc_id", "__p").cogroup(keep.groupBy("doc_id", "__p")).applyInPandas(cited, f"passage_id {kinds[0]}, doc_id {kinds[1]}, citation string, confidence double, tier int")
 
 
 def find_exact(docs: DataFrame, passages: DataFrame, block: int = 50_000, per_column: int = 67) -> DataFrame:

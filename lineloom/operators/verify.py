@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -95,6 +97,11 @@ def lines_in_range(cases: DataFrame, lines: DataFrame, before: int = 0, after: i
     return met.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("column", "line_number", "text"))).alias("lines"))
 
 
+def _cited(c: Column) -> Callable[[Column], Column]:
+    """Whether a line lies in a parsed citation."""
+    return lambda x: ((x["column"] > c["start_col"]) | (x["line_number"] >= c["start_line"])) & ((x["column"] < c["end_col"]) | (x["line_number"] <= c["end_line"]))
+
+
 def _joined(lines: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(lines, lambda x: x["text"]), " "), F.lit(""))
 
@@ -114,11 +121,11 @@ def verify_citations(cases: DataFrame, lines: DataFrame) -> DataFrame:
     """cases (case_id, doc_id, text, citation) -> case_id, status, tier, offset.
 
     A: the text stands in the cited lines; B: it does in one of three normal forms; C: so within ten lines around;
-    D: none. Cited lines without text are never A.
+    D: none. Cited lines without text are never A. Lines move once: the cited ones are taken from those around.
     """
-    exact = lines_in_range(cases, lines).withColumnRenamed("lines", "exact")
     wide = lines_in_range(cases, lines, TOLERANCE_LINES, TOLERANCE_LINES).withColumnRenamed("lines", "wide")
-    met = cases.join(exact, "case_id", "left").join(wide, "case_id", "left").select("case_id", "text", parse_citation(F.col("citation")).alias("c"), _joined(F.col("exact")).alias("e"), _joined(F.col("wide")).alias("w"), "wide")
+    around = cases.join(wide, "case_id", "left").select("case_id", "text", parse_citation(F.col("citation")).alias("c"), "wide")
+    met = around.select("*", _joined(F.filter("wide", _cited(F.col("c")))).alias("e"), _joined(F.col("wide")).alias("w"))
     tier = F.when((F.trim("e") != "") & F.contains("e", F.col("text")), "A").when(_any_form(F.col("e"), F.col("text")), "B").when(_any_form(F.col("w"), F.col("text")), "C").otherwise("D")
     graded = met.withColumn("tier", tier)
     offset = F.coalesce(signed_offset(F.col("wide"), T.collapse(F.col("text")), F.col("c.start_col"), F.col("c.start_line"), F.col("c.end_col"), F.col("c.end_line")), F.lit(0))

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lineloom.operators import matching as M
 
@@ -93,6 +94,25 @@ def test_cite_over_frames(spark):
     assert got == {10: "1:1-2", 11: "1:2-2:1", 12: None, 13: None}
 
 
+def test_passages_of_a_hot_document_are_dealt(spark, monkeypatch):
+    lines = spark.createDataFrame([(d, i, 1, 1 + i, f"word{i} of line{i} number{i}", False) for d in (1, 2) for i in range(30)], "doc_id long, entry_idx int, column int, line_number int, text string, wrap_hyphen boolean")
+    asked = spark.createDataFrame([(1, i, f"line{i} number{i}") for i in range(30)] + [(2, 40, "line7"), (None, 41, "line7"), (3, 42, None)], "doc_id long, passage_id long, text string")
+    want = {**{i: f"1:{i + 1}" for i in range(30)}, 40: "1:8", 41: None, 42: None}
+    for share in (2, 7, 5_000):
+        monkeypatch.setattr(M, "SHARE", share)
+        rows = M.cite(asked, lines).collect()
+        assert len(rows) == len(want)
+        assert {r.passage_id: r.citation for r in rows} == want
+
+
+def test_unique_pieces_against_a_search(spark):
+    r = random.Random(9)
+    texts = ["".join(r.choice("ab") for _ in range(n)) for n in (60, 61, 90, 300)] + ["ab" * 60]
+    got = [x.s for x in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", M.ensure_unique(F.col("t"), 21).alias("s")).orderBy("i").collect()]
+    want = [next((n for n in (min(12 + 6 * k, len(t) - 20) for k in range(31)) if len(M.starts(t, t[20 : 20 + n])) == 1), None) for t in texts]
+    assert got == want
+
+
 def test_find_exact_in_blocks(spark):
     docs = spark.createDataFrame([(1, "one two\n\nthree four five"), (2, None), (3, "")], "doc_id long, text string")
     asked = spark.createDataFrame([(1, "two three"), (2, "four"), (3, None), (4, "absent")], "passage_id long, text string")

@@ -125,3 +125,29 @@ def test_layout_by_hand(spark):
     bare = df.where("y < 702 AND (x < 300 OR x > 310)")  # no printed numbers, no marks: numbered by gaps
     assert [(r.column, r.line_number) for r in L.build_position_map(bare).orderBy("entry_idx").collect()] == [(c, i + 1) for c in (1, 2) for i in range(40)]
     assert L.build_position_map(df.limit(0)).count() == 0
+
+
+def test_parsed_answers(spark):
+    raws = ['{"severity": "high", "category": "x"}', '{"severity": "dire", "category": "x"}', "no json", None]
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "i long, raw string")
+    got = [tuple(r) for r in df.select("i", R.parse_single(F.col("raw")).alias("v")).orderBy("i").select("v.*").collect()]
+    assert got == [("x", "high"), ("x", "medium"), ("HARNESS_ERROR", "low"), ("HARNESS_ERROR", "low")]
+    answers = spark.createDataFrame([('[{"i": 0, "severity": "low"}, {"i": 9, "severity": "low"}]',), ("no json",), (None,)], "raw string")
+    assert [(r.i, r.s) for r in R.parse_cluster(df.select("i"), answers, "i", "raw", "s").orderBy("i").collect()] == [(0, "low")] + [(i, "HARNESS_ERROR") for i in (1, 2, 3)]
+
+
+def test_places_and_access(spark):
+    df = spark.createDataFrame([(2,), (3,), (None,)], "n int")
+    assert [r[0] for r in df.select(R.promote_move(F.col("n"))).collect()] == ["quarantine", "golden", "quarantine"]
+    assert [r[0] for r in df.select(R.route(F.col("n").cast("string"), {"2": "a"}, F.lit("z"))).collect()] == ["a", "z", "z"]
+    calls = [(True, False, False, False, True), (False, True, True, False, True), (False, True, False, True, True), (False, False, False, True, True), (False, False, False, False, False), (False, False, True, False, True)]
+    rows = spark.createDataFrame(calls, "p boolean, r boolean, o boolean, t boolean, k boolean")
+    assert [x[0] for x in rows.select(R.access_status(*map(F.col, "protk"))).collect()] == [204, 200, 401, 200, 404, 401]
+
+
+def test_listed_items(spark):
+    from lineloom.sources import files as S
+
+    rows = [(1, 5, "B1", "x"), (1, 4, "A", "the grant"), (1, 7, "B1", "y"), (2, 3, "A", "the grant"), (2, 2, None, "the grant"), (3, 1, "A", None)]
+    df = spark.createDataFrame(rows, "k long, i long, code string, d string")
+    assert {r.k: r.i for r in S.pick_listed(df, "k", "i", F.col("code") == "B1", F.col("d").contains("grant")).collect()} == {1: 5, 2: 2}
