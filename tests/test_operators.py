@@ -1,5 +1,6 @@
 """Citations, layout, verification and intake on small frames."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -151,3 +152,44 @@ def test_listed_items(spark):
     rows = [(1, 5, "B1", "x"), (1, 4, "A", "the grant"), (1, 7, "B1", "y"), (2, 3, "A", "the grant"), (2, 2, None, "the grant"), (3, 1, "A", None)]
     df = spark.createDataFrame(rows, "k long, i long, code string, d string")
     assert {r.k: r.i for r in S.pick_listed(df, "k", "i", F.col("code") == "B1", F.col("d").contains("grant")).collect()} == {1: 5, 2: 2}
+
+
+def test_boundaries_of_uneven_pages_against_a_scan(spark):
+    """One column, few items, gaps off the middle or at the range's end, none at all."""
+    r = random.Random(4)
+    pages = {}
+    for p in range(60):
+        gap = r.choice([(0, 0), (290, 312), (200, 240), (440, 470), (150, 175), (300, 306)])
+        xs = [x + 0.5 for x in r.sample(range(40, 570), r.choice([20, 60, 300, 500])) if not gap[0] <= x < gap[1]]
+        pages[p] = [x for x in xs if x < 306] if p % 7 == 0 else xs
+    rows = [(1, p, i, "t", x, 500.0, 5.0, 10.0, 612.0, 792.0) for p, xs in pages.items() for i, x in enumerate(xs)]
+
+    def scan(xs):
+        left = sum(x < 306 for x in xs)
+        few, many = sorted((left, len(xs) - left))
+        if len(xs) < 30 or few <= 0.3 * many:
+            return 612.0, False
+        full, runs, at = {int(x) for x in xs}, [], 153
+        while at < 459:
+            stop = at
+            while stop < 459 and stop not in full:
+                stop += 1
+            if stop - at >= L.GAP:
+                runs.append((stop == 459, abs((at + stop) / 2 - 306), at, (at + stop) / 2))
+            at = stop + 1
+        return min(runs)[3] if runs else 306.0, True
+
+    got = {x.page: (x.boundary, x.two_column) for x in V.boundary(spark.createDataFrame(rows, ITEMS)).collect()}
+    assert got == {p: scan(xs) for p, xs in pages.items() if xs}
+    assert len({b for b, _ in got.values()}) > 5
+
+
+def test_printed_and_missing_column_numbers(spark):
+    def mark(doc, page, text, x, y=700.0):
+        return (doc, page, 0, text, float(x), y, 8.0, 10.0, 612.0, 792.0)
+
+    rows = [mark(1, 0, "5", 150), mark(1, 0, "3", 100), mark(1, 0, "4", 400), mark(1, 0, "6.", 420), mark(1, 1, "7", 150), mark(1, 2, "9", 150), mark(1, 2, "10", 400, 600.0), mark(1, 3, "x1", 150), mark(1, 3, "2", 400)]
+    assert [(x.page, x.left, x.right) for x in V.printed_columns(spark.createDataFrame(rows, ITEMS)).collect()] == [(0, 3, 4)]
+    pages = [(1, 0, True, None), (1, 1, True, None), (1, 2, True, 5), (1, 3, True, None), (2, 0, False, None), (2, 1, True, None), (2, 2, True, 3), (3, 0, True, None), (3, 1, True, 4), (4, 0, True, None)]
+    got = {(x.doc_id, x.page): x.left for x in V.backfill_columns(spark.createDataFrame(pages, "doc_id long, page int, two_column boolean, left int")).collect()}
+    assert got == {(1, 0): 1, (1, 1): 3, (1, 2): 5, (1, 3): None, (2, 0): None, (2, 1): 1, (2, 2): 3, (3, 0): None, (3, 1): 4, (4, 0): None}
