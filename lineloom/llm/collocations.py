@@ -140,21 +140,22 @@ def _longer(last: bool):
 
     def stepped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                phrases, lens, lefts, rights = row["phrases"], np.array(row["lens"], np.int64), row["lefts"] or None, row["rights"] or None
+            for i in range(batch.num_rows):
+                phrases, lens, lefts, rights, known = (batch.column(c)[i].values for c in ("phrases", "lens", "lefts", "rights", "known"))
                 total = np.zeros(len(phrases), np.int64)
-                for one in row["known"]:
-                    total[one["idx"]] = one["a"]
-                a, b, counts, places = extend(lens, _unpacked(row["places"]), total > 0)
+                total[known.field("idx").to_numpy()] = known.field("a").to_numpy()
+                a, b, counts, places = extend(lens.to_numpy(), _unpacked(batch.column("places")[i].as_py()), total > 0)
                 if not len(counts):
                     continue
-                a, b = a.tolist(), b.tolist()
-                ends = {j: phrases[j][phrases[j].rfind(" ") + 1 :] for j in set(b)}
-                total = total.tolist()
-                made = [f"{phrases[i]} {ends[j]}" for i, j in zip(a, b, strict=True)]
-                left = [[*lefts[i], total[i]] if lefts else [total[i]] for i in a]
-                right = [[total[j], *rights[j]] if rights else [total[j]] for j in b]
-                yield _row(row["seg"], row["lang"], made, counts, left, right, places[:0] if last else places)
+                used = np.unique(np.concatenate((a, b)))
+                name = phrases.take(pa.array(used)).to_pylist()
+                left, right = (x.take(pa.array(used)).to_pylist() if len(x) else [[]] * len(used) for x in (lefts, rights))
+                end = [p[p.rfind(" ") + 1 :] for p in name]
+                total = total[used].tolist()
+                pairs = list(zip(np.searchsorted(used, a).tolist(), np.searchsorted(used, b).tolist(), strict=True))
+                made = [f"{name[x]} {end[y]}" for x, y in pairs]
+                more, rest = [[*left[x], total[x]] for x, _ in pairs], [[total[y], *right[y]] for _, y in pairs]
+                yield _row(batch.column("seg")[i].as_py(), batch.column("lang")[i].as_py(), made, counts, more, rest, places[:0] if last else places)
 
     return stepped
 
