@@ -7,13 +7,14 @@ exact count in the segment, and the sum over segments is its frequency. A phrase
 the places of a frequent phrase with the postings of the word after it. Past two words, those postings are narrowed to the
 places where the word ends a frequent phrase of k words, as any other cannot end a longer frequent one.
 
-Only (segment, phrase, length) rows move between levels, one a segment and phrase, so a phrase that stands everywhere is
-one row a segment; frequencies go back to the segments by segment. The frequencies of all first and last parts of a phrase
-travel with it, so no candidate looks them up.
+Between levels only (segment, phrase, length) rows move, one a segment and phrase, so a phrase that stands everywhere is one
+row a segment; the frequent ones go back to their segments, which join once more and keep these lists alone. The
+frequencies of all first and last parts of a phrase travel with its list, so no candidate looks them up.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ LONGEST = 5
 TOP = 2000
 NO_LANG = "und"
 #: Bytes of text of a segment, about. A longer text is cut at the end of a piece.
-SEGMENT_BYTES = 16 << 20
+SEGMENT_BYTES = 8 << 20
 #: Parts into which a language's candidates are dealt for ranking; each gives at most the rows that are asked for.
 SALTS = 64
 
@@ -41,7 +42,9 @@ for _c in UPPER.encode():
     _MAP[_c] += 32
 _PIECES = bytes(_MAP)
 
-LISTS = "seg long, lang string, phrases array<string>, lens array<int>, lefts array<array<long>>, rights array<array<long>>, places binary"
+POSTINGS = "seg long, lang string, phrases array<string>, lens array<int>, places binary"
+LISTS = "seg long, lang string, phrases array<string>, known array<struct<a: long, first: boolean, lefts: array<long>, rights: array<long>>>, lens array<int>, places binary"
+COUNTS = "seg long, lang string, phrase string, n long"
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -50,12 +53,14 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 def _packed(places: np.ndarray) -> bytes:
-    """Differences of places by byte plane, as their upper bytes are mostly zero and so compress."""
-    return np.diff(places.astype("<i4"), prepend=np.int32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+    """Differences of places by byte plane, as their upper bytes are mostly zero, compressed."""
+    planes = np.diff(places.astype("<i4"), prepend=np.int32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def _unpacked(packed: bytes) -> np.ndarray:
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view("<i4").ravel(), dtype=np.int64)
+    planes = pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<i4").ravel(), dtype=np.int32)
 
 
 def postings(texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -75,19 +80,17 @@ def postings(texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
     return [w.decode("utf-8", "replace") for w in list(codes)[1:]], lens[1:], order[lens[0] :]
 
 
-def extend(lens: np.ndarray, places: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def extend(lens: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """One word longer: (number of the first part, number of the last part, lengths, places) of every phrase that occurs.
 
-    lens and places: the lists of phrases of k words; kept: whether each is frequent. The list of a phrase is merge-joined
-    with the lists at the next place: for k = 1 the postings of the next word, else these narrowed as above.
+    lens and places: the lists of the frequent phrases of k words. The list of a phrase is merge-joined with the lists at the
+    next place: for k = 1 the postings of the next word, else these narrowed as above.
     """
-    number = np.repeat(np.arange(len(lens)), lens)
-    on = kept[number]
-    number, places = number[on], places[on]
+    number = np.repeat(np.arange(len(lens), dtype=np.int32), lens)
     order = np.argsort(places, kind="stable")
     number, places = number[order], places[order]
     here = np.flatnonzero(np.diff(places) == 1)  # a place holds one phrase of k words, so the next entry is its neighbour
-    pair = number[here] * len(lens) + number[here + 1]
+    pair = number[here].astype(np.int64) * len(lens) + number[here + 1]
     order = np.argsort(pair, kind="stable")
     pair, places = pair[order], places[here][order]
     first = np.flatnonzero(np.diff(pair, prepend=-1))
@@ -95,10 +98,28 @@ def extend(lens: np.ndarray, places: np.ndarray, kept: np.ndarray) -> tuple[np.n
     return *np.divmod(pair[first], max(1, len(lens))), counts, places
 
 
-def _row(seg: int, lang: str, phrases: list[str], lens: np.ndarray, lefts: list[list[int]], rights: list[list[int]], places: np.ndarray) -> pa.RecordBatch:
-    longs = pa.list_(pa.list_(pa.int64()))
-    columns = [pa.array([seg], pa.int64()), pa.array([lang], pa.string()), pa.array([phrases], pa.list_(pa.string())), pa.array([lens.astype(np.int32)], pa.list_(pa.int32())), pa.array([lefts], longs), pa.array([rights], longs), pa.array([_packed(places)], pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=["seg", "lang", "phrases", "lens", "lefts", "rights", "places"])
+def _chosen(lens: np.ndarray, places: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists of these numbers, in this order of rising numbers."""
+    on = np.zeros(len(lens), bool)
+    on[kept] = True
+    return lens[kept], places[np.repeat(on, lens)]
+
+
+def _longer_names(phrases: pa.Array, a: np.ndarray, b: np.ndarray) -> list[str]:
+    """Of every pair of a first and a last part, the phrase: the first and the last's last word."""
+    name = phrases.to_pylist()
+    end = [p[p.rfind(" ") + 1 :] for p in name]
+    return [f"{name[i]} {end[j]}" for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+
+
+def _frame(schema: pa.Schema, *values: object) -> pa.RecordBatch:
+    """A batch of one row."""
+    return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, schema.types, strict=True)], schema=schema)
+
+
+_POSTINGS = pa.schema([("seg", pa.int64()), ("lang", pa.string()), ("phrases", pa.list_(pa.string())), ("lens", pa.list_(pa.int32())), ("places", pa.binary())])
+_KNOWN = pa.list_(pa.struct([("a", pa.int64()), ("first", pa.bool_()), ("lefts", pa.list_(pa.int64())), ("rights", pa.list_(pa.int64()))]))
+_LISTS = pa.schema([("seg", pa.int64()), ("lang", pa.string()), ("phrases", pa.list_(pa.string())), ("known", _KNOWN), ("lens", pa.list_(pa.int32())), ("places", pa.binary())])
 
 
 def _slices(text: bytes, most: int) -> Iterator[bytes]:
@@ -120,7 +141,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, texts in held.items():
             words, lens, places = postings(texts)
             if words:
-                yield _row(seg, lang, words, lens, [], [], places)
+                yield _frame(_POSTINGS, seg, lang, words, lens.astype(np.int32), _packed(places))
                 seg += 1
 
     for batch in batches:
@@ -135,39 +156,55 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from closed()
 
 
-def _longer(last: bool):
-    """The step from frequent phrases of a segment to its phrases of one word more; the last step needs no places."""
-
-    def stepped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                phrases, lens, lefts, rights, known = (batch.column(c)[i].values for c in ("phrases", "lens", "lefts", "rights", "known"))
-                total = np.zeros(len(phrases), np.int64)
-                total[known.field("idx").to_numpy()] = known.field("a").to_numpy()
-                a, b, counts, places = extend(lens.to_numpy(), _unpacked(batch.column("places")[i].as_py()), total > 0)
-                if not len(counts):
-                    continue
-                used = np.unique(np.concatenate((a, b)))
-                name = phrases.take(pa.array(used)).to_pylist()
-                left, right = (x.take(pa.array(used)).to_pylist() if len(x) else [[]] * len(used) for x in (lefts, rights))
-                end = [p[p.rfind(" ") + 1 :] for p in name]
-                total = total[used].tolist()
-                pairs = list(zip(np.searchsorted(used, a).tolist(), np.searchsorted(used, b).tolist(), strict=True))
-                made = [f"{name[x]} {end[y]}" for x, y in pairs]
-                more, rest = [[*left[x], total[x]] for x, _ in pairs], [[total[y], *right[y]] for _, y in pairs]
-                yield _row(batch.column("seg")[i].as_py(), batch.column("lang")[i].as_py(), made, counts, more, rest, places[:0] if last else places)
-
-    return stepped
-
-
-def _frequent(lists: DataFrame, least: int) -> DataFrame:
-    """seg, lang, phrase, idx (its number there), a (its frequency), lefts, rights and whether the row is the phrase's first,
-    of the phrases that occur `least` times or more. Rows move once, one a segment and phrase."""
-    rows = lists.select("seg", "lang", F.posexplode(F.arrays_zip("phrases", "lens", "lefts", "rights")).alias("idx", "it"))
-    rows = rows.select("seg", "lang", "idx", F.col("it.phrases").alias("phrase"), F.col("it.lens").alias("n"), "it.lefts", "it.rights")
+def _words_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lists of a segment's frequent words."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            seg, lang, phrases, lens, places, back = (batch.column(c)[i] for c in ("seg", "lang", "phrases", "lens", "places", "back"))
+            found = {it["phrase"]: it for it in back.as_py()}
+            names = phrases.values.to_pylist()
+            kept = np.array([k for k, name in enumerate(names) if name in found], np.int64)
+            lens, places = _chosen(lens.values.to_numpy(), _unpacked(places.as_py()), kept)
+            names = [names[k] for k in kept.tolist()]
+            known = [{"a": found[name]["a"], "first": found[name]["first"], "lefts": [], "rights": []} for name in names]
+            yield _frame(_LISTS, seg.as_py(), lang.as_py(), names, known, lens, _packed(places))
+
+
+def _longer_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The phrases of one word more that a segment holds, and how often."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            seg, lang, phrases, lens, places = (batch.column(c)[i] for c in ("seg", "lang", "phrases", "lens", "places"))
+            a, b, counts, _ = extend(lens.values.to_numpy(), _unpacked(places.as_py()))
+            for at in range(0, len(a), 1 << 16):
+                names = _longer_names(phrases.values, a[at : at + (1 << 16)], b[at : at + (1 << 16)])
+                columns = [pa.array([seg.as_py()] * len(names), pa.int64()), pa.array([lang.as_py()] * len(names), pa.string()), pa.array(names, pa.string()), pa.array(counts[at : at + (1 << 16)], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["seg", "lang", "phrase", "n"])
+
+
+def _longer_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lists of a segment's frequent phrases of one word more."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            seg, lang, phrases, known, lens, places, back = (batch.column(c)[i] for c in ("seg", "lang", "phrases", "known", "lens", "places", "back"))
+            found = {it["phrase"]: it for it in back.as_py()}
+            a, b, counts, places = extend(lens.values.to_numpy(), _unpacked(places.as_py()))
+            names = _longer_names(phrases.values, a, b)
+            kept = np.array([k for k, name in enumerate(names) if name in found], np.int64)
+            counts, places = _chosen(counts, places, kept)
+            part, names = known.as_py(), [names[k] for k in kept.tolist()]
+            own = []
+            for name, x, y in zip(names, a[kept].tolist(), b[kept].tolist(), strict=True):
+                lefts, rights = [*part[x]["lefts"], part[x]["a"]], [part[y]["a"], *part[y]["rights"]]
+                own.append({"a": found[name]["a"], "first": found[name]["first"], "lefts": lefts, "rights": rights})
+            yield _frame(_LISTS, seg.as_py(), lang.as_py(), names, own, counts.astype(np.int32), _packed(places))
+
+
+def _frequent(counts: DataFrame, least: int) -> DataFrame:
+    """seg, back: (phrase, a, first) of a segment's phrases that occur `least` times or more in all; `first` in one segment."""
     phrase = Window.partitionBy("lang", "phrase")
-    known = rows.withColumn("a", F.sum("n").over(phrase)).withColumn("first", F.col("seg") == F.min("seg").over(phrase))
-    return known.where(F.col("a") >= least).drop("n")
+    known = counts.select("seg", "lang", "phrase", F.sum("n").over(phrase).alias("a"), (F.col("seg") == F.min("seg").over(phrase)).alias("first"))
+    return known.where(F.col("a") >= least).groupBy("seg").agg(F.collect_list(F.struct("phrase", "a", "first")).alias("back"))
 
 
 def candidates(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
@@ -178,18 +215,17 @@ def candidates(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     is `und`. Other columns, ids among them, play no part; repeated rows count each time. Empty tables give empty results.
     """
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit(NO_LANG)).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    lists = scratch(texts.mapInArrow(_segments, LISTS), "postings")
-    totals = lists.groupBy("lang").agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda all, n: all + n)).alias("n"))
-    found = None
-    for words in range(1, longest + 1):
-        known = scratch(_frequent(lists, least), f"frequent-{words}")
-        if words > 1:
-            own = known.where("first").select("lang", "phrase", F.lit(words).alias("words"), "a", "lefts", "rights")
-            found = own if found is None else found.unionAll(own)
-        if words < longest:
-            back = known.groupBy("seg").agg(F.collect_list(F.struct("idx", "a")).alias("known"))
-            lists = scratch(lists.join(back, "seg").mapInArrow(_longer(words + 1 == longest), LISTS), f"lists-{words + 1}")
-    return found, totals
+    words = scratch(texts.mapInArrow(_segments, POSTINGS), "postings")
+    totals = words.groupBy("lang").agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda all, n: all + n)).alias("n"))
+    counts = words.select("seg", "lang", F.explode(F.arrays_zip("phrases", "lens")).alias("it")).select("seg", "lang", F.col("it.phrases").alias("phrase"), F.col("it.lens").alias("n"))
+    lists = scratch(words.join(_frequent(counts, least), "seg").mapInArrow(_words_kept, LISTS), "lists-1")
+    found = []
+    for k in range(2, longest + 1):
+        back = _frequent(lists.mapInArrow(_longer_counted, COUNTS), least)
+        lists = scratch(lists.join(back, "seg").mapInArrow(_longer_kept, LISTS), f"lists-{k}")
+        own = lists.select("lang", F.explode(F.arrays_zip("phrases", "known")).alias("it")).where("it.known.first")
+        found.append(own.select("lang", F.col("it.phrases").alias("phrase"), F.lit(k).alias("words"), "it.known.a", "it.known.lefts", "it.known.rights"))
+    return functools.reduce(DataFrame.unionAll, found), totals
 
 
 def not_inside(found: DataFrame) -> DataFrame:
