@@ -15,22 +15,26 @@ frequencies of all first and last parts of a phrase travel with its list, so no
 from __future__ import annotations
 
 import functools
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lineloom.llm.common import UPPER, scratch, table
+from lineloom.llm.common import UPPER, scratch_path, table
 
 LEAST = 100
 LONGEST = 5
 TOP = 2000
 NO_LANG = "und"
 #: Bytes of text of a segment, about. A longer text is cut at the end of a piece.
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 12 << 20
+#: Bytes of text that a task holds in open segments.
+OPEN_BYTES = 3 * SEGMENT_BYTES
 #: Parts into which a language's candidates are dealt for ranking; each gives at most the rows that are asked for.
 SALTS = 64
 
@@ -134,26 +138,35 @@ def _slices(text: bytes, most: int) -> Iterator[bytes]:
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seg, held, size = TaskContext.get().partitionId() << 32, {}, 0
+    """Each language fills a segment of its own; if many languages are open, the fullest closes first."""
+    seg, held, sizes = TaskContext.get().partitionId() << 32, {}, {}
 
-    def closed() -> Iterator[pa.RecordBatch]:
+    def closed(lang: str) -> Iterator[pa.RecordBatch]:
         nonlocal seg
-        for lang, texts in held.items():
-            words, lens, places = postings(texts)
-            if words:
-                yield _frame(_POSTINGS, seg, lang, words, lens.astype(np.int32), _packed(places))
-                seg += 1
+        words, lens, places = postings(held.pop(lang))
+        del sizes[lang]
+        if words:
+            yield _frame(_POSTINGS, seg, lang, words, lens.astype(np.int32), _packed(places))
+            seg += 1
 
     for batch in batches:
         for lang, text in zip(batch.column("lang"), batch.column("text"), strict=True):
             lang = lang.as_py()
             for part in _slices(text.as_buffer().to_pybytes() if text.is_valid else b"", SEGMENT_BYTES):
                 held.setdefault(lang, []).append(part)
-                size += len(part)
-                if size >= SEGMENT_BYTES:
-                    yield from closed()
-                    held, size = {}, 0
-    yield from closed()
+                sizes[lang] = sizes.get(lang, 0) + len(part)
+                if sizes[lang] >= SEGMENT_BYTES:
+                    yield from closed(lang)
+                elif sum(sizes.values()) >= OPEN_BYTES:
+                    yield from closed(max(sizes, key=sizes.get))
+    for lang in list(held):
+        yield from closed(lang)
+
+
+def _back(row: pa.Scalar) -> tuple[list[str], list[int], list[bool]]:
+    """phrases, frequencies and marks of what came back to a segment."""
+    found = row.values
+    return found.field("phrase").to_pylist(), found.field("a").to_pylist(), found.field("first").to_pylist()
 
 
 def _words_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,13 +174,12 @@ def _words_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             seg, lang, phrases, lens, places, back = (batch.column(c)[i] for c in ("seg", "lang", "phrases", "lens", "places", "back"))
-            found = {it["phrase"]: it for it in back.as_py()}
-            names = phrases.values.to_pylist()
-            kept = np.array([k for k, name in enumerate(names) if name in found], np.int64)
-            lens, places = _chosen(lens.values.to_numpy(), _unpacked(places.as_py()), kept)
-            names = [names[k] for k in kept.tolist()]
-            known = [{"a": found[name]["a"], "first": found[name]["first"], "lefts": [], "rights": []} for name in names]
-            yield _frame(_LISTS, seg.as_py(), lang.as_py(), names, known, lens, _packed(places))
+            names, totals, firsts = _back(back)
+            kept = pc.index_in(pa.array(names, pa.string()), value_set=phrases.values).to_numpy()
+            order = np.argsort(kept).tolist()
+            lens, places = _chosen(lens.values.to_numpy(), _unpacked(places.as_py()), kept[order])
+            known = [{"a": totals[k], "first": firsts[k], "lefts": [], "rights": []} for k in order]
+            yield _frame(_LISTS, seg.as_py(), lang.as_py(), [names[k] for k in order], known, lens, _packed(places))
 
 
 def _longer_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,17 +199,19 @@ def _longer_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             seg, lang, phrases, known, lens, places, back = (batch.column(c)[i] for c in ("seg", "lang", "phrases", "known", "lens", "places", "back"))
-            found = {it["phrase"]: it for it in back.as_py()}
+            names, totals, firsts = _back(back)
             a, b, counts, places = extend(lens.values.to_numpy(), _unpacked(places.as_py()))
-            names = _longer_names(phrases.values, a, b)
-            kept = np.array([k for k, name in enumerate(names) if name in found], np.int64)
+            number = {phrase: k for k, phrase in enumerate(phrases.values.to_pylist())}
+            part, size = known.as_py(), len(number)
+            pairs = np.array([number[name[: name.rindex(" ")]] * size + number[name[name.index(" ") + 1 :]] for name in names], np.int64)
+            order = np.argsort(pairs)
+            kept = np.searchsorted(a * size + b, pairs[order])
             counts, places = _chosen(counts, places, kept)
-            part, names = known.as_py(), [names[k] for k in kept.tolist()]
             own = []
-            for name, x, y in zip(names, a[kept].tolist(), b[kept].tolist(), strict=True):
+            for k, x, y in zip(order.tolist(), a[kept].tolist(), b[kept].tolist(), strict=True):
                 lefts, rights = [*part[x]["lefts"], part[x]["a"]], [part[y]["a"], *part[y]["rights"]]
-                own.append({"a": found[name]["a"], "first": found[name]["first"], "lefts": lefts, "rights": rights})
-            yield _frame(_LISTS, seg.as_py(), lang.as_py(), names, own, counts.astype(np.int32), _packed(places))
+                own.append({"a": totals[k], "first": firsts[k], "lefts": lefts, "rights": rights})
+            yield _frame(_LISTS, seg.as_py(), lang.as_py(), [names[k] for k in order.tolist()], own, counts.astype(np.int32), _packed(places))
 
 
 def _frequent(counts: DataFrame, least: int) -> DataFrame:
@@ -207,6 +221,19 @@ def _frequent(counts: DataFrame, least: int) -> DataFrame:
     return known.where(F.col("a") >= least).groupBy("seg").agg(F.collect_list(F.struct("phrase", "a", "first")).alias("back"))
 
 
+def by_segment(lists: DataFrame, name: str) -> DataFrame:
+    """lists written to the shared folder in buckets of segments, so that what comes back to the segments moves to the lists
+    and not these to it. The catalog forgets the table at once; its files go with the session's other scratch tables."""
+    spark = lists.sparkSession
+    path, made = scratch_path(spark, name), f"lineloom_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lists.write.bucketBy(buckets, "seg").option("path", path).saveAsTable(made)
+    kept = spark.table(made)
+    kept.schema  # resolved while the catalog knows it
+    spark.sql(f"DROP TABLE {made}")
+    return kept
+
+
 def candidates(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = LEAST, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
     """(candidates, totals): lang, phrase, words, a, lefts, rights of every phrase of 2 to `longest` words that occurs `least`
     times or more, and lang, n (words in all).
@@ -215,15 +242,15 @@ def candidates(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     is `und`. Other columns, ids among them, play no part; repeated rows count each time. Empty tables give empty results.
     """
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit(NO_LANG)).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    words = scratch(texts.mapInArrow(_segments, POSTINGS), "postings")
+    words = by_segment(texts.mapInArrow(_segments, POSTINGS), "postings")
     totals = words.groupBy("lang").agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda all, n: all + n)).alias("n"))
     counts = words.select("seg", "lang", F.explode(F.arrays_zip("phrases", "lens")).alias("it")).select("seg", "lang", F.col("it.phrases").alias("phrase"), F.col("it.lens").alias("n"))
-    lists = scratch(words.join(_frequent(counts, least), "seg").mapInArrow(_words_kept, LISTS), "lists-1")
+    lists = by_segment(words.join(_frequent(counts, least), "seg").mapInArrow(_words_kept, LISTS), "lists-1")
     found = []
     for k in range(2, longest + 1):
         back = _frequent(lists.mapInArrow(_longer_counted, COUNTS), least)
-        lists = scratch(lists.join(back, "seg").mapInArrow(_longer_kept, LISTS), f"lists-{k}")
-        own = lists.select("lang", F.explode(F.arrays_zip("phrases", "known")).alias("it")).where("it.known.first")
+        lists = by_segment(lists.join(back, "seg").mapInArrow(_longer_kept, LISTS), f"lists-{k}")
+        own = lists.select("lang", F.explode(F.filter(F.arrays_zip("phrases", "known"), lambda it: it["known"]["first"])).alias("it"))
         found.append(own.select("lang", F.col("it.phrases").alias("phrase"), F.lit(k).alias("words"), "it.known.a", "it.known.lefts", "it.known.rights"))
     return functools.reduce(DataFrame.unionAll, found), totals
 

@@ -34,15 +34,20 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back, which cuts its lineage; deleted as the driver's JVM ends."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new place in the shared folder, deleted as the driver's JVM ends."""
     path = f"{shared_dir(spark)}/lineloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def scratch(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back, which cuts its lineage; deleted as the driver's JVM ends."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
