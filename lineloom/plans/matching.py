@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lineloom.functions import text as T
+from lineloom.operators import anchoring as A
 from lineloom.operators import matching as M
 from lineloom.operators import relational as R
 from lineloom.plans.base import Plans, table
@@ -126,20 +127,62 @@ def spec_excerpt(spark, sf_dir):
     return near.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda s: s["line"]), " ").alias("excerpt"))
 
 
-@plans.add("locate_in_body", f"SELECT doc_id, instr(t, substr(t, 21, 24)) AS place, 'strip-preamble' AS attempt FROM (SELECT doc_id, {_TIGHT} AS t FROM documents) WHERE length(t) >= 60")
-def locate_in_body(spark, sf_dir):
-    tight = T.tight_norm(F.col("text"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", tight.alias("t")).where(F.length("t") >= 60)
-    needle = F.concat(F.lit("What is claimed is: "), F.substring("t", 21, 24))
-    tries = F.array(F.struct(F.lit(0).alias("p"), F.lit("raw").alias("attempt"), T.tight_norm(needle).alias("n")), F.struct(F.lit(1).alias("p"), F.lit("strip-preamble").alias("attempt"), T.tight_norm(T.strip_preamble(needle)).alias("n")))
-    hits = rows.withColumn("hit", F.try_element_at(F.filter(tries, lambda a: (F.length(a["n"]) >= 16) & F.contains(F.col("t"), a["n"])), F.lit(1))).where("hit IS NOT NULL")
-    return hits.select("doc_id", F.instr("t", F.col("hit.n")).cast("long").alias("place"), F.col("hit.attempt").alias("attempt"))
+# For every place of a letter or digit in the body, that place.
+_PLACES = "list_transform(list_filter(list_zip(string_split(body, ''), range(1, length(body) + 1)), lambda x: regexp_matches(x[1], '^[a-zA-Z0-9]$')), lambda x: x[2])"
+
+
+def _letters(x: str) -> str:
+    return f"lower(regexp_replace({x}, '[^a-zA-Z0-9]+', '', 'g'))"
+
 
+_ASKED = """SELECT doc_id, CASE doc_id % 6 WHEN 5 THEN text || ' the CH1 domain of a fusion protein' ELSE text END AS body,
+CASE doc_id % 6 WHEN 0 THEN s WHEN 1 THEN 'What is claimed is: ' || s WHEN 2 THEN 'I claim: 3. ' || s WHEN 3 THEN s || ' qq0zz1xx2jj3kk4' WHEN 4 THEN 'qq0zz1xx2 ' || s ELSE 'We claim : the CHI domain of a fusion protein' END AS passage
+FROM (SELECT doc_id, text, substr(text, 101, 120) AS s FROM documents) WHERE length(text) >= 300"""
+_OPENINGS = "passage"
+for _words in ("What is claimed is", "What is claimed", "The invention claimed is", "I claim", "We claim"):
+    _OPENINGS = f"regexp_replace({_OPENINGS}, '^(?i:{_words})\\s*:\\s*', '')"
+_FORMS = f"""SELECT doc_id, body, passage, bare, regexp_replace(bare, '^[0-9]+\\.\\s+', '') AS plain FROM (SELECT doc_id, body, passage, {_OPENINGS} AS bare FROM ({_ASKED}))"""
+_LOCATED = f"""WITH f AS ({_FORMS}),
+a AS (SELECT doc_id, 0 AS i, 'raw' AS name, passage AS x FROM f UNION ALL SELECT doc_id, 1, 'strip-preamble', bare FROM f WHERE bare <> passage UNION ALL SELECT doc_id, 2, 'strip-preamble+claim-num', plain FROM f WHERE plain <> bare
+UNION ALL SELECT doc_id, 3, 'ocr:CHI->CH1', replace(bare, 'CHI', 'CH1') FROM f WHERE contains(bare, 'CHI') UNION ALL SELECT doc_id, 5, 'ocr:CH1->CHI', replace(bare, 'CH1', 'CHI') FROM f WHERE contains(bare, 'CH1') UNION ALL SELECT doc_id, 7, 'ocr:lI->II', replace(bare, 'lI', 'II') FROM f WHERE contains(bare, 'lI')),
+n AS (SELECT a.doc_id, i, name, {_letters("x")} AS n, {_letters("body")} AS t FROM a JOIN f USING (doc_id) WHERE length(x) >= 8),
+c AS (SELECT doc_id, 0 AS late, i, 0 AS cut, 0 AS head, 'alpha/' || name AS form, n AS letters, t FROM n WHERE length(n) >= 16
+UNION ALL SELECT doc_id, 1, i, cut, head, 'alpha-shrink-' || CASE head WHEN 1 THEN 'head-' ELSE 'tail-' END || cut || '/' || name, CASE head WHEN 1 THEN substr(n, cut + 1) ELSE left(n, length(n) - cut) END, t FROM (SELECT *, unnest(range(5, length(n), 5)) AS cut FROM n), (VALUES (0), (1)) h(head) WHERE length(n) >= 30 AND cut < length(n) * 0.6 AND length(n) - cut >= 30),
+h AS (SELECT doc_id, form, letters, instr(t, letters) AS spot FROM c WHERE contains(t, letters) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY late, i, head, cut) = 1)
+SELECT doc_id, form, CAST(p[spot] - 1 AS INT) AS "start", CAST(p[spot + length(letters) - 1] AS INT) AS stop, letters FROM h JOIN (SELECT doc_id, {_PLACES} AS p FROM f) USING (doc_id)"""
 
-@plans.add("ensure_unique", f"SELECT doc_id, CAST(list_filter(list_transform(range(0, 31), lambda k: least(12 + 6 * k, length(t) - 20)), lambda n: NOT contains(substr(t, instr(t, substr(t, 21, n)) + 1), substr(t, 21, n)))[1] AS INT) AS size FROM (SELECT doc_id, {_TIGHT} AS t FROM documents) WHERE length(t) >= 60")
+
+@plans.add("locate_in_body", _LOCATED)
+def locate_in_body(spark, sf_dir):
+    """A passage of every document, with openings, claim numbers, confused letters or strange heads and tails."""
+    asked = table(spark, sf_dir, "documents").where("length(text) >= 300").selectExpr(
+        "doc_id",
+        "CASE doc_id % 6 WHEN 5 THEN text || ' the CH1 domain of a fusion protein' ELSE text END AS body",
+        "CASE doc_id % 6 WHEN 0 THEN substr(text, 101, 120) WHEN 1 THEN 'What is claimed is: ' || substr(text, 101, 120) WHEN 2 THEN 'I claim: 3. ' || substr(text, 101, 120) WHEN 3 THEN substr(text, 101, 120) || ' qq0zz1xx2jj3kk4' WHEN 4 THEN 'qq0zz1xx2 ' || substr(text, 101, 120) ELSE 'We claim : the CHI domain of a fusion protein' END AS passage",
+    )
+    found = asked.select("doc_id", A.locate_in_body(F.col("passage"), F.col("body")).alias("found"))
+    return found.where("found.form IS NOT NULL").select("doc_id", "found.*")
+
+
+# Of the letters from 21 on, and of the last twelve: the first right step, else the first left one, at which nothing follows.
+_STEPS = "SELECT doc_id, which, body, t, n, instr(t, n) AS a, instr(t, n) + length(n) AS b, length(t) + 1 AS e FROM (SELECT doc_id, body, t, which, CASE which WHEN 0 THEN substr(t, 21, 12) ELSE right(t, 12) END AS n FROM (SELECT doc_id, text AS body, {letters} AS t FROM documents), (VALUES (0), (1)) w(which) WHERE length(t) >= 60)".replace("{letters}", _letters("text"))
+_UNIQUE = f"""WITH s AS (SELECT *, least(30, (e - b + 5) // 6) AS r FROM ({_STEPS})),
+g AS (SELECT *, list_filter(range(0, r + 1), lambda k: NOT contains(substr(t, least(e, b + 6 * k)), substr(t, a, least(e, b + 6 * k) - a)))[1] AS k FROM s),
+l AS (SELECT *, CASE WHEN k IS NULL THEN list_filter(range(1, least(60 - r, (a + 4) // 6) + 1), lambda j: NOT contains(substr(t, least(e, b + 6 * r)), substr(t, greatest(1, a - 6 * j), least(e, b + 6 * r) - greatest(1, a - 6 * j))))[1] END AS j, {_PLACES} AS p FROM g),
+m AS (SELECT doc_id, which, body, k, j, CASE WHEN k = 0 OR k IS NULL AND j IS NULL THEN 0 ELSE 1 END AS grown, k IS NULL AND j IS NULL AS twice,
+  p[CASE WHEN j IS NULL THEN a ELSE greatest(1, a - 6 * j) END] AS x, p[CASE WHEN k IS NULL AND j IS NULL THEN b ELSE least(e, b + 6 * coalesce(k, r)) END - 1] AS y FROM l)
+SELECT doc_id, which, CAST(x - 1 - CASE grown WHEN 1 THEN length(regexp_extract(left(body, x - 1), '[a-zA-Z0-9]*$')) ELSE 0 END AS INT) AS "start",
+CAST(y + CASE grown WHEN 1 THEN length(regexp_extract(substr(body, y + 1), '^[a-zA-Z0-9]*')) ELSE 0 END AS INT) AS stop, CASE WHEN twice THEN 2 ELSE 1 END AS occurrences, grown = 1 AS grown FROM m"""
+
+
+@plans.add("ensure_unique", _UNIQUE)
 def ensure_unique(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", T.tight_norm(F.col("text")).alias("t")).where(F.length("t") >= 60)
-    return rows.select("doc_id", M.ensure_unique(F.col("t"), 21).alias("size"))
+    """The letters from 21 on, which grow to the right, and the last twelve, which can grow to the left alone."""
+    t = T.tight_norm(F.col("text"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", t.alias("t")).where(F.length("t") >= 60)
+    pieces = F.array(F.struct(F.lit(0).alias("which"), F.substring("t", 21, 12).alias("n")), F.struct(F.lit(1).alias("which"), F.substring("t", -12, 12).alias("n")))
+    asked = rows.select("doc_id", "text", F.explode(pieces).alias("p")).select("doc_id", "text", "p.*")
+    return asked.select("doc_id", "which", A.ensure_unique(F.col("n"), F.col("text")).alias("u")).select("doc_id", "which", "u.*")
 
 
 @plans.add("count_alpha_occurrences", f"SELECT doc_id, least(2, (length(t) - length(replace(t, 'thth', ''))) // 4) AS n FROM (SELECT doc_id, {_TIGHT} AS t FROM documents)")
@@ -170,12 +213,34 @@ def paragraph_of_node(spark, sf_dir):
     return R.asof_backward(lines.select("doc_id", "n"), marks, ["doc_id"], "n", "para").where("para IS NOT NULL").select("doc_id", F.col("n").cast("long").alias("n"), "para")
 
 
-@plans.add("simulate_select", f"SELECT doc_id, instr({_CLEAN}, substr({_CLEAN}, 11, 40)) - 1 AS place FROM documents WHERE length({_CLEAN}) >= 60")
+# Nodes of a page's text, its normal form, and for every character whether the normal form keeps it.
+_NODES = "list_filter(regexp_split_to_array(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '<[^>]+>'), lambda x: x <> '')"
+_NORMAL = "trim(regexp_replace(regexp_replace(regexp_replace({x}, '[\\s\\x{{00a0}}\\x0b]+', ' ', 'g'), ' *- *', '-', 'g'), ' +([,;:])', '\\1', 'g'), ' ')"
+_SELECTED = f"""WITH t AS (SELECT page_id, nodes, array_to_string(nodes, '') AS flat FROM (SELECT page_id, {_NODES} AS nodes FROM pages)),
+b AS (SELECT page_id, nodes, flat, {_NORMAL.format(x="flat")} AS basic FROM t),
+q AS (SELECT *, CASE page_id % 4 WHEN 3 THEN 'no such words are here' ELSE substr(basic, 41, 80) END AS want, CASE page_id % 4 WHEN 1 THEN replace(substr(basic, 41, 80), ' ', '   ') WHEN 2 THEN replace(replace(substr(basic, 41, 80), ',', ' ,'), '-', ' - ') WHEN 3 THEN 'no such words are here' ELSE substr(basic, 41, 80) END AS passage FROM b WHERE length(basic) >= 160),
+f AS MATERIALIZED (SELECT page_id, instr(basic, part) - 1 AS "start", instr(basic, part) - 1 + length(part) AS stop, flat, nodes FROM (SELECT *, {_NORMAL.format(x="passage")} AS part FROM q) WHERE contains(basic, part)),
+c AS (SELECT page_id, unnest(string_split(flat, '')) AS c, unnest(range(1, length(flat) + 1)) AS i FROM f),
+w AS (SELECT *, regexp_matches(c, '[\\s\\x{{00a0}}\\x0b]') AS ws FROM c),
+x AS MATERIALIZED (SELECT *, lag(ws) OVER o AS before, sum(CASE WHEN ws THEN 0 ELSE 1 END) OVER o AS run FROM w WINDOW o AS (PARTITION BY page_id ORDER BY i)),
+k AS MATERIALIZED (SELECT x.page_id, x.i, row_number() OVER (PARTITION BY x.page_id ORDER BY x.i) - 1 AS place FROM x LEFT JOIN x p ON p.page_id = x.page_id AND p.run = x.run AND NOT p.ws LEFT JOIN x n ON n.page_id = x.page_id AND n.run = x.run + 1 AND NOT n.ws
+  WHERE NOT x.ws OR (NOT x.before AND p.c <> '-' AND coalesce(n.c NOT IN ('-', ',', ';', ':'), true))),
+y AS (SELECT page_id, max(i) FILTER (place = "start") AS a, max(i) FILTER (place = stop) AS e FROM k JOIN (SELECT page_id, "start", stop FROM f) USING (page_id) GROUP BY 1),
+z AS (SELECT page_id, substr(flat, a, e - a) AS text, a, e FROM y JOIN f USING (page_id)),
+g AS (SELECT page_id, m, coalesce(sum(n) OVER (PARTITION BY page_id ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM (SELECT page_id, unnest(range(0, len(nodes))) AS m, length(unnest(nodes)) AS n FROM f)),
+d AS (SELECT z.page_id, any_value(text) AS text, max(m) FILTER (begins < a) AS n1, any_value(a) - 1 - max(begins) FILTER (begins < a) AS o1, max(m) FILTER (begins < e) AS n2, any_value(e) - 1 - max(begins) FILTER (begins < e) AS o2 FROM z JOIN g USING (page_id) GROUP BY 1)
+SELECT q.page_id, text IS NOT NULL AS ok, CASE WHEN text IS NULL THEN 'NEEDLE_NOT_IN_CONTAINER' END AS error, false AS deep, CAST(n1 AS INT) AS first_node, CAST(o1 AS INT) AS first_offset, CAST(n2 AS INT) AS last_node, CAST(o2 AS INT) AS last_offset, text FROM q LEFT JOIN d USING (page_id)"""
+
+@plans.add("simulate_select", _SELECTED)
 def simulate_select(spark, sf_dir):
-    """A normalized needle's place, checked by reading it back."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", T.collapse(F.col("text")).alias("t")).where(F.length("t") >= 60).withColumn("needle", F.substring("t", 11, 40))
-    placed = rows.withColumn("place", F.instr("t", F.col("needle")) - 1)
-    return placed.where(F.substr("t", F.col("place") + 1, F.length("needle")) == F.col("needle")).select("doc_id", F.col("place").cast("long").alias("place"))
+    """Eighty characters of every page's normal text, spaced in other ways or not there, as a selection over its text nodes."""
+    bare = F.regexp_replace(F.regexp_replace("html", "(?is)<script[^>]*>.*?</script>", ""), "(?is)<style[^>]*>.*?</style>", "")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.filter(F.split(bare, "<[^>]+>"), lambda x: x != "").alias("nodes"))
+    basic = pages.select("page_id", "nodes", T.normalize_selection(F.array_join("nodes", "")).alias("basic")).where(F.length("basic") >= 160)
+    piece = F.substring("basic", 41, 80)
+    kind = F.col("page_id") % 4
+    passage = F.when(kind == 1, F.replace(piece, F.lit(" "), F.lit("   "))).when(kind == 2, F.replace(F.replace(piece, F.lit(","), F.lit(" ,")), F.lit("-"), F.lit(" - "))).when(kind == 3, "no such words are here").otherwise(piece)
+    return basic.select("page_id", A.simulate_select(F.col("nodes"), passage).alias("s")).select("page_id", "s.*")
 
 
 QUERIES, SQL = plans.QUERIES, plans.SQL

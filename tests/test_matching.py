@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from lineloom.operators import matching as M
 
@@ -105,14 +104,6 @@ def test_passages_of_a_hot_document_are_dealt(spark, monkeypatch):
         assert {r.passage_id: r.citation for r in rows} == want
 
 
-def test_unique_pieces_against_a_search(spark):
-    r = random.Random(9)
-    texts = ["".join(r.choice("ab") for _ in range(n)) for n in (60, 61, 90, 300)] + ["ab" * 60]
-    got = [x.s for x in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").select("i", M.ensure_unique(F.col("t"), 21).alias("s")).orderBy("i").collect()]
-    want = [next((n for n in (min(12 + 6 * k, len(t) - 20) for k in range(31)) if len(M.starts(t, t[20 : 20 + n])) == 1), None) for t in texts]
-    assert got == want
-
-
 def test_find_exact_in_blocks(spark):
     docs = spark.createDataFrame([(1, "one two\n\nthree four five"), (2, None), (3, "")], "doc_id long, text string")
     asked = spark.createDataFrame([(1, "two three"), (2, "four"), (3, None), (4, "absent")], "passage_id long, text string")
