@@ -19,8 +19,11 @@ from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lineloom.functions import text as T
 
@@ -28,7 +31,9 @@ from lineloom.functions import text as T
 FUZZY_MOST, FUZZY_SHARE, FUZZY_LEAST = 100, 0.2, 0.80
 BOOKEND, BOOKEND_LINES = 50, 60
 GUTTER_CONFIDENCE, OCR_PENALTY, CONTEXT_MORE = 0.85, 0.02, 50
-#: Passages of a document in one task; it changes the plan, not the rows.
+#: Begins up to which distances are counted one by one; it changes the time, not the rows.
+FEW = 40
+#: Passages of a document in one row; it changes the plan, not the rows.
 SHARE = 5_000
 _SPACE = re.compile(rf"[{T.WS}]+")
 _DROP = {ord(c): None for c in T.INVISIBLE} | {ord(a): b for a, b in zip(T.TYPOGRAPHIC, T.ASCII_FORMS, strict=True)} | {ord(a): b for a, b in T.LIGATURES}
@@ -69,10 +74,10 @@ class View:
     """A text derived from another by leaving characters out, with each character's place there."""
 
     text: str
-    place: Sequence[int]
+    place: np.ndarray
 
     def span(self, start: int, stop: int) -> tuple[int, int]:
-        return self.place[start], self.place[stop - 1] + 1
+        return int(self.place[start]), int(self.place[stop - 1]) + 1
 
     @cached_property
     def lowered(self) -> str:
@@ -80,10 +85,10 @@ class View:
         return low if len(low) == len(self.text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in self.text)
 
 
-#: The code points of white space, and of letters and digits.
-_KINDS = {
-    "solid": np.array([i for i in range(1 << 16) if _SPACE.fullmatch(chr(i))], "<u4"),
-    "alnum": np.array([i for i in range(128) if chr(i).isalnum()], "<u4"),
+#: Whether a code point stays, by kind; those beyond the table go by its last entry.
+_KEEP = {
+    "solid": np.array([not _SPACE.fullmatch(chr(i)) for i in range(1 << 16)]),
+    "alnum": np.array([i < 128 and chr(i).isalnum() for i in range(1 << 16)]),
 }
 
 
@@ -93,8 +98,8 @@ def _codes(text: str) -> np.ndarray:
 
 def kept(text: str, kind: str) -> View:
     codes = _codes(text)
-    place = np.flatnonzero(np.isin(codes, _KINDS[kind]) == (kind == "alnum"))
-    return View(codes[place].tobytes().decode("utf-32-le", "surrogatepass"), place.tolist())
+    place = np.flatnonzero(_KEEP[kind][np.minimum(codes, 0xFFFF)])
+    return View(codes[place].tobytes().decode("utf-32-le", "surrogatepass"), place)
 
 
 @dataclass
@@ -208,8 +213,8 @@ def _solid(page: Page, needle: str, before: str, after: str) -> Found | None:
         if len(places) > 1:
             # The untrimmed length reaches past the end where only the trimmed needle was found.
             end = places[0] + len(want) - 1
-            length = view.place[end] + 1 - view.place[places[0]] if end < len(view.place) else 0
-            at = bisect_left(view.place, nearest([view.place[p] for p in places], length, page.text, before, after))
+            length = int(view.place[end] + 1 - view.place[places[0]]) if end < len(view.place) else 0
+            at = bisect_left(view.place, nearest(view.place[places].tolist(), length, page.text, before, after))
         stop = at + len(want)
         return (*view.span(at, stop), confidence) if stop <= len(view.place) else None
     letters, only = page.view("alnum"), "".join(c for c in want if c.isascii() and c.isalnum())
@@ -244,15 +249,66 @@ def _bookends(page: Page, needle: str) -> Found | None:
     return None
 
 
-def _ends(needle: np.ndarray, padded: np.ndarray, begins: np.ndarray, longest: int) -> np.ndarray:
-    """Row w, column s: the edit distance of the needle and the w characters from begins[s], less w."""
-    windows = padded[begins[None, :] + np.arange(longest)[:, None]]
-    row = np.zeros((longest + 1, len(begins)), np.int16)
-    for c in needle:
-        last, row = row, row + 1
-        np.minimum(row[1:], last[:-1] - (windows == c).view(np.int8), out=row[1:])
-        np.minimum.accumulate(row, axis=0, out=row)
-    return row
+def _distances_from(needle: np.ndarray, text: np.ndarray) -> list[int]:
+    """The edit distances of the needle and every head of the text."""
+    n = score = len(needle)
+    bits: dict[int, int] = {}
+    for i, c in enumerate(needle.tolist()):
+        bits[c] = bits.get(c, 0) | 1 << i
+    mask, last = (1 << n) - 1, n - 1
+    up, down, out = mask, 0, []
+    for c in text.tolist():
+        equal = bits.get(c, 0)
+        across = equal | down
+        same = ((equal & up) + up) ^ up | equal
+        more, less = down | ~(same | up) & mask, up & same
+        score += (more >> last & 1) - (less >> last & 1)
+        out.append(score)
+        more, less = more << 1 | 1, less << 1
+        up, down = (less | ~(across | more)) & mask, more & across & mask
+    return out
+
+
+def _distances(needle: np.ndarray, text: np.ndarray, begins: np.ndarray, longest: int) -> Iterator[np.ndarray]:
+    """For w = 1, 2 .. longest: the edit distance of the needle and the w characters from each of `begins`.
+
+    A column of the table of distances is two bit vectors, of the steps up and down along the needle; a character of the
+    text turns it into the next by a few operations (Myers): on words of 64 bits for all begins at once, or, if these are
+    few, on one number of any length for each.
+    """
+    if len(begins) <= FEW:
+        yield from np.array([_distances_from(needle, text[b : b + longest]) for b in begins], np.int32).reshape(-1, longest).T
+        return
+    n, size = len(needle), -(-len(needle) // 64)
+    letters = np.unique(needle)
+    bits = np.zeros((size, len(letters) + 1), np.uint64)
+    for i, c in enumerate(needle):
+        bits[i // 64, np.searchsorted(letters, c)] |= np.uint64(1) << np.uint64(i % 64)
+    kind = np.searchsorted(letters, text)
+    kind[letters[np.minimum(kind, len(letters) - 1)] != text] = len(letters)
+    one, top, last = np.uint64(1), np.uint64(63), np.uint64((n - 1) % 64)
+    up = [np.full(len(begins), ~np.uint64(0)) for _ in range(size)]
+    down = [np.zeros(len(begins), np.uint64) for _ in range(size)]
+    score = np.full(len(begins), n, np.int32)
+    for w in range(longest):
+        at = kind[begins + w]
+        carry, right, left = np.uint64(0), one, np.uint64(0)  # into the lowest bits: of the sum, of a step right and of one left
+        for k in range(size):
+            equal = bits[k][at]
+            across = equal | down[k]
+            total = (equal & up[k]) + up[k]
+            over = total < up[k]
+            total = total + carry
+            carry = (over | (total < carry)).astype(np.uint64)
+            same = (total ^ up[k]) | equal
+            more, less = down[k] | ~(same | up[k]), up[k] & same
+            if k == size - 1:
+                score += (more >> last & one).astype(np.int32) - (less >> last & one).astype(np.int32)
+            out = more >> top, less >> top
+            more, less = more << one | right, less << one | left
+            right, left = out
+            up[k], down[k] = less | ~(across | more), more & across
+        yield score
 
 
 def _begins(needle: str, text: str, most: int, total: int) -> np.ndarray:
@@ -284,14 +340,12 @@ def fuzzy(needle: str, text: str) -> tuple[int, int, float] | None:
         per_size: dict[int, tuple[float, int]] = {}
         for base in range(0, len(begins), 1 << 12):
             part = begins[base : base + (1 << 12)]
-            table = _ends(chars, padded, part, longest)
-            for w in range(max(1, n - spread), longest + 1):
+            for w, row in enumerate(_distances(chars, padded, part, longest), 1):
                 last = int(np.searchsorted(part, len(codes) - w, "right"))
-                if last <= 0:
+                if w < n - spread or last <= 0:
                     continue
-                row = table[w, :last]
-                at = int(np.argmin(row))
-                like = 1 - float(row[at] + w) / max(n, w)
+                at = int(np.argmin(row[:last]))
+                like = 1 - float(row[at]) / max(n, w)
                 if w not in per_size or like > per_size[w][0]:
                     per_size[w] = (like, int(part[at]))
         best = None
@@ -355,8 +409,9 @@ def cite(passages: DataFrame, lines: DataFrame) -> DataFrame:
     """passages (doc_id, passage_id, text[, before, after]) against lines (doc_id, entry_idx, column, line_number, text,
     wrap_hyphen) -> passage_id, doc_id, citation, confidence, tier; null where nothing fits.
 
-    Both sides meet by document. A document's lines are joined once for each SHARE of its passages: one of which more
-    are asked is dealt over as many tasks as it needs, by the passage's hash, with its lines sent to each.
+    Both sides are gathered by document and meet there, so a row is a document with its lines and passages. A document's
+    lines are joined once for each SHARE of its passages: one of which more are asked is dealt over as many rows as it
+    needs, by the passage's hash, with its lines sent to each.
     """
     asked = passages
     for name in ("before", "after"):
@@ -367,25 +422,33 @@ def cite(passages: DataFrame, lines: DataFrame) -> DataFrame:
     hot = shares.where("__n > 1")
     place = F.pmod(F.xxhash64("passage_id", "text", "before", "after"), F.coalesce("__n", F.lit(1))).cast("int")
 
-    def cited(asked: pd.DataFrame, lines: pd.DataFrame) -> pd.DataFrame:
-        lines = lines.sort_values("entry_idx")
-        page = join_lines(lines["text"].tolist(), lines["column"].tolist(), lines["wrap_hyphen"].tolist())
-        columns, numbers = lines["column"].tolist(), lines["line_number"].tolist()
-        rows = []
-        for p in asked.itertuples():
-            c = locate(p.text, page, p.before, p.after)
-            text = None
-            if c:
-                head = f"{columns[c.first]}:{numbers[c.first]}"
-                end = f"{columns[c.last]}:{numbers[c.last]}"
-                text = head if head == end else f"{head}-{numbers[c.last]}" if columns[c.first] == columns[c.last] else f"{head}-{end}"
-            rows.append((p.passage_id, p.doc_id, text, c.confidence if c else None, c.tier if c else None))
-        return pd.DataFrame(rows, columns=["passage_id", "doc_id", "citation", "confidence", "tier"]).astype({"confidence": "float64", "tier": "Int32"})
-
     kinds = [f.dataType.simpleString() for f in (passages.schema["passage_id"], passages.schema["doc_id"])]
-    keep = lines.select("doc_id", "entry_idx", "column", "line_number", "text", "wrap_hyphen").join(shares, "doc_id").withColumn("__p", F.explode(F.sequence(F.lit(0), F.col("__n") - 1))).drop("__n")
-    dealt = asked.select("doc_id", "passage_id", "text", "before", "after").join(hot, "doc_id", "left").withColumn("__p", place).drop("__n")
-    return dealt.groupBy("doc_id", "__p").cogroup(keep.groupBy("doc_id", "__p")).applyInPandas(cited, f"passage_id {kinds[0]}, doc_id {kinds[1]}, citation string, confidence double, tier int")
+    entry = F.struct("entry_idx", "column", "line_number", "text", "wrap_hyphen")
+    whole = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("lines"))
+    dealt = asked.select("doc_id", "passage_id", "text", "before", "after").join(hot, "doc_id", "left").withColumn("__p", place)
+    grouped = dealt.groupBy("doc_id", "__p").agg(F.collect_list(F.struct("passage_id", "text", "before", "after")).alias("asked"))
+    # Null ids meet nothing, but keep their passages.
+    met = grouped.join(whole, "doc_id", "left").select("doc_id", "asked", "lines")
+    types = to_arrow_schema(T_.StructType.fromDDL(f"passage_id {kinds[0]}, doc_id {kinds[1]}, citation string, confidence double, tier int"))
+
+    def cited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                doc, asked, lines = (batch.column(c)[i].as_py() for c in ("doc_id", "asked", "lines"))
+                lines = lines or []
+                columns, numbers = [x["column"] for x in lines], [x["line_number"] for x in lines]
+                page = join_lines([x["text"] for x in lines], columns, [x["wrap_hyphen"] for x in lines])
+                rows = []
+                for p in asked:
+                    c = locate(p["text"], page, p["before"], p["after"])
+                    text = None
+                    if c:
+                        head, end = f"{columns[c.first]}:{numbers[c.first]}", f"{columns[c.last]}:{numbers[c.last]}"
+                        text = head if head == end else f"{head}-{numbers[c.last]}" if columns[c.first] == columns[c.last] else f"{head}-{end}"
+                    rows.append((p["passage_id"], doc, text, c.confidence if c else None, c.tier if c else None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), types.types, strict=True)], schema=types)
+
+    return met.mapInArrow(cited, f"passage_id {kinds[0]}, doc_id {kinds[1]}, citation string, confidence double, tier int")
 
 
 def find_exact(docs: DataFrame, passages: DataFrame, block: int = 50_000, per_column: int = 67) -> DataFrame:

@@ -72,6 +72,23 @@ def test_fuzzy_agrees_with_the_definition():
             assert found is None
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_distances_of_all_heads(monkeypatch, few):
+    monkeypatch.setattr(M, "FEW", few)
+    r = random.Random(12)
+    for n in (1, 2, 63, 64, 65, 100):
+        needle, text = ("".join(r.choice("abcé") for _ in range(k)) for k in (n, 260))
+        begins = M.np.array(sorted(r.sample(range(140), 5)))
+        got = list(M._distances(M._codes(needle), M._codes(text), begins, 120))
+        for k, b in enumerate(begins.tolist()):
+            row = list(range(n + 1))
+            for w, c in enumerate(text[b : b + 120], 1):
+                last, row = row, [w]
+                for i, x in enumerate(needle, 1):
+                    row.append(min(last[i] + 1, row[-1] + 1, last[i - 1] + (x != c)))
+                assert got[w - 1][k] == row[n]
+
+
 def test_a_stray_line_number_is_passed_over_at_a_flat_confidence():
     p = page("valve of the tank opens slowly under 25 the weight of the float.", "A spring then closes it against the seat of the inlet")
     passage = "valve of the tank opens slowly under the weight of the float. A spring then closes it against the seat of the inlet"
