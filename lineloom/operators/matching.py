@@ -303,7 +303,7 @@ def _distances(needle: np.ndarray, text: np.ndarray, begins: np.ndarray, longest
             same = (total ^ up[k]) | equal
             more, less = down[k] | ~(same | up[k]), up[k] & same
             if k == size - 1:
-                score += (more >> last & one).astype(np.int32) - (less >> last & one).astype(np.int32)
+                score = score + (more >> last & one).astype(np.int32) - (less >> last & one).astype(np.int32)
             out = more >> top, less >> top
             more, less = more << one | right, less << one | left
             right, left = out
