@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lineloom.sources.shared import shared_path
+
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row a key: the one that comes last. A maximum, not a sort, so partial results shrink before the shuffle."""
@@ -84,9 +86,28 @@ def self_join_next(df: DataFrame, keys: Sequence[str], number: str) -> DataFrame
     return left.join(right, [*keys, "left"]).groupBy(*keys).agg(F.min("left").alias("left"), F.min("right").alias("right"))
 
 
-def top_k(df: DataFrame, group: str, k: int) -> DataFrame:
-    """The k groups of most rows, ties by name; counts are partial before the shuffle and the limit is a heap."""
-    return df.groupBy(group).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.asc(group)).limit(k)
+def top_k(df: DataFrame, group: str, k: int, collation: str = "UNICODE") -> DataFrame:
+    """The k groups of most rows, ties in the order of a dictionary (a collation, then the name's bytes); counts are partial
+    before the shuffle and the limit is a heap."""
+    return df.groupBy(group).agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.collate(F.col(group), collation), F.asc(group)).limit(k)
+
+
+def placed(df: DataFrame, order: Sequence[Column], place: str = "place") -> DataFrame:
+    """df with each row's place (from 1) in the whole order, which should be total.
+
+    Rows are sorted once, into ranges that are written to the shared folder; a row's place is its place in its range after
+    the sizes of the ranges before. Only those sizes, one a range, meet in one task.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, "ranges")
+    ranged = df.repartitionByRange(*order).select("*", F.spark_partition_id().alias("__r"))
+    ranged.write.parquet(path)
+    kept = spark.read.schema(ranged.schema).parquet(path)
+    sizes = kept.groupBy("__r").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__r", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__b"))
+    own = F.row_number().over(Window.partitionBy("__r").orderBy(*order))
+    return kept.withColumn("__k", own).join(offsets, "__r").withColumn(place, (F.col("__b") + F.col("__k")).cast("long")).drop("__r", "__k", "__b")
 
 
 def cap_successes(df: DataFrame, keys: Sequence[str], order: Sequence[str], success: Column, cap: int) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Fixed values.
@@ -224,9 +224,30 @@ def update_golden(case: Column, golden: Column, changed: str | int, value: Colum
     return F.when(case == F.lit(changed), value).otherwise(golden)
 
 
-def promote_move(stable_runs: Column, at: int = 3) -> Column:
-    """Where a case stands: golden from `at` stable runs on, else quarantine (also with none counted)."""
-    return F.when(stable_runs >= at, "golden").otherwise("quarantine")
+def promoted(quarantine: DataFrame, golden: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(golden, quarantine, outcome): the wanted cases of the quarantine that are not golden yet move over, with golden's
+    columns; outcome is promoted, not_in_quarantine or already_golden for each wanted key."""
+    asked = wanted.select(key).distinct()
+    there = quarantine.select(key).distinct().withColumn("__q", F.lit(True))
+    known = golden.select(key).distinct().withColumn("__g", F.lit(True))
+    outcome = F.when(F.col("__q").isNull(), "not_in_quarantine").when(F.col("__g"), "already_golden").otherwise("promoted")
+    outcomes = asked.join(there, key, "left").join(known, key, "left").select(key, outcome.alias("outcome"))
+    moving = outcomes.where("outcome = 'promoted'").select(key)
+    new = golden.unionByName(quarantine.join(moving, key, "left_semi").select(*golden.columns))
+    return new, quarantine.join(moving, key, "left_anti"), outcomes
+
+
+def promote_move(spark: SparkSession, root: str, wanted: DataFrame, key: str, golden: str = "golden", quarantine: str = "quarantine") -> DataFrame:
+    """Move the wanted cases between two committed tables below root and return their outcomes. Both tables change in one
+    commit; if either write fails, both stay as they were."""
+    from lineloom.sources import commits
+    from lineloom.sources.shared import shared_path
+
+    new, left, outcomes = promoted(commits.current(spark, root, quarantine), commits.current(spark, root, golden), wanted, key)
+    path = shared_path(spark, "outcomes")
+    outcomes.write.parquet(path)  # they are of the tables before the move
+    commits.commit(spark, root, {golden: new, quarantine: left})
+    return spark.read.schema(outcomes.schema).parquet(path)
 
 
 def access_status(preflight: Column, read: Column, origin: Column, token: Column, known: Column) -> Column:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +11,7 @@ from lineloom.functions import text as T
 from lineloom.functions.citation import parse_citation
 
 #: Fixed values.
-TOLERANCE_LINES, PER_COLUMN, NEAR_BOUNDARY, GATE = 10, 120, 25, 0.95
+TOLERANCE_LINES, PER_COLUMN, NEAR_BOUNDARY, GATE, CLUSTER = 10, 120, 25, 0.95, 3
 PAGE = ["doc_id", "page"]
 
 
@@ -33,31 +32,60 @@ def boundary(items: DataFrame) -> DataFrame:
     return sides.join(best, PAGE, "left").select(*PAGE, F.when(single, F.col("page_width")).otherwise(F.coalesce("m", mid)).alias("boundary"), (~single).alias("two_column"))
 
 
-def infer_lines(items: DataFrame) -> DataFrame:
-    """doc_id, page, side, line_number, text: items in order of y join the first line within three points of its
-    running mean; lines are numbered one by one."""
+def _fragment() -> Column:
+    """An item as it is sorted: from the top, then in order of emission."""
+    return F.struct((-F.col("y")).alias("down"), "seq", "x", "text", "y")
+
+
+def mean_lines(fragments: Column) -> Column:
+    """Sorted fragments -> lines (y, items) from the top: an item more than three points below the last line's running mean
+    opens a new line. Items come sorted, so an earlier line is never nearer than the last one. y is the mean, items go by x."""
+    kind = "struct<first: int, y: double, n: int>"
+
+    def step(state: Column, item: Column) -> Column:
+        line = state["line"]
+        near = line.isNotNull() & (F.abs(line["y"] - item["y"]) <= CLUSTER)
+        y = F.when(near, (line["y"] * line["n"] + item["y"]) / (line["n"] + 1)).otherwise(item["y"].cast("double"))
+        now = F.struct(F.when(near, line["first"]).otherwise(state["at"]).alias("first"), y.alias("y"), F.when(near, line["n"] + 1).otherwise(1).alias("n"))
+        done = F.when(near | line.isNull(), state["done"]).otherwise(F.concat(state["done"], F.array(line)))
+        return F.struct(done.alias("done"), now.cast(kind).alias("line"), (state["at"] + 1).alias("at"))
+
+    none = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(None).cast(kind).alias("line"), F.lit(0).alias("at"))
+    lines = F.aggregate(fragments, none, step, lambda s: F.when(s["line"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["line"]))))
+    by_x = lambda items: F.array_sort(F.transform(items, lambda i, k: F.struct(i["x"].alias("x"), k.alias("k"), i["text"].alias("text"))))
+    return F.transform(lines, lambda c: F.struct(c["y"].alias("y"), by_x(F.slice(fragments, c["first"] + 1, c["n"])).alias("items")))
+
+
+def clusters(items: DataFrame) -> DataFrame:
+    """doc_id, page, side, line_number (from 1), y (the running mean), text of the lines of each column of a page, without
+    what stands in the header, the footer or between the columns."""
     body = items.where((F.col("y") >= 40) & (F.col("y") <= F.col("page_height") - 90)).join(boundary(items), PAGE)
     gutter = F.trim("text").rlike(f"^(?:{T.GUTTER})$") & (F.abs(F.col("x") - F.col("boundary")) <= NEAR_BOUNDARY)
     sided = body.where(~(F.col("two_column") & gutter)).withColumn("side", F.when(F.col("x") < F.col("boundary"), 1).otherwise(2))
+    sides = sided.groupBy(*PAGE, "side").agg(F.array_sort(F.collect_list(_fragment())).alias("f"))
+    lines = sides.select(*PAGE, "side", F.posexplode(mean_lines(F.col("f"))).alias("k", "line"))
+    return lines.select(*PAGE, "side", (F.col("k") + 1).alias("line_number"), "line.y", F.array_join(F.transform("line.items", lambda i: i["text"]), " ").alias("text"))
 
-    def lines(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.assign(down=-page["y"]).sort_values(["down", "seq"], kind="stable")
-        means: list[float] = []
-        members: list[list] = []
-        for y, x, text in zip(page["y"], page["x"], page["text"], strict=True):
-            near = next((i for i, m in enumerate(means) if abs(m - y) <= 3), None)
-            if near is None:
-                means.append(y)
-                members.append([(x, text)])
-            else:
-                members[near].append((x, text))
-                means[near] += (y - means[near]) / len(members[near])
-        first = page.iloc[0]
-        rows = [(first["doc_id"], first["page"], first["side"], i + 1, " ".join(t for _, t in sorted(m, key=lambda p: p[0]))) for i, m in enumerate(members)]
-        return pd.DataFrame(rows, columns=["doc_id", "page", "side", "line_number", "text"])
-
-    kinds = {c: items.schema[c].dataType.simpleString() for c in PAGE}
-    return sided.select(*PAGE, "side", "seq", "x", "y", "text").groupBy(*PAGE, "side").applyInPandas(lines, f"doc_id {kinds['doc_id']}, page {kinds['page']}, side int, line_number int, text string")
+
+def infer_lines(items: DataFrame) -> DataFrame:
+    """doc_id, page, side, line_number, text: the lines of `clusters`, numbered one by one."""
+    return clusters(items).drop("y")
+
+
+def line_pixel_y(cited: DataFrame, items: DataFrame, dpi: int = 150) -> DataFrame:
+    """cited (doc_id, page, line) -> pixel_y too: how far down the page's image a line stands, in pixels.
+
+    Lines are those of the whole page over both columns, blank items aside; a number past the last line means the last one.
+    A page without items gives the middle of an image of page_height (of cited, if it has one; else null).
+    """
+    pages = items.where(F.trim("text") != "").groupBy(*PAGE).agg(F.first("page_height").alias("__h"), F.array_sort(F.collect_list(_fragment())).alias("__f"))
+    lines = pages.select(*PAGE, "__h", F.transform(mean_lines(F.col("__f")), lambda c: c["y"]).alias("__y"))
+    met = cited.join(lines, PAGE, "left")
+    own = met["page_height"] if "page_height" in cited.columns else F.lit(None).cast("double")
+    place = F.greatest(F.lit(0), F.least(F.col("line") - 1, F.size("__y") - 1)).cast("int")
+    scale = dpi / 72
+    y = F.when(F.col("__y").isNull(), own * scale / 2).otherwise(F.col("__h") * scale - F.get("__y", place) * dpi / 72)
+    return met.select(*cited.columns, y.alias("pixel_y"))
 
 
 def printed_columns(items: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from lineloom.operators import rules as R
 from lineloom.plans.base import Plans, table
+from lineloom.sources import commits
+from lineloom.sources.shared import shared_path
 
 plans = Plans()
 NOW = "2024-01-28 12:00:00"
@@ -53,12 +55,12 @@ def triage_cluster(spark, sf_dir):
     return R.cluster_paths(_triaged(spark, sf_dir), "category", "path", least=200).select("event_id", "path")
 
 
-@plans.add("flake_state", f"""WITH o AS (SELECT user_id, list(CASE WHEN event_type IN ('error', 'view') THEN 'fail' ELSE 'pass' END ORDER BY ts, event_id) AS o, list(ts ORDER BY ts) FILTER (event_type = 'signup') AS h FROM events WHERE event_id % 3 <> 1 GROUP BY 1),
+@plans.add("flake_state", f"""WITH o AS (SELECT user_id, list(CASE WHEN event_type IN ('error', 'view') THEN 'fail' ELSE 'pass' END ORDER BY ts, event_id) AS o, list(ts ORDER BY ts) FILTER (event_type = 'signup') AS h FROM events GROUP BY 1),
 w AS (SELECT user_id, o[-10:] AS w, len(list_filter(coalesce(h, []), lambda x: x > TIMESTAMP '{NOW}' - INTERVAL 14 DAY)) AS f FROM o), c AS (SELECT *, len(list_filter(w, lambda x: x = 'fail')) AS k FROM w)
 SELECT user_id, CASE WHEN user_id % 11 = 0 THEN 'FLAKE_SUPPRESSED' WHEN len(w) >= 3 AND k = len(w) THEN 'CONFIRMED_BUG' WHEN k >= 7 THEN 'LIKELY_BUG' WHEN k >= 4 THEN 'INTERMITTENT' WHEN f + 1 >= 3 THEN 'FLAKE_ESCALATION' ELSE 'FLAKE' END AS state,
 CASE WHEN user_id % 11 = 0 THEN 'skip' WHEN (len(w) >= 3 AND k = len(w)) OR k >= 7 THEN 'auto-fix' WHEN k < 4 AND f + 1 >= 3 THEN 'open-flake-investigation' ELSE 're-quarantine' END AS action FROM c""")
 def flake_state(spark, sf_dir):
-    events = table(spark, sf_dir, "events").where("event_id % 3 <> 1").withColumn("ts", F.col("ts").cast("timestamp"))
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     outcome = F.when(F.col("event_type").isin("error", "view"), "fail").otherwise("pass")
     rings = R.ring_append(events.withColumn("o", outcome), "user_id", ["ts", "event_id"], "o")
     history = events.where("event_type = 'signup'").groupBy("user_id").agg(F.collect_list("ts").alias("h"))
@@ -109,9 +111,20 @@ def update_one_golden(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", R.update_golden(F.col("p_partkey"), F.col("p_name"), 7, F.lit("9:9")).alias("golden"))
 
 
-@plans.add("promote_move", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 3 THEN 'golden' ELSE 'quarantine' END AS place FROM customer")
+_PROMOTED = """WITH q AS (SELECT c_custkey AS case_id, c_name AS name FROM customer WHERE c_custkey % 3 <> 0), g AS (SELECT c_custkey AS case_id, c_name AS name FROM customer WHERE c_custkey % 5 = 0), a AS (SELECT DISTINCT o_custkey AS case_id FROM orders WHERE o_orderkey % 2 = 0),
+m AS (SELECT q.* FROM q SEMI JOIN a USING (case_id) ANTI JOIN g USING (case_id))
+SELECT 'golden' AS place, * FROM g UNION ALL SELECT 'golden', * FROM m UNION ALL SELECT 'quarantine', * FROM q ANTI JOIN m USING (case_id)"""
+
+
+@plans.add("promote_move", _PROMOTED)
 def promote_move(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", R.promote_move(F.col("c_custkey") % 4).alias("place"))
+    """Customers with an even order move from a committed quarantine to a committed golden table."""
+    root = shared_path(spark, "promotion")
+    cases = table(spark, sf_dir, "customer").selectExpr("c_custkey AS case_id", "c_name AS name", "c_custkey % 4 AS stable_runs")
+    commits.commit(spark, root, {"golden": cases.where("case_id % 5 = 0").drop("stable_runs"), "quarantine": cases.where("case_id % 3 <> 0")})
+    R.promote_move(spark, root, table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").selectExpr("o_custkey AS case_id"), "case_id")
+    both = [commits.current(spark, root, place).select(F.lit(place).alias("place"), "case_id", "name") for place in ("golden", "quarantine")]
+    return both[0].unionAll(both[1])
 
 
 _PATHS = "CASE event_id % 4 WHEN 0 THEN ['src/a.js', 'tests/golden/baseline.json'] WHEN 1 THEN ['.github/workflows/v40-x.yml', '.github/CODEOWNERS'] WHEN 2 THEN ['tests/golden/baseline.json.bak'] ELSE ['.github/workflows/e2e.yml'] END"

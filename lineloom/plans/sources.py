@@ -8,6 +8,7 @@ from lineloom.functions import text as T
 from lineloom.operators import html as H
 from lineloom.operators import rules as R
 from lineloom.plans.base import Plans, table
+from lineloom.sources import commits
 from lineloom.sources import files as S
 from lineloom.sources.shared import shared_path
 
@@ -70,7 +71,7 @@ def src_latest_file(spark, sf_dir):
 @plans.add("snk_atomic_json", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def snk_atomic_json(spark, sf_dir):
     path = shared_path(spark, "report")
-    S.write_json(table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n")), path)
+    commits.write_json(table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n")), path)
     return spark.read.schema("event_type string, n long").json(path)
 
 

@@ -60,11 +60,6 @@ def cache_put_if_absent(cache: DataFrame, rows: DataFrame, keys: Sequence[str])
     return first.join(there, list(keys), "left").withColumn("status", F.when(F.col("__t"), 200).otherwise(201)).drop("__t")
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    """One JSON file, committed as a whole by the writer."""
-    df.coalesce(1).write.mode("overwrite").json(path)
-
-
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header, nulls as empty fields."""
     df.write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue="")
