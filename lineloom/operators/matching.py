@@ -506,3 +506,11 @@ def find_exact(docs: DataFrame, passages: DataFrame, block: int = 50_000, per_co
             out = search(held) if out is None else out.unionAll(search(held))
             held = []
     return search(held) if out is None else out.unionAll(search(held)) if held else out
+
+
+def spec_excerpt(lines: DataFrame, key: str, order: str, text: str, least: int = 300, before: int = 15) -> DataFrame:
+    """key, excerpt: of each document the lines before the place `before`, from the first one of `least` characters on."""
+    first = lines.where(F.length(text) >= least).groupBy(key).agg(F.min(order).alias("__m"))
+    near = lines.where(F.col(order) < before).join(first, key).where(F.col(order) >= F.col("__m"))
+    kept = F.array_sort(F.collect_list(F.struct(order, F.col(text).alias("t"))))
+    return near.groupBy(key).agg(F.array_join(F.transform(kept, lambda s: s["t"]), " ").alias("excerpt"))

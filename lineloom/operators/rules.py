@@ -180,7 +180,8 @@ def case_to_patent(case: Column) -> Column:
 
 
 def case_id_valid(case: Column) -> Column:
-    return case.rlike(r"^[A-Z]{2,}\d+[A-Z]?\d*-[a-z0-9-]+$") | (case == "PRE-FLIGHT")
+    """A document's number and a name, or the form of checks before a run; null is not one."""
+    return F.coalesce(case.rlike(r"^(?:[A-Z]{2,}[0-9]+[A-Z]?[0-9]*-[a-z0-9-]+|PRE-FLIGHT-[A-Z-]+)\z"), F.lit(False))
 
 
 def validate_selection(raw: Column) -> Column:
@@ -206,12 +207,15 @@ def parse_single(raw: Column) -> Column:
     return F.struct(F.when(good, row["category"]).otherwise("HARNESS_ERROR").alias("category"), severity.alias("severity"))
 
 
-def parse_cluster(df: DataFrame, answers: DataFrame, key: str, raw: str, out: str) -> DataFrame:
+def parse_cluster(df: DataFrame, answers: DataFrame, key: str, raw: str, out: str, cluster: str | None = None) -> DataFrame:
     """df with the severity that an answer (a JSON array of key and severity) gives its row; rows that no answer names
-    are harness errors. The last of several severities in the order of their names counts."""
+    are harness errors. The last of several severities in the order of their names counts. With `cluster`, a column of both,
+    an answer speaks for the rows of its own cluster alone; only what answers name is joined."""
     kind = df.schema[key].dataType.simpleString()
-    named = answers.select(F.explode(F.from_json(raw, f"array<struct<{key}: {kind}, severity: string>>")).alias("r")).groupBy(F.col(f"r.{key}").alias(key)).agg(F.max("r.severity").alias("__s"))
-    return df.join(named, key, "left").withColumn(out, F.coalesce("__s", F.lit("HARNESS_ERROR"))).drop("__s")
+    own = [cluster] if cluster else []
+    found = answers.select(*own, F.explode(F.from_json(raw, f"array<struct<{key}: {kind}, severity: string>>")).alias("r")).select(*own, F.col(f"r.{key}").alias(key), "r.severity")
+    named = found.groupBy(*own, key).agg(F.max("severity").alias("__s"))
+    return df.join(named, [*own, key], "left").withColumn(out, F.coalesce("__s", F.lit("HARNESS_ERROR"))).drop("__s")
 
 
 def route(kind: Column, routes: dict[str, str], default: Column) -> Column:
@@ -319,3 +323,111 @@ def pdf_parse_status(kind: Column, state: Column, source: Column) -> Column:
         ],
         F.lit(None),
     )
+
+
+#: Attempts at a fix, and the label of issues that are left to people.
+FIX_ATTEMPTS, HUMAN_LABEL = 3, "flake-investigation"
+
+
+def dispatcher_gates(issue: Column, transport: Column, fingerprint: Column, labels: Column, error_class: Column, attempts: Column, branch: Column, skipped: Column, dry_run: Column, answer: Column, rounds_left: Column, guarded: Column, committed: Column) -> Column:
+    """A struct of code and gate: where the dispatch of an issue ends, 0 done or left alone, 1 failed, 2 refused, 3 capped.
+
+    error_class: as `extract_error_class` gives it. answer: ok, or how the call or the use of its diff failed (ci-gate,
+    cap-blocked, contract-error, malformed, not-applicable, else an error). Gates are tried in the order of the work, so what
+    comes later may be null for an issue that ends before.
+    """
+
+    def out(code: int, gate: str) -> Column:
+        return F.struct(F.lit(code).alias("code"), F.lit(gate).alias("gate"))
+
+    again = answer.isin("malformed", "not-applicable")
+    return cascade(
+        [
+            (issue.isNull() | (issue == ""), out(2, "arguments")),
+            (~F.coalesce(transport.isin("sdk", "subscription"), F.lit(False)), out(2, "transport")),
+            (F.coalesce(fingerprint, F.lit("")) == "", out(2, "fingerprint")),
+            (F.array_contains(labels, HUMAN_LABEL), out(0, "left-to-people")),
+            (error_class.isNull(), out(2, "no-class")),
+            (error_class == "AMBIGUOUS", out(2, "many-classes")),
+            (attempts >= FIX_ATTEMPTS, out(3, "attempts")),
+            (branch, out(0, "branch-exists")),
+            (skipped, out(0, "skip-class")),
+            (dry_run, out(0, "dry-run")),
+            (answer == "ci-gate", out(2, "ci-gate")),
+            (answer == "cap-blocked", out(3, "cap-blocked")),
+            (answer == "contract-error", out(2, "contract-error")),
+            (again & (F.coalesce(rounds_left, F.lit(0)) <= 0), out(0, "rounds")),
+            (again, out(0, "again")),
+            (F.coalesce(answer, F.lit("")) != "ok", out(1, "call")),
+            (guarded, out(1, "diff-guard")),
+            (~F.coalesce(committed, F.lit(False)), out(1, "commit")),
+        ],
+        out(0, "done"),
+    )
+
+
+def issue_payload(sections: Sequence[tuple[Column, int | None]]) -> Column:
+    """Sections line by line, each cut to its budget; a null one is left out."""
+    from lineloom.functions.text import truncate_budget
+
+    return F.concat_ws("\n", *[text if budget is None else truncate_budget(text, budget, "...") for text, budget in sections])
+
+
+def issue_body(heading: Column, fields: Sequence[tuple[str, Column]], reason: Column, fingerprint: Column, reason_title: str = "Verifier reason", budget: int = 1000) -> Column:
+    """A failure's report as markdown: a heading, a table of fields (n/a where null or empty), the reason's first `budget`
+    characters in a fence, where no markdown of its own counts, and the fingerprint as a comment that searches find."""
+    table = [F.concat(F.lit(f"| {name} | "), F.coalesce(F.nullif(value, F.lit("")), F.lit("n/a")), F.lit(" |")) for name, value in fields]
+    lines = [F.concat(F.lit("## "), heading), F.lit(""), F.lit("| Field | Value |"), F.lit("|-------|-------|"), *table, F.lit(""), F.lit(f"**{reason_title}:**"), F.lit(""), F.lit("```"), F.substring(F.coalesce(reason, F.lit("")), 1, budget), F.lit("```"), F.lit(""), F.concat(F.lit("<!-- fingerprint: "), fingerprint, F.lit(" -->"))]
+    return F.concat_ws("\n", *lines)
+
+
+def classify_iteration(selection_found: Column, ran: Column, verified: Column) -> Column:
+    """What one try came to; what is not known did not happen."""
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    return cascade([(no(selection_found), F.lit("LLM_HALLUCINATED_SELECTION")), (no(ran), F.lit("HARNESS_ERROR")), (no(verified), F.lit("VERIFIER_DISAGREE"))], F.lit("PASS"))
+
+
+def filing_cases(cases: DataFrame, failed: Column, wanted: Column) -> DataFrame:
+    """Failures that are filed: failed and wanted; an unknown answer is no."""
+    return cases.where(F.coalesce(failed & wanted, F.lit(False)))
+
+
+def filing_findings(findings: DataFrame, key: str, wanted: Column, least: int) -> DataFrame:
+    """Wanted findings of the keys that have `least` rows or more; the keys' counts come pre-aggregated."""
+    often = findings.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") >= least).select(key)
+    return findings.where(wanted).join(often, key, "left_semi")
+
+
+def submit_guard(df: DataFrame, passage: str, published: Column) -> DataFrame:
+    """Rows whose passage says something and whose document is not a mere publication, the passage trimmed."""
+    return df.where((F.trim(passage) != "") & ~F.coalesce(published, F.lit(False))).withColumn(passage, F.trim(passage))
+
+
+def copy_all(results: DataFrame, key: str, order: str, citation: str, sep: str = "\n") -> DataFrame:
+    """key, copied: each key's citations that are not null, line by line in order."""
+    found = F.array_sort(F.collect_list(F.struct(order, F.col(citation).alias("c"))))
+    return results.where(F.col(citation).isNotNull()).groupBy(key).agg(F.array_join(F.transform(found, lambda s: s["c"]), sep).alias("copied"))
+
+
+def newest_after(runs: DataFrame, key: str, ident: str, at: str, trigger: Column, slack: int = 1) -> DataFrame:
+    """key, run: each key's newest run created no earlier than `slack` seconds before the trigger and named by digits."""
+    late = runs.where((F.col(at) >= trigger - F.expr(f"INTERVAL {slack} SECOND")) & F.col(ident).cast("string").rlike("^[0-9]+$"))
+    return late.groupBy(key).agg(F.max_by(ident, F.struct(at, ident)).alias("run"))
+
+
+def all_pass(runs: DataFrame, key: str, passed: Column) -> DataFrame:
+    """key, passed: whether every run of a key did; an unknown one did not."""
+    return runs.groupBy(key).agg(F.bool_and(F.coalesce(passed, F.lit(False))).alias("passed"))
+
+
+def ledger_write_guard(transport: Column, in_ci: Column, override: Column | None = None) -> Column:
+    """Why a ledger entry is refused, or null: an unknown transport, or a write outside CI that is neither the subscription's
+    nor allowed. A null transport is the default one."""
+    kind = F.coalesce(transport, F.lit("sdk"))
+    allowed = in_ci if override is None else in_ci | override
+    return cascade([(~kind.isin("sdk", "subscription"), F.lit("unknown transport")), (~F.coalesce(allowed, F.lit(False)) & (kind != "subscription"), F.lit("outside ci"))], F.lit(None))
+
+
+def report_fix(pr_exists: Column, capped: Column, well_formed: Column, permitted: Column) -> Column:
+    """How a report's fix ends: pr-exists, cap, malformed, forbidden or built."""
+    return cascade([(pr_exists, F.lit("pr-exists")), (capped, F.lit("cap")), (~F.coalesce(well_formed, F.lit(False)), F.lit("malformed")), (~F.coalesce(permitted, F.lit(False)), F.lit("forbidden"))], F.lit("built"))

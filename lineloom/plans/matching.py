@@ -122,9 +122,7 @@ def selection_in_spec(spark, sf_dir):
 @plans.add("spec_excerpt", "WITH l AS (SELECT doc_id, unnest(range(0, len(l))) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)), m AS (SELECT doc_id, min(i) AS m FROM l WHERE length(line) >= 300 GROUP BY 1) SELECT doc_id, string_agg(line, ' ' ORDER BY i) AS excerpt FROM l JOIN m USING (doc_id) WHERE i >= m AND i < 15 GROUP BY 1")
 def spec_excerpt(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
-    first = lines.where(F.length("line") >= 300).groupBy("doc_id").agg(F.min("i").alias("m"))
-    near = lines.where("i < 15").join(first, "doc_id").where("i >= m")
-    return near.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda s: s["line"]), " ").alias("excerpt"))
+    return M.spec_excerpt(lines, "doc_id", "i", "line")
 
 
 # For every place of a letter or digit in the body, that place.

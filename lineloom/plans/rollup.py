@@ -105,8 +105,7 @@ def case_summary(spark, sf_dir):
 @plans.add("triage_summary", "SELECT 'category' AS kind, event_type AS name, count(*) AS n FROM events GROUP BY 2 UNION ALL SELECT 'severity', CASE WHEN value >= 50 THEN 'high' WHEN value >= 10 THEN 'medium' ELSE 'low' END, count(*) FROM events GROUP BY 2")
 def triage_summary(spark, sf_dir):
     severity = F.when(F.col("value") >= 50, "high").when(F.col("value") >= 10, "medium").otherwise("low")
-    pairs = F.explode(F.array(F.struct(F.lit("category").alias("kind"), F.col("event_type").alias("name")), F.struct(F.lit("severity").alias("kind"), severity.alias("name"))))
-    return table(spark, sf_dir, "events").select(pairs.alias("p")).groupBy("p.kind", "p.name").agg(F.count("*").alias("n"))
+    return U.tallies(table(spark, sf_dir, "events"), {"category": F.col("event_type"), "severity": severity})
 
 
 _LABELS = "CASE user_id % 4 WHEN 0 THEN ['nightly', event_type] WHEN 1 THEN [event_type, 'error'] WHEN 2 THEN ['triage'] ELSE ['error', 'view', 'click'] END"
@@ -138,17 +137,14 @@ def extract_error_class(spark, sf_dir):
 def autofix_metrics(spark, sf_dir):
     minutes = F.floor(F.unix_seconds(F.col("o_orderdate").cast("timestamp")) / 60) - 27000000
     prs = table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus", minutes.alias("minutes"))
-    tried, merged = F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "F"
-    rates = prs.agg(F.count_if(tried).alias("attempted"), F.count_if(merged).alias("merged"), F.round(F.count_if(merged) / F.count_if(tried), 9).alias("success_rate"), F.median(F.when(merged & (F.col("minutes") >= -12000000), F.col("minutes"))).alias("p50_minutes"))
-    attempts = prs.groupBy("o_custkey").count().agg(F.median("count").alias("p50_attempts"))
-    return rates.join(F.broadcast(attempts))
+    known = F.when(F.col("minutes") >= -12000000, F.col("minutes"))
+    return U.autofix_metrics(prs, F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "F", known, "o_custkey")
 
 
 @plans.add("bug_report_metrics", f"SELECT count(*) FILTER (event_type <> 'view' AND ts >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY AND ts <= TIMESTAMP '{NOW}') AS volume, count(*) FILTER (event_type = 'signup') AS open, count(*) FILTER (event_type = 'purchase') AS merged, count(*) FILTER (event_type = 'error') AS stuck, round(count(*) FILTER (event_type = 'purchase') * 100.0 / count(*) FILTER (event_type <> 'view' AND ts >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY AND ts <= TIMESTAMP '{NOW}'), 1) AS promotion_rate FROM events")
 def bug_report_metrics(spark, sf_dir):
     now, kind = F.lit(NOW).cast("timestamp_ntz"), F.col("event_type")
-    volume = F.count_if((kind != "view") & (F.col("ts") >= now - F.expr("INTERVAL 7 DAY")) & (F.col("ts") <= now))
-    return table(spark, sf_dir, "events").agg(volume.alias("volume"), F.count_if(kind == "signup").alias("open"), F.count_if(kind == "purchase").alias("merged"), F.count_if(kind == "error").alias("stuck"), F.round(F.try_divide(F.count_if(kind == "purchase") * 100.0, volume), 1).alias("promotion_rate"))
+    return U.bug_report_metrics(table(spark, sf_dir, "events"), F.col("ts"), now, kind != "view", kind == "signup", kind == "purchase", kind == "error")
 
 
 _ARMS = "SELECT event_type AS class, CASE WHEN event_id % 2 = 0 THEN 'A' ELSE 'B' END AS arm, CASE WHEN event_id % 3 = 0 THEN 'sdk' ELSE 'subscription' END AS transport, CASE WHEN event_id % 11 = 0 THEN NULL ELSE value > 10 + (event_id % 2) * user_id % 9 END AS outcome FROM events"
@@ -157,7 +153,7 @@ _ARMS = "SELECT event_type AS class, CASE WHEN event_id % 2 = 0 THEN 'A' ELSE 'B
 @plans.add("ab_per_class_arm", f"SELECT class, arm, transport, count(*) AS n, count(*) FILTER (outcome) AS pass FROM ({_ARMS}) GROUP BY 1, 2, 3")
 def ab_per_class_arm(spark, sf_dir):
     table(spark, sf_dir, "events").createOrReplaceTempView("events")
-    return spark.sql(_ARMS).groupBy("class", "arm", "transport").agg(F.count("*").alias("n"), F.count_if("outcome").alias("pass"))
+    return U.ab_counts(spark.sql(_ARMS), ["class", "transport"], "arm", "outcome")
 
 
 @plans.add("ab_winner", f"WITH r AS (SELECT class, transport, count(*) FILTER (arm = 'A') AS n_a, count(*) FILTER (arm = 'B') AS n_b, count(*) FILTER (arm = 'A' AND outcome) AS pass_a, count(*) FILTER (arm = 'B' AND outcome) AS pass_b FROM ({_ARMS}) GROUP BY 1, 2), g AS (SELECT min(least(n_a, n_b)) AS m FROM r) SELECT class, transport, n_a, n_b, pass_a, pass_b, round(pass_a / n_a - pass_b / n_b, 9) AS delta, CASE WHEN m < 20 THEN 'NO_WINNER_YET' WHEN abs(pass_a / n_a - pass_b / n_b) < 0.1 THEN 'TIE' WHEN pass_a / n_a > pass_b / n_b THEN 'A' ELSE 'B' END AS winner FROM r, g")
@@ -169,14 +165,14 @@ def ab_winner(spark, sf_dir):
 @plans.add("ab_gate", f"SELECT bool_and(n_a >= 500 AND n_b >= 500) AS open FROM (SELECT class, transport, count(*) FILTER (arm = 'A') AS n_a, count(*) FILTER (arm = 'B') AS n_b FROM ({_ARMS}) GROUP BY 1, 2)")
 def ab_gate(spark, sf_dir):
     table(spark, sf_dir, "events").createOrReplaceTempView("events")
-    counts = spark.sql(_ARMS).groupBy("class", "transport").agg(F.count_if(F.col("arm") == "A").alias("n_a"), F.count_if(F.col("arm") == "B").alias("n_b"))
-    return counts.agg(F.coalesce(F.bool_and((F.col("n_a") >= 500) & (F.col("n_b") >= 500)), F.lit(False)).alias("open"))
+    return U.ab_gate(spark.sql(_ARMS), ["class", "transport"], "arm", least=500)
 
 
 @plans.add("bypass_audit", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL WHEN o_orderpriority = '1-URGENT' THEN true ELSE epoch(o_orderdate) % 7 > 3 END AS bypass FROM orders")
 def bypass_audit(spark, sf_dir):
-    late = F.unix_seconds(F.col("o_orderdate").cast("timestamp")) % 7 > 3
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") != "P", F.when(F.col("o_orderpriority") == "1-URGENT", True).otherwise(late)).alias("bypass"))
+    finished = F.unix_seconds(F.col("o_orderdate").cast("timestamp")) % 7
+    verdict = U.bypass(F.col("o_orderstatus") != "P", F.col("o_orderpriority") == "1-URGENT", finished, F.lit(3))
+    return table(spark, sf_dir, "orders").select("o_orderkey", verdict.alias("bypass"))
 
 
 @plans.add("tally_line", "SELECT string_agg(event_type || ':' || n, ' ' ORDER BY n DESC, event_type) AS line FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1)")
@@ -194,8 +190,7 @@ def max_iso(spark, sf_dir):
 @plans.add("replay_verdict", "SELECT conv_id, CASE WHEN any_value(original) IS NULL THEN 'NOT_REPLAYABLE' WHEN count(*) FILTER (turn BETWEEN 1 AND 3 AND role = original) >= 2 THEN 'CONFIRMED' ELSE 'FLAKE' END AS verdict FROM conversations JOIN (SELECT conv_id, max(CASE WHEN turn = 0 AND conv_id % 5 <> 0 THEN role END) AS original FROM conversations GROUP BY 1) USING (conv_id) GROUP BY 1")
 def replay_verdict(spark, sf_dir):
     runs = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max(F.when((F.col("turn") == 0) & (F.col("conv_id") % 5 != 0), F.col("role"))).alias("original"), F.collect_list(F.when(F.col("turn").between(1, 3), F.col("role"))).alias("runs"))
-    same = F.size(F.filter("runs", lambda r: r == F.col("original")))
-    return runs.select("conv_id", F.when(F.col("original").isNull(), "NOT_REPLAYABLE").when(same >= 2, "CONFIRMED").otherwise("FLAKE").alias("verdict"))
+    return runs.select("conv_id", U.replay_verdict(F.col("original"), F.col("runs")).alias("verdict"))
 
 
 @plans.add("upper_median", "SELECT user_id, v[CAST(len(v) // 2 AS INT) + 1] AS median FROM (SELECT user_id, list_sort(list(value)) AS v FROM events GROUP BY 1)")
@@ -215,23 +210,20 @@ def _cases(spark, sf_dir):
 
 @plans.add("accuracy_report", f"SELECT category, count(*) AS total, count(*) FILTER (expected = actual) AS exact, count(*) FILTER (expected IS NULL) AS missing, round(count(*) FILTER (expected = actual) / count(*), 9) AS rate FROM ({_CASES}) GROUP BY 1")
 def accuracy_report(spark, sf_dir):
-    right = F.coalesce(F.col("expected") == F.col("actual"), F.lit(False))
-    return _cases(spark, sf_dir).groupBy("category").agg(F.count("*").alias("total"), F.count_if(right).alias("exact"), F.count_if(F.col("expected").isNull()).alias("missing"), F.round(F.count_if(right) / F.count("*"), 9).alias("rate"))
+    return U.accuracy_report(_cases(spark, sf_dir))
 
 
 @plans.add("confidence_calibration", f"SELECT CASE WHEN confidence >= 0.95 THEN 'high' ELSE 'middle' END AS band, count(*) AS n, round(count(*) FILTER (expected = actual) / count(*), 9) AS correct FROM ({_CASES}) WHERE confidence >= 0.80 AND expected IS NOT NULL GROUP BY 1")
 def confidence_calibration(spark, sf_dir):
-    rows = _cases(spark, sf_dir).where("confidence >= 0.80 AND expected IS NOT NULL")
-    return rows.groupBy(F.when(F.col("confidence") >= 0.95, "high").otherwise("middle").alias("band")).agg(F.count("*").alias("n"), F.round(F.count_if(F.col("expected") == F.col("actual")) / F.count("*"), 9).alias("correct"))
+    return U.confidence_calibration(_cases(spark, sf_dir))
 
 
 @plans.add("before_after", "SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'new' WHEN b.doc_id IS NULL THEN 'gone' WHEN b.q > a.t THEN 'improved' WHEN b.q < a.t THEN 'regressed' ELSE 'same' END AS change FROM (SELECT doc_id, max(toxic) AS t FROM labels WHERE doc_id % 5 <> 0 GROUP BY 1) a FULL JOIN (SELECT doc_id, max(quality) AS q FROM labels WHERE doc_id % 7 <> 0 GROUP BY 1) b ON a.doc_id = b.doc_id")
 def before_after(spark, sf_dir):
     labels = table(spark, sf_dir, "labels")
-    old = labels.where("doc_id % 5 <> 0").groupBy("doc_id").agg(F.max("toxic").alias("t"))
-    new = labels.where("doc_id % 7 <> 0").groupBy("doc_id").agg(F.max("quality").alias("q"))
-    change = F.when(F.col("t").isNull(), "new").when(F.col("q").isNull(), "gone").when(F.col("q") > F.col("t"), "improved").when(F.col("q") < F.col("t"), "regressed").otherwise("same")
-    return old.join(new, "doc_id", "full").select("doc_id", change.alias("change"))
+    old = labels.where("doc_id % 5 <> 0").groupBy("doc_id").agg(F.max("toxic").alias("score"))
+    new = labels.where("doc_id % 7 <> 0").groupBy("doc_id").agg(F.max("quality").alias("score"))
+    return U.before_after(old, new, "doc_id", "score")
 
 
 QUERIES, SQL = plans.QUERIES, plans.SQL

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lineloom.operators import rules as R
+from lineloom.operators.rollup import extract_error_class
 from lineloom.plans.base import Plans, table
 from lineloom.sources import commits
 from lineloom.sources.shared import shared_path
@@ -89,7 +90,21 @@ def promote_gates(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", R.promote_gates(gates).alias("failed"))
 
 
-plans.QUERIES["dispatcher_gates"], plans.SQL["dispatcher_gates"] = promote_gates, plans.SQL["promote_gates"]
+_DISPATCH = """CASE WHEN event_id % 37 = 0 THEN 'arguments' WHEN event_id % 31 = 0 THEN 'transport' WHEN event_id % 29 = 0 THEN 'fingerprint' WHEN user_id % 9 = 0 THEN 'left-to-people' WHEN event_type = 'view' AND user_id % 9 <> 1 THEN 'no-class' WHEN user_id % 9 = 1 AND event_type NOT IN ('error', 'view') THEN 'many-classes'
+WHEN event_id % 5 >= 3 THEN 'attempts' WHEN event_id % 23 = 0 THEN 'branch-exists' WHEN event_id % 19 = 0 THEN 'skip-class' WHEN event_id % 17 = 0 THEN 'dry-run' WHEN event_id % 13 = 0 THEN 'ci-gate' WHEN event_id % 13 = 1 THEN 'cap-blocked' WHEN event_id % 13 = 2 THEN 'contract-error' WHEN event_id % 13 IN (3, 4) THEN CASE WHEN event_id % 2 = 0 THEN 'rounds' ELSE 'again' END WHEN event_id % 13 = 5 THEN 'call'
+WHEN event_id % 11 = 0 THEN 'diff-guard' WHEN event_id % 7 = 0 THEN 'commit' ELSE 'done' END"""
+
+
+@plans.add("dispatcher_gates", f"SELECT event_id, CAST(CASE WHEN gate IN ('attempts', 'cap-blocked') THEN 3 WHEN gate IN ('call', 'diff-guard', 'commit') THEN 1 WHEN gate IN ('arguments', 'transport', 'fingerprint', 'no-class', 'many-classes', 'ci-gate', 'contract-error') THEN 2 ELSE 0 END AS INT) AS code, gate FROM (SELECT event_id, {_DISPATCH} AS gate FROM events)")
+def dispatcher_gates(spark, sf_dir):
+    """Events as issues; their labels hold the class, some a second one or the mark of issues for people."""
+    n = F.col("event_id")
+    labels = F.expr("CASE user_id % 9 WHEN 0 THEN array(event_type, 'flake-investigation') WHEN 1 THEN array('error', event_type) ELSE array(event_type) END")
+    klass = extract_error_class(F.array_distinct(labels), ["click", "error", "purchase", "signup"])
+    answer = F.expr("CASE event_id % 13 WHEN 0 THEN 'ci-gate' WHEN 1 THEN 'cap-blocked' WHEN 2 THEN 'contract-error' WHEN 3 THEN 'malformed' WHEN 4 THEN 'not-applicable' WHEN 5 THEN 'lost' ELSE 'ok' END")
+    issue = F.when(n % 37 != 0, n.cast("string"))
+    gate = R.dispatcher_gates(issue, F.when(n % 31 == 0, "carrier").otherwise("sdk"), F.when(n % 29 != 0, "f"), labels, klass, n % 5, n % 23 == 0, n % 19 == 0, n % 17 == 0, answer, n % 2, n % 11 == 0, n % 7 != 0)
+    return table(spark, sf_dir, "events").select("event_id", gate.alias("g")).select("event_id", "g.*")
 
 
 @plans.add("quarantine_upsert", "SELECT coalesce(q.k, f.k) AS case_id, CAST(coalesce(runs, 0) + CASE WHEN f.k IS NULL THEN 0 ELSE 1 END AS INT) AS stable_runs, coalesce(runs, 0) + CASE WHEN f.k IS NULL THEN 0 ELSE 1 END >= 3 AS label FROM (SELECT c_custkey AS k, c_custkey % 4 AS runs FROM customer WHERE c_custkey % 2 = 0) q FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders) f ON q.k = f.k")
@@ -206,7 +221,10 @@ def case_to_patent(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", R.case_to_patent(case).alias("patent"), R.case_id_valid(case).alias("valid"))
 
 
-plans.QUERIES["case_id_valid"], plans.SQL["case_id_valid"] = case_to_patent, plans.SQL["case_to_patent"]
+@plans.add("case_id_valid", "SELECT event_id, event_id % 6 IN (0, 1, 2) AS valid FROM events")
+def case_id_valid(spark, sf_dir):
+    case = F.expr("CASE event_id % 6 WHEN 0 THEN concat('US', event_id, 'B2-claims-', user_id) WHEN 1 THEN 'PRE-FLIGHT-DOM-DRIFT' WHEN 2 THEN concat('EP', event_id, '-x') WHEN 3 THEN 'PRE-FLIGHT' WHEN 4 THEN concat('US', event_id, '-claims;rm') END")
+    return table(spark, sf_dir, "events").select("event_id", R.case_id_valid(case).alias("valid"))
 
 
 @plans.add("validate_selection", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'not json' WHEN 1 THEN 'missing category' WHEN 2 THEN 'bad patentId' WHEN 3 THEN 'too short' END AS reason FROM events")
@@ -227,18 +245,21 @@ def parse_llm_single(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", R.parse_single(raw).alias("v")).select("event_id", "v.*")
 
 
-@plans.add("parse_llm_cluster", "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'high' ELSE 'HARNESS_ERROR' END AS found FROM events WHERE event_id < 100")
+@plans.add("parse_llm_cluster", "SELECT event_id, CASE WHEN event_id % 3 = 0 AND user_id % 4 <> 0 THEN 'high' ELSE 'HARNESS_ERROR' END AS found FROM events")
 def parse_llm_cluster(spark, sf_dir):
-    events = table(spark, sf_dir, "events").where("event_id < 100").select("event_id")
-    answer = events.where("event_id % 2 = 0").agg(F.to_json(F.collect_list(F.struct("event_id", F.lit("high").alias("severity")))).alias("raw"))
-    return R.parse_cluster(events, answer, "event_id", "raw", "found")
+    """An answer for each day's events of a user; those of every fourth user are no JSON, and each names a stranger."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", F.concat_ws("|", "user_id", F.to_date("ts")).alias("cluster"))
+    named = F.collect_list(F.when(F.col("event_id") % 3 == 0, F.struct("event_id", F.lit("high").alias("severity"))))
+    stranger = F.array(F.struct((F.max("event_id") + 1_000_000_000).alias("event_id"), F.lit("low").alias("severity")))
+    answers = events.groupBy("cluster", "user_id").agg(F.to_json(F.concat(named, stranger)).alias("raw"))
+    answers = answers.withColumn("raw", F.when(F.col("user_id") % 4 == 0, F.substring("raw", 1, 5)).otherwise(F.col("raw"))).drop("user_id")
+    return R.parse_cluster(events, answers, "event_id", "raw", "found", "cluster").select("event_id", "found")
 
 
 @plans.add("classify_iteration", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'LLM_HALLUCINATED_SELECTION' WHEN event_id % 4 = 1 THEN 'HARNESS_ERROR' WHEN event_id % 4 = 2 THEN 'VERIFIER_DISAGREE' ELSE 'PASS' END AS classification FROM events")
 def classify_iteration(spark, sf_dir):
     n = F.col("event_id") % 4
-    rules = [(n == 0, F.lit("LLM_HALLUCINATED_SELECTION")), (n == 1, F.lit("HARNESS_ERROR")), (n == 2, F.lit("VERIFIER_DISAGREE"))]
-    return table(spark, sf_dir, "events").select("event_id", R.cascade(rules, F.lit("PASS")).alias("classification"))
+    return table(spark, sf_dir, "events").select("event_id", R.classify_iteration(n != 0, n != 1, n != 2).alias("classification"))
 
 
 @plans.add("route_model", "SELECT event_id, CASE event_type WHEN 'error' THEN 'large' WHEN 'view' THEN 'small' ELSE 'medium' END AS route FROM events")
@@ -269,61 +290,59 @@ def pdf_parse_status(spark, sf_dir):
 
 @plans.add("filing_filter_cases", "SELECT doc_id FROM labels WHERE quality = 0 AND toxic = 1")
 def filing_filter_cases(spark, sf_dir):
-    return table(spark, sf_dir, "labels").where("quality = 0 AND toxic = 1").select("doc_id")
+    return R.filing_cases(table(spark, sf_dir, "labels"), F.col("quality") == 0, F.col("toxic") == 1).select("doc_id")
 
 
 @plans.add("filing_filter_findings", "SELECT c.conv_id, c.turn FROM conversations c JOIN (SELECT conv_id FROM conversations GROUP BY 1 HAVING count(*) >= 4) r ON c.conv_id = r.conv_id WHERE c.role = 'user'")
 def filing_filter_findings(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
-    long = turns.groupBy("conv_id").count().where("count >= 4").select("conv_id")
-    return turns.where("role = 'user'").join(long, "conv_id", "left_semi").select("conv_id", "turn")
+    return R.filing_findings(turns, "conv_id", F.col("role") == "user", 4).select("conv_id", "turn")
 
 
 @plans.add("issue_payload", "SELECT event_id, '## ' || event_type || chr(10) || CASE WHEN length(props) > 8 THEN substr(props, 1, 5) || '...' ELSE props END || chr(10) || 'value ' || user_id AS body FROM events")
 def issue_payload(spark, sf_dir):
-    from lineloom.functions.text import truncate_budget
-
-    parts = [F.concat(F.lit("## "), F.col("event_type")), truncate_budget(F.col("props"), 8, "..."), F.concat(F.lit("value "), F.col("user_id").cast("string"))]
-    return table(spark, sf_dir, "events").select("event_id", F.concat_ws("\n", *parts).alias("body"))
+    sections = [(F.concat(F.lit("## "), F.col("event_type")), None), (F.col("props"), 8), (F.concat(F.lit("value "), F.col("user_id").cast("string")), None)]
+    return table(spark, sf_dir, "events").select("event_id", R.issue_payload(sections).alias("body"))
 
 
-plans.QUERIES["issue_body"], plans.SQL["issue_body"] = issue_payload, plans.SQL["issue_payload"]
+@plans.add("issue_body", "SELECT doc_id, '## Failure of D' || doc_id || chr(10) || chr(10) || '| Field | Value |' || chr(10) || '|-------|-------|' || chr(10) || '| Language | ' || coalesce(nullif(lang, ''), 'n/a') || ' |' || chr(10) || '| Citation | ' || CASE WHEN doc_id % 3 = 0 THEN 'n/a' ELSE '1:' || doc_id END || ' |' || chr(10) || chr(10) || '**Verifier reason:**' || chr(10) || chr(10) || '```' || chr(10) || substr(coalesce(text, ''), 1, 1000) || chr(10) || '```' || chr(10) || chr(10) || '<!-- fingerprint: ' || substr(sha256(CAST(doc_id AS VARCHAR)), 1, 12) || ' -->' AS body FROM documents")
+def issue_body(spark, sf_dir):
+    name = F.col("doc_id").cast("string")
+    fields = [("Language", F.col("lang")), ("Citation", F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("1:"), name)))]
+    body = R.issue_body(F.concat(F.lit("Failure of D"), name), fields, F.col("text"), F.substring(F.sha2(name, 256), 1, 12))
+    return table(spark, sf_dir, "documents").select("doc_id", body.alias("body"))
 
 
 @plans.add("submit_guard", "SELECT doc_id, length(trim(text)) AS n FROM documents WHERE trim(text) <> '' AND doc_id % 10 <> 0")
 def submit_guard(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where((F.trim("text") != "") & (F.col("doc_id") % 10 != 0)).select("doc_id", F.length(F.trim("text")).cast("long").alias("n"))
+    return R.submit_guard(table(spark, sf_dir, "documents"), "text", F.col("doc_id") % 10 == 0).select("doc_id", F.length("text").cast("long").alias("n"))
 
 
 @plans.add("copy_all", "SELECT conv_id, string_agg(role, chr(10) ORDER BY turn) AS copied FROM conversations WHERE turn <> 1 GROUP BY 1")
 def copy_all(spark, sf_dir):
-    found = F.array_sort(F.collect_list(F.struct("turn", "role")))
-    return table(spark, sf_dir, "conversations").where("turn <> 1").groupBy("conv_id").agg(F.array_join(F.transform(found, lambda s: s["role"]), "\n").alias("copied"))
+    return R.copy_all(table(spark, sf_dir, "conversations").withColumn("role", F.when(F.col("turn") != 1, F.col("role"))), "conv_id", "turn", "role")
 
 
 @plans.add("pick_newest_after", "SELECT user_id, arg_max(event_id, (ts, event_id)) AS run FROM events WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 1 SECOND GROUP BY 1")
 def pick_newest_after(spark, sf_dir):
-    start = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz") - F.expr("INTERVAL 1 SECOND")
-    return table(spark, sf_dir, "events").where(F.col("ts") >= start).groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("run"))
+    return R.newest_after(table(spark, sf_dir, "events"), "user_id", "event_id", "ts", F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
 
 
 @plans.add("verify_n_runs", "SELECT conv_id, bool_and(role IN ('user', 'assistant')) AS passed FROM conversations GROUP BY 1")
 def verify_n_runs(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.bool_and(F.col("role").isin("user", "assistant")).alias("passed"))
+    return R.all_pass(table(spark, sf_dir, "conversations"), "conv_id", F.col("role").isin("user", "assistant"))
 
 
 @plans.add("ledger_write_guard", "SELECT event_id, CASE WHEN user_id % 5 = 0 THEN 'unknown transport' WHEN event_id % 3 = 0 AND user_id % 5 <> 1 THEN 'outside ci' END AS refused FROM events")
 def ledger_write_guard(spark, sf_dir):
     kind = F.expr("CASE user_id % 5 WHEN 0 THEN 'carrier' WHEN 1 THEN 'subscription' ELSE 'sdk' END")
-    rules = [(~kind.isin("sdk", "subscription"), F.lit("unknown transport")), ((F.col("event_id") % 3 == 0) & (kind != "subscription"), F.lit("outside ci"))]
-    return table(spark, sf_dir, "events").select("event_id", R.cascade(rules, F.lit(None)).alias("refused"))
+    return table(spark, sf_dir, "events").select("event_id", R.ledger_write_guard(kind, F.col("event_id") % 3 != 0).alias("refused"))
 
 
 @plans.add("report_fix_flow", "SELECT event_id, CASE WHEN user_id % 7 = 0 THEN 'pr-exists' WHEN value > 100 THEN 'cap' WHEN event_id % 4 = 0 THEN 'malformed' WHEN event_id % 4 = 1 THEN 'forbidden' ELSE 'built' END AS reason FROM events")
 def report_fix_flow(spark, sf_dir):
     n = F.col("event_id") % 4
-    rules = [(F.col("user_id") % 7 == 0, F.lit("pr-exists")), (F.col("value") > 100, F.lit("cap")), (n == 0, F.lit("malformed")), (n == 1, F.lit("forbidden"))]
-    return table(spark, sf_dir, "events").select("event_id", R.cascade(rules, F.lit("built")).alias("reason"))
+    return table(spark, sf_dir, "events").select("event_id", R.report_fix(F.col("user_id") % 7 == 0, F.col("value") > 100, n != 0, n != 1).alias("reason"))
 
 
 @plans.add("manual_bump_note", "SELECT user_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS notes FROM events WHERE event_type = 'signup' GROUP BY 1")

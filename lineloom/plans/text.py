@@ -173,7 +173,10 @@ def confidence_tier(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", tier.alias("tier"), C.tier_to_number(tier).alias("as_number"))
 
 
-plans.QUERIES["color_to_numeric"], plans.SQL["color_to_numeric"] = confidence_tier, plans.SQL["confidence_tier"]
+@plans.add("color_to_numeric", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN CAST(0.98 AS DOUBLE) WHEN 1 THEN CAST(0.90 AS DOUBLE) WHEN 2 THEN CAST(0.70 AS DOUBLE) END AS as_number FROM events")
+def color_to_numeric(spark, sf_dir):
+    colour = F.expr("CASE event_id % 4 WHEN 0 THEN 'green' WHEN 1 THEN 'yellow' WHEN 2 THEN 'red' ELSE 'grey' END")
+    return table(spark, sf_dir, "events").select("event_id", C.tier_to_number(colour).alias("as_number"))
 
 
 @plans.add("outcome_to_category", "SELECT event_id, CASE WHEN e IN ('no-match', 'paragraph-not-found') THEN 'no_match' WHEN e IS NOT NULL THEN 'tool_not_working' WHEN value / 100 < 0.95 THEN 'inaccurate_citation' END AS category FROM (SELECT *, CASE event_id % 6 WHEN 0 THEN 'no-match' WHEN 1 THEN 'paragraph-not-found' WHEN 2 THEN 'lookup-failed' WHEN 3 THEN 'no-position-map' END AS e FROM events)")
