@@ -105,6 +105,11 @@ def flake_state(outcomes: Column, until: Column, history: Column, now: Column) -
     )
 
 
+def flake_dispatch(states: DataFrame) -> DataFrame:
+    """states (state, action) -> state, action, n: one ledger row for each branch that is taken, with how often."""
+    return states.groupBy("state", "action").agg(F.count("*").alias("n"))
+
+
 def ring_append(df: DataFrame, key: str, order: Sequence[str], value: str, size: int = RING) -> DataFrame:
     """The last `size` values of each key in order. Each task keeps its own last ones first, so a hot key is small."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(o) for o in order]))
@@ -431,3 +436,20 @@ def ledger_write_guard(transport: Column, in_ci: Column, override: Column | None
 def report_fix(pr_exists: Column, capped: Column, well_formed: Column, permitted: Column) -> Column:
     """How a report's fix ends: pr-exists, cap, malformed, forbidden or built."""
     return cascade([(pr_exists, F.lit("pr-exists")), (capped, F.lit("cap")), (~F.coalesce(well_formed, F.lit(False)), F.lit("malformed")), (~F.coalesce(permitted, F.lit(False)), F.lit("forbidden"))], F.lit("built"))
+
+
+def post_fix_suppressed(cases: DataFrame, pulls: DataFrame, closed: DataFrame, key: str, prefix: str, now: Column, days: int = SUPPRESS_DAYS) -> DataFrame:
+    """cases with suppressed: whether a pull request (branch, body, merged_at) of the last `days` whose branch has the prefix
+    names the case between backticks, or a closed issue is the case's. Only what is named is joined."""
+    recent = pulls.where(F.col("branch").startswith(prefix) & within(F.col("merged_at"), now, days) & (F.col("merged_at") <= now))
+    named = recent.select(F.explode(F.regexp_extract_all("body", F.lit("`([^`]+)`"), F.lit(1))).alias(key))
+    hits = named.unionAll(closed.select(key)).distinct().withColumn("__s", F.lit(True))
+    return cases.join(hits, key, "left").withColumn("suppressed", F.coalesce("__s", F.lit(False))).drop("__s")
+
+
+def append_notes(held: DataFrame, news: DataFrame, key: str, order: str, note: str) -> DataFrame:
+    """held (key, notes: an array, null for none) with the new notes of each key after its own, in order."""
+    more = news.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, F.col(note).alias("n")))).alias("__n"))
+    none = F.array().cast("array<string>")
+    notes = F.concat(F.coalesce("notes", none), F.coalesce(F.transform("__n", lambda s: s["n"]), none))
+    return held.join(more, key, "left").withColumn("notes", notes).drop("__n")

@@ -35,9 +35,6 @@ def cite_benchmark(spark, sf_dir):
     return M.find_exact(table(spark, sf_dir, "documents"), items).withColumnRenamed("passage_id", "item_id")
 
 
-plans.QUERIES["match_exact"], plans.SQL["match_exact"] = cite_benchmark, _CITE
-
-
 def _doc_lines(spark, sf_dir):
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "text")).where(F.trim("text") != "")
     return lines.select("doc_id", F.col("n").alias("entry_idx"), (1 + F.floor(F.col("n") / 67)).cast("int").alias("column"), (1 + F.col("n") % 67).alias("line_number"), "text", F.lit(False).alias("wrap_hyphen"))
@@ -65,7 +62,36 @@ _tier("match_bookend", lambda: F.concat(F.substring("text", 1, 150), F.lit(" ins
 _tier("match_fuzzy", lambda: F.concat(F.substring("text", 1, 30), F.lit("q"), F.substring("text", 33, 30)), _least(62))
 _tier("match_gutter", lambda: F.substring(F.regexp_replace("text", r"\s+", " "), 1, 200), _least(200))
 _tier("match_and_cite", lambda: F.substring(F.regexp_replace("text", r"\s+", " "), 1, 300), _least(300))
-plans.QUERIES["cite_batch"] = plans.QUERIES["match_and_cite"]
+
+
+def _asked_sql(offsets: str, size: int) -> str:
+    """Tier 1 of the cascade for pieces of every document's clean text: the last place in its joined lines."""
+    return f"""WITH l AS MATERIALIZED (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS first FROM ({_LINES})),
+d AS MATERIALIZED (SELECT doc_id, string_agg(line, ' ' ORDER BY i) AS t FROM l GROUP BY 1),
+p AS MATERIALIZED (SELECT doc_id, k, regexp_replace(trim(substr(c, k, {size})), '- ([a-z])', '\\1', 'g') AS c FROM (SELECT doc_id, {_CLEAN} AS c FROM documents), (VALUES {offsets}) o(k) WHERE length(c) >= k + {size}),
+h AS MATERIALIZED (SELECT doc_id, k, c <> n AS changed, length(t) - instr(reverse(t), reverse(n)) + 1 - length(n) AS a, length(t) - instr(reverse(t), reverse(n)) + 1 AS b FROM (SELECT *, {_ocr('c')} AS n FROM p) JOIN d USING (doc_id) WHERE contains(t, n)),
+s AS (SELECT h.doc_id, k, changed, max(i) FILTER (first <= a) AS x, max(i) FILTER (first < b) AS y FROM h JOIN l ON l.doc_id = h.doc_id GROUP BY ALL)
+SELECT doc_id, k AS passage, (1 + x // 67) || ':' || (1 + x % 67) || CASE WHEN x = y THEN '' WHEN x // 67 = y // 67 THEN '-' || (1 + y % 67) ELSE '-' || (1 + y // 67) || ':' || (1 + y % 67) END AS citation, CAST(CASE WHEN changed THEN 0.98 ELSE 1.0 END AS DOUBLE) AS confidence FROM s"""
+
+
+def _asked(spark, sf_dir, offsets, size):
+    clean = table(spark, sf_dir, "documents").select("doc_id", T.collapse(F.col("text")).alias("c"))
+    pieces = clean.select("doc_id", "c", F.explode(F.array(*map(F.lit, offsets))).alias("k")).where(F.length("c") >= F.col("k") + size)
+    asked = pieces.select("doc_id", F.struct("doc_id", "k").alias("passage_id"), F.substr("c", F.col("k"), F.lit(size)).alias("text"))
+    found = M.cite(asked, _doc_lines(spark, sf_dir)).where("tier = 1")
+    return found.select("doc_id", F.col("passage_id.k").alias("passage"), "citation", F.round("confidence", 6).alias("confidence"))
+
+
+@plans.add("match_exact", _asked_sql("(41)", 80))
+def match_exact(spark, sf_dir):
+    """What the first tier finds of a piece of every document."""
+    return _asked(spark, sf_dir, [41], 80)
+
+
+@plans.add("cite_batch", _asked_sql("(1), (101), (201)", 60))
+def cite_batch(spark, sf_dir):
+    """What the first tier finds of three pieces of every document, asked at once."""
+    return _asked(spark, sf_dir, [1, 101, 201], 60)
 
 
 _JOINED = f"SELECT doc_id, string_agg(line, ' ' ORDER BY i) AS concat, count(*) AS lines FROM ({_LINES}) GROUP BY 1"

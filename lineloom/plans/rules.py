@@ -75,13 +75,9 @@ def ring_append(spark, sf_dir):
     return R.ring_append(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], "event_type").select("user_id", F.array_join("ring", ",").alias("ring"))
 
 
-@plans.add("flake_dispatch", "SELECT state, action FROM (VALUES ('CONFIRMED_BUG', 'auto-fix'), ('LIKELY_BUG', 'auto-fix'), ('INTERMITTENT', 're-quarantine'), ('FLAKE', 're-quarantine')) t(state, action)")
+@plans.add("flake_dispatch", f"SELECT state, action, count(*) AS n FROM ({plans.SQL['flake_state']}) GROUP BY ALL")
 def flake_dispatch(spark, sf_dir):
-    rings = {"CONFIRMED_BUG": ["fail"] * 3, "LIKELY_BUG": ["fail"] * 7 + ["pass"], "INTERMITTENT": ["fail"] * 4 + ["pass"], "FLAKE": ["pass"] * 3}
-    none, now = F.lit(None).cast("timestamp"), F.lit(NOW).cast("timestamp")
-    rows = F.explode(F.array(*[F.array(*map(F.lit, r)) for r in rings.values()]))
-    state = R.flake_state(F.col("r"), none, F.lit(None).cast("array<timestamp>"), now)
-    return spark.range(1).select(rows.alias("r")).select(state.alias("s")).select("s.*")
+    return R.flake_dispatch(flake_state(spark, sf_dir))
 
 
 @plans.add("promote_gates", "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN 'finished' WHEN o_totalprice < 1000 THEN 'price' WHEN o_custkey % 2 = 0 THEN 'customer' END AS failed FROM orders")
@@ -188,18 +184,23 @@ def reason_hash(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", R.reason_hash(F.col("props")).alias("h"))
 
 
-@plans.add("recently_updated", f"SELECT event_id, ts >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY AND ts <= TIMESTAMP '{NOW}' AS recent, ts >= TIMESTAMP '{NOW}' - INTERVAL 30 DAY AS in_window FROM events")
+@plans.add("recently_updated", f"SELECT event_id, ts >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY AS recent, ts >= TIMESTAMP '2024-02-10 12:00:00' - INTERVAL 30 DAY AS in_window FROM events")
 def recently_updated(spark, sf_dir):
-    now = F.lit(NOW).cast("timestamp_ntz")
-    return table(spark, sf_dir, "events").select("event_id", ((F.col("ts") >= now - F.expr("INTERVAL 7 DAY")) & (F.col("ts") <= now)).alias("recent"), (F.col("ts") >= now - F.expr("INTERVAL 30 DAY")).alias("in_window"))
+    now, later = (F.lit(t).cast("timestamp_ntz") for t in (NOW, "2024-02-10 12:00:00"))
+    return table(spark, sf_dir, "events").select("event_id", R.within(F.col("ts"), now, 7).alias("recent"), R.within(F.col("ts"), later, 30).alias("in_window"))
 
 
-@plans.add("post_fix_suppressed", "SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') OR c_custkey IN (SELECT o_custkey + 1 FROM orders WHERE o_orderstatus = 'P') AS suppressed FROM customer")
+@plans.add("post_fix_suppressed", """WITH f AS (SELECT o_custkey AS c FROM orders WHERE o_orderstatus = 'F' AND o_orderdate >= DATE '1998-08-03' - INTERVAL 30 DAY AND o_orderdate <= DATE '1998-08-03' UNION SELECT o_custkey + 1 FROM orders WHERE o_orderstatus = 'O' AND o_orderdate >= DATE '1998-08-03' - INTERVAL 30 DAY AND o_orderdate <= DATE '1998-08-03' AND o_orderkey % 2 = 0 UNION SELECT o_custkey + 2 FROM orders WHERE o_orderstatus = 'P')
+SELECT c_custkey, c_custkey IN (SELECT c FROM f) AS suppressed FROM customer""")
 def post_fix_suppressed(spark, sf_dir):
+    """Orders as merged pull requests (a fix's branch or another) that name customers, and as closed issues."""
     orders = table(spark, sf_dir, "orders")
-    hits = orders.where("o_orderstatus IN ('F', 'P')").select(F.when(F.col("o_orderstatus") == "F", F.col("o_custkey")).otherwise(F.col("o_custkey") + 1).alias("c_custkey")).distinct()
-    customers = table(spark, sf_dir, "customer").select("c_custkey")
-    return customers.join(hits.withColumn("suppressed", F.lit(True)), "c_custkey", "left").select("c_custkey", F.coalesce("suppressed", F.lit(False)).alias("suppressed"))
+    body = F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("fixes `"), "o_custkey", F.lit("`"))).otherwise(F.concat(F.lit("fixes `"), F.col("o_custkey") + 1, F.lit("`, not "), F.col("o_custkey") + 3))
+    branch = F.when((F.col("o_orderstatus") == "F") | (F.col("o_orderkey") % 2 == 0), "auto-fix/x").otherwise("feature/x")
+    pulls = orders.where("o_orderstatus IN ('F', 'O')").select(branch.alias("branch"), body.alias("body"), F.col("o_orderdate").cast("timestamp").alias("merged_at"))
+    closed = orders.where("o_orderstatus = 'P'").select((F.col("o_custkey") + 2).cast("string").alias("case"))
+    cases = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("case"))
+    return R.post_fix_suppressed(cases, pulls, closed, "case", "auto-fix/", F.lit("1998-08-03").cast("timestamp")).select("c_custkey", "suppressed")
 
 
 @plans.add("promotion_plan", "SELECT o_orderkey, CASE WHEN s THEN 'suppressed' WHEN c = 'real_bug' AND b >= 5 THEN 'cap' WHEN c = 'real_bug' AND k THEN 'dedup' WHEN c = 'real_bug' THEN 'auto' WHEN c = 'noise' THEN 'wontfix' ELSE 'skip' END AS plan FROM (SELECT *, coalesce(sum(CAST(NOT s AND c = 'real_bug' AND NOT k AS INT)) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM (SELECT o_orderkey, o_custkey % 9 = 0 AS s, o_custkey % 4 = 0 AS k, CASE o_orderkey % 3 WHEN 0 THEN 'real_bug' WHEN 1 THEN 'noise' ELSE 'duplicate' END AS c FROM orders))")
@@ -347,8 +348,9 @@ def report_fix_flow(spark, sf_dir):
 
 @plans.add("manual_bump_note", "SELECT user_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS notes FROM events WHERE event_type = 'signup' GROUP BY 1")
 def manual_bump_note(spark, sf_dir):
-    notes = F.array_sort(F.collect_list("event_id"))
-    return table(spark, sf_dir, "events").where("event_type = 'signup'").groupBy("user_id").agg(F.array_join(notes.cast("array<string>"), ",").alias("notes"))
+    news = table(spark, sf_dir, "events").where("event_type = 'signup'").select("user_id", "event_id", F.col("event_id").cast("string").alias("note"))
+    held = news.select("user_id").distinct().withColumn("notes", F.lit(None).cast("array<string>"))
+    return R.append_notes(held, news, "user_id", "event_id", "note").select("user_id", F.array_join("notes", ",").alias("notes"))
 
 
 QUERIES, SQL = plans.QUERIES, plans.SQL

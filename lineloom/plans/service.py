@@ -157,13 +157,14 @@ def find_pdf_link(spark, sf_dir):
 
 
 # Intake
-def _seconds():
-    return F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+def _dense(seconds: int) -> str:
+    """A second of so many for every event, so that a key's events are as near each other as the limits' windows ask."""
+    return f"(event_id * 7919 % {seconds} + event_id % 4 / 4.0)"
 
 
-def _fold_sql(limit: int, ttl: int, key: str) -> str:
+def _fold_sql(limit: int, ttl: int, key: str, sec: str) -> str:
     """A recursive walk over each key's rows: count and end of the limiter."""
-    return f"""WITH RECURSIVE o AS (SELECT {key} AS k, event_id, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS n FROM events),
+    return f"""WITH RECURSIVE o AS (SELECT {key} AS k, event_id, CAST({sec} AS DOUBLE) AS sec, row_number() OVER (PARTITION BY {key} ORDER BY {sec}, event_id) AS n FROM events),
 r AS (SELECT k, event_id, n, true AS allowed, 1 AS c, sec + {ttl} AS until FROM o WHERE n = 1 UNION ALL
 SELECT o.k, o.event_id, o.n, CASE WHEN o.sec >= r.until THEN 0 ELSE r.c END < {limit},
 CASE WHEN CASE WHEN o.sec >= r.until THEN 0 ELSE r.c END < {limit} THEN CASE WHEN o.sec >= r.until THEN 1 ELSE r.c + 1 END ELSE r.c END,
@@ -171,40 +172,45 @@ CASE WHEN CASE WHEN o.sec >= r.until THEN 0 ELSE r.c END < {limit} THEN o.sec +
 SELECT event_id, allowed FROM r"""
 
 
-def _limit(name: str, limit: int, ttl: int) -> None:
-    @plans.add(name, _fold_sql(limit, ttl, "user_id"))
+def _dense_events(spark, sf_dir, key: str, seconds: int):
+    return table(spark, sf_dir, "events").selectExpr("event_id", f"{key} AS k", f"CAST({_dense(seconds)} AS DOUBLE) AS sec")
+
+
+def _limit(name: str, limit: int, ttl: int, key: str, seconds: int) -> None:
+    @plans.add(name, _fold_sql(limit, ttl, key, _dense(seconds)))
     def query(spark, sf_dir):
-        return I.fold(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], _seconds(), lambda: I.ResettingLimit(limit, ttl), "allowed").select("event_id", "allowed")
+        return I.fold(_dense_events(spark, sf_dir, key, seconds), "k", ["sec", "event_id"], F.col("sec"), lambda: I.ResettingLimit(limit, ttl), "allowed").select("event_id", "allowed")
 
 
-# The tables' events are hours apart, so the limiters run on a scale of days.
-_limit("rl_ip_5_per_60s", 5, 60 * 720)
-_limit("rl_webapp_30_per_60s", 30, 60 * 1440)
+_limit("rl_ip_5_per_60s", 5, 60, "user_id", 3600)
+_limit("rl_webapp_30_per_60s", 30, 60, "user_id % 10", 1800)
 
 
-def _sliding_sql(limit: int, window: int, key: str) -> str:
+def _sliding_sql(limit: int, window: int, key: str, sec: str) -> str:
     """A recursive walk over each key's rows with the times of its last allowed calls."""
     fits = f"(len(r.log) < {limit} OR o.sec - r.log[1] >= {window})"
-    return f"""WITH RECURSIVE o AS (SELECT {key} AS k, event_id, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS n FROM events),
+    return f"""WITH RECURSIVE o AS (SELECT {key} AS k, event_id, CAST({sec} AS DOUBLE) AS sec, row_number() OVER (PARTITION BY {key} ORDER BY {sec}, event_id) AS n FROM events),
 r AS (SELECT k, event_id, n, true AS allowed, [sec] AS log FROM o WHERE n = 1 UNION ALL
 SELECT o.k, o.event_id, o.n, {fits}, CASE WHEN {fits} THEN list_append(CASE WHEN len(r.log) < {limit} THEN r.log ELSE r.log[2:] END, o.sec) ELSE r.log END FROM r JOIN o ON o.k = r.k AND o.n = r.n + 1)
 SELECT event_id, allowed FROM r"""
 
 
-@plans.add("rl_client_sliding_5_per_10m", _sliding_sql(5, 600 * 300, "user_id"))
+@plans.add("rl_client_sliding_5_per_10m", _sliding_sql(5, 600, "user_id", _dense(7200)))
 def rl_client_sliding_5_per_10m(spark, sf_dir):
-    return I.fold(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], _seconds(), lambda: I.SlidingLog(5, 600 * 300), "allowed").select("event_id", "allowed")
+    return I.fold(_dense_events(spark, sf_dir, "user_id", 7200), "k", ["sec", "event_id"], F.col("sec"), lambda: I.SlidingLog(5, 600), "allowed").select("event_id", "allowed")
 
 
-@plans.add("guard_daily_900", "SELECT event_id, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id) <= 300 AS allowed FROM events")
+@plans.add("guard_daily_900", "SELECT event_id, row_number() OVER (PARTITION BY event_id % 8 ORDER BY ts, event_id) <= 900 AS allowed FROM events")
 def guard_daily_900(spark, sf_dir):
-    return I.daily_guard(table(spark, sf_dir, "events"), F.to_date("ts"), ["ts", "event_id"], 300).select("event_id", "allowed")
+    """Eight days of many writes."""
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("event_id") % 8).cast("int"))
+    return I.daily_guard(table(spark, sf_dir, "events"), day, ["ts", "event_id"], 900).select("event_id", "allowed")
 
 
-@plans.add("dedup_15m_anchored", """WITH RECURSIVE o AS (SELECT user_id AS k, event_id, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
-r AS (SELECT k, event_id, n, sec AS kept, true AS "first" FROM o WHERE n = 1 UNION ALL SELECT o.k, o.event_id, o.n, CASE WHEN o.sec - r.kept < 90000 THEN r.kept ELSE o.sec END, o.sec - r.kept >= 90000 FROM r JOIN o ON o.k = r.k AND o.n = r.n + 1) SELECT event_id, "first" FROM r""")
+@plans.add("dedup_15m_anchored", f"""WITH RECURSIVE o AS (SELECT user_id AS k, event_id, CAST({_dense(21600)} AS DOUBLE) AS sec, row_number() OVER (PARTITION BY user_id ORDER BY {_dense(21600)}, event_id) AS n FROM events),
+r AS (SELECT k, event_id, n, sec AS kept, true AS "first" FROM o WHERE n = 1 UNION ALL SELECT o.k, o.event_id, o.n, CASE WHEN o.sec - r.kept < 900 THEN r.kept ELSE o.sec END, o.sec - r.kept >= 900 FROM r JOIN o ON o.k = r.k AND o.n = r.n + 1) SELECT event_id, "first" FROM r""")
 def dedup_15m_anchored(spark, sf_dir):
-    return I.fold(table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], _seconds(), lambda: I.Anchored(I.DEDUP_SECONDS * 100), "first").select("event_id", "first")
+    return I.fold(_dense_events(spark, sf_dir, "user_id", 21600), "k", ["sec", "event_id"], F.col("sec"), lambda: I.Anchored(I.DEDUP_SECONDS), "first").select("event_id", "first")
 
 
 @plans.add("report_fingerprint", "SELECT doc_id, substr(sha256('US' || doc_id || '|no_match|' || substr(sha256(substr(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), 1, 64)), 1, 8)), 1, 16) AS fingerprint FROM documents")
