@@ -233,6 +233,11 @@ def update_golden(case: Column, golden: Column, changed: str | int, value: Colum
     return F.when(case == F.lit(changed), value).otherwise(golden)
 
 
+def promote_move(stable_runs: Column, at: int = 3) -> Column:
+    """Where a case stands: golden from `at` stable runs on, else quarantine (also with none counted)."""
+    return F.when(stable_runs >= at, "golden").otherwise("quarantine")
+
+
 def promoted(quarantine: DataFrame, golden: DataFrame, wanted: DataFrame, key: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(golden, quarantine, outcome): the wanted cases of the quarantine that are not golden yet move over, with golden's
     columns; outcome is promoted, not_in_quarantine or already_golden for each wanted key."""
@@ -246,7 +251,7 @@ def promoted(quarantine: DataFrame, golden: DataFrame, wanted: DataFrame, key: s
     return new, quarantine.join(moving, key, "left_anti"), outcomes
 
 
-def promote_move(spark: SparkSession, root: str, wanted: DataFrame, key: str, golden: str = "golden", quarantine: str = "quarantine") -> DataFrame:
+def promote_cases(spark: SparkSession, root: str, wanted: DataFrame, key: str, golden: str = "golden", quarantine: str = "quarantine") -> DataFrame:
     """Move the wanted cases between two committed tables below root and return their outcomes. Both tables change in one
     commit; if either write fails, both stay as they were."""
     from lineloom.sources import commits

@@ -133,7 +133,7 @@ def promote_move(spark, sf_dir):
     root = shared_path(spark, "promotion")
     cases = table(spark, sf_dir, "customer").selectExpr("c_custkey AS case_id", "c_name AS name", "c_custkey % 4 AS stable_runs")
     commits.commit(spark, root, {"golden": cases.where("case_id % 5 = 0").drop("stable_runs"), "quarantine": cases.where("case_id % 3 <> 0")})
-    R.promote_move(spark, root, table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").selectExpr("o_custkey AS case_id"), "case_id")
+    R.promote_cases(spark, root, table(spark, sf_dir, "orders").where("o_orderkey % 2 = 0").selectExpr("o_custkey AS case_id"), "case_id")
     both = [commits.current(spark, root, place).select(F.lit(place).alias("place"), "case_id", "name") for place in ("golden", "quarantine")]
     return both[0].unionAll(both[1])
 

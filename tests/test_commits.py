@@ -39,7 +39,7 @@ def corpus(spark, root):
 def test_cases_move_between_tables(spark, tmp_path):
     root = str(tmp_path / "corpus")
     rows = corpus(spark, root)
-    outcomes = rules.promote_move(spark, root, spark.createDataFrame([(1,), (1,), (4,), (7,)], "id long"), "id")
+    outcomes = rules.promote_cases(spark, root, spark.createDataFrame([(1,), (1,), (4,), (7,)], "id long"), "id")
     assert sorted(tuple(x) for x in outcomes.collect()) == [(1, "promoted"), (4, "already_golden"), (7, "not_in_quarantine")]
     assert rows("golden") == [(1, "a"), (4, "old"), (9, "z")] and rows("quarantine") == [(2, "b", 3), (3, "c", 1), (4, "d", 3)]
 
@@ -51,7 +51,7 @@ def test_a_failed_second_write_leaves_both_tables(spark, tmp_path, monkeypatch):
     moved = rules.promoted
     monkeypatch.setattr(rules, "promoted", lambda *a: (lambda new, left, out: (new, failing(left), out))(*moved(*a)))
     with pytest.raises(Exception, match="lost"):
-        rules.promote_move(spark, root, spark.createDataFrame([(1,)], "id long"), "id")
+        rules.promote_cases(spark, root, spark.createDataFrame([(1,)], "id long"), "id")
     assert (rows("golden"), rows("quarantine")) == before and len(list((tmp_path / "corpus" / "versions").iterdir())) == 1
     with pytest.raises(Exception, match="lost"):
         commits.commit(spark, root, {"golden": failing(commits.current(spark, root, "quarantine"))})
