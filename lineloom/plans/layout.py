@@ -21,6 +21,31 @@ def items(spark, sf_dir):
     return word.unionByName(mark).withColumns({"height": F.lit(10.0), "page_width": F.lit(612.0), "page_height": F.lit(792.0)})
 
 
+def uneven(spark, sf_dir):
+    """The pages by document and number: as they are; with a narrower gap further right, lines 11 points apart, a short last
+    line, a running title and a footer; or with one column of fifteen lines, too few for a text page."""
+    word, i = F.col("seq").between(10, 169), F.col("seq") - 10
+    kind = (F.col("doc_id") + F.col("page")) % 3
+    mark = F.col("seq") >= 200
+    rows = items(spark, sf_dir).withColumn("kind", kind)
+    rows = rows.where((F.col("kind") == 0) | ~word | ((F.col("kind") == 1) & (i % 80 < 78)) | ((F.col("kind") == 2) & (i < 60)))
+    x = F.when((F.col("kind") == 1) & word & (i >= 80), F.col("x") + 24).when((F.col("kind") == 1) & mark, F.col("x") + 12).otherwise(F.col("x"))
+    y = F.when((F.col("kind") == 1) & (word | mark), 690 - (690 - F.col("y")) / 12 * 11).otherwise(F.col("y"))
+    rows = rows.withColumns({"x": x, "y": y})
+    title = rows.where("kind = 1 AND seq = 0").withColumns({"seq": F.col("seq") + 300, "text": F.lit("Running title"), "x": F.lit(60.0), "y": F.lit(750.0)})
+    footer = title.withColumns({"seq": F.col("seq") + 1, "text": F.lit("page foot"), "y": F.lit(30.0)})
+    return rows.unionByName(title).unionByName(footer)
+
+
+def _boundary_of():
+    """The boundary of each kind of page."""
+    return F.when(F.col("kind") == 1, 333.5).when(F.col("kind") == 2, 248.0).otherwise(315.5)
+
+
+def _by_kind(*values: object) -> str:
+    return "CASE (doc_id + p) % 3 " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(values)) + " END"
+
+
 _W = "SELECT doc_id, w, len(w) // 160 AS pages FROM (SELECT doc_id, string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ') AS w FROM documents) WHERE len(w) >= 160"
 _P = f"SELECT doc_id, w, unnest(range(0, pages)) AS p FROM ({_W})"
 _L = f"SELECT doc_id, w, p, s, r FROM ({_P}), range(0, 2) a(s), range(0, 20) b(r)"
@@ -31,9 +56,9 @@ def has_text_layer(spark, sf_dir):
     return L.has_text_layer(items(spark, sf_dir))
 
 
-@plans.add("two_column_page", f"SELECT doc_id, CAST(p AS INT) AS page, true AS two_column FROM ({_P})")
+@plans.add("two_column_page", f"SELECT doc_id, CAST(p AS INT) AS page, {_by_kind('true', 'true', 'false')} AS two_column FROM ({_P})")
 def two_column_page(spark, sf_dir):
-    return L.page_features(items(spark, sf_dir)).select("doc_id", "page", "two_column")
+    return L.page_features(uneven(spark, sf_dir)).select("doc_id", "page", "two_column")
 
 
 @plans.add("printed_columns", f"SELECT doc_id, CAST(p AS INT) AS page, CAST(2 * p + 1 AS INT) AS left_col, CAST(2 * p + 2 AS INT) AS right_col FROM ({_P})")
@@ -41,24 +66,24 @@ def printed_columns(spark, sf_dir):
     return L.page_features(items(spark, sf_dir)).select("doc_id", "page", "left_col", "right_col")
 
 
-@plans.add("column_boundary", f"SELECT doc_id, CAST(p AS INT) AS page, CAST(315.5 AS DOUBLE) AS boundary FROM ({_P})")
+@plans.add("column_boundary", f"SELECT doc_id, CAST(p AS INT) AS page, CAST({_by_kind(315.5, 333.5, 248.0)} AS DOUBLE) AS boundary FROM ({_P})")
 def column_boundary(spark, sf_dir):
-    return L.column_boundary(items(spark, sf_dir))
+    return L.column_boundary(uneven(spark, sf_dir))
 
 
-@plans.add("drop_header_footer", f"SELECT doc_id, CAST(p AS INT) AS page, 164 AS n FROM ({_P})")
+@plans.add("drop_header_footer", f"SELECT doc_id, CAST(p AS INT) AS page, {_by_kind(164, 160, 64)} AS n FROM ({_P})")
 def drop_header_footer(spark, sf_dir):
-    return L.body(items(spark, sf_dir)).groupBy("doc_id", "page").agg(F.count("*").alias("n"))
+    return L.body(uneven(spark, sf_dir)).groupBy("doc_id", "page").agg(F.count("*").alias("n"))
 
 
-@plans.add("drop_gutter_numbers", f"SELECT doc_id, CAST(p AS INT) AS page, 160 AS n FROM ({_P})")
+@plans.add("drop_gutter_numbers", f"SELECT doc_id, CAST(p AS INT) AS page, {_by_kind(160, 156, 60)} AS n FROM ({_P})")
 def drop_gutter_numbers(spark, sf_dir):
-    return L.body(items(spark, sf_dir)).where(~L.is_gutter_number(F.lit(315.5))).groupBy("doc_id", "page").agg(F.count("*").alias("n"))
+    return L.body(uneven(spark, sf_dir)).where(~L.is_gutter_number(_boundary_of())).groupBy("doc_id", "page").agg(F.count("*").alias("n"))
 
 
-@plans.add("gutter_grid", f"SELECT doc_id, CAST(p AS INT) AS page, CAST(690 AS DOUBLE) AS first_y, CAST(12 AS DOUBLE) AS spacing FROM ({_P})")
+@plans.add("gutter_grid", f"SELECT doc_id, CAST(p AS INT) AS page, CAST(690 AS DOUBLE) AS first_y, CAST({_by_kind(12, 11, 12)} AS DOUBLE) AS spacing FROM ({_P})")
 def gutter_grid(spark, sf_dir):
-    return L.gutter_grid(L.body(items(spark, sf_dir)).withColumn("boundary", F.lit(315.5)))
+    return L.gutter_grid(L.body(uneven(spark, sf_dir)).withColumn("boundary", _boundary_of())).withColumn("spacing", F.round("spacing", 6))
 
 
 @plans.add("split_cross_boundary", f"SELECT doc_id, CAST(p AS INT) AS page, w[160 * p + 1] || ' x' AS kept, w[160 * p + 81] AS moved FROM ({_P})")
@@ -72,9 +97,10 @@ def _sides(spark, sf_dir):
     return L.body(items(spark, sf_dir)).where("x <> 300").withColumn("side", F.when(F.col("x") < 315.5, 0).otherwise(1))
 
 
-@plans.add("cluster_lines", f"SELECT doc_id, CAST(p AS INT) AS page, CAST(s AS INT) AS side, CAST(r AS INT) AS line_idx, 4 AS n FROM ({_L})")
+@plans.add("cluster_lines", f"SELECT doc_id, CAST(p AS INT) AS page, CAST(s AS INT) AS side, CAST(r AS INT) AS line_idx, CASE WHEN (doc_id + p) % 3 = 1 AND r = 19 THEN 2 ELSE 4 END AS n FROM ({_L}) WHERE (doc_id + p) % 3 < 2 OR (s = 0 AND r < 15)")
 def cluster_lines(spark, sf_dir):
-    return L.cluster_lines(_sides(spark, sf_dir)).select("doc_id", "page", "side", "line_idx", F.size("entries").alias("n"))
+    sides = L.body(uneven(spark, sf_dir)).where(~L.is_gutter_number(_boundary_of())).withColumn("side", F.when(F.col("x") < _boundary_of(), 0).otherwise(1))
+    return L.cluster_lines(sides).select("doc_id", "page", "side", "line_idx", F.size("entries").alias("n"))
 
 
 @plans.add("build_line_entry", f"SELECT doc_id, CAST(p AS INT) AS page, CAST(s AS INT) AS side, CAST(r AS INT) AS line_idx, array_to_string(w[160 * p + 80 * s + 4 * r + 1 : 160 * p + 80 * s + 4 * r + 4], ' ') AS text, CAST(60 + 270 * s AS DOUBLE) AS x, CAST(690 - 12 * r AS DOUBLE) AS y FROM ({_L})")
@@ -96,9 +122,9 @@ def assign_lines_gap(spark, sf_dir):
     return L.number_lines(lines, none).select("doc_id", "page", "side", "line_idx", "line_number")
 
 
-@plans.add("likely_spec_page", f"SELECT doc_id, CAST(p AS INT) AS page, true AS spec FROM ({_P})")
+@plans.add("likely_spec_page", f"SELECT doc_id, CAST(p AS INT) AS page, {_by_kind('true', 'true', 'false')} AS spec FROM ({_P})")
 def likely_spec_page(spark, sf_dir):
-    return L.likely_spec_page(items(spark, sf_dir))
+    return L.likely_spec_page(uneven(spark, sf_dir))
 
 
 @plans.add("page_sequence_gate", f"SELECT doc_id, CAST(p AS INT) AS page, CAST(2 * p + 1 AS INT) AS left_col, CAST(2 * p + 2 AS INT) AS right_col FROM ({_P})")
@@ -125,7 +151,13 @@ def build_position_map(spark, sf_dir):
     return L.build_position_map(items(spark, sf_dir)).select("doc_id", "entry_idx", "column", "line_number", "text")
 
 
-plans.QUERIES["process_page"], plans.SQL["process_page"] = build_position_map, _ENTRIES
+@plans.add("process_page", f"SELECT doc_id, CAST(2 * CASE doc_id % 3 WHEN 2 THEN p - p // 3 - 1 ELSE p END + 1 + s AS INT) AS \"column\", count(*) AS n, CAST(min(r + 1) AS INT) AS first_line, CAST(max(r + 1) AS INT) AS last_line, string_agg(array_to_string(w[160 * p + 80 * s + 4 * r + 1 : 160 * p + 80 * s + 4 * r + CASE WHEN (doc_id + p) % 3 = 1 AND r = 19 THEN 2 ELSE 4 END], ' '), chr(10) ORDER BY r) AS text FROM ({_L}) WHERE p < CASE doc_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE p + 1 END AND (doc_id + p) % 3 < 2 GROUP BY doc_id, p, s")
+def process_page(spark, sf_dir):
+    """The columns of uneven pages as text. A page of one column ends the run of printed numbers; where it comes first, the
+    text pages are numbered in order."""
+    entries = L.build_position_map(uneven(spark, sf_dir)).select("doc_id", "column", "line_number", "text")
+    rows = F.array_sort(F.collect_list(F.struct("line_number", "text")))
+    return entries.groupBy("doc_id", "column").agg(F.count("*").alias("n"), F.min("line_number").alias("first_line"), F.max("line_number").alias("last_line"), F.array_join(F.transform(rows, lambda x: x["text"]), "\n").alias("text"))
 
 
 @plans.add("doc_map_meta", f"SELECT doc_id, 40 * pages AS total_lines, CAST(2 * pages AS INT) AS total_columns FROM ({_W})")
@@ -145,9 +177,11 @@ def _lines(spark, sf_dir):
 _SPLIT = "SELECT doc_id, unnest(l) AS text, unnest(range(0, len(l))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"
 
 
-@plans.add("claims_boundary", f"SELECT doc_id, count(*) FILTER (i >= m) AS claims FROM (SELECT *, min(CASE WHEN contains(lower(text), 'we claim') OR contains(lower(text), 'i claim') THEN i END) OVER (PARTITION BY doc_id) AS m FROM ({_SPLIT})) GROUP BY 1")
+@plans.add("claims_boundary", f"SELECT doc_id, count(*) FILTER (i >= m) AS claims FROM (SELECT *, CASE doc_id % 4 WHEN 0 THEN 2 WHEN 1 THEN 0 END AS m FROM ({_SPLIT})) GROUP BY 1")
 def claims_boundary(spark, sf_dir):
-    return L.mark_sections(_lines(spark, sf_dir)).groupBy("doc_id").agg(F.count_if(F.col("section") == "claims").alias("claims"))
+    """Lines that open the claims are put before the third or first line of every second document."""
+    opened = F.expr("CASE WHEN doc_id % 4 = 0 AND entry_idx = 2 THEN concat('What is  claimed is: ', text) WHEN doc_id % 4 = 1 AND entry_idx = 0 THEN concat('WE CLAIM ', text) ELSE text END")
+    return L.mark_sections(_lines(spark, sf_dir).withColumn("text", opened)).groupBy("doc_id").agg(F.count_if(F.col("section") == "claims").alias("claims"))
 
 
 @plans.add("wrap_hyphen", f"SELECT doc_id, count(*) FILTER (w) AS wrapped FROM (SELECT doc_id, i % 67 <> 66 AND regexp_matches(lead(text) OVER (PARTITION BY doc_id ORDER BY i), '^ *\\p{{Ll}}') AS w FROM ({_SPLIT})) GROUP BY 1")

@@ -19,9 +19,9 @@ _W, _P, _L = layout_plans._W, layout_plans._P, layout_plans._L
 
 
 # Verifier
-@plans.add("v_boundary", f"SELECT doc_id, CAST(p AS INT) AS page, CAST(315.5 AS DOUBLE) AS boundary, true AS two_column FROM ({_P})")
+@plans.add("v_boundary", f"SELECT doc_id, CAST(p AS INT) AS page, CAST({layout_plans._by_kind(315.5, 333.5, 612)} AS DOUBLE) AS boundary, {layout_plans._by_kind('true', 'true', 'false')} AS two_column FROM ({_P})")
 def v_boundary(spark, sf_dir):
-    return V.boundary(layout_plans.items(spark, sf_dir))
+    return V.boundary(layout_plans.uneven(spark, sf_dir))
 
 
 @plans.add("v_infer_lines", f"SELECT doc_id, CAST(p AS INT) AS page, CAST(s + 1 AS INT) AS side, CAST(r + 1 AS INT) AS line_number, array_to_string(w[160 * p + 80 * s + 4 * r + 1 : 160 * p + 80 * s + 4 * r + 4], ' ') AS text FROM ({_L})")
