@@ -3,7 +3,9 @@
 Units of a file (its sentences, its lines, runs of these of up to twice a template's words, so that a notice may be wrapped
 over lines, and the file as a whole) are compared with the templates. Marks of comments hold no word. A unit whose
 cosine to a template reaches `least` must hold one of the template's prefix tokens (its words, common ones last and
-else the heaviest first, up to where the rest of its weight falls below `least`), so only such units are scored. A file without a licence of its own gets that
+else the heaviest first, up to where the rest of its weight falls below `least`), so only such units are scored. Cosine finds the
+family; the words that tell its members apart (versions, Affero, Lesser) must then stand in the unit, and a notice that says
+that a licence does not hold is none. A file without a licence of its own gets that
 of the licence file in the nearest folder above it, by joining the folder paths.
 """
 
@@ -26,21 +28,47 @@ LEAST = 0.75
 BROADCAST_DIRS = 50_000
 #: Tasks that the files of one folder are spread over in that shuffle.
 SALTS = 32
-#: Notices by licence.
+_GNU = "{} free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation, either version {} of the License, or (at your option) any later version."
+_OLD_GNU = "{} free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+#: Notices and titles by licence.
 TEMPLATES = {
     "MIT": ["Released under the MIT License.", "This project is licensed under the terms of the MIT license.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
-    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
-    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "ISC": ["Licensed under the ISC License.", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "Apache License Version 2.0, January 2004"],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", _GNU.format("This program is", "Affero ", "3"), "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", _GNU.format("This program is", "", "3"), "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", _OLD_GNU.format("This program is", "", "2"), "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"],
+    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3.", _GNU.format("This library is", "Lesser ", "3"), "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"],
+    "LGPL-2.1": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", _OLD_GNU.format("This library is", "Lesser ", "2.1"), "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", "BSD 2-Clause License", _BSD],
+    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "BSD 3-Clause License", _BSD],
+    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Mozilla Public License Version 2.0"],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
+    "CC-BY-3.0": ["Licensed under CC BY 3.0.", "This work is licensed under a Creative Commons Attribution 3.0 Unported License."],
+    "CC-BY-SA-3.0": ["Licensed under CC BY-SA 3.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License."],
     "CC0-1.0": ["Released into the public domain under CC0 1.0."],
     "Proprietary": ["Copyright. All rights reserved."],
 }
+#: Words that tell licences of a family apart: a notice must hold one of each set and none of the last.
+MARKS: dict[str, tuple[list[set[str]], set[str]]] = {
+    "ISC": ([{"isc", "fee"}], set()),
+    "Apache-2.0": ([{"apache"}, {"2.0", "2", "v2.0", "v2"}], set()),
+    "AGPL-3.0": ([{"affero"}, {"3", "3.0"}], {"lesser"}),
+    "GPL-3.0": ([{"general"}, {"3", "3.0"}], {"affero", "lesser", "library"}),
+    "GPL-2.0": ([{"general"}, {"2", "2.0"}], {"affero", "lesser", "library"}),
+    "LGPL-3.0": ([{"lesser"}, {"3", "3.0"}], {"affero"}),
+    "LGPL-2.1": ([{"lesser"}, {"2.1"}], {"affero"}),
+    "BSD-2-Clause": ([{"2", "redistribution"}], {"3"}),
+    "BSD-3-Clause": ([{"3", "redistribution"}], set()),
+    "MPL-2.0": ([{"mozilla"}, {"2.0"}], set()),
+    **{f"CC-{kind}-{version}": ([{"cc", "creative"}, {version}], {"BY": {"sa", "nc", "nd", "sharealike", "noncommercial", "noderivatives"}, "BY-SA": {"nc", "nd", "noncommercial", "noderivatives"}, "BY-NC": {"sa", "nd", "sharealike", "noderivatives"}}[kind]) for kind in ("BY", "BY-SA", "BY-NC") for version in ("3.0", "4.0")},
+}
+#: A sentence that says that a licence does not hold.
+_DENIED = re.compile(r"\b(?:not|never|no longer|isn['’]t|aren['’]t|wasn['’]t)\b(?:\W+\w+){0,2}?\W+(?:licen[sc]ed|released|distributed|published|covered|subject|available)\b")
+_TAG = re.compile(r"spdx-license-identifier:\s*\(?\s*([a-z0-9.+-]+)")
 _WORD = re.compile(r"[a-z0-9]+(?:\.[0-9]+)*")
 _UNIT = re.compile(r"(?<=[.!?;])\s+|\n")
 _FILE = r"(?i)^(licen[sc]e|copying|unlicense)([.\-_].*)?$"
@@ -50,6 +78,12 @@ _FILE = r"(?i)^(licen[sc]e|copying|unlicense)([.\-_].*)?$"
 COMMON = "subject provided following copy file files form free general without work use may not under you with this that any all as at be are for is it by or in to of a and the".split()
 
 
+def _marked(name: str, words: Mapping[str, int]) -> bool:
+    """Whether a notice holds the words that tell this licence from others of its family."""
+    needed, barred = MARKS.get(name, ([], set()))
+    return all(any(w in words for w in some) for some in needed) and not any(w in words for w in barred)
+
+
 class Scanner:
     """TF-IDF weights of the templates; a word that no template has weighs as much as the rarest."""
 
@@ -75,6 +109,7 @@ class Scanner:
             for w, x in vector.items():
                 self.by_word.setdefault(w, []).append((i, x))
         self.prefix = frozenset(prefix)
+        self.names = {name.lower(): name for name in templates}
         self._any = re.compile(r"(?<![a-z0-9])(?:" + "|".join(re.escape(w) for w in sorted(prefix, key=lambda w: (-len(w), w))) + r")(?![a-z0-9])")
 
     def _vector(self, counts: Mapping[str, int]) -> dict[str, float]:
@@ -91,8 +126,10 @@ class Scanner:
         for w, x in self._vector(counts).items():
             for i, y in self.by_word.get(w, ()):
                 dots[i] = dots.get(i, 0.0) + x * y
-        i = min(dots, key=lambda i: (-dots[i], i))
-        return (self.vectors[i][0], dots[i]) if dots[i] >= self.least else (None, dots[i])
+        near = sorted((-dot, i) for i, dot in dots.items() if dot >= self.least)
+        if not near or _DENIED.search(unit.lower()):
+            return None, max(dots.values())
+        return next(((self.vectors[i][0], -dot) for dot, i in near if _marked(self.vectors[i][0], counts)), (None, 0.0))
 
     def runs(self, units: list[list[str]]) -> tuple[str | None, float]:
         """The best licence of any run of two or more consecutive units with at most twice the template's words."""
@@ -131,14 +168,20 @@ class Scanner:
                             dot += x * vector.get(w, 0.0)
                             square += (2 * counts[w] + 1) * x * x
                             counts[w] += 1
-                        if stop > start and stop >= k and dot / math.sqrt(square) > max(best[1], self.least - 1e-12):
+                        if stop > start and stop >= k and dot / math.sqrt(square) > max(best[1], self.least - 1e-12) and _marked(name, counts) and not _DENIED.search(" ".join(w for u in units[start : stop + 1] for w in u)):
                             best = (name, dot / math.sqrt(square))
         return best
 
     def scan(self, text: str | None) -> tuple[str | None, float, bool]:
-        """The best licence of any unit, its cosine, and whether the whole text is that notice."""
+        """The best licence of any unit, its cosine, and whether the whole text is that notice. A tag names a licence by its
+        identifier, which counts as a cosine of 1. Of the two BSD licences, which share their notice, the one of two clauses
+        holds where the text has the clause of binary forms but not that of names."""
         text = text or ""
         low = text.lower()
+        tag = _TAG.search(low)
+        tagged = tag and self.names.get(re.sub(r"(?:-only|-or-later|\+)$", "", tag[1]))
+        if tagged:
+            return tagged, 1.0, _WORD.findall(low)[:3] == ["spdx", "license", "identifier"] and len(low.split("\n")) == 1
         if not self._any.search(low):
             return None, 0.0, False
         best: tuple[str | None, float] = (None, 0.0)
@@ -154,6 +197,8 @@ class Scanner:
         whole = self.score(low)
         if whole[0] and whole[1] > best[1]:
             best = whole
+        if best[0] in ("BSD-2-Clause", "BSD-3-Clause") and not re.search(r"bsd[\s-]+[23][\s-]+clause", low):
+            best = ("BSD-2-Clause" if "redistributions in binary form" in low and "neither the name" not in low else "BSD-3-Clause", best[1])
         return (*best, whole[0] is not None)
 
 
