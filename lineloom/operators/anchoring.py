@@ -29,7 +29,6 @@ LEAST_TEXT, LEAST_LETTERS, LEAST_CUT = 8, 16, 30
 CUT_STEP, CUT_SHARE = 5, 0.6
 GROW_STEP, GROW_STEPS, GROW_ALL = 6, 30, 60
 
-_SPACE = re.compile(f"[{WS}]+")
 _ENDS = re.compile(f"^[{WS}]+|[{WS}]+$")
 _OPENING = [re.compile(rf"^{re.escape(words)}[{WS}]*:[{WS}]*", re.I | re.A) for words in PREAMBLES]
 _NUMBER = re.compile(rf"^[0-9]+\.[{WS}]+")
@@ -143,13 +142,17 @@ def unique(letters: str | None, body: str | None) -> tuple[int, int, int, bool]
 
 
 _GAPS = re.compile(f"[{WS}]+|-[{WS}]*")
-_BEFORE_MARK = re.compile(f"[{WS}]*-[{WS}]*|[{WS}]+(?=[,;:])")
+#: White space that is not a single space.
+_RUNS = re.compile(f"[{WS}]{{2,}}|(?! )[{WS}]")
 _SPLIT_WORD = re.compile("(?<=[a-zA-Z])([a-zA-Z]) ([a-zA-Z]{4,}-[a-z])")
 
 
 def normal(text: str) -> str:
     """One space for a run of white space, none around hyphens, before commas, semicolons and colons, or at the ends."""
-    return _trimmed(_BEFORE_MARK.sub(lambda m: "-" if "-" in m[0] else "", _SPACE.sub(" ", text)))
+    text = _RUNS.sub(" ", text).replace(" -", "-").replace("- ", "-")
+    for mark in ",;:":
+        text = text.replace(" " + mark, mark)
+    return _trimmed(text)
 
 
 def deep(text: str) -> str:
@@ -157,21 +160,21 @@ def deep(text: str) -> str:
     return _SPLIT_WORD.sub(r"\1\2", normal(text))
 
 
-def _places(flat: str) -> np.ndarray:
-    """For every character of the normal form, its place in the text. White space at the end counts as one more character."""
+def _places(flat: str, most: int) -> np.ndarray:
+    """For the characters of the normal form up to number `most` at least, their places in the text. White space at the end
+    counts as one more character."""
     made: list[np.ndarray] = []
     done, size = 0, 0
     for m in _GAPS.finditer(flat):
         a, b = m.span()
         made.append(np.arange(done, a))
         size += a - done
-        if flat[a] == "-":
-            made.append(np.array([a]))
-            size += 1
-        elif size and (b == len(flat) or flat[b] not in "-,;:"):
+        if flat[a] == "-" or (size and (b == len(flat) or flat[b] not in "-,;:")):
             made.append(np.array([a]))
             size += 1
         done = b
+        if size > most:
+            return np.concatenate(made)
     made.append(np.arange(done, len(flat)))
     return np.concatenate(made)
 
@@ -207,7 +210,7 @@ def select(nodes: list[str] | None, passage: str | None) -> Selected:
     else:
         start = basic.find(want)
         stop = start + len(want)
-    places = _places(flat)
+    places = _places(flat, max(start, stop))
     if max(start, stop) > len(places) or not nodes:
         return False, "LOCATE_FAIL", is_deep, None, None, None, None, None
     ends = np.cumsum([len(n) for n in nodes])
