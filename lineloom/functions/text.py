@@ -92,14 +92,20 @@ def fingerprint_selection(text: Column) -> Column:
     return F.substring(collapse(F.lower(F.coalesce(text, F.lit("")))), 1, 64)
 
 
+#: What a claims section opens with.
+PREAMBLES = ("What is claimed is", "What is claimed", "The invention claimed is", "I claim", "We claim")
+#: Markers that a text may not close, and what breaks them.
+MARKERS, SPLICE = ("</issue_body_untrusted>", "<issue_body_untrusted>"), "-DELIMITER-ESCAPED-PHASE-42"
+
+
 def strip_preamble(text: Column) -> Column:
     """Drop the opening words of a claims section, then a leading claim number."""
-    for words in (r"What is claimed is\s*:", r"What is claimed\s*:", r"The invention claimed is\s*:", r"I claim\s*:", r"We claim\s*:"):
-        text = F.regexp_replace(text, rf"(?i)^{words}\s*", "")
+    for words in PREAMBLES:
+        text = F.regexp_replace(text, rf"(?i)^{words}\s*:\s*", "")
     return F.trim(F.regexp_replace(text, r"^\d+\.\s+", ""))
 
 
-def escape_delimiters(text: Column, markers: tuple[str, ...] = ("</issue_body_untrusted>", "<issue_body_untrusted>"), splice: str = "-DELIMITER-ESCAPED-PHASE-42") -> Column:
+def escape_delimiters(text: Column, markers: tuple[str, ...] = MARKERS, splice: str = SPLICE) -> Column:
     """Break reserved markers before their last character; null becomes empty."""
     out = F.coalesce(text, F.lit(""))
     for m in markers:

@@ -18,11 +18,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lineloom.functions.text import WS
+from lineloom.functions.text import PREAMBLES, WS
 from lineloom.operators.matching import kept
 
-#: What a claims section opens with, and confusions of optical recognition.
-PREAMBLES = ("What is claimed is", "What is claimed", "The invention claimed is", "I claim", "We claim")
+#: Confusions of optical recognition.
 CONFUSED = (("CHI", "CH1"), ("CH1", "CHI"), ("lI", "II"))
 #: Fixed values of the ladders.
 LEAST_TEXT, LEAST_LETTERS, LEAST_CUT = 8, 16, 30

@@ -138,13 +138,15 @@ def promote_move(spark, sf_dir):
     return both[0].unionAll(both[1])
 
 
+#: Patterns of paths that a change may not touch.
+PROTECTED_PATHS = [r"^tests/test-cases\.js$", r"^tests/golden/baseline\.json$", r"^tests/e2e/test-cases-quarantine\.js$", r"^\.github/workflows/v40-[^/]*\.yml$", r"^tests/e2e/\.llm-spend-ledger\.json$", r"^\.github/CODEOWNERS$", r"^tests/e2e/\.rerun-ring-buffer\.json$", r"^tests/e2e/\.flake-suppression\.json$", r"^tests/e2e/lib/fix-prompt-builder\.js$", r"^tests/e2e/lib/llm-router\.js$"]
 _PATHS = "CASE event_id % 4 WHEN 0 THEN ['src/a.js', 'tests/golden/baseline.json'] WHEN 1 THEN ['.github/workflows/v40-x.yml', '.github/CODEOWNERS'] WHEN 2 THEN ['tests/golden/baseline.json.bak'] ELSE ['.github/workflows/e2e.yml'] END"
 
 
 @plans.add("diff_guard", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'tests/golden/baseline.json' WHEN 1 THEN '.github/workflows/v40-x.yml,.github/CODEOWNERS' ELSE '' END AS violations FROM events")
 def diff_guard(spark, sf_dir):
     paths = F.expr(_PATHS.replace("[", "array(").replace("]", ")"))
-    return table(spark, sf_dir, "events").select("event_id", F.array_join(R.diff_guard(paths), ",").alias("violations"))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(R.diff_guard(paths, PROTECTED_PATHS), ",").alias("violations"))
 
 
 @plans.add("fenced_diff", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'a' || event_id END AS diff FROM events")

@@ -140,6 +140,16 @@ def test_selections_come_back_in_the_passages_form(seed):
     assert None in errors
 
 
+def test_normal_forms_by_rule():
+    r = random.Random(8)
+    space = r"[\t-\r \u00a0\u2003\ufeff]"
+    for _ in range(3000):
+        text = "".join(r.choice(["a", "B", " ", "  ", "\n", "-", "--", ",", ";", ":", "\xa0", "\u2003", "\ufeff", "\t"]) for _ in range(r.randint(0, 12)))
+        want = re.sub(f"{space}+", " ", text)
+        want = re.sub(f"{space}+([,;:])", r"\1", re.sub(f"{space}*-{space}*", "-", want))
+        assert A.normal(text) == re.sub(f"^{space}+|{space}+$", "", want), repr(text)
+
+
 def test_selection_by_hand():
     nodes = ["The valve ", "of  the", " tank - it", " opens , slowly"]
     assert A.select(nodes, "of the tank-it opens") == (True, None, False, 1, 0, 3, 7, "of  the tank - it opens ")
