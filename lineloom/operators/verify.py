@@ -15,21 +15,27 @@ TOLERANCE_LINES, PER_COLUMN, NEAR_BOUNDARY, GATE, CLUSTER = 10, 120, 25, 0.95, 3
 PAGE = ["doc_id", "page"]
 
 
+def _facts() -> dict[str, Column]:
+    """What an aggregate by page has to know for its boundary."""
+    mid = F.col("page_width") / 2
+    return {"page_width": F.max("page_width"), "l": F.count_if(F.col("x") < mid), "r": F.count_if(F.col("x") >= mid), "points": F.collect_set(F.floor("x"))}
+
+
+def _bounds() -> dict[str, Column]:
+    """boundary and two_column from these facts."""
+    from lineloom.operators.layout import empty_strips
+
+    width = F.col("page_width")
+    best = F.array_min(F.transform(empty_strips(F.col("points"), width), lambda s: F.struct(s["last"].cast("int").alias("last"), s["off"].alias("off"), s["b"].alias("b"), s["middle"].alias("middle"))))
+    single = (F.col("l") + F.col("r") < 30) | (F.least("l", "r") <= 0.3 * F.greatest("l", "r"))
+    return {"boundary": F.when(single, width).otherwise(F.coalesce(best["middle"], width / 2)), "two_column": ~single}
+
+
 def boundary(items: DataFrame) -> DataFrame:
     """Per page the column boundary, or the page's width if it has one column. A strip that reaches the search range's
     end counts only if there is no other."""
-    from lineloom.operators.layout import GAP
-
-    mid = F.col("page_width") / 2
-    sides = items.groupBy(*PAGE).agg(F.max("page_width").alias("page_width"), F.count_if(F.col("x") < mid).alias("l"), F.count_if(F.col("x") >= mid).alias("r"))
-    low, high = F.floor(F.col("page_width") * 0.25), F.ceil(F.col("page_width") * 0.75)
-    inner = items.select(*PAGE, "page_width", F.floor("x").alias("b")).distinct().where((F.col("b") >= low) & (F.col("b") < high))
-    edges = sides.select(*PAGE, "page_width", F.explode(F.array(low - 1, high)).alias("b"))
-    gaps = inner.unionByName(edges).withColumn("n", F.lead("b").over(Window.partitionBy(*PAGE).orderBy("b"))).where(F.col("n") - F.col("b") - 1 >= GAP)
-    centre = (F.col("b") + 1 + F.col("n")) / 2
-    best = gaps.groupBy(*PAGE).agg(F.min_by(centre, F.struct((F.col("n") == high).cast("int"), F.abs(centre - F.col("page_width") / 2), "b")).alias("m"))
-    single = (F.col("l") + F.col("r") < 30) | (F.least("l", "r") <= 0.3 * F.greatest("l", "r"))
-    return sides.join(best, PAGE, "left").select(*PAGE, F.when(single, F.col("page_width")).otherwise(F.coalesce("m", mid)).alias("boundary"), (~single).alias("two_column"))
+    pages = items.groupBy(*PAGE).agg(*[c.alias(k) for k, c in _facts().items()])
+    return pages.select(*PAGE, *[c.alias(k) for k, c in _bounds().items()])
 
 
 def _fragment() -> Column:
@@ -58,11 +64,18 @@ def mean_lines(fragments: Column) -> Column:
 
 def clusters(items: DataFrame) -> DataFrame:
     """doc_id, page, side, line_number (from 1), y (the running mean), text of the lines of each column of a page, without
-    what stands in the header, the footer or between the columns."""
-    body = items.where((F.col("y") >= 40) & (F.col("y") <= F.col("page_height") - 90)).join(boundary(items), PAGE)
-    gutter = F.trim("text").rlike(f"^(?:{T.GUTTER})$") & (F.abs(F.col("x") - F.col("boundary")) <= NEAR_BOUNDARY)
-    sided = body.where(~(F.col("two_column") & gutter)).withColumn("side", F.when(F.col("x") < F.col("boundary"), 1).otherwise(2))
-    sides = sided.groupBy(*PAGE, "side").agg(F.array_sort(F.collect_list(_fragment())).alias("f"))
+    what stands in the header, the footer or between the columns. Items move once, by page."""
+    facts = {**_facts(), "page_height": F.max("page_height"), "f": F.array_sort(F.collect_list(_fragment()))}
+    pages = items.groupBy(*PAGE).agg(*[c.alias(k) for k, c in facts.items()]).select(*PAGE, "page_height", "f", *[c.alias(k) for k, c in _bounds().items()])
+
+    def stays(i: Column) -> Column:
+        gutter = F.trim(i["text"]).rlike(f"^(?:{T.GUTTER})$") & (F.abs(i["x"] - F.col("boundary")) <= NEAR_BOUNDARY)
+        return (i["y"] >= 40) & (i["y"] <= F.col("page_height") - 90) & ~(F.col("two_column") & gutter)
+
+    inside = pages.withColumn("f", F.filter("f", stays))
+    left, right = F.filter("f", lambda i: i["x"] < F.col("boundary")), F.filter("f", lambda i: i["x"] >= F.col("boundary"))
+    halves = [F.struct(F.lit(k).alias("side"), side.alias("f")) for k, side in ((1, left), (2, right))]
+    sides = inside.select(*PAGE, F.inline(F.array(*halves)))
     lines = sides.select(*PAGE, "side", F.posexplode(mean_lines(F.col("f"))).alias("k", "line"))
     return lines.select(*PAGE, "side", (F.col("k") + 1).alias("line_number"), "line.y", F.array_join(F.transform("line.items", lambda i: i["text"]), " ").alias("text"))
 
