@@ -31,7 +31,7 @@ EDGE = [None, "", " \n\t", "a", "One. Two! Three?", "x" * 5000, "\ud7ff\U0001f60
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_queries_agree_with_sql(spark, name):
     duck = duckdb.connect()
-    for t in ("documents", "pages", "embeddings", "benchmark"):
+    for t in ("documents", "pages", "embeddings", "benchmark", "conversations"):
         duck.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     got, want = registry.QUERIES[name](spark, SF).toPandas(), duck.execute(registry.SQL[name]).df()
     columns = sorted(want.columns)
