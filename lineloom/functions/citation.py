@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,6 +98,9 @@ def outcome_to_category(error: Column, confidence: Column) -> Column:
     return F.when(error.isin("no-match", "paragraph-not-found"), "no_match").when(error.isin("no-position-map", "lookup-failed", "pdf-not-available"), "tool_not_working").when(confidence < 0.95, "inaccurate_citation")
 
 
-def paragraph_citation(first: Column, last: Column) -> Column:
+def paragraph_citation(first: Column, last: Column, label: Callable[[Column], Column] = lambda n: n) -> Column:
+    """`label` writes a paragraph's number; whether there is one paragraph or a range goes by the numbers, since labels of a
+    fixed width may be cut to the same."""
     last = F.coalesce(last, first)
-    return F.when(first.isNotNull(), F.when(first == last, F.concat(F.lit("¶ ["), first, F.lit("]"))).otherwise(F.concat(F.lit("¶ ["), first, F.lit("]-["), last, F.lit("]"))))
+    one, more = F.concat(F.lit("¶ ["), label(first), F.lit("]")), F.concat(F.lit("¶ ["), label(first), F.lit("]-["), label(last), F.lit("]"))
+    return F.when(first.isNotNull(), F.when(first == last, one).otherwise(more))
