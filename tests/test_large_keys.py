@@ -21,3 +21,10 @@ def test_paragraphs_past_four_digits(spark, tmp_path):
     docs = spark.createDataFrame([(n, "a") for n in (0, 3, 9999, 10002, 10003, 100002)], "doc_id long, text string")
     got = same(spark, tmp_path, "paragraph_citation", documents=docs)
     assert any("¶ [1000]-[1000]" in r for r in got)
+
+
+def test_exact_matches_of_every_passage_in_every_document(spark, tmp_path):
+    """Short documents, documents that hold several passages, and passages that several documents hold."""
+    docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "one\nalpha  beta\ngamma delta epsilon"), (3, "zeta"), (4, None)], "doc_id long, text string")
+    items = spark.createDataFrame([("a", "alpha beta"), ("d", "gamma delta"), ("z", "zeta"), ("n", "nowhere")], "item_id string, text string")
+    assert len(same(spark, tmp_path, "match_exact", documents=docs, benchmark=items)) == 4
