@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lineloom.functions import text as T
 from lineloom.functions.citation import parse_citation
+from lineloom.operators.layout import by_page, empty_strips, let, points, rows_of
 
 #: Fixed values.
 TOLERANCE_LINES, PER_COLUMN, NEAR_BOUNDARY, GATE, CLUSTER = 10, 120, 25, 0.95, 3
@@ -16,15 +17,13 @@ PAGE = ["doc_id", "page"]
 
 
 def _facts() -> dict[str, Column]:
-    """What an aggregate by page has to know for its boundary."""
+    """What has to be known of a page for its boundary."""
     mid = F.col("page_width") / 2
-    return {"page_width": F.max("page_width"), "l": F.count_if(F.col("x") < mid), "r": F.count_if(F.col("x") >= mid), "points": F.collect_set(F.floor("x"))}
+    return {"l": F.size(F.filter("items", lambda i: i["x"] < mid)), "r": F.size(F.filter("items", lambda i: i["x"] >= mid)), "points": points()}
 
 
 def _bounds() -> dict[str, Column]:
     """boundary and two_column from these facts."""
-    from lineloom.operators.layout import empty_strips
-
     width = F.col("page_width")
     best = F.array_min(F.transform(empty_strips(F.col("points"), width), lambda s: F.struct(s["last"].cast("int").alias("last"), s["off"].alias("off"), s["b"].alias("b"), s["middle"].alias("middle"))))
     single = (F.col("l") + F.col("r") < 30) | (F.least("l", "r") <= 0.3 * F.greatest("l", "r"))
@@ -34,13 +33,13 @@ def _bounds() -> dict[str, Column]:
 def boundary(items: DataFrame) -> DataFrame:
     """Per page the column boundary, or the page's width if it has one column. A strip that reaches the search range's
     end counts only if there is no other."""
-    pages = items.groupBy(*PAGE).agg(*[c.alias(k) for k, c in _facts().items()])
+    pages = by_page(items).select(*PAGE, "page_width", *[c.alias(k) for k, c in _facts().items()])
     return pages.select(*PAGE, *[c.alias(k) for k, c in _bounds().items()])
 
 
-def _fragment() -> Column:
-    """An item as it is sorted: from the top, then in order of emission."""
-    return F.struct((-F.col("y")).alias("down"), "seq", "x", "text", "y")
+def _fragments(items: Column | str) -> Column:
+    """Items as they are sorted: from the top, then in order of emission."""
+    return F.sort_array(F.transform(items, lambda i: F.struct((-i["y"]).alias("down"), *[i[c].alias(c) for c in ("seq", "x", "text", "y")])))
 
 
 def mean_lines(fragments: Column) -> Column:
@@ -58,25 +57,25 @@ def mean_lines(fragments: Column) -> Column:
 
     none = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(None).cast(kind).alias("line"), F.lit(0).alias("at"))
     lines = F.aggregate(fragments, none, step, lambda s: F.when(s["line"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["line"]))))
-    by_x = lambda items: F.array_sort(F.transform(items, lambda i, k: F.struct(i["x"].alias("x"), k.alias("k"), i["text"].alias("text"))))
+    by_x = lambda items: F.sort_array(F.transform(items, lambda i, k: F.struct(i["x"].alias("x"), k.alias("k"), i["text"].alias("text"))))
     return F.transform(lines, lambda c: F.struct(c["y"].alias("y"), by_x(F.slice(fragments, c["first"] + 1, c["n"])).alias("items")))
 
 
 def clusters(items: DataFrame) -> DataFrame:
     """doc_id, page, side, line_number (from 1), y (the running mean), text of the lines of each column of a page, without
-    what stands in the header, the footer or between the columns. Items move once, by page."""
-    facts = {**_facts(), "page_height": F.max("page_height"), "f": F.array_sort(F.collect_list(_fragment()))}
-    pages = items.groupBy(*PAGE).agg(*[c.alias(k) for k, c in facts.items()]).select(*PAGE, "page_height", "f", *[c.alias(k) for k, c in _bounds().items()])
+    what stands in the header, the footer or between the columns. Pages are not moved."""
+    facts = {**_facts(), "f": _fragments("items")}
+    pages = by_page(items).select(*PAGE, "page_width", "page_height", *[c.alias(k) for k, c in facts.items()]).select(*PAGE, "page_height", "f", *[c.alias(k) for k, c in _bounds().items()])
 
     def stays(i: Column) -> Column:
-        gutter = F.trim(i["text"]).rlike(f"^(?:{T.GUTTER})$") & (F.abs(i["x"] - F.col("boundary")) <= NEAR_BOUNDARY)
-        return (i["y"] >= 40) & (i["y"] <= F.col("page_height") - 90) & ~(F.col("two_column") & gutter)
+        near = F.abs(i["x"] - F.col("boundary")) <= NEAR_BOUNDARY
+        return (i["y"] >= 40) & (i["y"] <= F.col("page_height") - 90) & ~(F.col("two_column") & near & F.trim(i["text"]).rlike(f"^(?:{T.GUTTER})$"))
 
-    inside = pages.withColumn("f", F.filter("f", stays))
+    inside = pages.select(*PAGE, "boundary", F.filter("f", stays).alias("f"))
     left, right = F.filter("f", lambda i: i["x"] < F.col("boundary")), F.filter("f", lambda i: i["x"] >= F.col("boundary"))
     halves = [F.struct(F.lit(k).alias("side"), side.alias("f")) for k, side in ((1, left), (2, right))]
-    sides = inside.select(*PAGE, F.inline(F.array(*halves)))
-    lines = sides.select(*PAGE, "side", F.posexplode(mean_lines(F.col("f"))).alias("k", "line"))
+    sides = rows_of(inside, F.array(*halves), *PAGE)
+    lines = sides.select(*PAGE, "side", F.posexplode_outer(mean_lines(F.col("f"))).alias("k", "line")).where("k IS NOT NULL")
     return lines.select(*PAGE, "side", (F.col("k") + 1).alias("line_number"), "line.y", F.array_join(F.transform("line.items", lambda i: i["text"]), " ").alias("text"))
 
 
@@ -91,8 +90,8 @@ def line_pixel_y(cited: DataFrame, items: DataFrame, dpi: int = 150) -> DataFram
     Lines are those of the whole page over both columns, blank items aside; a number past the last line means the last one.
     A page without items gives the middle of an image of page_height (of cited, if it has one; else null).
     """
-    pages = items.where(F.trim("text") != "").groupBy(*PAGE).agg(F.first("page_height").alias("__h"), F.array_sort(F.collect_list(_fragment())).alias("__f"))
-    lines = pages.select(*PAGE, "__h", F.transform(mean_lines(F.col("__f")), lambda c: c["y"]).alias("__y"))
+    pages = by_page(items.where(F.trim("text") != "") if "text" in items.columns else items).select(*PAGE, F.col("page_height").alias("__h"), _fragments(F.filter("items", lambda i: F.trim(i["text"]) != "")).alias("__f"))
+    lines = pages.select(*PAGE, "__h", F.when(F.size("__f") > 0, F.transform(mean_lines(F.col("__f")), lambda c: c["y"])).alias("__y"))
     met = cited.join(lines, PAGE, "left")
     own = met["page_height"] if "page_height" in cited.columns else F.lit(None).cast("double")
     place = F.greatest(F.lit(0), F.least(F.col("line") - 1, F.size("__y") - 1)).cast("int")
@@ -103,11 +102,16 @@ def line_pixel_y(cited: DataFrame, items: DataFrame, dpi: int = 150) -> DataFram
 
 def printed_columns(items: DataFrame) -> DataFrame:
     """Per page the least left number in the header band that has its successor on the right."""
-    band = items.where((F.col("y") >= F.col("page_height") - 110) & (F.col("y") <= F.col("page_height") - 40) & F.trim("text").rlike(r"^\d{1,3}\.?$"))
-    n = F.regexp_extract("text", r"(\d+)", 1).cast("int")
-    left = band.where(F.col("x") < F.col("page_width") / 2).select(*PAGE, n.alias("left"))
-    right = band.where(F.col("x") >= F.col("page_width") / 2).select(*PAGE, (n - 1).alias("left"))
-    return left.join(right, [*PAGE, "left"]).groupBy(*PAGE).agg(F.min("left").cast("int").alias("left")).withColumn("right", F.col("left") + 1)
+    number = lambda i: F.regexp_extract(i["text"], r"(\d+)", 1).cast("int")
+    band = F.filter("items", lambda i: (i["y"] >= F.col("page_height") - 110) & (i["y"] <= F.col("page_height") - 40) & F.trim(i["text"]).rlike(r"^\d{1,3}\.?$"))
+    mid = F.col("page_width") / 2
+
+    def least(b: Column) -> Column:
+        right = F.transform(F.filter(b, lambda i: i["x"] >= mid), lambda i: number(i) - 1)
+        return F.array_min(F.array_intersect(F.transform(F.filter(b, lambda i: i["x"] < mid), number), right))
+
+    found = by_page(items).select(*PAGE, F.array(F.struct(let(band, least).alias("left"))).alias("n"))
+    return rows_of(found, F.col("n"), *PAGE).where("left IS NOT NULL").withColumn("right", F.col("left") + 1)
 
 
 def backfill_columns(pages: DataFrame) -> DataFrame:
