@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lineloom.functions import text as T
 from lineloom.functions.citation import parse_citation
-from lineloom.operators.layout import by_page, empty_strips, let, points, rows_of
+from lineloom.operators.layout import by_page, empty_strips, points, rows_of
 
 #: Fixed values.
 TOLERANCE_LINES, PER_COLUMN, NEAR_BOUNDARY, GATE, CLUSTER = 10, 120, 25, 0.95, 3
@@ -50,10 +50,12 @@ def mean_lines(fragments: Column) -> Column:
     def step(state: Column, item: Column) -> Column:
         line = state["line"]
         near = line.isNotNull() & (F.abs(line["y"] - item["y"]) <= CLUSTER)
-        y = F.when(near, (line["y"] * line["n"] + item["y"]) / (line["n"] + 1)).otherwise(item["y"].cast("double"))
-        now = F.struct(F.when(near, line["first"]).otherwise(state["at"]).alias("first"), y.alias("y"), F.when(near, line["n"] + 1).otherwise(1).alias("n"))
-        done = F.when(near | line.isNull(), state["done"]).otherwise(F.concat(state["done"], F.array(line)))
-        return F.struct(done.alias("done"), now.cast(kind).alias("line"), (state["at"] + 1).alias("at"))
+        mean = (line["y"] * line["n"] + item["y"]) / (line["n"] + 1)
+        longer = F.struct(line["first"].alias("first"), mean.alias("y"), (line["n"] + 1).alias("n")).cast(kind)
+        opened = F.struct(state["at"].alias("first"), item["y"].cast("double").alias("y"), F.lit(1).alias("n")).cast(kind)
+        done = F.when(line.isNull(), state["done"]).otherwise(F.concat(state["done"], F.array(line)))
+        after = (state["at"] + 1).alias("at")
+        return F.when(near, F.struct(state["done"].alias("done"), longer.alias("line"), after)).otherwise(F.struct(done.alias("done"), opened.alias("line"), after))
 
     none = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(None).cast(kind).alias("line"), F.lit(0).alias("at"))
     lines = F.aggregate(fragments, none, step, lambda s: F.when(s["line"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["line"]))))
@@ -110,7 +112,7 @@ def printed_columns(items: DataFrame) -> DataFrame:
         right = F.transform(F.filter(b, lambda i: i["x"] >= mid), lambda i: number(i) - 1)
         return F.array_min(F.array_intersect(F.transform(F.filter(b, lambda i: i["x"] < mid), number), right))
 
-    found = by_page(items).select(*PAGE, F.array(F.struct(let(band, least).alias("left"))).alias("n"))
+    found = by_page(items).select(*PAGE, F.array(F.struct(T.let(band, least).alias("left"))).alias("n"))
     return rows_of(found, F.col("n"), *PAGE).where("left IS NOT NULL").withColumn("right", F.col("left") + 1)
 
 
