@@ -28,3 +28,21 @@ def test_exact_matches_of_every_passage_in_every_document(spark, tmp_path):
     docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "one\nalpha  beta\ngamma delta epsilon"), (3, "zeta"), (4, None)], "doc_id long, text string")
     items = spark.createDataFrame([("a", "alpha beta"), ("d", "gamma delta"), ("z", "zeta"), ("n", "nowhere")], "item_id string, text string")
     assert len(same(spark, tmp_path, "match_exact", documents=docs, benchmark=items)) == 4
+
+
+def test_pages_of_any_text_are_read_back_whole(spark, tmp_path):
+    """Line breaks, carriage returns, no text at all; a page is not a file of its own."""
+    pages = spark.createDataFrame([(1, "a\r\nb\n"), (2, ""), (3, None), (4, "x\ny z 😀\\\"")], "page_id long, html string")
+    assert len(same(spark, tmp_path, "src_html", pages=pages)) == 4
+    assert registry.queries()["src_html"](spark, str(tmp_path)).inputFiles().__len__() < 4 + spark.sparkContext.defaultParallelism
+
+
+def test_references_are_decoded_once_a_step(spark):
+    """The expression stays small: it does not name its own result again and again."""
+    from pyspark.sql import functions as F
+
+    from lineloom.operators import html as H
+
+    df = spark.createDataFrame([("&#38;lt; &amp;lt; &#x41;&#xFFFFFF;&nope; &#960;",), (None,), ("plain",)], "t string").select(H.decode_entities(F.col("t")).alias("t"))
+    assert [r.t for r in df.collect()] == ["< &lt; A&#xFFFFFF;&nope; π", None, "plain"]
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 6
