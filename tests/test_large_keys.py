@@ -46,3 +46,14 @@ def test_references_are_decoded_once_a_step(spark):
     df = spark.createDataFrame([("&#38;lt; &amp;lt; &#x41;&#xFFFFFF;&nope; &#960;",), (None,), ("plain",)], "t string").select(H.decode_entities(F.col("t")).alias("t"))
     assert [r.t for r in df.collect()] == ["< &lt; A&#xFFFFFF;&nope; π", None, "plain"]
     assert df._jdf.queryExecution().analyzed().toString().count("regexp_extract_all") == 6
+
+
+def test_pages_are_not_moved(spark):
+    """Layout of pages shuffles nothing by page; a document's lines move once."""
+
+    def moves(name):
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        return plan.count("Exchange hashpartitioning")
+
+    assert [moves(n) for n in ("printed_columns", "column_boundary", "cluster_lines", "assign_lines_grid", "assign_lines_gap", "v_cluster")] == [0] * 6
+    assert [moves(n) for n in ("fallback_columns", "page_sequence_gate", "build_position_map", "process_page", "doc_map_meta")] == [1] * 5
