@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lineloom.functions.text import let
+
 
 def format_citation(c1: Column, l1: Column, c2: Column, l2: Column) -> Column:
     head = F.concat(c1.cast("string"), F.lit(":"), l1.cast("string"))
@@ -41,17 +43,21 @@ _LOOSE_END = r"^\s*([+-]?[0-9]+)[^:]*(?::\s*([+-]?[0-9]+)[^:]*)?$"
 def parse_citation_lenient(citation: Column) -> Column:
     """As parse_citation, but trailing text after a number is ignored, and the first dash splits the range."""
 
-    def number(text: Column, pattern: str, i: int) -> Column:
-        return F.regexp_extract(text, pattern, i).try_cast("int")
-
-    end = F.regexp_extract(citation, _LOOSE, 4)
-    dash, cross = citation.contains("-"), end.contains(":")
-    c1, l1, e1, e2 = number(citation, _LOOSE, 1), number(citation, _LOOSE, 2), number(end, _LOOSE_END, 1), number(end, _LOOSE_END, 2)
-    more = F.regexp_extract(citation, _LOOSE, 3).contains(":")
-    whole = F.when(~dash, ~more).when(cross, ~more & e2.isNotNull()).otherwise(e1.isNotNull())
-    c2 = F.when(cross, e1).otherwise(c1)
-    l2 = F.when(cross, e2).when(dash, e1).otherwise(l1)
-    return F.when(citation.rlike(_LOOSE) & whole, F.struct(c1.alias("start_col"), l1.alias("start_line"), c2.alias("end_col"), l2.alias("end_line")))
+    number = lambda g: F.nullif(g, F.lit("")).try_cast("int")
+    groups = lambda text, pattern, n: F.array(*[F.regexp_extract(text, pattern, i) for i in range(1, n + 1)])
+
+    def parsed(text: Column, g: Column, e: Column) -> Column:
+        dash, cross = text.contains("-"), F.get(g, F.lit(3)).contains(":")
+        c1, l1, e1, e2 = [number(F.get(a, F.lit(i))) for a, i in ((g, 0), (g, 1), (e, 0), (e, 1))]
+        more = F.get(g, F.lit(2)).contains(":")
+        whole = F.when(~dash, ~more).when(cross, ~more & e2.isNotNull()).otherwise(e1.isNotNull())
+        c2 = F.when(cross, e1).otherwise(c1)
+        l2 = F.when(cross, e2).when(dash, e1).otherwise(l1)
+        return F.when(whole, F.struct(c1.alias("start_col"), l1.alias("start_line"), c2.alias("end_col"), l2.alias("end_line")))
+
+    # The citation and the groups of both patterns are computed once and then named.
+    ends = lambda text, g: let(groups(F.get(g, F.lit(3)), _LOOSE_END, 2), lambda e: parsed(text, g, e))
+    return let(citation, lambda text: F.when(text.rlike(_LOOSE), let(groups(text, _LOOSE, 4), lambda g: ends(text, g))))
 
 
 def _signed(n: Column) -> Column:

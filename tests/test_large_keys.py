@@ -69,3 +69,27 @@ def test_items_are_zipped(spark):
         plan = made._jdf.queryExecution().optimizedPlan().toString()
         assert "arrays_zip" in plan and "named_struct" not in plan and "struct(" not in plan and "lambdafunction(slice" not in plan
         assert made.selectExpr("inline(items)").columns == ["text", "x", "y", "seq", "width", "height"]
+
+
+def test_a_citation_is_matched_once(spark):
+    """Each group of a citation is extracted once, whatever the citation is computed from."""
+    from pyspark.sql import functions as F
+
+    from lineloom.functions import citation as C
+
+    rows = [("3:14",), (" 3:14-20 approx.",), ("3:60-4:2",), ("3:14-x",), ("n/a",), (None,), ("1:2:3",)]
+    df = spark.createDataFrame(rows, "t string").select(C.parse_citation_lenient(F.concat(F.lit(" "), "t")).alias("p"))
+    assert [r.p and tuple(r.p) for r in df.collect()] == [(3, 14, 3, 14), (3, 14, 3, 20), (3, 60, 4, 2), None, None, None, None]
+    assert df._jdf.queryExecution().analyzed().toString().lower().count("regexp_extract(") == 6
+
+
+def test_fragments_are_joined_as_by_the_fold(spark):
+    """Empty and null fragments of a line, and gaps of up to one point."""
+    from pyspark.sql import functions as F
+
+    from lineloom.operators import layout as L
+
+    kind = "entries array<struct<text: string, x: double, y: double, width: double, height: double>>"
+    lines = [[("a", 0.0), ("b", 6.0), ("c", 12.5)], [("a", 0.0), ("", 9.0), ("b", 20.0)], [("a", 0.0), (None, 9.0)], [("a ", 0.0), ("b", 9.0)]]
+    df = spark.createDataFrame([([(t, x, 1.0, 5.0, 9.0) for t, x in line],) for line in lines], kind)
+    assert [r[0] for r in df.select(L.line_entry(F.col("entries"))["text"]).collect()] == ["ab c", "a b", None, "a b"]
