@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lineloom.functions import text as T
 from lineloom.functions.citation import parse_citation
-from lineloom.operators.layout import by_page, empty_strips, points, rows_of
+from lineloom.operators.layout import by_page, by_place, count_of, empty_strips, points, rows_of, sorted_fragments
 
 #: Fixed values.
 TOLERANCE_LINES, PER_COLUMN, NEAR_BOUNDARY, GATE, CLUSTER = 10, 120, 25, 0.95, 3
@@ -19,7 +19,7 @@ PAGE = ["doc_id", "page"]
 def _facts() -> dict[str, Column]:
     """What has to be known of a page for its boundary."""
     mid = F.col("page_width") / 2
-    return {"l": F.size(F.filter("items", lambda i: i["x"] < mid)), "r": F.size(F.filter("items", lambda i: i["x"] >= mid)), "points": points()}
+    return {"l": count_of("x", lambda x: x < mid), "r": count_of("x", lambda x: x >= mid), "points": points()}
 
 
 def _bounds() -> dict[str, Column]:
@@ -37,36 +37,38 @@ def boundary(items: DataFrame) -> DataFrame:
     return pages.select(*PAGE, *[c.alias(k) for k, c in _bounds().items()])
 
 
-def _fragments(items: Column | str) -> Column:
-    """Items as they are sorted: from the top, then in order of emission."""
-    return F.sort_array(F.transform(items, lambda i: F.struct((-i["y"]).alias("down"), *[i[c].alias(c) for c in ("seq", "x", "text", "y")])))
+def mean_runs(y: Column) -> Column:
+    """Sorted y -> lines (first, y, n) from the top: an item more than three points below the last line's running mean opens a
+    new line. Items come sorted, so an earlier line is never nearer than the last one. y is the mean, first the place of the
+    first of n items."""
+    line = lambda s: F.array(F.struct(s["first"], s["y"], s["n"]))
+    done = lambda s: F.when(s["n"] > 0, F.concat(s["done"], line(s))).otherwise(s["done"])
+
+    def state(done: Column, first: Column, y: Column, n: Column) -> Column:
+        return F.struct(done.alias("done"), first.alias("first"), y.alias("y"), n.alias("n"))
+
+    def step(s: Column, y: Column) -> Column:
+        near = (s["n"] > 0) & (F.abs(s["y"] - y) <= CLUSTER)
+        longer = state(s["done"], s["first"], (s["y"] * s["n"] + y) / (s["n"] + 1), s["n"] + 1)
+        return F.when(near, longer).otherwise(state(done(s), s["first"] + s["n"], y, F.lit(1)))
+
+    none = state(F.array().cast("array<struct<first: int, y: double, n: int>>"), F.lit(0), F.lit(None).cast("double"), F.lit(0))
+    return F.aggregate(y.cast("array<double>"), none, step, done)
 
 
 def mean_lines(fragments: Column) -> Column:
-    """Sorted fragments -> lines (y, items) from the top: an item more than three points below the last line's running mean
-    opens a new line. Items come sorted, so an earlier line is never nearer than the last one. y is the mean, items go by x."""
-    kind = "struct<first: int, y: double, n: int>"
-
-    def step(state: Column, item: Column) -> Column:
-        line = state["line"]
-        near = line.isNotNull() & (F.abs(line["y"] - item["y"]) <= CLUSTER)
-        mean = (line["y"] * line["n"] + item["y"]) / (line["n"] + 1)
-        longer = F.struct(line["first"].alias("first"), mean.alias("y"), (line["n"] + 1).alias("n")).cast(kind)
-        opened = F.struct(state["at"].alias("first"), item["y"].cast("double").alias("y"), F.lit(1).alias("n")).cast(kind)
-        done = F.when(line.isNull(), state["done"]).otherwise(F.concat(state["done"], F.array(line)))
-        after = (state["at"] + 1).alias("at")
-        return F.when(near, F.struct(state["done"].alias("done"), longer.alias("line"), after)).otherwise(F.struct(done.alias("done"), opened.alias("line"), after))
-
-    none = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.lit(None).cast(kind).alias("line"), F.lit(0).alias("at"))
-    lines = F.aggregate(fragments, none, step, lambda s: F.when(s["line"].isNull(), s["done"]).otherwise(F.concat(s["done"], F.array(s["line"]))))
-    by_x = lambda items: F.sort_array(F.transform(items, lambda i, k: F.struct(i["x"].alias("x"), k.alias("k"), i["text"].alias("text"))))
-    return F.transform(lines, lambda c: F.struct(c["y"].alias("y"), by_x(F.slice(fragments, c["first"] + 1, c["n"])).alias("items")))
+    """Sorted fragments -> the lines of `mean_runs` (y, items), items by x."""
+
+    def lines(f: Column, places: Column) -> Column:
+        return F.transform(mean_runs(f["y"]), lambda c: F.struct(c["y"].alias("y"), F.sort_array(F.slice(places, c["first"] + 1, c["n"])).alias("items")))
+
+    return T.let(fragments, lambda f: T.let(by_place(f, "text"), lambda places: lines(f, places)))
 
 
 def clusters(items: DataFrame) -> DataFrame:
     """doc_id, page, side, line_number (from 1), y (the running mean), text of the lines of each column of a page, without
     what stands in the header, the footer or between the columns. Pages are not moved."""
-    facts = {**_facts(), "f": _fragments("items")}
+    facts = {**_facts(), "f": sorted_fragments(F.col("items"), "x", "text", "y")}
     pages = by_page(items).select(*PAGE, "page_width", "page_height", *[c.alias(k) for k, c in facts.items()]).select(*PAGE, "page_height", "f", *[c.alias(k) for k, c in _bounds().items()])
 
     def stays(i: Column) -> Column:
@@ -78,7 +80,7 @@ def clusters(items: DataFrame) -> DataFrame:
     halves = [F.struct(F.lit(k).alias("side"), side.alias("f")) for k, side in ((1, left), (2, right))]
     sides = rows_of(inside, F.array(*halves), *PAGE)
     lines = sides.select(*PAGE, "side", F.posexplode_outer(mean_lines(F.col("f"))).alias("k", "line")).where("k IS NOT NULL")
-    return lines.select(*PAGE, "side", (F.col("k") + 1).alias("line_number"), "line.y", F.array_join(F.transform("line.items", lambda i: i["text"]), " ").alias("text"))
+    return lines.select(*PAGE, "side", (F.col("k") + 1).alias("line_number"), "line.y", F.array_join(F.col("line.items")["text"], " ").alias("text"))
 
 
 def infer_lines(items: DataFrame) -> DataFrame:
@@ -92,8 +94,8 @@ def line_pixel_y(cited: DataFrame, items: DataFrame, dpi: int = 150) -> DataFram
     Lines are those of the whole page over both columns, blank items aside; a number past the last line means the last one.
     A page without items gives the middle of an image of page_height (of cited, if it has one; else null).
     """
-    pages = by_page(items.where(F.trim("text") != "") if "text" in items.columns else items).select(*PAGE, F.col("page_height").alias("__h"), _fragments(F.filter("items", lambda i: F.trim(i["text"]) != "")).alias("__f"))
-    lines = pages.select(*PAGE, "__h", F.when(F.size("__f") > 0, F.transform(mean_lines(F.col("__f")), lambda c: c["y"])).alias("__y"))
+    pages = by_page(items.where(F.trim("text") != "") if "text" in items.columns else items).select(*PAGE, F.col("page_height").alias("__h"), sorted_fragments(F.filter("items", lambda i: F.trim(i["text"]) != ""), "y").alias("__f"))
+    lines = pages.select(*PAGE, "__h", F.when(F.size("__f") > 0, mean_runs(F.col("__f")["y"])["y"]).alias("__y"))
     met = cited.join(lines, PAGE, "left")
     own = met["page_height"] if "page_height" in cited.columns else F.lit(None).cast("double")
     place = F.greatest(F.lit(0), F.least(F.col("line") - 1, F.size("__y") - 1)).cast("int")

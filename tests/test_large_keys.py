@@ -93,3 +93,9 @@ def test_fragments_are_joined_as_by_the_fold(spark):
     lines = [[("a", 0.0), ("b", 6.0), ("c", 12.5)], [("a", 0.0), ("", 9.0), ("b", 20.0)], [("a", 0.0), (None, 9.0)], [("a ", 0.0), ("b", 9.0)]]
     df = spark.createDataFrame([([(t, x, 1.0, 5.0, 9.0) for t, x in line],) for line in lines], kind)
     assert [r[0] for r in df.select(L.line_entry(F.col("entries"))["text"]).collect()] == ["ab c", "a b", None, "a b"]
+
+
+def test_fragments_are_zipped(spark):
+    """No struct is made by a lambda function for each item that is sorted."""
+    for name in ("cluster_lines", "v_cluster", "line_pixel_y", "build_position_map"):
+        assert "struct(down" not in registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
