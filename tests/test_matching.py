@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from lineloom.operators import matching as M
 
@@ -153,3 +154,33 @@ def test_fuzzy_seeds_leave_no_window_out():
             needle[i] = "#"
         found = M.fuzzy("".join(needle), text)
         assert found and found[2] >= 1 - edits / 66 - 1e-9 and abs(found[0] - at) <= 13
+
+
+def test_distances_by_diagonals():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    r = random.Random(13)
+    for n, most in ((1, 0), (5, 1), (20, 3), (61, 7)):
+        text = "".join(r.choice("abé") for _ in range(90))
+        needle = list(text[7 : 7 + n])
+        needle[n // 2] = "#"
+        begins = M.np.array([0, 4, 5, 6, 7, 9, 40, 89])
+        got = M._within(M._codes("".join(needle)), M._codes(text + "\0" * (n + most)), begins, most)
+        assert got.shape == (2 * most + 1, len(begins))
+        for i, b in enumerate(begins.tolist()):
+            for k in range(-most, most + 1):
+                assert got[most + k, i] == min(most + 1, distance(needle, (text + "\0" * (n + most))[b : b + n + k]))
+
+
+def test_small_inputs_keep_all_tasks_busy(spark):
+    lines = spark.range(400).selectExpr("id AS doc_id", "0 AS entry_idx", "1 AS column", "1 AS line_number", "concat('line number ', id, ' of many') AS text", "false AS wrap_hyphen")
+    asked = spark.range(400).selectExpr("id AS doc_id", "id AS passage_id", "concat('number ', id) AS text")
+    rows = M.cite(asked, lines).withColumn("task", F.spark_partition_id()).collect()
+    assert len(rows) == 400 and {x.citation for x in rows} == {"1:1"}
+    assert len({x.task for x in rows}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
