@@ -7,7 +7,11 @@ exact count in the segment, and the sum over segments is its frequency. A phrase
 the places of a frequent phrase with the postings of the word after it. Past two words, those postings are narrowed to the
 places where the word ends a frequent phrase of k words, as any other cannot end a longer frequent one.
 
-Between levels only (segment, phrase, length) rows move, one a segment and phrase, so a phrase that stands everywhere is one
+Most phrases of a segment are rare, so before their names move, 32-bit hashes of them do: sorted, as packed differences with
+the lengths, some two bytes a phrase. The lengths of all segments are summed by hash, and a bit a phrase goes back: whether
+the sum reaches the limit. No frequent phrase is left out so, and a rare one that shares its hash is counted and dropped.
+
+Of what is left, (segment, phrase, length) rows move, one a segment and phrase, so a phrase that stands everywhere is one
 row a segment; the frequent ones go back to their segments, which join once more and keep these lists alone. The
 frequencies of all first and last parts of a phrase travel with its list, so no candidate looks them up.
 """
@@ -16,11 +20,12 @@ from __future__ import annotations
 
 import functools
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -37,6 +42,10 @@ SEGMENT_BYTES = 12 << 20
 OPEN_BYTES = 3 * SEGMENT_BYTES
 #: Parts into which a language's candidates are dealt for ranking; each gives at most the rows that are asked for.
 SALTS = 64
+#: Bits of a phrase's hash. Fewer leave more rare phrases to be counted by name; the rows are the same.
+HASH_BITS = 32
+#: Hashes are summed in spans, as many as there are segments to so many, and RANGES at least.
+RANGES, SEGMENTS_A_RANGE = 64, 64
 
 _STOP = ord(".")
 _MAP = bytearray(range(256))
@@ -49,6 +58,8 @@ _PIECES = bytes(_MAP)
 POSTINGS = "seg long, lang string, phrases array<string>, lens array<int>, places binary"
 LISTS = "seg long, lang string, phrases array<string>, known array<struct<a: long, first: boolean, lefts: array<long>, rights: array<long>>>, lens array<int>, places binary"
 COUNTS = "seg long, lang string, phrase string, n long"
+SKETCHES = "seg long, lang string, span int, hashes binary, lens binary"
+MARKS = "seg long, span int, bits binary"
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -182,16 +193,86 @@ def _words_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _frame(_LISTS, seg.as_py(), lang.as_py(), [names[k] for k in order], known, lens, _packed(places))
 
 
-def _longer_counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The phrases of one word more that a segment holds, and how often."""
+def _hashes(names: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(name.encode()) for name in names), np.uint64, len(names))
+
+
+def _short(mixed: np.ndarray) -> np.ndarray:
+    """HASH_BITS bits of numbers of 64."""
+    for shift, by in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+        mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(by)
+    return ((mixed ^ (mixed >> np.uint64(33))) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+
+
+def _words_seen(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, Callable[[np.ndarray], list[str]]]:
+    """Hashes and lengths of a segment's words, and what gives the names of some."""
+    names = batch.column("phrases")[i].as_py()
+    return _short(_hashes(names)), batch.column("lens")[i].values.to_numpy(), lambda some: [names[k] for k in some.tolist()]
+
+
+def _longer_seen(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, Callable[[np.ndarray], list[str]]]:
+    """The same of the phrases of one word more. A phrase is known by its first and its last part."""
+    phrases, lens, places = (batch.column(c)[i] for c in ("phrases", "lens", "places"))
+    a, b, counts, _ = extend(lens.values.to_numpy(), _unpacked(places.as_py()))
+    own = _hashes(phrases.as_py())
+    return _short(own[a] * np.uint64(0x9E3779B97F4A7C15) + own[b]), counts, lambda some: _longer_names(phrases.values, a[some], b[some])
+
+
+def _spans(hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rising hashes, and where in it each range starts and ends."""
+    order = np.argsort(hashes, kind="stable")
+    return order, np.searchsorted(hashes[order], np.arange(ranges + 1, dtype=np.int64) * (1 << HASH_BITS) // ranges)
+
+
+def _sketched(seen: Callable, ranges: int, least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each range the hashes of a segment's phrases and their lengths, of which more than `least` counts as that."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            hashes, counts, _ = seen(batch, i)
+            order, ends = _spans(hashes, ranges)
+            hashes, counts = hashes[order], np.minimum(counts[order], least)
+            rows = []
+            for span in np.flatnonzero(np.diff(ends)).tolist():
+                at = slice(ends[span], ends[span + 1])
+                rows.append((span, _packed(hashes[at] - span * (1 << HASH_BITS) // ranges), _packed(np.cumsum(counts[at], dtype=np.int64))))
+            if rows:
+                spans, packed, lens = zip(*rows, strict=True)
+                columns = [pa.array([batch.column(c)[i].as_py()] * len(rows), t) for c, t in (("seg", pa.int64()), ("lang", pa.string()))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(spans, pa.int32()), pa.array(packed, pa.binary()), pa.array(lens, pa.binary())], names=["seg", "lang", "span", "hashes", "lens"])
+
+
+def _marked(least: int, sketches: pa.Table) -> pa.Table:
+    """Of one range: a bit for each phrase of each segment, whether the lengths of all with its hash come to `least`."""
+    parts = [_unpacked(x) for x in sketches.column("hashes").to_pylist()]
+    counts = np.concatenate([np.diff(_unpacked(x), prepend=np.int32(0)) for x in sketches.column("lens").to_pylist()])
+    hashes = np.concatenate(parts)
+    order = np.argsort(hashes, kind="stable")
+    first = np.flatnonzero(np.diff(hashes[order], prepend=np.int32(-1)))
+    enough = np.add.reduceat(counts[order], first, dtype=np.int64) >= least
+    marks = np.empty(len(hashes), bool)
+    marks[order] = np.repeat(enough, np.diff(np.append(first, len(hashes))))
+    own = np.split(marks, np.cumsum([len(p) for p in parts])[:-1])
+    bits = [pa.compress(np.packbits(m).tobytes(), codec="zstd", asbytes=True) if m.any() else None for m in own]
+    out = pa.table({"seg": sketches.column("seg"), "span": sketches.column("span"), "bits": pa.array(bits, pa.binary())})
+    return out.filter(out.column("bits").is_valid())
+
+
+def _counted(seen: Callable, ranges: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The marked phrases of a segment, and how often it holds them."""
     for batch in batches:
         for i in range(batch.num_rows):
-            seg, lang, phrases, lens, places = (batch.column(c)[i] for c in ("seg", "lang", "phrases", "lens", "places"))
-            a, b, counts, _ = extend(lens.values.to_numpy(), _unpacked(places.as_py()))
-            for at in range(0, len(a), 1 << 16):
-                names = _longer_names(phrases.values, a[at : at + (1 << 16)], b[at : at + (1 << 16)])
-                columns = [pa.array([seg.as_py()] * len(names), pa.int64()), pa.array([lang.as_py()] * len(names), pa.string()), pa.array(names, pa.string()), pa.array(counts[at : at + (1 << 16)], pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["seg", "lang", "phrase", "n"])
+            hashes, counts, names_of = seen(batch, i)
+            order, ends = _spans(hashes, ranges)
+            kept = []
+            for mark in batch.column("marks")[i].as_py():
+                start, stop = ends[mark["span"]], ends[mark["span"] + 1]
+                bits = pa.decompress(mark["bits"], decompressed_size=int(stop - start + 7) // 8, codec="zstd", asbytes=True)
+                kept.append(order[start:stop][np.unpackbits(np.frombuffer(bits, np.uint8), count=int(stop - start)).view(bool)])
+            kept = np.sort(np.concatenate(kept))
+            for at in range(0, len(kept), 1 << 16):
+                some = kept[at : at + (1 << 16)]
+                columns = [pa.array([batch.column(c)[i].as_py()] * len(some), t) for c, t in (("seg", pa.int64()), ("lang", pa.string()))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(names_of(some), pa.string()), pa.array(counts[some], pa.int64())], names=["seg", "lang", "phrase", "n"])
 
 
 def _longer_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,6 +302,19 @@ def _frequent(counts: DataFrame, least: int) -> DataFrame:
     return known.where(F.col("a") >= least).groupBy("seg").agg(F.collect_list(F.struct("phrase", "a", "first")).alias("back"))
 
 
+def _back_to_segments(lists: DataFrame, columns: list[str], seen: Callable, ranges: int, least: int) -> DataFrame:
+    """`_frequent` of the phrases that `seen` finds in the lists: by hash first, and by name what that leaves."""
+
+    def marked(sketches: pa.Table) -> pa.Table:
+        return _marked(least, sketches)
+
+    own = lists.select(*columns)
+    sketches = own.mapInArrow(functools.partial(_sketched, seen, ranges, least), SKETCHES)
+    marks = sketches.groupBy("lang", "span").applyInArrow(marked, MARKS)
+    marks = marks.groupBy("seg").agg(F.collect_list(F.struct("span", "bits")).alias("marks"))
+    return _frequent(own.join(marks, "seg").mapInArrow(functools.partial(_counted, seen, ranges), COUNTS), least)
+
+
 def by_segment(lists: DataFrame, name: str) -> DataFrame:
     """lists written to the shared folder in buckets of segments, so that what comes back to the segments moves to the lists
     and not these to it. The catalog forgets the table at once; its files go with the session's other scratch tables."""
@@ -244,11 +338,12 @@ def candidates(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit(NO_LANG)).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     words = by_segment(texts.mapInArrow(_segments, POSTINGS), "postings")
     totals = words.groupBy("lang").agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda all, n: all + n)).alias("n"))
-    counts = words.select("seg", "lang", F.explode(F.arrays_zip("phrases", "lens")).alias("it")).select("seg", "lang", F.col("it.phrases").alias("phrase"), F.col("it.lens").alias("n"))
-    lists = by_segment(words.join(_frequent(counts, least), "seg").mapInArrow(_words_kept, LISTS), "lists-1")
+    ranges = max(RANGES, 1 << (words.count() // SEGMENTS_A_RANGE).bit_length())
+    back = _back_to_segments(words, ["seg", "lang", "phrases", "lens"], _words_seen, ranges, least)
+    lists = by_segment(words.join(back, "seg").mapInArrow(_words_kept, LISTS), "lists-1")
     found = []
     for k in range(2, longest + 1):
-        back = _frequent(lists.mapInArrow(_longer_counted, COUNTS), least)
+        back = _back_to_segments(lists, ["seg", "lang", "phrases", "lens", "places"], _longer_seen, ranges, least)
         lists = by_segment(lists.join(back, "seg").mapInArrow(_longer_kept, LISTS), f"lists-{k}")
         own = lists.select("lang", F.explode(F.filter(F.arrays_zip("phrases", "known"), lambda it: it["known"]["first"])).alias("it"))
         found.append(own.select("lang", F.col("it.phrases").alias("phrase"), F.lit(k).alias("words"), "it.known.a", "it.known.lefts", "it.known.rights"))

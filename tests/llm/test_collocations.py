@@ -70,3 +70,34 @@ def test_places_survive_packing():
 
     for places in ([], [5], [0, 3, 2**30, 1, 7]):
         assert collocations._unpacked(collocations._packed(np.array(places, np.int32))).tolist() == places
+
+
+def test_only_phrases_that_can_be_frequent_move_by_name(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    r, least, ranges = random.Random(8), 6, 4
+    batches, sums = [], Counter()
+    for seg in range(5):
+        text = " ".join(r.choice(["new york city", "of the", "a", "b", "c"] + [f"w{i}" for i in range(60)]) for _ in range(150))
+        words, lens, places = collocations.postings([text.encode()])
+        own = text.split()
+        sums.update(f"{x} {y}" for x, y in zip(own, own[1:], strict=False))
+        row = {"seg": seg, "lang": "en", "phrases": words, "lens": lens.astype(np.int32), "places": collocations._packed(places)}
+        batches.append(pa.RecordBatch.from_pylist([row], schema=collocations._POSTINGS))
+    frequent = {p for p, n in sums.items() if n >= least}
+    assert 2 < len(frequent) < len(sums) // 5
+    for bits in (2, 3, 8, 32):
+        monkeypatch.setattr(collocations, "HASH_BITS", bits)
+        sketches = pa.Table.from_batches(list(collocations._sketched(collocations._longer_seen, ranges, least, iter(batches))))
+        marks = []
+        for span in range(ranges):
+            part = sketches.filter(pa.compute.equal(sketches.column("span"), span))
+            marks += collocations._marked(least, part).to_pylist() if part.num_rows else []
+        held = [b.append_column("marks", pa.array([[m for m in marks if m["seg"] == seg]])) for seg, b in enumerate(batches) if any(m["seg"] == seg for m in marks)]
+        got = Counter()
+        for b in collocations._counted(collocations._longer_seen, ranges, iter(held)):
+            for row in b.to_pylist():
+                got[row["phrase"]] += row["n"]
+        assert all(got[p] == sums[p] for p in got) and frequent <= set(got)
+        assert bits < 32 or set(got) == frequent
