@@ -7,13 +7,16 @@ exact count in the segment, and the sum over segments is its frequency. A phrase
 the places of a frequent phrase with the postings of the word after it. Past two words, those postings are narrowed to the
 places where the word ends a frequent phrase of k words, as any other cannot end a longer frequent one.
 
-Most phrases of a segment are rare, so before their names move, 32-bit hashes of them do: sorted, as packed differences with
-the lengths, some two bytes a phrase. The lengths of all segments are summed by hash, and a bit a phrase goes back: whether
-the sum reaches the limit. No frequent phrase is left out so, and a rare one that shares its hash is counted and dropped.
-
-Of what is left, (segment, phrase, length) rows move, one a segment and phrase, so a phrase that stands everywhere is one
-row a segment; the frequent ones go back to their segments, which join once more and keep these lists alone. The
-frequencies of all first and last parts of a phrase travel with its list, so no candidate looks them up.
+Most phrases of a segment are rare, so before they move themselves, hashes of them do: sorted, as packed differences with
+the lengths, some one to two bytes a phrase. The lengths of all segments are summed by hash, and a bit a phrase goes back:
+whether the sum reaches the limit. No frequent phrase is left out so, and a rare one that shares its hash is counted and
+dropped.
+
+What is left moves as packed arrays, one a segment and range of hashes: a word by its name, a longer phrase by the numbers
+of its first and its last part, each with its length and its place in the segment. Ranges are summed exactly, and each
+frequent phrase gets a number there. Its place and its number go back to the segments that hold it, which join once more
+and keep these lists alone. Names and the frequencies of parts stand once a phrase, in a table of each level that names the
+two parts' numbers, and not in the segments.
 """
 
 from __future__ import annotations
@@ -24,13 +27,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lineloom.llm.common import UPPER, scratch_path, table
+from lineloom.llm.common import UPPER, discard, scratch, scratch_path, table
 
 LEAST = 100
 LONGEST = 5
@@ -42,8 +44,13 @@ SEGMENT_BYTES = 12 << 20
 OPEN_BYTES = 3 * SEGMENT_BYTES
 #: Parts into which a language's candidates are dealt for ranking; each gives at most the rows that are asked for.
 SALTS = 64
-#: Bits of a phrase's hash. Fewer leave more rare phrases to be counted by name; the rows are the same.
-HASH_BITS = 32
+#: Bits of a phrase's hash, at most. Fewer leave more rare phrases to be counted themselves; the rows are the same. So many
+#: are taken that a hash stands for WORDS_A_HASH words of the largest language.
+HASH_BITS, WORDS_A_HASH = 32, 8
+#: Phrases of a segment that are dealt over the ranges at once.
+AT_ONCE = 1 << 18
+#: Frequent phrases' numbers are less than that, so that those of two parts fit in 64 bits.
+MOST = 1 << 31
 #: Hashes are summed in spans, as many as there are segments to so many, and RANGES at least.
 RANGES, SEGMENTS_A_RANGE = 64, 64
 
@@ -56,8 +63,10 @@ for _c in UPPER.encode():
 _PIECES = bytes(_MAP)
 
 POSTINGS = "seg long, lang string, phrases array<string>, lens array<int>, places binary"
-LISTS = "seg long, lang string, phrases array<string>, known array<struct<a: long, first: boolean, lefts: array<long>, rights: array<long>>>, lens array<int>, places binary"
-COUNTS = "seg long, lang string, phrase string, n long"
+LISTS = "seg long, lang string, phrases array<long>, lens array<int>, places binary"
+COUNTS = "seg long, lang string, span int, keys binary, at binary, lens binary"
+#: Of a segment, places and numbers of frequent phrases; or, without a segment, the frequent phrases of a range.
+FOUND = "seg long, at binary, numbers binary, lang string, own array<struct<number: long, a: long, word: string, pair: long>>"
 SKETCHES = "seg long, lang string, span int, hashes binary, lens binary"
 MARKS = "seg long, span int, bits binary"
 
@@ -67,15 +76,24 @@ def tokens(text: bytes) -> list[bytes]:
     return text.translate(_PIECES).replace(b".", b" . ").split()
 
 
-def _packed(places: np.ndarray) -> bytes:
-    """Differences of places by byte plane, as their upper bytes are mostly zero, compressed."""
-    planes = np.diff(places.astype("<i4"), prepend=np.int32(0)).view(np.uint8).reshape(-1, 4).T.tobytes()
+def _squeezed(values: np.ndarray) -> bytes:
+    """Numbers of 32 bits by byte plane, as their upper bytes are mostly zero, compressed."""
+    planes = values.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
     return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def _unpacked(packed: bytes) -> np.ndarray:
+def _opened(packed: bytes) -> np.ndarray:
     planes = pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
-    return np.cumsum(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<i4").ravel(), dtype=np.int32)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
+def _packed(places: np.ndarray) -> bytes:
+    """Differences of places, squeezed."""
+    return _squeezed(np.diff(places.astype("<i4"), prepend=np.int32(0)))
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    return np.cumsum(_opened(packed), dtype=np.int32)
 
 
 def postings(texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -113,18 +131,24 @@ def extend(lens: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return *np.divmod(pair[first], max(1, len(lens))), counts, places
 
 
-def _chosen(lens: np.ndarray, places: np.ndarray, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lists of these numbers, in this order of rising numbers."""
-    on = np.zeros(len(lens), bool)
-    on[kept] = True
-    return lens[kept], places[np.repeat(on, lens)]
+def _chosen(lens: np.ndarray, places: np.ndarray, kept: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lists at `kept`, which get these numbers, in the order of rising numbers: (numbers, lengths, places)."""
+    order = np.argsort(numbers)
+    new = np.full(len(lens), -1, np.int32)
+    new[kept[order]] = np.arange(len(kept), dtype=np.int32)
+    owner = np.repeat(new, lens)
+    on = owner >= 0
+    return numbers[order], lens[kept[order]], places[on][np.argsort(owner[on], kind="stable")]
 
 
-def _longer_names(phrases: pa.Array, a: np.ndarray, b: np.ndarray) -> list[str]:
-    """Of every pair of a first and a last part, the phrase: the first and the last's last word."""
+def _longer_names(phrases: pa.Array, a: np.ndarray, b: np.ndarray) -> pa.Array:
+    """Of every pair of a first and a last part, the phrase: the first and the last's last word, or both parts' numbers."""
+    if pa.types.is_integer(phrases.type):
+        own = phrases.to_numpy()
+        return pa.array(own[a] << 32 | own[b])
     name = phrases.to_pylist()
     end = [p[p.rfind(" ") + 1 :] for p in name]
-    return [f"{name[i]} {end[j]}" for i, j in zip(a.tolist(), b.tolist(), strict=True)]
+    return pa.array([f"{name[i]} {end[j]}" for i, j in zip(a.tolist(), b.tolist(), strict=True)], pa.string())
 
 
 def _frame(schema: pa.Schema, *values: object) -> pa.RecordBatch:
@@ -133,8 +157,9 @@ def _frame(schema: pa.Schema, *values: object) -> pa.RecordBatch:
 
 
 _POSTINGS = pa.schema([("seg", pa.int64()), ("lang", pa.string()), ("phrases", pa.list_(pa.string())), ("lens", pa.list_(pa.int32())), ("places", pa.binary())])
-_KNOWN = pa.list_(pa.struct([("a", pa.int64()), ("first", pa.bool_()), ("lefts", pa.list_(pa.int64())), ("rights", pa.list_(pa.int64()))]))
-_LISTS = pa.schema([("seg", pa.int64()), ("lang", pa.string()), ("phrases", pa.list_(pa.string())), ("known", _KNOWN), ("lens", pa.list_(pa.int32())), ("places", pa.binary())])
+_LISTS = pa.schema([("seg", pa.int64()), ("lang", pa.string()), ("phrases", pa.list_(pa.int64())), ("lens", pa.list_(pa.int32())), ("places", pa.binary())])
+_OWN = pa.struct([("number", pa.int64()), ("a", pa.int64()), ("word", pa.string()), ("pair", pa.int64())])
+_FOUND = pa.schema([("seg", pa.int64()), ("at", pa.binary()), ("numbers", pa.binary()), ("lang", pa.string()), ("own", pa.list_(_OWN))])
 
 
 def _slices(text: bytes, most: int) -> Iterator[bytes]:
@@ -174,27 +199,11 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from closed(lang)
 
 
-def _back(row: pa.Scalar) -> tuple[list[str], list[int], list[bool]]:
-    """phrases, frequencies and marks of what came back to a segment."""
-    found = row.values
-    return found.field("phrase").to_pylist(), found.field("a").to_pylist(), found.field("first").to_pylist()
-
-
-def _words_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lists of a segment's frequent words."""
-    for batch in batches:
-        for i in range(batch.num_rows):
-            seg, lang, phrases, lens, places, back = (batch.column(c)[i] for c in ("seg", "lang", "phrases", "lens", "places", "back"))
-            names, totals, firsts = _back(back)
-            kept = pc.index_in(pa.array(names, pa.string()), value_set=phrases.values).to_numpy()
-            order = np.argsort(kept).tolist()
-            lens, places = _chosen(lens.values.to_numpy(), _unpacked(places.as_py()), kept[order])
-            known = [{"a": totals[k], "first": firsts[k], "lefts": [], "rights": []} for k in order]
-            yield _frame(_LISTS, seg.as_py(), lang.as_py(), [names[k] for k in order], known, lens, _packed(places))
-
-
-def _hashes(names: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(name.encode()) for name in names), np.uint64, len(names))
+def _hashes(phrases: pa.Array) -> np.ndarray:
+    """Of names; numbers stand for themselves."""
+    if pa.types.is_integer(phrases.type):
+        return phrases.to_numpy().astype(np.uint64)
+    return np.fromiter((xxhash.xxh64_intdigest(name.encode()) for name in phrases.to_pylist()), np.uint64, len(phrases))
 
 
 def _short(mixed: np.ndarray) -> np.ndarray:
@@ -204,37 +213,45 @@ def _short(mixed: np.ndarray) -> np.ndarray:
     return ((mixed ^ (mixed >> np.uint64(33))) >> np.uint64(64 - HASH_BITS)).astype(np.int64)
 
 
-def _words_seen(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, Callable[[np.ndarray], list[str]]]:
+def _words_seen(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, Callable[[np.ndarray], pa.Array]]:
     """Hashes and lengths of a segment's words, and what gives the names of some."""
-    names = batch.column("phrases")[i].as_py()
-    return _short(_hashes(names)), batch.column("lens")[i].values.to_numpy(), lambda some: [names[k] for k in some.tolist()]
+    names = batch.column("phrases")[i].values
+    return _short(_hashes(names)), batch.column("lens")[i].values.to_numpy(), lambda some: names.take(pa.array(some))
 
 
-def _longer_seen(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, Callable[[np.ndarray], list[str]]]:
+def _longer_seen(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, Callable[[np.ndarray], pa.Array]]:
     """The same of the phrases of one word more. A phrase is known by its first and its last part."""
-    phrases, lens, places = (batch.column(c)[i] for c in ("phrases", "lens", "places"))
-    a, b, counts, _ = extend(lens.values.to_numpy(), _unpacked(places.as_py()))
-    own = _hashes(phrases.as_py())
-    return _short(own[a] * np.uint64(0x9E3779B97F4A7C15) + own[b]), counts, lambda some: _longer_names(phrases.values, a[some], b[some])
+    phrases, lens, places = (batch.column(c)[i].values if c != "places" else batch.column(c)[i] for c in ("phrases", "lens", "places"))
+    a, b, counts, _ = extend(lens.to_numpy(), _unpacked(places.as_py()))
+    own = _hashes(phrases)
+    return _short(own[a] * np.uint64(0x9E3779B97F4A7C15) + own[b]), counts, lambda some: _longer_names(phrases, a[some], b[some])
+
+
+def _bounds(ranges: int, bits: int) -> np.ndarray:
+    """Where each range of hashes of so many bits starts, and where the last ends."""
+    return np.arange(ranges + 1, dtype=np.int64) * (1 << bits) // ranges
 
 
-def _spans(hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+def _spans(hashes: np.ndarray, ranges: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of rising hashes, and where in it each range starts and ends."""
     order = np.argsort(hashes, kind="stable")
-    return order, np.searchsorted(hashes[order], np.arange(ranges + 1, dtype=np.int64) * (1 << HASH_BITS) // ranges)
+    return order, np.searchsorted(hashes[order], _bounds(ranges, bits))
 
 
-def _sketched(seen: Callable, ranges: int, least: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketched(seen: Callable, ranges: int, least: int, batches: Iterator[pa.RecordBatch], bits: int | None = None) -> Iterator[pa.RecordBatch]:
     """For each range the hashes of a segment's phrases and their lengths, of which more than `least` counts as that."""
+    bits = bits or HASH_BITS
+    starts = _bounds(ranges, bits)
     for batch in batches:
         for i in range(batch.num_rows):
             hashes, counts, _ = seen(batch, i)
-            order, ends = _spans(hashes, ranges)
+            hashes = hashes >> (HASH_BITS - bits)
+            order, ends = _spans(hashes, ranges, bits)
             hashes, counts = hashes[order], np.minimum(counts[order], least)
             rows = []
             for span in np.flatnonzero(np.diff(ends)).tolist():
                 at = slice(ends[span], ends[span + 1])
-                rows.append((span, _packed(hashes[at] - span * (1 << HASH_BITS) // ranges), _packed(np.cumsum(counts[at], dtype=np.int64))))
+                rows.append((span, _packed(hashes[at] - starts[span]), _squeezed(counts[at])))
             if rows:
                 spans, packed, lens = zip(*rows, strict=True)
                 columns = [pa.array([batch.column(c)[i].as_py()] * len(rows), t) for c, t in (("seg", pa.int64()), ("lang", pa.string()))]
@@ -244,7 +261,7 @@ def _sketched(seen: Callable, ranges: int, least: int, batches: Iterator[pa.Reco
 def _marked(least: int, sketches: pa.Table) -> pa.Table:
     """Of one range: a bit for each phrase of each segment, whether the lengths of all with its hash come to `least`."""
     parts = [_unpacked(x) for x in sketches.column("hashes").to_pylist()]
-    counts = np.concatenate([np.diff(_unpacked(x), prepend=np.int32(0)) for x in sketches.column("lens").to_pylist()])
+    counts = np.concatenate([_opened(x) for x in sketches.column("lens").to_pylist()])
     hashes = np.concatenate(parts)
     order = np.argsort(hashes, kind="stable")
     first = np.flatnonzero(np.diff(hashes[order], prepend=np.int32(-1)))
@@ -257,69 +274,145 @@ def _marked(least: int, sketches: pa.Table) -> pa.Table:
     return out.filter(out.column("bits").is_valid())
 
 
-def _counted(seen: Callable, ranges: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The marked phrases of a segment, and how often it holds them."""
+def _counted(seen: Callable, ranges: int, batches: Iterator[pa.RecordBatch], bits: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The marked phrases of a segment, how often it holds them, their ranges and their places among its phrases."""
+    bits = bits or HASH_BITS
     for batch in batches:
         for i in range(batch.num_rows):
             hashes, counts, names_of = seen(batch, i)
-            order, ends = _spans(hashes, ranges)
+            hashes = hashes >> (HASH_BITS - bits)
+            order, ends = _spans(hashes, ranges, bits)
             kept = []
             for mark in batch.column("marks")[i].as_py():
                 start, stop = ends[mark["span"]], ends[mark["span"] + 1]
-                bits = pa.decompress(mark["bits"], decompressed_size=int(stop - start + 7) // 8, codec="zstd", asbytes=True)
-                kept.append(order[start:stop][np.unpackbits(np.frombuffer(bits, np.uint8), count=int(stop - start)).view(bool)])
+                own = pa.decompress(mark["bits"], decompressed_size=int(stop - start + 7) // 8, codec="zstd", asbytes=True)
+                kept.append(order[start:stop][np.unpackbits(np.frombuffer(own, np.uint8), count=int(stop - start)).view(bool)])
             kept = np.sort(np.concatenate(kept))
-            for at in range(0, len(kept), 1 << 16):
-                some = kept[at : at + (1 << 16)]
+            for at in range(0, len(kept), AT_ONCE):
+                some = kept[at : at + AT_ONCE]
+                span = np.searchsorted(_bounds(ranges, bits), hashes[some], side="right") - 1
                 columns = [pa.array([batch.column(c)[i].as_py()] * len(some), t) for c, t in (("seg", pa.int64()), ("lang", pa.string()))]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(names_of(some), pa.string()), pa.array(counts[some], pa.int64())], names=["seg", "lang", "phrase", "n"])
-
-
-def _longer_kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lists of a segment's frequent phrases of one word more."""
+                yield pa.RecordBatch.from_arrays([*columns, names_of(some), pa.array(counts[some], pa.int64()), pa.array(span), pa.array(some)], names=["seg", "lang", "phrase", "n", "span", "at"])
+
+
+def _packed_keys(keys: pa.Array) -> bytes:
+    """Names, which have no spaces, or pairs of numbers, the first of which rise."""
+    if not pa.types.is_integer(keys.type):
+        names = " ".join(keys.to_pylist()).encode()
+        return len(names).to_bytes(8, "little") + pa.compress(names, codec="zstd", asbytes=True)
+    first, last = np.divmod(keys.to_numpy(), 1 << 32)
+    first = _packed(first)
+    return len(first).to_bytes(8, "little") + first + _squeezed(last)
+
+
+def _names(packed: bytes) -> list[str]:
+    return pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True).decode().split(" ")
+
+
+def _pairs(packed: bytes) -> np.ndarray:
+    cut = 8 + int.from_bytes(packed[:8], "little")
+    return _unpacked(packed[8:cut]).astype(np.int64) << 32 | _opened(packed[cut:])
+
+
+def _dealt(seen: Callable, ranges: int, bits: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What `_counted` gives, a row for each range of hashes."""
+    for counted in _counted(seen, ranges, batches, bits):
+        span = counted.column("span").to_numpy()
+        order = np.argsort(span, kind="stable")
+        span, keys = span[order], counted.column("phrase").take(pa.array(order))
+        n, at = (counted.column(c).to_numpy()[order] for c in ("n", "at"))
+        first = np.flatnonzero(np.diff(span, prepend=-1)).tolist()
+        rows = [(_packed_keys(keys[x:y]), _packed(at[x:y]), _squeezed(n[x:y])) for x, y in zip(first, [*first[1:], len(span)], strict=True)]
+        columns = [counted.column(c).slice(0, len(rows)) for c in ("seg", "lang")]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(span[first], pa.int32()), *(pa.array(x, pa.binary()) for x in zip(*rows, strict=True))], names=["seg", "lang", "span", "keys", "at", "lens"])
+
+
+def _summed(words: bool, ranges: int, least: int, counts: pa.Table) -> pa.Table:
+    """Of one range: the frequent phrases with their numbers, and places and numbers of those that each segment holds."""
+    packed, span = counts.column("keys").to_pylist(), counts.column("span")[0].as_py()
+    n = [_opened(x) for x in counts.column("lens").to_pylist()]
+    if words:
+        keys = pa.array([name for x in packed for name in _names(x)], pa.string()).dictionary_encode()
+        keys, which = keys.dictionary, keys.indices.to_numpy()
+    else:
+        keys, which = np.unique(np.concatenate([_pairs(x) for x in packed]), return_inverse=True)
+    order = np.argsort(which, kind="stable")
+    sums = np.add.reduceat(np.concatenate(n)[order], np.flatnonzero(np.diff(which[order], prepend=-1)), dtype=np.int64)
+    common = np.flatnonzero(sums >= least)
+    common = common[np.argsort(-sums[common], kind="stable")]
+    numbers = np.full(len(sums), -1, np.int64)
+    numbers[common] = np.arange(len(common)) * ranges + span
+    if numbers.max() >= MOST:
+        raise OverflowError(f"a language has more than {MOST} frequent phrases of a length")
+    rows, end = [], 0
+    for seg, at, size in zip(counts.column("seg").to_pylist(), counts.column("at").to_pylist(), map(len, n), strict=True):
+        own = numbers[which[end : end + size]]
+        end += size
+        if (own >= 0).any():
+            rows.append((seg, _packed(_unpacked(at)[own >= 0]), _squeezed(own[own >= 0])))
+    seg, at, numbers_of = zip(*rows, (None, None, None), strict=True)
+    nothing = pa.nulls(len(common))
+    named = [keys.take(pa.array(common)), nothing.cast(pa.int64())] if words else [nothing.cast(pa.string()), pa.array(keys[common])]
+    own = pa.StructArray.from_arrays([pa.array(numbers[common]), pa.array(sums[common]), *named], fields=list(_OWN))
+    own = pa.ListArray.from_arrays(pa.array([0] * len(rows) + [0, len(own)], pa.int32()), own)
+    return pa.Table.from_arrays([pa.array(seg, pa.int64()), pa.array(at, pa.binary()), pa.array(numbers_of, pa.binary()), pa.array([counts.column("lang")[0].as_py()] * len(seg)), own], schema=_FOUND)
+
+
+def _kept(words: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lists of a segment's frequent words, or of its frequent phrases of one word more."""
     for batch in batches:
         for i in range(batch.num_rows):
-            seg, lang, phrases, known, lens, places, back = (batch.column(c)[i] for c in ("seg", "lang", "phrases", "known", "lens", "places", "back"))
-            names, totals, firsts = _back(back)
-            a, b, counts, places = extend(lens.values.to_numpy(), _unpacked(places.as_py()))
-            number = {phrase: k for k, phrase in enumerate(phrases.values.to_pylist())}
-            part, size = known.as_py(), len(number)
-            pairs = np.array([number[name[: name.rindex(" ")]] * size + number[name[name.index(" ") + 1 :]] for name in names], np.int64)
-            order = np.argsort(pairs)
-            kept = np.searchsorted(a * size + b, pairs[order])
-            counts, places = _chosen(counts, places, kept)
-            own = []
-            for k, x, y in zip(order.tolist(), a[kept].tolist(), b[kept].tolist(), strict=True):
-                lefts, rights = [*part[x]["lefts"], part[x]["a"]], [part[y]["a"], *part[y]["rights"]]
-                own.append({"a": totals[k], "first": firsts[k], "lefts": lefts, "rights": rights})
-            yield _frame(_LISTS, seg.as_py(), lang.as_py(), [names[k] for k in order.tolist()], own, counts.astype(np.int32), _packed(places))
-
-
-def _frequent(counts: DataFrame, least: int) -> DataFrame:
-    """seg, back: (phrase, a, first) of a segment's phrases that occur `least` times or more in all; `first` in one segment."""
-    phrase = Window.partitionBy("lang", "phrase")
-    known = counts.select("seg", "lang", "phrase", F.sum("n").over(phrase).alias("a"), (F.col("seg") == F.min("seg").over(phrase)).alias("first"))
-    return known.where(F.col("a") >= least).groupBy("seg").agg(F.collect_list(F.struct("phrase", "a", "first")).alias("back"))
-
-
-def _back_to_segments(lists: DataFrame, columns: list[str], seen: Callable, ranges: int, least: int) -> DataFrame:
-    """`_frequent` of the phrases that `seen` finds in the lists: by hash first, and by name what that leaves."""
+            seg, lang, lens, places, back = (batch.column(c)[i] for c in ("seg", "lang", "lens", "places", "back"))
+            lens, places = lens.values.to_numpy(), _unpacked(places.as_py())
+            if not words:
+                _, _, lens, places = extend(lens, places)
+            at = np.concatenate([_unpacked(x) for x in back.values.field("at").to_pylist()])
+            numbers = np.concatenate([_opened(x) for x in back.values.field("numbers").to_pylist()])
+            numbers, lens, places = _chosen(lens, places, at, numbers)
+            yield _frame(_LISTS, seg.as_py(), lang.as_py(), numbers.astype(np.int64), lens.astype(np.int32), _packed(places))
+
+
+def _found(lists: DataFrame, words: bool, ranges: int, bits: int, least: int, name: str) -> DataFrame:
+    """FOUND of the words of the lists, or of the phrases of one word more: by hash first, then those that this leaves."""
+    seen, columns = (_words_seen, ["seg", "lang", "phrases", "lens"]) if words else (_longer_seen, ["seg", "lang", "phrases", "lens", "places"])
 
     def marked(sketches: pa.Table) -> pa.Table:
         return _marked(least, sketches)
 
+    def summed(counts: pa.Table) -> pa.Table:
+        return _summed(words, ranges, least, counts)
+
     own = lists.select(*columns)
-    sketches = own.mapInArrow(functools.partial(_sketched, seen, ranges, least), SKETCHES)
+    sketches = own.mapInArrow(functools.partial(_sketched, seen, ranges, least, bits=bits), SKETCHES)
     marks = sketches.groupBy("lang", "span").applyInArrow(marked, MARKS)
     marks = marks.groupBy("seg").agg(F.collect_list(F.struct("span", "bits")).alias("marks"))
-    return _frequent(own.join(marks, "seg").mapInArrow(functools.partial(_counted, seen, ranges), COUNTS), least)
+    counts = own.join(marks, "seg").mapInArrow(functools.partial(_dealt, seen, ranges, bits), COUNTS)
+    return scratch(counts.groupBy("lang", "span").applyInArrow(summed, FOUND), name)
+
+
+def _narrowed(lists: DataFrame, found: DataFrame, words: bool) -> DataFrame:
+    """The segments' lists of what was found."""
+    back = found.where(F.col("seg").isNotNull()).groupBy("seg").agg(F.collect_list(F.struct("at", "numbers")).alias("back"))
+    return lists.join(back, "seg").mapInArrow(functools.partial(_kept, words), LISTS)
+
+
+def _named(found: DataFrame, parts: DataFrame | None, name: str) -> DataFrame:
+    """lang, number, phrase, last (its last word), a, lefts, rights of the phrases found; parts: the same of one word less."""
+    own = found.where(F.col("seg").isNull()).select("lang", F.explode("own").alias("it"))
+    if parts is None:
+        none = F.array().cast("array<long>")
+        return scratch(own.select("lang", "it.number", F.col("it.word").alias("phrase"), F.col("it.word").alias("last"), "it.a", none.alias("lefts"), none.alias("rights")), name)
+    own = own.select("lang", "it.number", "it.a", F.shiftright("it.pair", 32).alias("left"), F.col("it.pair").bitwiseAND((1 << 32) - 1).alias("right"))
+    left = parts.select("lang", F.col("number").alias("left"), F.col("phrase").alias("start"), F.array_append("lefts", F.col("a")).alias("lefts"))
+    right = parts.select("lang", F.col("number").alias("right"), "last", F.array_prepend("rights", F.col("a")).alias("rights"))
+    return scratch(own.join(left, ["lang", "left"]).join(right, ["lang", "right"]).select("lang", "number", F.concat_ws(" ", "start", "last").alias("phrase"), "last", "a", "lefts", "rights"), name)
 
 
-def by_segment(lists: DataFrame, name: str) -> DataFrame:
+def by_segment(lists: DataFrame, path: str) -> DataFrame:
     """lists written to the shared folder in buckets of segments, so that what comes back to the segments moves to the lists
-    and not these to it. The catalog forgets the table at once; its files go with the session's other scratch tables."""
+    and not these to it. The catalog forgets the table at once; its files go when no later level reads them."""
     spark = lists.sparkSession
-    path, made = scratch_path(spark, name), f"lineloom_{uuid.uuid4().hex}"
+    made = f"lineloom_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lists.write.bucketBy(buckets, "seg").option("path", path).saveAsTable(made)
     kept = spark.table(made)
@@ -336,18 +429,25 @@ def candidates(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     is `und`. Other columns, ids among them, play no part; repeated rows count each time. Empty tables give empty results.
     """
     texts = docs.select(F.coalesce(F.col(lang_col), F.lit(NO_LANG)).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    words = by_segment(texts.mapInArrow(_segments, POSTINGS), "postings")
-    totals = words.groupBy("lang").agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda all, n: all + n)).alias("n"))
-    ranges = max(RANGES, 1 << (words.count() // SEGMENTS_A_RANGE).bit_length())
-    back = _back_to_segments(words, ["seg", "lang", "phrases", "lens"], _words_seen, ranges, least)
-    lists = by_segment(words.join(back, "seg").mapInArrow(_words_kept, LISTS), "lists-1")
-    found = []
-    for k in range(2, longest + 1):
-        back = _back_to_segments(lists, ["seg", "lang", "phrases", "lens", "places"], _longer_seen, ranges, least)
-        lists = by_segment(lists.join(back, "seg").mapInArrow(_longer_kept, LISTS), f"lists-{k}")
-        own = lists.select("lang", F.explode(F.filter(F.arrays_zip("phrases", "known"), lambda it: it["known"]["first"])).alias("it"))
-        found.append(own.select("lang", F.col("it.phrases").alias("phrase"), F.lit(k).alias("words"), "it.known.a", "it.known.lefts", "it.known.rights"))
-    return functools.reduce(DataFrame.unionAll, found), totals
+    spark = docs.sparkSession
+    path = scratch_path(spark, "postings")
+    lists = by_segment(texts.mapInArrow(_segments, POSTINGS), path)
+    sizes = lists.groupBy("lang").agg(F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda all, n: all + n)).alias("n"), F.count("*").alias("segments"))
+    sizes = scratch(sizes, "sizes")
+    most, segments = sizes.agg(F.coalesce(F.max("n"), F.lit(0)), F.coalesce(F.sum("segments"), F.lit(0))).first()
+    ranges = max(RANGES, 1 << (segments // SEGMENTS_A_RANGE).bit_length())
+    bits = min(HASH_BITS, max(16, (most // WORDS_A_HASH).bit_length()))
+    named, longer = None, []
+    for k in range(1, longest + 1):
+        found = _found(lists, k == 1, ranges, bits, least, f"found-{k}")
+        named = _named(found, named, f"named-{k}")
+        if k > 1:
+            longer.append(named.select("lang", "phrase", F.lit(k).alias("words"), "a", "lefts", "rights"))
+        if k < longest:
+            before, path = path, scratch_path(spark, f"lists-{k}")
+            lists = by_segment(_narrowed(lists, found, k == 1), path)
+            discard(spark, before)
+    return functools.reduce(DataFrame.unionAll, longer), sizes.select("lang", "n")
 
 
 def not_inside(found: DataFrame) -> DataFrame:

@@ -43,6 +43,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table that nothing reads any more, before the driver's JVM ends."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def scratch(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back, which cuts its lineage; deleted as the driver's JVM ends."""
     path = scratch_path(df.sparkSession, name)

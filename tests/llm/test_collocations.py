@@ -101,3 +101,39 @@ def test_only_phrases_that_can_be_frequent_move_by_name(monkeypatch):
                 got[row["phrase"]] += row["n"]
         assert all(got[p] == sums[p] for p in got) and frequent <= set(got)
         assert bits < 32 or set(got) == frequent
+
+
+def test_a_segment_moves_a_row_for_each_range_and_not_for_each_phrase(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    r, least, ranges = random.Random(9), 12, 4
+    texts = [" ".join(r.choice(["new york city", "of the", "ätna", "b"] * 4 + [f"w{i}" for i in range(20)]) for _ in range(600)) for _ in range(5)]
+    for at_once, bits in ((1 << 18, 32), (1 << 18, 5), (7, 32)):
+        monkeypatch.setattr(collocations, "AT_ONCE", at_once)
+        held, names = [], None
+        for seg, text in enumerate(texts):
+            words, lens, places = collocations.postings([text.encode()])
+            row = {"seg": seg, "lang": "en", "phrases": words, "lens": lens.astype(np.int32), "places": collocations._packed(places)}
+            held.append(pa.RecordBatch.from_pylist([row], schema=collocations._POSTINGS))
+        for k in (1, 2, 3):
+            seen = collocations._words_seen if k == 1 else collocations._longer_seen
+            sums = Counter(" ".join(own[i : i + k]) for own in (t.split() for t in texts) for i in range(len(own) - k + 1))
+            sketches = pa.Table.from_batches(list(collocations._sketched(seen, ranges, least, iter(held), bits)))
+            marks = [m for span in range(ranges) for m in collocations._marked(least, sketches.filter(pa.compute.equal(sketches.column("span"), span))).to_pylist()]
+            marked = [b.append_column("marks", pa.array([[m for m in marks if m["seg"] == b.column("seg")[0].as_py()]])) for b in held]
+            dealt = pa.Table.from_batches(list(collocations._dealt(seen, ranges, bits, iter(marked))))
+            assert at_once < 100 or dealt.num_rows <= ranges * len(texts) < sum(n >= least for n in sums.values()) * len(texts)
+            found = [row for span in range(ranges) if (part := dealt.filter(pa.compute.equal(dealt.column("span"), span))).num_rows for row in collocations._summed(k == 1, ranges, least, part).to_pylist()]
+            own = [it for row in found if row["seg"] is None for it in row["own"]]
+            assert len({it["number"] for it in own}) == len(own)
+            last = {number: name.split()[-1] for number, name in (names or {}).items()}
+            names = {it["number"]: it["word"] if k == 1 else f"{names[it['pair'] >> 32]} {last[it['pair'] & 0xFFFFFFFF]}" for it in own}
+            assert {names[it["number"]]: it["a"] for it in own} == {p: n for p, n in sums.items() if n >= least}
+            back = [b.append_column("back", pa.array([[{"at": f["at"], "numbers": f["numbers"]} for f in found if f["seg"] == b.column("seg")[0].as_py()]])) for b in held]
+            held = list(collocations._kept(k == 1, iter(back)))
+            for b, text in zip(held, texts, strict=True):
+                words, places = text.split(), collocations._unpacked(b.column("places")[0].as_py())
+                listed = np.repeat(b.column("phrases")[0].values.to_numpy(), b.column("lens")[0].values.to_numpy())
+                assert sorted(places.tolist()) == [i for i in range(len(words) - k + 1) if sums[" ".join(words[i : i + k])] >= least]
+                assert all(names[number] == " ".join(words[i : i + k]) for number, i in zip(listed.tolist(), places.tolist(), strict=True))
