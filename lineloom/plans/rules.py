@@ -186,10 +186,11 @@ def reason_hash(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", R.reason_hash(F.col("props")).alias("h"))
 
 
-@plans.add("recently_updated", f"SELECT event_id, ts >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY AS recent, ts >= TIMESTAMP '2024-02-10 12:00:00' - INTERVAL 30 DAY AS in_window FROM events")
+@plans.add("recently_updated", f"SELECT event_id, ts >= TIMESTAMP '{NOW}' - INTERVAL 7 DAY AS recent, ts >= TIMESTAMP '{NOW}' - INTERVAL 30 DAY AS in_window, ts >= TIMESTAMP '2024-02-10 12:00:00' - INTERVAL 30 DAY AS in_later_window FROM events")
 def recently_updated(spark, sf_dir):
-    now, later = (F.lit(t).cast("timestamp_ntz") for t in (NOW, "2024-02-10 12:00:00"))
-    return table(spark, sf_dir, "events").select("event_id", R.within(F.col("ts"), now, 7).alias("recent"), R.within(F.col("ts"), later, 30).alias("in_window"))
+    """Both windows end at the same time; the 30 days are asked once more at a later time, when they begin within the events."""
+    at, (now, later) = F.col("ts"), (F.lit(t).cast("timestamp_ntz") for t in (NOW, "2024-02-10 12:00:00"))
+    return table(spark, sf_dir, "events").select("event_id", R.within(at, now, 7).alias("recent"), R.within(at, now, 30).alias("in_window"), R.within(at, later, 30).alias("in_later_window"))
 
 
 @plans.add("post_fix_suppressed", """WITH f AS (SELECT o_custkey AS c FROM orders WHERE o_orderstatus = 'F' AND o_orderdate >= DATE '1998-08-03' - INTERVAL 30 DAY AND o_orderdate <= DATE '1998-08-03' UNION SELECT o_custkey + 1 FROM orders WHERE o_orderstatus = 'O' AND o_orderdate >= DATE '1998-08-03' - INTERVAL 30 DAY AND o_orderdate <= DATE '1998-08-03' AND o_orderkey % 2 = 0 UNION SELECT o_custkey + 2 FROM orders WHERE o_orderstatus = 'P')

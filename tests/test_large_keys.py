@@ -99,3 +99,14 @@ def test_fragments_are_zipped(spark):
     """No struct is made by a lambda function for each item that is sorted."""
     for name in ("cluster_lines", "v_cluster", "line_pixel_y", "build_position_map"):
         assert "struct(down" not in registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_both_windows_of_an_event_end_at_the_same_time(spark, tmp_path):
+    """Events at the edges of 7 and of 30 days before one time, past it, and at the edge of 30 days before a later time."""
+    times = ["2023-12-29 11:59:59.999999", "2023-12-29 12:00:00", "2024-01-11 11:59:59", "2024-01-11 12:00:00", "2024-01-21 11:59:59.999999", "2024-01-21 12:00:00", "2024-01-28 12:00:00", "2024-02-20 00:00:00"]
+    events = spark.createDataFrame(list(enumerate(times)), "event_id long, ts string").selectExpr("event_id", "cast(ts AS timestamp_ntz) AS ts")
+    assert len(same(spark, tmp_path, "recently_updated", events=events)) == len(times)
+    rows = sorted(registry.queries()["recently_updated"](spark, str(tmp_path)).collect())
+    assert [r.in_window for r in rows] == [False] + [True] * 7
+    assert [r.recent for r in rows] == [False] * 5 + [True] * 3
+    assert [r.in_later_window for r in rows] == [False] * 3 + [True] * 5
